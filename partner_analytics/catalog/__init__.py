@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["core"]
+MODULES = ["core", "expressions", "relational", "opportunities", "reports"]
 
 
 def load():

@@ -50,6 +50,8 @@ SELECT n_regionkey AS tenant_id, s_suppkey AS vendor_id, 'v' || CAST(s_suppkey A
   CASE s_suppkey % 14 WHEN 0 THEN 'Inactive' WHEN 1 THEN 'Qualified' ELSE 'Active' END AS account_status,
   CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE CAST(s_suppkey % 20 AS INTEGER) END AS chain_id,
   CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE 'v' || CAST(s_suppkey AS VARCHAR) || '@example.org' END AS backend_email,
+  CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE 'Street ' || CAST(s_suppkey AS VARCHAR) END AS address_line1,
+  CASE WHEN s_suppkey % 8 = 0 THEN NULL ELSE CAST(s_suppkey + 10000 AS VARCHAR) END AS postcode,
   CAST(s_suppkey % 20 AS INTEGER) AS pickup_time, CAST(s_suppkey % 132 AS INTEGER) AS cuisine_id,
   DATE '1995-01-01' + CAST((s_suppkey * 37) % 730 AS INTEGER) AS activation_date,
   'owner_' || CAST(s_suppkey % 8 AS VARCHAR) AS owner
@@ -70,13 +72,32 @@ SELECT s_suppkey AS vendor_id,
 FROM supplier"""
 
 TABLES["accounts"] = """
-SELECT p_partkey AS account_id, p_brand AS account_name, replace(p_name, ' ', ';') AS competitors FROM part"""
+SELECT p_partkey AS account_id, p_brand AS account_name, replace(p_name, ' ', ';') AS competitors,
+  CASE WHEN p_partkey % 20 = 0 THEN p_partkey // 20 END AS vendor_id FROM part"""
+
+TABLES["supply_terms"] = """
+SELECT s_suppkey AS vendor_id, CASE WHEN s_suppkey % 6 = 5 THEN 0 ELSE 1 END AS auto_supply,
+  'Bill ' || CAST(s_suppkey AS VARCHAR) AS billing_street, CAST(s_suppkey + 20000 AS VARCHAR) AS billing_postcode,
+  CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE CAST((s_suppkey * 13) % 300 AS INTEGER) END AS check_stock,
+  CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE DATE '2001-07-16' - CAST(s_suppkey % 40 AS INTEGER) END AS check_date
+FROM supplier"""
+
+TABLES["crm_accounts"] = """
+SELECT s_suppkey AS vendor_id, '0012400000' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS crm_id,
+  'Account ' || CAST(s_suppkey AS VARCHAR) AS account_name,
+  CASE WHEN s_suppkey % 8 = 7 THEN NULL ELSE 'user_' || CAST(s_suppkey % 8 AS VARCHAR) END AS user_id FROM supplier"""
+
+TABLES["newsletter_contacts"] = """
+SELECT 'v' || CAST(c_custkey // 15 AS VARCHAR) AS vendor_code, lower(c_name) || '@example.org' AS email,
+  c_custkey AS contact_id, CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 0 END AS excluded
+FROM customer WHERE c_acctbal > 7000"""
 
 TABLES["vendor_orders"] = """
 SELECT f.*, v.tenant_id, v.city_id, v.brand FROM (
   SELECT l_orderkey AS order_id, l_suppkey AS vendor_id, o_custkey AS customer_id, o_orderdate AS order_ts,
     CAST(o_orderdate AS DATE) AS order_day, o_orderstatus AS status_id,
     CASE WHEN o_orderpriority = '1-URGENT' THEN 'pickup' ELSE 'delivery' END AS expedition_type,
+    CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS first_order, o_orderkey % 4 <> 0 AS tracked,
     SUM(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS gfv,
     SUM(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))
         * (1 + CAST(l_tax AS DECIMAL(4,2)))) AS gmv,
@@ -99,7 +120,8 @@ SELECT vendor_id, products, 6 + vendor_id % 11 AS menucategories,
 FROM (SELECT l_suppkey AS vendor_id, COUNT(DISTINCT l_partkey % 101) AS products FROM lineitem GROUP BY 1)"""
 
 TABLES["stock"] = """
-SELECT l_suppkey AS vendor_id, CAST(l_shipdate AS DATE) AS product_date, l_returnflag AS consumption,
+SELECT l_suppkey AS vendor_id, CAST(l_shipdate AS DATE) AS product_date, CASE l_returnflag
+  WHEN 'A' THEN 'Above Average (1.5 Bags per Order)' WHEN 'N' THEN 'Normal (1 - 1.5 per Order)' ELSE 'Low usage' END AS consumption,
   CAST(l_quantity AS INTEGER) AS quantity
 FROM lineitem WHERE CAST(l_shipdate AS DATE) <= DATE '2001-07-16'"""
 
@@ -115,7 +137,11 @@ SELECT o_orderkey AS opportunity_id, o_custkey AS account_id,
     WHEN '4-NOT SPECIFIED' THEN 'Partner - OM Backlink' ELSE 'Partner - In-Restaurant Material' END AS record_type,
   CASE o_orderstatus WHEN 'F' THEN 'Closed Won' WHEN 'O' THEN 'New' ELSE 'Closed Lost' END AS stage,
   CAST(o_orderdate AS DATE) AS created_date, 'owner_' || CAST(c_nationkey % 8 AS VARCHAR) AS owner,
-  CAST(o_totalprice AS DECIMAL(12,2)) AS value
+  CAST(o_totalprice AS DECIMAL(12,2)) AS value, o_custkey // 15 AS vendor_id,
+  CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER) AS close_date,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'automation' ELSE 'person' END AS created_by,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'automation' ELSE 'person' END AS modified_by,
+  CASE o_orderkey % 3 WHEN 0 THEN 'Upgrade' WHEN 1 THEN 'Downgrade' ELSE 'Renewal' END AS contract_source
 FROM orders JOIN customer ON o_custkey = c_custkey"""
 
 TABLES["contacts"] = """
@@ -153,7 +179,11 @@ TABLES["deliveries"] = """
 SELECT event_id AS delivery_id, user_id AS vendor_id, ts, value / 10 AS at_door_min,
   CAST((event_id * 7) % 31 - 15 AS INTEGER) AS arrival_offset, CAST(event_id % 25 + 10 AS INTEGER) AS prep_min,
   CAST(event_id % 100 AS INTEGER) AS utilisation, event_type = 'signup' AS redelivery,
-  CAST((event_id * 5) % 23 - 8 AS INTEGER) AS courier_late_min
+  CAST((event_id * 5) % 23 - 8 AS INTEGER) AS courier_late_min,
+  CAST((event_id * 3) % 29 - 12 AS INTEGER) AS vendor_late_min, value / 4 - 6 AS pickup_delay_min,
+  CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS preorder, CAST(event_id % 4 AS INTEGER) AS prep_buffer,
+  ts - to_seconds((event_id % 40) * 61) AS confirm_ts,
+  CASE WHEN user_id % 4 <> 0 THEN CAST(event_id % 25 + 10 AS INTEGER) END AS prep_setting
 FROM events"""
 
 TABLES["prep_buckets"] = """

@@ -28,7 +28,9 @@ def write_insert(df: DataFrame, path: str, partition_by: list[str]) -> None:
 def write_csv(df: DataFrame, path: str, null: str = " ") -> None:
     """CSV with header; every value quoted, NULL as a blank."""
     text = [F.coalesce(F.col(c).cast("string"), F.lit(null)).alias(c) for c in df.columns]
-    df.select(*text).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+    writer = df.select(*text).write.mode("overwrite").option("header", True).option("quoteAll", True)
+    # the writer would trim the blank away
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:

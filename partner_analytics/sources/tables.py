@@ -97,6 +97,10 @@ class Warehouse:
             F.when(key % 9 == 0, F.lit(None).cast("string"))
             .otherwise(F.concat(F.lit("v"), key.cast("string"), F.lit("@example.org")))
             .alias("backend_email"),
+            F.when(key % 6 == 0, F.lit(None).cast("string"))
+            .otherwise(F.concat(F.lit("Street "), key.cast("string"))).alias("address_line1"),
+            F.when(key % 8 == 0, F.lit(None).cast("string"))
+            .otherwise((key + 10000).cast("string")).alias("postcode"),
             (key % 20).cast("int").alias("pickup_time"),
             (key % 132).cast("int").alias("cuisine_id"),
             F.date_add(F.lit(date(1995, 1, 1)), ((key * 37) % 730).cast("int"))
@@ -128,11 +132,49 @@ class Warehouse:
             .otherwise(F.concat(F.lit("www.v"), key.cast("string"))).alias("website"),
         )
 
+    def supply_terms(self, as_of: date = AS_OF) -> DataFrame:
+        """Supply settings per vendor: automatic supply, address of the bill, last stock check."""
+        key = F.col("s_suppkey")
+        unchecked = key % 4 == 0
+        return self.raw("supplier").select(
+            key.alias("vendor_id"),
+            F.when(key % 6 == 5, 0).otherwise(1).alias("auto_supply"),
+            F.concat(F.lit("Bill "), key.cast("string")).alias("billing_street"),
+            (key + 20000).cast("string").alias("billing_postcode"),
+            F.when(unchecked, F.lit(None).cast("int")).otherwise(((key * 13) % 300).cast("int"))
+            .alias("check_stock"),
+            F.when(unchecked, F.lit(None).cast("date")).otherwise(
+                F.date_sub(F.lit(as_of), (key % 40).cast("int"))).alias("check_date"),
+        )
+
+    def crm_accounts(self) -> DataFrame:
+        """CRM account of every vendor and the user who owns it."""
+        key = F.col("s_suppkey")
+        return self.raw("supplier").select(
+            key.alias("vendor_id"),
+            F.concat(F.lit("0012400000"), F.lpad(key.cast("string"), 8, "0")).alias("crm_id"),
+            F.concat(F.lit("Account "), key.cast("string")).alias("account_name"),
+            F.when(key % 8 == 7, F.lit(None).cast("string"))
+            .otherwise(F.concat(F.lit("user_"), (key % 8).cast("string"))).alias("user_id"),
+        )
+
+    def newsletter_contacts(self) -> DataFrame:
+        """Partner contacts; a vendor has several, and some have none."""
+        key = F.col("c_custkey")
+        vendor = F.floor(key / F.lit(15.0))
+        return self.raw("customer").where(F.col("c_acctbal") > 7000).select(
+            F.concat(F.lit("v"), vendor.cast("string")).alias("vendor_code"),
+            F.concat(F.lower("c_name"), F.lit("@example.org")).alias("email"), key.alias("contact_id"),
+            F.when(F.col("c_mktsegment") == "MACHINERY", 1).otherwise(0).alias("excluded"),
+        )
+
     def accounts(self) -> DataFrame:
         return self.raw("part").select(
             F.col("p_partkey").alias("account_id"),
             F.col("p_brand").alias("account_name"),
             F.regexp_replace("p_name", " ", ";").alias("competitors"),
+            F.when(F.col("p_partkey") % 20 == 0, F.floor(F.col("p_partkey") / F.lit(20.0)))
+            .alias("vendor_id"),
         )
 
     # -- order facts --------------------------------------------------------------------------
@@ -156,6 +198,8 @@ class Warehouse:
             F.col("o_orderdate").alias("order_ts"), F.col("o_orderstatus").alias("status_id"),
             F.when(F.col("o_orderpriority") == "1-URGENT", "pickup").otherwise("delivery")
             .alias("expedition_type"),
+            F.when(F.col("o_orderkey") % 10 == 0, 1).otherwise(0).alias("first_order"),
+            (F.col("o_orderkey") % 4 != 0).alias("tracked"),
         )
         price = F.col("l_extendedprice").cast(MONEY)
         net = price * (F.lit(1).cast(RATE) - F.col("l_discount").cast(RATE))
@@ -165,7 +209,8 @@ class Warehouse:
             (net * (F.lit(1).cast(RATE) + F.col("l_tax").cast(RATE))).alias("gross"),
         )
         fact = lines.join(head, "order_id").groupBy(
-            "order_id", "vendor_id", "customer_id", "order_ts", "status_id", "expedition_type"
+            "order_id", "vendor_id", "customer_id", "order_ts", "status_id", "expedition_type", "first_order",
+            "tracked",
         ).agg(
             F.sum("net").alias("gfv"),
             F.sum("gross").alias("gmv"),
@@ -206,7 +251,9 @@ class Warehouse:
         lines = self.raw("lineitem").where(F.to_date("l_shipdate") <= F.lit(as_of))
         return lines.select(
             F.col("l_suppkey").alias("vendor_id"), F.to_date("l_shipdate").alias("product_date"),
-            F.col("l_returnflag").alias("consumption"),
+            F.when(F.col("l_returnflag") == "A", "Above Average (1.5 Bags per Order)")
+            .when(F.col("l_returnflag") == "N", "Normal (1 - 1.5 per Order)")
+            .otherwise("Low usage").alias("consumption"),
             F.col("l_quantity").cast("int").alias("quantity"),
         )
 
@@ -238,6 +285,12 @@ class Warehouse:
             F.to_date("o_orderdate").alias("created_date"),
             F.concat(F.lit("owner_"), (F.col("c_nationkey") % 8).cast("string")).alias("owner"),
             F.col("o_totalprice").cast(MONEY).alias("value"),
+            F.floor(F.col("o_custkey") / F.lit(15.0)).alias("vendor_id"),
+            F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 40).cast("int")).alias("close_date"),
+            F.when(F.col("o_orderkey") % 3 == 0, "automation").otherwise("person").alias("created_by"),
+            F.when(F.col("o_orderkey") % 4 == 0, "automation").otherwise("person").alias("modified_by"),
+            F.when(F.col("o_orderkey") % 3 == 0, "Upgrade").when(F.col("o_orderkey") % 3 == 1, "Downgrade")
+            .otherwise("Renewal").alias("contract_source"),
         )
 
     # -- event facts --------------------------------------------------------------------------
@@ -306,6 +359,12 @@ class Warehouse:
             (event % 100).cast("int").alias("utilisation"),
             (F.col("event_type") == "signup").alias("redelivery"),
             ((event * 5) % 23 - 8).cast("int").alias("courier_late_min"),
+            ((event * 3) % 29 - 12).cast("int").alias("vendor_late_min"),
+            (F.col("value") / 4 - 6).alias("pickup_delay_min"),
+            F.when(event % 10 == 0, 1).otherwise(0).alias("preorder"),
+            (event % 4).cast("int").alias("prep_buffer"),
+            (F.col("ts") - F.make_dt_interval(secs=(event % 40) * 61)).alias("confirm_ts"),
+            F.when(F.col("user_id") % 4 != 0, (event % 25 + 10).cast("int")).alias("prep_setting"),
         )
 
     def prep_buckets(self) -> DataFrame:
