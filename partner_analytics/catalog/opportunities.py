@@ -242,10 +242,10 @@ SELECT *, CASE WHEN stage_category = 'Closed Lost' AND untouched = 1 THEN 'Close
   WHEN stage_category = 'Closed Lost' THEN 'Closed Lost worked on' ELSE 'Closed Won' END AS stages FROM (
 SELECT c.tenant_id, o.vendor_id, opportunity_id, o.owner, '{MONTH.label}' AS report_month,
   split_part(record_type, ' - ', 2) AS opportunity_type,
-  CASE stage WHEN 'Closed Won' THEN 'Closed Won' WHEN 'New' THEN 'New' WHEN 'Closed Lost' THEN 'Closed Lost' ELSE 'Open' END AS stage_category,
+  CASE o.stage WHEN 'Closed Won' THEN 'Closed Won' WHEN 'New' THEN 'New' WHEN 'Closed Lost' THEN 'Closed Lost' ELSE 'Open' END AS stage_category,
   CAST(opportunity_points AS DOUBLE) AS opportunity_points, opportunity_area, {R('c.impact', 4)} AS impact,
   {R(f"{weight_sql(0)} * {weight_sql(1)} * c.impact", 4)} AS type_impact,
-  CASE WHEN stage = 'Closed Lost' AND modified_by = 'automation' AND close_date = created_date + lifespan_days + 1 THEN 1 ELSE 0 END AS untouched
+  CASE WHEN o.stage = 'Closed Lost' AND modified_by = 'automation' AND close_date = created_date + lifespan_days + 1 THEN 1 ELSE 0 END AS untouched
 FROM opportunities o JOIN opportunity_params p ON p.opportunity = o.record_type
 JOIN card_month c ON c.vendor_id = o.vendor_id
 WHERE strftime(close_date, '%Y-%m') = '{MONTH.label}' AND c.impact IS NOT NULL

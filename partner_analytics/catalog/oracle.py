@@ -97,7 +97,7 @@ SELECT f.*, v.tenant_id, v.city_id, v.brand FROM (
   SELECT l_orderkey AS order_id, l_suppkey AS vendor_id, o_custkey AS customer_id, o_orderdate AS order_ts,
     CAST(o_orderdate AS DATE) AS order_day, o_orderstatus AS status_id,
     CASE WHEN o_orderpriority = '1-URGENT' THEN 'pickup' ELSE 'delivery' END AS expedition_type,
-    CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS first_order, o_orderkey % 4 <> 0 AS tracked,
+    CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE 0 END AS first_order, l_orderkey % 4 <> 0 AS tracked,
     SUM(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS gfv,
     SUM(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))
         * (1 + CAST(l_tax AS DECIMAL(4,2)))) AS gmv,

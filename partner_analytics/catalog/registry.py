@@ -18,10 +18,19 @@ class Entry:
     oracle: str | None
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.build(Warehouse(tune(spark), sf_dir))
+        return self.build(warehouse(spark, sf_dir))
 
 
 ENTRIES: dict[str, Entry] = {}
+_OPEN: list[Warehouse] = []
+
+
+def warehouse(spark: SparkSession, path: str) -> Warehouse:
+    """The warehouse of this session and folder; the last one is kept open."""
+    kept = _OPEN[0] if _OPEN else None
+    if kept is None or kept.spark is not spark or kept.path != path.rstrip("/"):
+        _OPEN[:] = [Warehouse(tune(spark), path)]
+    return _OPEN[0]
 
 
 def query(key: str, oracle: str | None = None):

@@ -17,7 +17,7 @@ from partner_analytics.sources.lookups import CUISINES
 from partner_analytics.sources.tables import AS_OF, EVENTS_AS_OF
 
 C = F.col
-COHORT_DAY = date(1996, 1, 15)
+COHORT_DAY = date(1995, 4, 25)
 FOUR_WEEKS = periods.last_weeks(AS_OF, 4)
 EXCLUDED = ["anvil", "^small w"]
 OFFLINE_START = date(2024, 1, 1)

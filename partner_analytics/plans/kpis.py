@@ -39,16 +39,21 @@ def valid_orders(t, start=None, end=None) -> DataFrame:
     return t.vendor_orders(start, end).join(status, "status_id")
 
 
-def order_kpis(t, period, codes=ACTIONABLE_CODES, late_minutes: int = 5) -> DataFrame:
+def order_kpis(t, period, codes=ACTIONABLE_CODES, late_minutes: int = 5, reasons: dict | None = None) -> DataFrame:
     """Counts, sales, processing time and delays per vendor.
 
     The order table has one row per order and vendor, so conditional sums replace distinct counts.
-    A vendor is late when it misses the limit while the courier keeps it.
+    A vendor is late when it misses the limit while the courier keeps it. With ``reasons``, valid
+    orders with such a complaint are counted in the same pass.
     """
     open_countries = t.countries().where(F.col("live") == 1).select("tenant_id")
     real_cities = t.cities().where(~F.col("is_test")).select("tenant_id", "city_id")
     orders = flagged_orders(t, period.start, period.end)
     valid, acted = F.col("valid_order") == 1, overlaps(F.col("code_array"), codes)
+    extra = []
+    if reasons:
+        orders = orders.join(complaint_orders(t, reasons), "order_id", "left")
+        extra = [count_if(valid & complained(reasons)).alias("complaints")]
     sums = orders.groupBy("tenant_id", "city_id", "vendor_id").agg(
         count_if(valid).alias("valid_orders"),
         count_if(F.col("gross_order") == 1).alias("gross_orders"),
@@ -63,6 +68,7 @@ def order_kpis(t, period, codes=ACTIONABLE_CODES, late_minutes: int = 5) -> Data
         ratio(count_if(acted & valid), count_if(valid)).alias("automated_orders"),
         count_if((F.col("vendor_late_min") >= late_minutes) & (F.col("courier_late_min") < late_minutes))
         .alias("vendor_delay_sum"),
+        *extra,
     )
     # dimensions join the small totals, not the orders
     placed = sums.join(open_countries, "tenant_id").join(real_cities, ["tenant_id", "city_id"])
@@ -92,13 +98,16 @@ def complaint_orders(t, reasons: dict[str, str]) -> DataFrame:
         *[any_flag(rx(F.col("reason"), pattern)).alias(name) for name, pattern in reasons.items()])
 
 
+def complained(reasons: dict[str, str]) -> Column:
+    return F.greatest(*[F.col(name) for name in reasons]) == 1
+
+
 def complaints(t, period, reasons: dict[str, str] = COMPLAINT_REASONS) -> DataFrame:
     """Orders with a complaint about their items, absolute and per valid order."""
     marks = complaint_orders(t, reasons)
-    hit = F.greatest(*[F.col(name) for name in reasons]) == 1
     joined = valid_orders(t, period.start, period.end).join(marks, "order_id", "left")
     per = joined.groupBy(*KEYS).agg(
-        count_if(hit).alias("complaints"), F.count(F.lit(1)).alias("orders"))
+        count_if(complained(reasons)).alias("complaints"), F.count(F.lit(1)).alias("orders"))
     return per.withColumn("complaint_rate", ratio(F.col("complaints"), F.col("orders")))
 
 

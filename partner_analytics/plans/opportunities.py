@@ -13,6 +13,7 @@ from partner_analytics.operators.joins import join_all
 from partner_analytics.operators.ranking import top_n
 from partner_analytics.operators.sets import unpivot
 from partner_analytics.plans.weights import KPI_IMPACT
+from partner_analytics.session import reliable_checkpoint
 from partner_analytics.sources.lookups import opportunity_params
 
 # CRM record types.
@@ -195,9 +196,10 @@ def opportunity_specs() -> list[tuple[dict[str, Column], Column]]:
 def opportunity_rows(card: DataFrame, flags: DataFrame, min_orders: int = 40) -> DataFrame:
     """Every vendor x type of the list, from one pass over the score card.
 
-    ``card`` carries scores and impacts per KPI; ``flags`` what blocks a vendor.
+    ``card`` carries scores and impacts per KPI; ``flags`` what blocks a vendor. The card is stored
+    first, one row per vendor: the list reads every score many times.
     """
-    base = card.where(F.col("impact").isNotNull() & (F.col("valid_orders") >= min_orders))
+    base = reliable_checkpoint(card).where(F.col("impact").isNotNull() & (F.col("valid_orders") >= min_orders))
     joined = base.join(flags.drop("vendor_code", "vendor_name"), ["tenant_id", "vendor_id"], "left")
     specs = opportunity_specs()
     keep = ["tenant_id", "country_name", "city_name", "owner", "vendor_id", "vendor_code", "vendor_name"]
