@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from partner_analytics.functions import (
     any_flag, count_if, count_if_nonnull, in_period, overlaps, part, ratio, round_half_away, rx, sum_if,
 )
-from partner_analytics.operators.aggregates import distinct_rows
 from partner_analytics.operators.joins import cohort_repeat, spine
 
 # Order codes that needed a person to act on the order.
@@ -19,13 +18,16 @@ KEYS = ["tenant_id", "vendor_id"]
 
 
 def vendor_master(t, period) -> DataFrame:
-    """One row per vendor of a live country and active city with an active account."""
+    """One row per vendor of a live country and active city with an active account.
+
+    Vendors are unique and so are countries and cities on their keys, so no distinct is needed.
+    """
     countries = t.countries().where(F.col("live") == 1).select("tenant_id", "country_name")
     cities = t.cities().where(F.col("city_active") == 1).select("tenant_id", "city_id", "city_name")
     vendors = t.vendors().where(F.col("account_status") == "Active")
     rows = vendors.join(cities, ["tenant_id", "city_id"]).join(countries, "tenant_id")
-    return spine(distinct_rows(
-        rows, "tenant_id", "city_id", "vendor_id", "vendor_code", "vendor_name", "city_name",
+    return spine(rows.select(
+        "tenant_id", "city_id", "vendor_id", "vendor_code", "vendor_name", "city_name",
         "country_name", "owner", "activation_date"), [period])
 
 
@@ -39,22 +41,20 @@ def valid_orders(t, start=None, end=None) -> DataFrame:
     return t.vendor_orders(start, end).join(status, "status_id")
 
 
-def order_kpis(t, period, codes=ACTIONABLE_CODES, late_minutes: int = 5, reasons: dict | None = None) -> DataFrame:
-    """Counts, sales, processing time and delays per vendor.
+def order_sums(t, period, codes=ACTIONABLE_CODES, late_minutes: int = 5, reasons: dict | None = None) -> DataFrame:
+    """Counts, sales, processing time and delays per vendor, in one pass over the order rows.
 
     The order table has one row per order and vendor, so conditional sums replace distinct counts.
     A vendor is late when it misses the limit while the courier keeps it. With ``reasons``, valid
-    orders with such a complaint are counted in the same pass.
+    orders with such a complaint are counted too.
     """
-    open_countries = t.countries().where(F.col("live") == 1).select("tenant_id")
-    real_cities = t.cities().where(~F.col("is_test")).select("tenant_id", "city_id")
     orders = flagged_orders(t, period.start, period.end)
     valid, acted = F.col("valid_order") == 1, overlaps(F.col("code_array"), codes)
     extra = []
     if reasons:
         orders = orders.join(complaint_orders(t, reasons), "order_id", "left")
-        extra = [count_if(valid & complained(reasons)).alias("complaints")]
-    sums = orders.groupBy("tenant_id", "city_id", "vendor_id").agg(
+        extra = [count_if(valid & complained(reasons)).alias("complaints"), count_if(valid).alias("complaint_base")]
+    return orders.groupBy("tenant_id", "city_id", "vendor_id").agg(
         count_if(valid).alias("valid_orders"),
         count_if(F.col("gross_order") == 1).alias("gross_orders"),
         count_if(F.col("failed_order_vendor") == 1).alias("failed_orders_vendor"),
@@ -70,9 +70,32 @@ def order_kpis(t, period, codes=ACTIONABLE_CODES, late_minutes: int = 5, reasons
         .alias("vendor_delay_sum"),
         *extra,
     )
-    # dimensions join the small totals, not the orders
-    placed = sums.join(open_countries, "tenant_id").join(real_cities, ["tenant_id", "city_id"])
-    return placed.withColumn("period", F.lit(period.label))
+
+
+def reported_cities(t) -> DataFrame:
+    """Cities whose order figures count: real ones of live countries."""
+    countries = t.countries().where(F.col("live") == 1).select("tenant_id")
+    return t.cities().where(~F.col("is_test")).select("tenant_id", "city_id").join(countries, "tenant_id")
+
+
+def order_kpis(t, period, codes=ACTIONABLE_CODES, late_minutes: int = 5) -> DataFrame:
+    """The order figures of reported cities; dimensions join the totals, not the orders."""
+    sums = order_sums(t, period, codes, late_minutes)
+    return sums.join(reported_cities(t), ["tenant_id", "city_id"]).withColumn("period", F.lit(period.label))
+
+
+def order_kpis_with_complaints(t, period, reasons: dict[str, str] = COMPLAINT_REASONS) -> DataFrame:
+    """Order figures and complaints from one pass.
+
+    Complaints are reported for test cities too, whose order figures stay NULL.
+    """
+    sums = order_sums(t, period, reasons=reasons)
+    placed = sums.join(reported_cities(t).withColumn("_real", F.lit(True)), ["tenant_id", "city_id"], "left")
+    keys = ["tenant_id", "city_id", "vendor_id"]
+    own = [c for c in sums.columns if c not in (*keys, "complaints", "complaint_base")]
+    return placed.select(
+        *keys, *[F.when(F.col("_real"), F.col(c)).alias(c) for c in own],
+        F.when(F.col("complaint_base") > 0, F.col("complaints")).alias("complaints"))
 
 
 def conversion(t, period) -> DataFrame:
@@ -111,14 +134,14 @@ def complaints(t, period, reasons: dict[str, str] = COMPLAINT_REASONS) -> DataFr
     return per.withColumn("complaint_rate", ratio(F.col("complaints"), F.col("orders")))
 
 
-def nps(t, period, reason: str = "Packaging", order_start=None, order_end=None) -> DataFrame:
+def nps(t, period, reason: str = "Packaging") -> DataFrame:
     """Mean recommendation of one reason, two decimals, for vendors of active real cities."""
     countries = t.countries().select("tenant_id", "country_iso")
     cities = t.cities().where((F.col("city_active") == 1) & ~F.col("is_test")).select("tenant_id", "city_id")
     answers = t.surveys().where(in_period(F.col("submitted"), period) & (F.col("reason") == reason)).select(
         F.upper(part(F.col("venture_name"), "_", 2)).alias("country_iso"),
         F.col("last_order_id").alias("order_id"), "recommendation")
-    orders = t.vendor_orders(order_start, order_end).select("tenant_id", "order_id", "vendor_id", "city_id")
+    orders = t.order_vendors().select("tenant_id", "order_id", "vendor_id", "city_id")
     placed = answers.join(countries, "country_iso").join(orders, ["tenant_id", "order_id"])
     score = ratio(F.sum("recommendation"), F.count("recommendation"))
     return placed.join(cities, ["tenant_id", "city_id"]).groupBy("tenant_id", "city_id", "vendor_id").agg(

@@ -34,7 +34,7 @@ def metrics(t, period, as_of, reorder_period, reorder_days: int = 28, events_per
     cr3 = kpis.conversion(t, seen) if conversion else None
     by_vendor = [kpis.closing(t), terms] + ([cr3] if conversion else [])
     by_tenant = [
-        kpis.order_kpis(t, period, reasons=kpis.COMPLAINT_REASONS).drop("city_id", "period"),
+        kpis.order_kpis_with_complaints(t, period).drop("city_id"),
         kpis.reorder(t, reorder_period, as_of, reorder_days).drop("reorder_rate"),
         kpis.content(t).select(*VENDOR, "menucategories", "products", "described"),
         kpis.nps(t, seen).drop("city_id"),

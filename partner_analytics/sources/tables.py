@@ -263,6 +263,13 @@ class Warehouse:
         codes = F.expr("filter(sequence(51, 57), c -> (lines & shiftleft(1, c - 50)) != 0)")
         return self.at_home(fact.withColumn("code_array", codes).drop("lines"))
 
+    @table
+    def order_vendors(self) -> DataFrame:
+        """Which vendors took part in an order, without the order's figures."""
+        pairs = self.raw("lineitem").select(
+            F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("vendor_id")).distinct()
+        return self.at_home(pairs)
+
     @table
     def order_products(self, start: date | None = None, end: date | None = None) -> DataFrame:
         head = self.orders_raw(start, end).select(
