@@ -530,10 +530,10 @@ def win_partition_count(t):
 
 
 @query("win_running_count", sql("""
-SELECT opportunity_id, COUNT(*) OVER (PARTITION BY owner, record_type ORDER BY CAST(value / 1000 AS BIGINT) DESC) AS running_count
+SELECT opportunity_id, COUNT(*) OVER (PARTITION BY owner, record_type ORDER BY CAST(floor(value / 1000) AS BIGINT) DESC) AS running_count
 FROM opportunities"""))
 def win_running_count(t):
-    rows = t.opportunities().select("opportunity_id", "owner", "record_type", F.round(C("value") / 1000).cast("bigint").alias("size"))
+    rows = t.opportunities().select("opportunity_id", "owner", "record_type", F.floor(C("value") / 1000).cast("bigint").alias("size"))
     return ranking.running_count(rows, ["owner", "record_type"], "size").select("opportunity_id", "running_count")
 
 

@@ -19,13 +19,16 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# only a new session can take these: a wide report compiles more classes than the default cache holds
+STATIC = {"spark.sql.codegen.cache.maxEntries": "2000"}
+
 
 def build_session(app: str = "partner_analytics", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings above; ``master=None`` keeps what spark-submit chose."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **conf}.items():
+    for key, value in {**STATIC, **SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
