@@ -41,10 +41,10 @@ def inactive_city(t) -> DataFrame:
 
 
 def false_testing(t, as_of, days: int = 30, minimum: int = 0) -> DataFrame:
-    """Vendors marked as test that still got valid orders lately."""
+    """Vendors marked as test that still got valid orders lately; orders are counted before the join."""
     testing = t.vendors().where(F.col("vendor_testing") == 1).select(*VENDOR)
-    orders = valid_orders(t, as_of - timedelta(days=days)).join(testing, VENDOR, "left_semi")
-    return having(orders, VENDOR, F.count("order_id"), "valid_orders", minimum)
+    counts = having(valid_orders(t, as_of - timedelta(days=days)), VENDOR, F.count("order_id"), "valid_orders", minimum)
+    return counts.join(testing, VENDOR, "left_semi")
 
 
 def vat_flag(vat: Column, deleted: Column, tenant: Column, brand: Column, reversed_tenants: list[int]) -> Column:

@@ -34,12 +34,13 @@ def deal_uplift(t, former, deal, deal_type: str, confirmed: DataFrame, vendor_id
     cohort = deal_cohort(t, former, deal_type, vendor_ids)
     now = in_period(F.col("order_ts"), deal)
     before = F.to_date("order_ts").between(F.lit(former.start), F.lit(deal.start))
-    orders = valid_orders(t, former.start, deal.end).join(cohort.select(*VENDOR), VENDOR, "left_semi")
-    # one row per customer first, so distinct customers need no second expansion of the orders
+    orders = valid_orders(t, former.start, deal.end)
+    # one row per vendor and customer first: distinct customers need no expansion of the orders, and
+    # the cohort meets the small table, so no vendor's orders gather in one task
     people = orders.groupBy(*VENDOR, "customer_id").agg(
         F.count(F.when(now, 1)).alias("now"), F.count(F.when(before, 1)).alias("before"),
         F.sum(F.when(now, F.col("gfv"))).alias("sales_now"), F.sum(F.when(before, F.col("gfv"))).alias("sales_before"))
-    sums = people.groupBy(*VENDOR).agg(
+    sums = people.join(cohort.select(*VENDOR), VENDOR, "left_semi").groupBy(*VENDOR).agg(
         F.sum("now").alias("orders_deal_month"), F.sum("before").alias("orders_former_month"),
         F.sum("sales_now").alias("sales_now"), F.sum("sales_before").alias("sales_before"),
         F.count(F.when(F.col("now") > 0, 1)).alias("customers_deal_month"),

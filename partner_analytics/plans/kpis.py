@@ -168,14 +168,15 @@ def marketing(t, patterns: dict[str, str]) -> DataFrame:
     ``patterns`` holds regular expressions for ``door_sticker``, ``voucher_cards``, ``display``,
     ``backlink`` and ``whitelabel``, and the finished ``phase`` of an implementation.
     """
-    def name_hit(kind: str) -> Column:
-        return any_flag(rx(F.col("product_name"), patterns[kind]))
-
+    # patterns are matched once per product, not once per sale
     kind = F.col("opportunity_type")
-    linked = (rx(kind, patterns["backlink"]) & (F.col("phase") == patterns["phase"])) | rx(kind, patterns["whitelabel"])
-    found = t.crm_products().groupBy("vendor_id").agg(
-        name_hit("door_sticker").alias("door_sticker"), name_hit("voucher_cards").alias("voucher_cards"),
-        name_hit("display").alias("display"), any_flag(linked).alias("linked"))
+    materials = ["door_sticker", "voucher_cards", "display"]
+    catalog = t.crm_catalog().select(
+        "product_id", *[rx(F.col("product_name"), patterns[m]).alias(m) for m in materials],
+        rx(kind, patterns["backlink"]).alias("is_backlink"), rx(kind, patterns["whitelabel"]).alias("is_whitelabel"))
+    linked = (F.col("is_backlink") & (F.col("phase") == patterns["phase"])) | F.col("is_whitelabel")
+    found = t.crm_sales().join(catalog, "product_id").groupBy("vendor_id").agg(
+        *[any_flag(F.col(m)).alias(m) for m in materials], any_flag(linked).alias("linked"))
     terms = t.contracts().where(F.col("contract_status").isin("Activated", "Amended")).select(
         "vendor_id", "commission_pct", "flat_fee", "price_mark_up", "exclusivity", "packaging_quality",
         "fb_rights", "facebook_likes", "no_fb", "website")

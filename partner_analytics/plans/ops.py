@@ -33,28 +33,35 @@ class OpsParams:
     reliable_offsets: tuple = (-3, 7)
 
 
-def ops_orders(t, as_of, p: OpsParams = OpsParams()) -> DataFrame:
+def recent_deliveries(t, as_of, p: OpsParams) -> DataFrame:
     """Recent deliveries with waiting time at the door and arrival offset, in minutes."""
     recent = F.to_date("ts") >= shift(F.lit(as_of), -p.days, "day")
-    home = t.vendors().select("tenant_id", "vendor_id", "city_id")
     waiting = round_half_away(F.col("at_door_min"), 1) - F.lit(p.waiting_time_adjustment).cast("decimal(6,2)")
     return t.deliveries().where(recent).select(
         "vendor_id", "delivery_id", "ts", "utilisation", waiting.cast("double").alias("waiting_time"),
         F.col("arrival_offset").cast("double").alias("arrival_offset"), "prep_min",
-        F.when(F.col("redelivery"), 1).otherwise(0).alias("redelivery"),
-    ).join(home, "vendor_id")
+        F.when(F.col("redelivery"), 1).otherwise(0).alias("redelivery"))
+
+
+def ops_orders(t, as_of, p: OpsParams = OpsParams()) -> DataFrame:
+    """Recent deliveries of known vendors, with tenant and city."""
+    home = t.vendors().select("tenant_id", "vendor_id", "city_id")
+    return recent_deliveries(t, as_of, p).join(home, "vendor_id")
 
 
 def ops_meta(t, as_of, p: OpsParams = OpsParams()) -> DataFrame:
-    """Per active vendor: regression of waiting on arrival offset, preparation time and rates."""
-    orders = ops_orders(t, as_of, p)
+    """Per active vendor: regression of waiting on arrival offset, preparation time and rates.
+
+    Deliveries are aggregated before vendors are joined.
+    """
+    orders = recent_deliveries(t, as_of, p)
     offset, wait = F.col("arrival_offset"), F.col("waiting_time")
     near = offset.between(-p.rider_late_tolerance, p.rider_early_tolerance)
     y = F.greatest(wait, F.lit(0.0))
     slow = (wait > p.waiting_time_threshold) & offset.between(*p.reliable_offsets)
     calm = F.col("utilisation") < p.busy_utilisation
     total = F.count("delivery_id")
-    stats = orders.groupBy("tenant_id", "vendor_id").agg(
+    stats = orders.groupBy("vendor_id").agg(
         round_half_away(regr("intercept", y, offset, near), 1).cast("double").alias("waiting_time_intercept"),
         round_half_away(regr("slope", y, offset, near), 2).cast("double").alias("waiting_time_slope"),
         round_half_away(ratio(sum_if(F.col("prep_min"), calm), count_if(calm)), 1).cast("double").alias("prep_time_avg"),
@@ -63,7 +70,7 @@ def ops_meta(t, as_of, p: OpsParams = OpsParams()) -> DataFrame:
         total.alias("orders_evaluated"),
     )
     active = t.vendors().where(F.col("vendor_active") == 1).select("tenant_id", "vendor_id", "vendor_code", "city_id")
-    return active.join(stats, ["tenant_id", "vendor_id"], "left").fillna(0, ["orders_evaluated", "reliability_rate"])
+    return active.join(stats, "vendor_id", "left").fillna(0, ["orders_evaluated", "reliability_rate"])
 
 
 def ops_scores(t, as_of, p: OpsParams = OpsParams(), ranks: bool = True, limit: int = LIMIT) -> DataFrame:

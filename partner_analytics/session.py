@@ -55,7 +55,7 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can write to."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not context.master.startswith("local"):

@@ -308,15 +308,18 @@ class Warehouse:
         )
 
     @table
-    def crm_products(self) -> DataFrame:
+    def crm_sales(self) -> DataFrame:
         """Products sold to a vendor through the CRM."""
-        lines = self.raw("lineitem").select(
-            F.col("l_suppkey").alias("vendor_id"), F.col("l_partkey").alias("p_partkey"),
+        return self.raw("lineitem").select(
+            F.col("l_suppkey").alias("vendor_id"), F.col("l_partkey").alias("product_id"),
             F.col("l_linestatus").alias("phase"))
-        parts = self.raw("part").select(
-            "p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("product_name"),
+
+    @table
+    def crm_catalog(self) -> DataFrame:
+        return self.raw("part").select(
+            F.col("p_partkey").alias("product_id"),
+            F.concat_ws(" ", "p_name", "p_brand").alias("product_name"),
             F.concat_ws(" ", "p_type", "p_brand").alias("opportunity_type"))
-        return lines.join(parts, "p_partkey").drop("p_partkey")
 
     # -- CRM opportunities --------------------------------------------------------------------
 
