@@ -3,17 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from partner_analytics.llm import packing
+from partner_analytics.llm import decontamination, language_id, near_dedup, packing, repeats
 from partner_analytics.llm.common import ship, staged
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told stay; texts that are null or without letters go."""
+    return language_id.in_known_language(docs, language_id.learns_from(F.col("doc_id")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays."""
+    return near_dedup.without_near_duplicates(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more stay at their first place only; a document left without words goes."""
+    out = repeats.without_repeats(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark table go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the remaining documents into token sequences."""
+    """The tokens of all documents that are left, packed into sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("best-fit packing", pack_sequences)]
+def _shipped(stage):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(ship(spark), docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [
+    ("language ID", _shipped(identify_language)),
+    ("MinHash near-dedup", _shipped(drop_near_duplicates)),
+    ("suffix-array dedup", _shipped(cut_repeats)),
+    ("benchmark decontamination", _shipped(drop_contaminated)),
+    ("best-fit packing", _shipped(pack_sequences)),
+]
 
 #: the stages' models and tokenizer have no SQL form; tests compare with a brute-force version
 ORACLE_SQL = None
@@ -21,7 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
-    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

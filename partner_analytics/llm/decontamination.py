@@ -258,7 +258,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those in which a test item was found; all columns stay, null ids too."""
-    found = staged(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without those in which a test item was found; all columns stay, null ids and texts too."""
+    found = contaminated(docs.select(F.md5(text_col).alias("__md5"), text_col), benchmark, "__md5", text_col)
+    found = staged(found.select(F.col("doc_id").alias("__md5")).distinct(), "contaminated")
+    return docs.join(found, F.md5(F.col(text_col)) == F.col("__md5"), "left_anti")

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partner_analytics.llm.common import by_chunk, id_bucket
 
@@ -159,35 +160,49 @@ def training_sample(docs: DataFrame, learns: Column, lang_col: str, size: int) -
     return [(r["lang"], np.frombuffer(r["v"], np.float32)) for r in rows.limit(2 * size).collect()]
 
 
-def identify(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, lang_pred, score) for each row of ``docs``; ``learns`` marks the rows to learn from.
-
-    A text that is null, empty or without letters is ``und`` with score 0; so is every text where no
-    row can be learned from. Labels, ids and other columns are no inputs of a prediction. Repeated
-    rows get equal results.
-    """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
-                         learns.alias("learns"))
+def identified(docs: DataFrame, learns: Column, id_col: str, text_col: str, lang_col: str, sample: int) -> DataFrame:
+    """``docs`` with the columns ``__lang`` and ``__score`` added."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                         F.col(lang_col).cast("string").alias("lang"), learns.alias("learns"))
     model = train(training_sample(source, F.col("learns"), "lang", sample))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights for each pair of languages
+    names = docs.columns
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = part.column("text").to_pylist()
-        rows = [i for i, ok in enumerate(part.column("letters").to_pylist()) if ok]
+        texts = part.column(names.index(text_col)).to_pylist()
+        rows = [i for i, ok in enumerate(part.column(len(names)).to_pylist()) if ok]
         found = [(UNDETERMINED, 0.0)] * len(texts)
         for at in range(0, len(rows), 256):
             own = rows[at:at + 256]
             for i, result in zip(own, shared.value.predict(np.stack([features(texts[i]) for i in own]))):
                 found[i] = result
         return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
-            ["doc_id", "lang_pred", "score"])
+            [*part.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
+            [*names, "__lang", "__score"])
+
+    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    return docs.select("*", letters).mapInArrow(by_chunk(run, text_col), schema)
+
+
+def identify(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+             sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, lang_pred, score) for each row of ``docs``; ``learns`` marks the rows to learn from.
+
+    A text that is null, empty or without letters is ``und`` with score 0; so is every text where no
+    row can be learned from. Labels, ids and other columns are no inputs of a prediction. Repeated
+    rows get equal results; very long texts are read whole.
+    """
+    needed = docs.select(id_col, text_col, lang_col)
+    return identified(needed, learns, id_col, text_col, lang_col, sample).select(
+        F.col(id_col).alias("doc_id"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
 
-    kind = source.schema["doc_id"].dataType.simpleString()
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    return source.select("doc_id", "text", letters).mapInArrow(
-        by_chunk(run), f"doc_id {kind}, lang_pred string, score double")
+def in_known_language(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text",
+                      lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
+    """``docs`` without those whose language stays undetermined; all columns stay."""
+    return identified(docs, learns, id_col, text_col, lang_col, sample).filter(
+        F.col("__lang") != UNDETERMINED).select(*docs.columns)
 
 
 def learns_from(id_column: Column) -> Column:

@@ -239,3 +239,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", "n_shingles",
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id; all columns stay.
+
+    Of rows with that id in common the least stays, compared column by column. Rows with a null id or
+    without words are no copies of anything and stay.
+    """
+    labels = near_duplicates(docs, id_col, text_col).filter("kept AND doc_id IS NOT NULL")
+    keep = staged(labels.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")), "kept")
+    nameless = docs.filter(F.col(id_col).isNull())
+    stay = docs.join(keep.filter("__n = 1"), F.col(id_col) == F.col("__id"), "left_semi")
+    repeated = keep.filter("__n > 1")
+    if not repeated.isEmpty():
+        rows = docs.join(repeated, F.col(id_col) == F.col("__id"), "left_semi")
+        stay = stay.unionByName(rows.groupBy(F.col(id_col).alias("__id")).agg(
+            F.min(F.struct(*docs.columns)).alias("__x")).select("__x.*"))
+    return stay.unionByName(nameless)

@@ -39,7 +39,7 @@ def minimisers(tokens: np.ndarray, length: int, gram: int) -> tuple[np.ndarray,
 
 
 def sampled(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, n_words, key, runs, places) of each document of ``length`` words at least."""
+    """(doc_id, text_key, n_words, key, runs, places) of each document of ``length`` words at least."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         rows, sizes, keys, runs, places = [], [], [], [], []
@@ -56,12 +56,12 @@ def sampled(docs: DataFrame, length: int, gram: int) -> DataFrame:
             runs.append(hashes[at].view(np.int64))
             places.append(at.astype(np.int32))
         return pa.RecordBatch.from_arrays(
-            [part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()),
+            [*(part.column(c).take(pa.array(rows, pa.int64())) for c in ("doc_id", "text_key")), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()),
              pa.array(runs, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
-            ["doc_id", "n_words", "key", "runs", "places"])
+            ["doc_id", "text_key", "n_words", "key", "runs", "places"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(by_chunk(run), f"doc_id {kind}, n_words int, key binary, runs array<long>, places array<int>")
+    return docs.mapInArrow(by_chunk(run), f"doc_id {kind}, text_key long, n_words int, key binary, runs array<long>, places array<int>")
 
 
 def windows_at(docs: DataFrame, kept: DataFrame, length: int, gram: int) -> DataFrame:
@@ -110,7 +110,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     repeated passage gives no row; nor do null, empty and short texts. Rows with equal id and text
     are one document. Null ids count as larger than all others.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _repeats(docs, id_col, text_col, length, gram).drop("text_key")
+
+
+def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> DataFrame:
+    """As ``repeats``, with the hash of the whole text."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     rows = staged(sampled(source, length, gram), "sampled")
     contents = staged(rows.groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("runs").alias("runs"),
@@ -157,9 +162,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         batches, "key binary, spans array<struct<start: int, end: int, removed: boolean>>")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end"), F.lit(True).alias("removed")))
     reps = by_content.select("key", "rep").join(spans, "key")
-    out = rows.select("doc_id", "n_words", "key").distinct().join(reps, "key").select(
-        "doc_id", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("rep")), F.col("spans")).otherwise(whole)).alias("x"))
-    return out.select("doc_id", "x.start", "x.end", (F.col("x.end") - F.col("x.start")).alias("n_words"), "x.removed")
+    out = rows.select("doc_id", "text_key", "n_words", "key").distinct().join(reps, "key").select(
+        "doc_id", "text_key", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("rep")), F.col("spans")).otherwise(whole)).alias("x"))
+    return out.select("doc_id", "text_key", "x.start", "x.end", (F.col("x.end") - F.col("x.start")).alias("n_words"), "x.removed")
 
 
 _WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -182,10 +187,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document of which nothing but white space is left goes; one without cut stays as it is, null
     and empty texts too.
     """
-    removed = repeats(docs, id_col, text_col, length).filter("removed").groupBy("doc_id").agg(
-        F.collect_list(F.struct("start", "end")).alias("__spans")).withColumnRenamed("doc_id", "__id")
-    removed = staged(removed, "removed")
-    joined = docs.join(removed, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    removed = staged(_repeats(docs, id_col, text_col, length, GRAM).filter("removed").groupBy(
+        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
+            F.collect_list(F.struct("start", "end")).alias("__spans")), "removed")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key"))
+    joined = docs.join(removed, same, "left").drop("__id", "__key")
     names = docs.columns
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
