@@ -135,7 +135,7 @@ def train(sample: list[tuple[str, np.ndarray]]) -> Model:
         for a, b in itertools.combinations(codes, 2):
             own = (lang == a) | (lang == b)
             pairs[a, b] = train_machine(x[own], np.where(lang[own] == a, 1, -1))
-    return Model(families, names, np.array([w for w, _ in machines]).reshape(len(names), -1),
+    return Model(families, names, np.array([w for w, _ in machines]).reshape(len(names), DIMENSIONS),
                  np.array([b for _, b in machines]), pairs)
 
 

@@ -126,7 +126,7 @@ def fit(level: Level, context_counts: np.ndarray, suffix: np.ndarray, shorter: l
     kept = np.bincount(context, minlength=contexts)
     own_rest = np.maximum(1 - np.bincount(context, share, contexts), 0)
     low_rest = np.maximum(1 - np.bincount(context, low, contexts), 1e-12)
-    divergence = np.bincount(context, share * np.log(share / low), contexts)
+    divergence = np.bincount(context, share * np.log(share / low), contexts).astype(float)
     divergence += np.where(own_rest > 0, own_rest * np.log(np.maximum(own_rest, 1e-12) / low_rest), 0)
     level.retained = (kept > 0) & (n * divergence >= 0.5 * (kept + 1) * np.log(n + 1))
     discounted = np.maximum(level.counts - DISCOUNT, 0) / n[context]
