@@ -172,7 +172,7 @@ def residual(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     lie in several components can be linked only where 100 c >= percent n. Of two linked sets, each
     one's first n - ceil(percent n / 100) + 1 shingles share one, in any common order; the order here
     is by the number of sets that hold a shingle, rarest first, so common passages come last and
-    hardly ever make a pair.
+    hardly ever make a pair. What is left behind a shingle in both sets bounds what they can share.
     """
 
     def explode(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -191,12 +191,13 @@ def residual(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
         F.first("component").alias("component"), F.first("n").alias("n"),
         F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("own"))  # at most one document's shingles
     size, prefix = F.size("own"), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    # from its place on, a set has ``left`` shared shingles: no pair that meets here first can share more
     keys = useful.filter(100 * size >= percent * F.col("n")).select(
         "node", "component", "n", size.alias("c"),
-        F.explode(F.slice("own", F.lit(1), F.greatest(prefix - (F.col("n") - size), F.lit(0)).cast("int"))).alias("x"),
-    ).select("node", "component", "n", "c", F.col("x.shingle").alias("shingle"))
+        F.posexplode(F.slice("own", F.lit(1), F.greatest(prefix - (F.col("n") - size), F.lit(0)).cast("int"))).alias("place", "x"),
+    ).select("node", "component", "n", (F.col("c") - F.col("place")).alias("left"), F.col("x.shingle").alias("shingle"))
     x, y = keys.alias("x"), keys.alias("y")
-    top = "least(x.c, y.c)"
+    top = "least(x.left, y.left)"
     return x.join(y, F.expr(
         f"x.shingle = y.shingle AND x.component < y.component AND 100 * {top} >= {percent} * (x.n + y.n - {top})")).select(
             F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
