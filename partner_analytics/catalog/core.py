@@ -106,6 +106,9 @@ WHERE {between('submitted', p)} AND reason = 'Packaging' AND NOT is_test AND cit
 define("closing_all", """
 SELECT vendor_id, SUM(COALESCE(closed_hours, 0)) / NULLIF(CAST(SUM(open_hours) AS DOUBLE), 0) AS closing_hours
 FROM offline GROUP BY 1""")
+define("closing_month", f"""
+SELECT vendor_id, SUM(COALESCE(closed_hours, 0)) / NULLIF(CAST(SUM(open_hours) AS DOUBLE), 0) AS closing_hours
+FROM offline WHERE {between('report_date', EVENT_MONTH)} GROUP BY 1""")
 
 define("vendor_content", """
 SELECT tenant_id, v.vendor_id, COALESCE(menucategories, 0) AS menucategories, COALESCE(products, 0) AS products,
@@ -129,7 +132,7 @@ SELECT tenant_id, d.vendor_id, city_id, delivery_id, ts, utilisation,
   CAST(ROUND(CAST(at_door_min AS DECIMAL(28,10)), 1) - CAST(2.4 AS DECIMAL(6,2)) AS DOUBLE) AS waiting_time,
   CAST(arrival_offset AS DOUBLE) AS arrival_offset, prep_min, CASE WHEN redelivery THEN 1 ELSE 0 END AS redelivery
 FROM deliveries d JOIN vendors v ON d.vendor_id = v.vendor_id
-WHERE {day(EVENTS_AS_OF)} - CAST(ts AS DATE) <= 10""")
+WHERE {day(EVENTS_AS_OF)} - CAST(ts AS DATE) <= 10 AND preorder = 0 AND prep_min IS NOT NULL AND prep_buffer IS NOT NULL""")
 
 define("ops_meta_all", f"""
 SELECT v.tenant_id, v.vendor_id, v.vendor_code, v.city_id,
@@ -215,7 +218,7 @@ FROM (SELECT {METRIC_COLUMNS}, {cr3} AS cr3,
   LEFT JOIN kpis_{grain} f ON d.tenant_id = f.tenant_id AND d.vendor_id = f.vendor_id
   LEFT JOIN conversion_all c ON d.vendor_id = c.vendor_id
   LEFT JOIN reorder_year r ON d.tenant_id = r.tenant_id AND d.vendor_id = r.vendor_id
-  LEFT JOIN closing_all h ON d.vendor_id = h.vendor_id
+  LEFT JOIN {'closing_month' if grain == 'month' else 'closing_all'} h ON d.vendor_id = h.vendor_id
   LEFT JOIN vendor_content p ON d.vendor_id = p.vendor_id
   LEFT JOIN nps_month n ON d.tenant_id = n.tenant_id AND d.vendor_id = n.vendor_id
   LEFT JOIN {terms} m ON d.vendor_id = m.vendor_id
@@ -304,7 +307,7 @@ def rpt_order_kpis(t):
     return numbers(kpis.order_kpis(t, MONTH))
 
 
-@query("rpt_conversion_rate", sql(f"SELECT vendor_id, {R('cr3')} AS cr3 FROM conversion_all"))
+@query("rpt_conversion_rate", sql(f"SELECT tenant_id, vendor_id, {R('cr3')} AS cr3 FROM conversion_all LEFT JOIN home USING (vendor_id)"))
 def rpt_conversion_rate(t):
     return numbers(kpis.conversion(t, EVENT_MONTH))
 
@@ -328,9 +331,10 @@ def rpt_packaging_nps(t):
     return kpis.nps(t, EVENT_MONTH)
 
 
-@query("rpt_closing_ratio", sql(f"SELECT vendor_id, {R('closing_hours')} AS closing_hours FROM closing_all"))
+@query("rpt_closing_ratio", sql(f"""
+SELECT tenant_id, vendor_id, {R('closing_hours')} AS closing_hours FROM closing_month LEFT JOIN home USING (vendor_id)"""))
 def rpt_closing_ratio(t):
-    return numbers(kpis.closing(t))
+    return numbers(kpis.closing(t, EVENT_MONTH))
 
 
 @query("rpt_product_content", sql(f"""
@@ -341,8 +345,8 @@ def rpt_product_content(t):
 
 
 @query("rpt_marketing_attrs", sql(f"""
-SELECT vendor_id, {R('commission_pct')} AS commission_pct, flat_fee, price_mark_up, exclusivity, packaging_quality,
-  fb_rights, facebook_likes, no_fb, door_sticker, voucher_cards, display, backlink FROM marketing_all"""))
+SELECT tenant_id, vendor_id, {R('commission_pct')} AS commission_pct, flat_fee, price_mark_up, exclusivity, packaging_quality,
+  fb_rights, facebook_likes, no_fb, door_sticker, voucher_cards, display, backlink FROM marketing_all LEFT JOIN home USING (vendor_id)"""))
 def rpt_marketing_attrs(t):
     return numbers(kpis.marketing(t, PATTERNS))
 
@@ -379,7 +383,7 @@ SELECT v.tenant_id, c.vendor_id, CASE WHEN no_fb = 1 THEN 10 WHEN v.vendor_activ
   WHEN fb_rights = 1 THEN 10 ELSE COALESCE({ladder_sql('facebook_likes', LADDERS['facebook_likes'])}, 0) END AS facebook_score
 FROM contracts c JOIN vendors v ON c.vendor_id = v.vendor_id"""))
 def rpt_facebook_score(t):
-    joined = t.contracts().join(t.vendors().select("tenant_id", "vendor_id", "vendor_active"), "vendor_id")
+    joined = t.contracts().join(t.vendors().select("tenant_id", "vendor_id", "vendor_active"), ["tenant_id", "vendor_id"])
     likes = ladder(F.col("facebook_likes"), LADDERS["facebook_likes"])
     score = facebook_score(F.col("no_fb"), F.col("vendor_active"), F.col("fb_rights"), likes)
     return joined.select("tenant_id", "vendor_id", score.alias("facebook_score"))

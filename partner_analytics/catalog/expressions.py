@@ -84,7 +84,7 @@ def flt_like_any(t):
 @query("flt_column_compare", sql("""
 SELECT vendor_id, report_date, closed_hours, open_hours FROM offline WHERE closed_hours < open_hours AND closed_hours > 0"""))
 def flt_column_compare(t):
-    return filters.where_lt(t.offline(), "closed_hours", "open_hours").where(C("closed_hours") > 0).drop("declined_hours")
+    return filters.where_lt(t.offline(), "closed_hours", "open_hours").where(C("closed_hours") > 0).drop("declined_hours", "tenant_id")
 
 
 @query("prj_safe_ratio", sql(f"""
@@ -260,7 +260,7 @@ def fn_mixed_week_keys(t):
 @query("fn_time_wrap", sql("""
 SELECT vendor_id, weekday, start_s, CASE WHEN stop_s = 0 THEN 86340 ELSE stop_s END AS stop_s FROM schedules"""))
 def fn_time_wrap(t):
-    return t.schedules().withColumn("stop_s", X.close_second(C("stop_s")))
+    return t.schedules().drop("tenant_id").withColumn("stop_s", X.close_second(C("stop_s")))
 
 
 @query("fn_time_zone", sql("""

@@ -68,7 +68,7 @@ def rpt_future_negotiations(t):
     return O.negotiations(t, AS_OF)
 
 
-@query("rpt_competitor_flag", sql("SELECT * FROM competitor_all"))
+@query("rpt_competitor_flag", sql("SELECT * FROM competitor_all LEFT JOIN home USING (vendor_id)"))
 def rpt_competitor_flag(t):
     return O.competitor(t, RIVALS)
 
@@ -167,6 +167,7 @@ SELECT owner, account_id, record_type, opportunity_id, created_date, stage, oppo
   COUNT(owner) OVER (PARTITION BY owner, record_type) AS open_per_type
 FROM (SELECT *, row_number() OVER (PARTITION BY account_id, record_type ORDER BY created_date DESC, opportunity_id DESC) AS r
       FROM opportunities) b JOIN opportunity_params ON record_type = opportunity
+JOIN (SELECT vendor_id FROM vendors WHERE account_status = 'Active') act USING (vendor_id)
 WHERE r = 1 AND stage NOT IN ('Closed Won', 'Closed Lost', 'Agreed') AND {day(AS_OF)} - created_date < lifespan_days""")
 
 

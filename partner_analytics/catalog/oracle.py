@@ -57,6 +57,9 @@ SELECT n_regionkey AS tenant_id, s_suppkey AS vendor_id, 'v' || CAST(s_suppkey A
   'owner_' || CAST(s_suppkey % 8 AS VARCHAR) AS owner
 FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
 
+TABLES["home"] = """
+SELECT n_regionkey AS tenant_id, s_suppkey AS vendor_id FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
+
 TABLES["contracts"] = f"""
 SELECT s_suppkey AS vendor_id,
   CASE WHEN s_suppkey % 16 = 15 THEN 'Terminated' ELSE 'Activated' END AS contract_status,
@@ -83,14 +86,14 @@ SELECT s_suppkey AS vendor_id, CASE WHEN s_suppkey % 6 = 5 THEN 0 ELSE 1 END AS
 FROM supplier"""
 
 TABLES["crm_accounts"] = """
-SELECT s_suppkey AS vendor_id, '0012400000' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS crm_id,
+SELECT s_suppkey AS vendor_id, 'CRM0000000' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS crm_id,
   'Account ' || CAST(s_suppkey AS VARCHAR) AS account_name,
   CASE WHEN s_suppkey % 8 = 7 THEN NULL ELSE 'user_' || CAST(s_suppkey % 8 AS VARCHAR) END AS user_id FROM supplier"""
 
 TABLES["newsletter_contacts"] = """
 SELECT 'v' || CAST(c_custkey // 15 AS VARCHAR) AS vendor_code, lower(c_name) || '@example.org' AS email,
   c_custkey AS contact_id, CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 0 END AS excluded
-FROM customer WHERE c_acctbal > 7000"""
+FROM customer"""
 
 TABLES["vendor_orders"] = """
 SELECT f.*, v.tenant_id, v.city_id, v.brand FROM (
@@ -117,13 +120,13 @@ JOIN vendors ON l_suppkey = vendor_id"""
 TABLES["content"] = """
 SELECT vendor_id, products, 6 + vendor_id % 11 AS menucategories,
   greatest(products - CAST(floor((vendor_id % 7) * products / 10) AS BIGINT), 0) AS described
-FROM (SELECT l_suppkey AS vendor_id, COUNT(DISTINCT l_partkey % 101) AS products FROM lineitem GROUP BY 1)"""
+FROM (SELECT l_suppkey AS vendor_id, COUNT(DISTINCT l_partkey) AS products FROM lineitem GROUP BY 1)"""
 
 TABLES["stock"] = """
 SELECT l_suppkey AS vendor_id, CAST(l_shipdate AS DATE) AS product_date, CASE l_returnflag
   WHEN 'A' THEN 'Above Average (1.5 Bags per Order)' WHEN 'N' THEN 'Normal (1 - 1.5 per Order)' ELSE 'Low usage' END AS consumption,
   CAST(l_quantity AS INTEGER) AS quantity
-FROM lineitem WHERE CAST(l_shipdate AS DATE) <= DATE '2001-07-16'"""
+FROM lineitem"""
 
 TABLES["crm_products"] = """
 SELECT l_suppkey AS vendor_id, l_linestatus AS phase, p_name || ' ' || p_brand AS product_name,
@@ -187,10 +190,10 @@ SELECT event_id AS delivery_id, user_id AS vendor_id, ts, value / 10 AS at_door_
 FROM events"""
 
 TABLES["prep_buckets"] = """
-SELECT weekday, CAST(slot AS DOUBLE) * 0.5 AS half_hour,
+SELECT r_regionkey AS tenant_id, weekday, CAST(slot AS DOUBLE) * 0.5 AS half_hour,
   CASE WHEN weekday >= 6 THEN 'weekend' ELSE 'week' END || '-' ||
   CASE WHEN slot BETWEEN 22 AND 28 THEN 'lunch' WHEN slot BETWEEN 36 AND 44 THEN 'dinner' ELSE 'calm' END AS bucket
-FROM (SELECT unnest(range(1, 8)) AS weekday), (SELECT unnest(range(0, 48)) AS slot)"""
+FROM region, (SELECT unnest(range(1, 8)) AS weekday), (SELECT unnest(range(0, 48)) AS slot)"""
 
 # Valid orders and the status flags are used all over.
 TABLES["flagged_orders"] = """

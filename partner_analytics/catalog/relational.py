@@ -121,13 +121,13 @@ def snk_table_replace(t):
 
 
 @query("snk_truncate_insert", sql("""
-SELECT o_orderkey, o_totalprice * CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS price, o_orderstatus FROM orders"""))
+SELECT o_orderkey, o_totalprice * 2 AS price, o_orderstatus FROM orders WHERE o_orderstatus <> 'O'"""))
 def snk_truncate_insert(t):
     path = scratch(t, "insert")
     rows = t.raw("orders").select("o_orderkey", C("o_totalprice").alias("price"), "o_orderstatus")
-    sinks.write_insert(rows, path, ["o_orderstatus"])
-    changed = rows.where(C("o_orderstatus") == "P").withColumn("price", C("price") * 2)
-    sinks.write_insert(changed, path, ["o_orderstatus"])
+    sinks.write_partitions(rows, path, ["o_orderstatus"])
+    changed = rows.where(C("o_orderstatus") != "O").withColumn("price", C("price") * 2)
+    sinks.truncate_insert(changed, path, ["o_orderstatus"])
     return sinks.read_back(t.spark, path)
 
 
@@ -220,12 +220,13 @@ def join_expr_key(t):
 
 
 @query("join_half_hour_bucket", sql("""
-SELECT delivery_id, bucket FROM (SELECT delivery_id, isodow(ts) AS weekday,
+SELECT delivery_id, bucket FROM (SELECT delivery_id, vendor_id, isodow(ts) AS weekday,
     hour(ts) + CASE WHEN minute(ts) <= 15 THEN 0 WHEN minute(ts) < 45 THEN 0.5 ELSE 1 END::DOUBLE AS half_hour FROM deliveries) d
-LEFT JOIN prep_buckets b ON b.weekday = d.weekday AND b.half_hour = d.half_hour"""))
+LEFT JOIN home h ON h.vendor_id = d.vendor_id
+LEFT JOIN prep_buckets b ON b.tenant_id = h.tenant_id AND b.weekday = d.weekday AND b.half_hour = d.half_hour"""))
 def join_half_hour_bucket(t):
     timed = t.deliveries().withColumns({"weekday": F.weekday("ts") + 1, "half_hour": X.half_hour(C("ts"))})
-    return joins.bucket_lookup(timed, t.prep_buckets(), ["weekday", "half_hour"]).select("delivery_id", "bucket")
+    return joins.bucket_lookup(timed, t.prep_buckets(), ["tenant_id", "weekday", "half_hour"]).select("delivery_id", "bucket")
 
 
 @query("join_two_source_resolve", sql("""

@@ -120,7 +120,7 @@ SELECT vendor_id, CAST(SUM(closed_hours) - SUM(declined_hours) AS BIGINT) AS off
 FROM offline WHERE closed_hours < open_hours AND closed_hours > 0 GROUP BY 1""")
 
 
-@query("rpt_offline_hours", sql("SELECT * FROM offline_weeks"))
+@query("rpt_offline_hours", sql("SELECT * FROM offline_weeks LEFT JOIN home USING (vendor_id)"))
 def rpt_offline_hours(t):
     return newsletter.offline_hours(t, OFFLINE_START)
 
@@ -295,7 +295,7 @@ SELECT days.day, strftime(days.day, '%G-%V') AS week, CAST(isodow(days.day) AS I
   prep_min AS prep_time, prep_buffer, {R('CASE WHEN courier_late_min > 10 OR preorder = 1 THEN prep_min ELSE ROUND(CAST((epoch_us(picked) - epoch_us(confirm_ts)) / 60000000.0 AS DECIMAL(28,10)), 2) END', 4)} AS cooking_time,
   1 AS valid_orders, CASE WHEN vendor_late_min > 0 THEN 1 ELSE 0 END AS delay_flag
 FROM days LEFT JOIN resolved r ON CAST(ts AS DATE) = days.day
-LEFT JOIN prep_buckets b ON b.weekday = iso_day AND b.half_hour = slot
+LEFT JOIN prep_buckets b ON b.tenant_id = r.tenant_id AND b.weekday = iso_day AND b.half_hour = slot
 LEFT JOIN countries co ON co.tenant_id = r.tenant_id LEFT JOIN cities ci ON ci.tenant_id = r.tenant_id AND ci.city_id = r.city_id
 WHERE CASE WHEN r.brand = 'B' THEN days.day >= DATE '2024-01-15' ELSE TRUE END"""))
 def rpt_delay_attribution(t):
@@ -324,7 +324,7 @@ VAT_SQL = """CASE WHEN brand = 'A' AND v.tenant_id = 1 THEN CASE WHEN vat_includ
   ELSE CASE WHEN vat_included IS NULL OR (vat_included <> 1 AND vendor_deleted = 0) THEN 1 ELSE 0 END END"""
 
 
-@query("rpt_schedule_flag", sql("SELECT * FROM short_days_all"))
+@query("rpt_schedule_flag", sql("SELECT * FROM short_days_all LEFT JOIN home USING (vendor_id)"))
 def rpt_schedule_flag(t):
     return audit.short_days(t)
 
@@ -380,7 +380,8 @@ SELECT s.vendor_id, product_date, quantity, auto_supply, check_stock, check_date
   CAST(abs(product_date - DATE '2001-07-15') AS INTEGER) AS days_numeric
 FROM (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY product_date DESC, consumption DESC) AS r
   FROM (SELECT vendor_id, product_date, consumption, CAST(SUM(quantity) AS BIGINT) AS quantity FROM stock GROUP BY 1, 2, 3)) s
-JOIN supply_terms x ON x.vendor_id = s.vendor_id WHERE r = 1 AND auto_supply = 1""")
+JOIN supply_terms x ON x.vendor_id = s.vendor_id JOIN contracts c ON c.vendor_id = s.vendor_id
+WHERE r = 1 AND auto_supply = 1 AND contract_status IN ('Activated', 'Amended')""")
 define("stock_usage", f"""
 SELECT *, orders_l4w / CAST(30 AS DOUBLE) AS order_per_day, quantity - orders * bags_per_order AS remaining,
   check_stock - orders_check * bags_per_order AS remaining_check FROM (
@@ -409,7 +410,7 @@ def planned(t):
     return stock.stock_plan(stock.stock_use(t, AS_OF), vendors, AS_OF, LEAD_DAYS, steps=(5, 9), fixed_tier={"v4": 250})
 
 
-@query("rpt_stock_latest", sql("SELECT * FROM stock_newest"))
+@query("rpt_stock_latest", sql("SELECT * FROM stock_newest JOIN home USING (vendor_id)"))
 def rpt_stock_latest(t):
     return stock.stock_latest(t, AS_OF)
 
@@ -475,7 +476,7 @@ def rpt_stock_decision(t):
 
 
 @query("rpt_stock_feedback", sql(f"""
-SELECT d.vendor_id, {R('remaining_used')} AS remaining_used, d.check_stock AS known_stock, f.check_stock AS reported_stock,
+SELECT d.tenant_id, d.vendor_id, {R('remaining_used')} AS remaining_used, d.check_stock AS known_stock, f.check_stock AS reported_stock,
   d.check_date AS known_date, f.check_date AS reported_date, {R('new_stock')} AS new_stock, last_date, quantity, quantity_used, orders,
   {R('order_per_day')} AS order_per_day, {R('estimation')} AS estimation, status, {R('remaining_used - f.check_stock')} AS difference
 FROM stock_decided d LEFT JOIN supply_terms f ON f.vendor_id = d.vendor_id"""))

@@ -45,19 +45,22 @@ def with_group(df: DataFrame, keys: list[str], measures: dict[str, Column]) -> D
     return df.join(renamed, cond).drop(*[f"_{k}" for k in keys])
 
 
-def pivot_ranked(df: DataFrame, keys: list[str], rank: str, columns: dict[str, str], k: int) -> DataFrame:
+def pivot_ranked(df: DataFrame, keys: list[str], rank: str, columns: dict[str, str], k: int,
+                 totals: list[Column] = ()) -> DataFrame:
     """Ranks 1..k of every group as text columns ``<prefix>_1 .. _k``; a missing rank gives ''."""
     cells = [
         F.coalesce(F.max(F.when(F.col(rank) == i, F.col(c).cast("string"))), F.lit("")).alias(f"{prefix}_{i}")
         for c, prefix in columns.items() for i in range(1, k + 1)
     ]
-    return df.groupBy(*keys).agg(*cells)
+    return df.groupBy(*keys).agg(*cells, *totals)
 
 
-def period_pivot(df: DataFrame, keys: list[str], day: str, start, weeks: int, kpis: dict[str, tuple[str, Column]]) -> DataFrame:
+def period_pivot(df: DataFrame, keys: list[str], day: str, start, weeks: int, kpis: dict[str, tuple[str, Column]],
+                 totals: list[Column] = ()) -> DataFrame:
     """Each KPI in total and per week as ``name``, ``name_w_1`` .. in one pass over the rows.
 
-    ``kpis`` maps a name to ("sum" | "count", expression); counts skip NULLs.
+    ``kpis`` maps a name to ("sum" | "count", expression); counts skip NULLs. ``totals`` are further
+    aggregates of the same pass.
     """
     week = F.floor(F.datediff(F.col(day), F.lit(start)) / F.lit(7)) + 1
     cells = []
@@ -65,7 +68,7 @@ def period_pivot(df: DataFrame, keys: list[str], day: str, start, weeks: int, kp
         fold = {"sum": F.sum, "count": F.count}[kind]
         cells.append(fold(value).alias(name))
         cells += [fold(F.when(week == w, value)).alias(f"{name}_w_{w}") for w in range(1, weeks + 1)]
-    return df.groupBy(*keys).agg(*cells)
+    return df.groupBy(*keys).agg(*cells, *totals)
 
 
 def distinct_rows(df: DataFrame, *columns) -> DataFrame:

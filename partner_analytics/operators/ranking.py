@@ -2,7 +2,8 @@
 
 A plain window sorts each key in one task. Picks (latest, first of several) are therefore
 aggregations, top-n relies on the group limit that Spark applies before the shuffle, and ranks or
-running totals switch to a range-partitioned prefix computation once a key exceeds ``limit`` rows.
+running totals are prefix sums over range slices. Only the narrow table of keys and order columns
+is sliced and stored; its marks are joined to the lazy input.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from partner_analytics.operators.aggregates import with_group
 from partner_analytics.session import reliable_checkpoint
 
-# largest key that one task may sort
-LIMIT = 2_000_000
+# above this Spark does not cut groups before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold)
+GROUP_LIMIT = 1000
 
 
 @dataclass(frozen=True)
@@ -44,27 +45,26 @@ def desc(name: str) -> Order:
     return Order(name, True)
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest key."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
-def running(df: DataFrame, keys: list[str], order: list[Order], sums: dict[str, str] | None = None,
-            limit: int = LIMIT, materialised: bool = False) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[Order], sums: dict[str, str] | None = None) -> DataFrame:
     """Adds ``row_no`` and running sums (inclusive) per key; ``order`` must be unique per key.
 
-    ``sums`` maps a new column to the summed one. The input is materialised once, because its
-    largest key decides the path and, on the large path, rows and their slice must stay together.
+    ``sums`` maps a new column to the summed one.
     """
     sums = sums or {}
-    base = df if materialised else reliable_checkpoint(df)
-    sort = [o.column for o in order]
-    if largest_group(base, keys) <= limit:
-        w = Window.partitionBy(*keys).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
-        return base.select(
-            "*", F.row_number().over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("row_no"),
-            *[F.sum(c).over(w).alias(name) for name, c in sums.items()])
-    return _sliced(base, keys, sort, sums)
+    on = list(dict.fromkeys([*keys, *[o.name for o in order]]))
+    narrow = df.select(*on, *[F.col(c).alias(f"_v_{name}") for name, c in sums.items()])
+    marks = _sliced(narrow, keys, [o.column for o in order], {name: f"_v_{name}" for name in sums})
+    return _join_marks(df, marks, on, {"row_no": F.col("row_no"), **{name: F.col(name) for name in sums}})
+
+
+def _join_marks(df: DataFrame, marks: DataFrame, on: list[str], values: dict[str, Column]) -> DataFrame:
+    """Joins computed columns back on keys and order columns; NULL matches NULL."""
+    renamed = marks.select(*[F.col(c).alias(f"_m_{c}") for c in on], *[v.alias(name) for name, v in values.items()])
+    cond = None
+    for c in on:
+        same = F.col(c).eqNullSafe(F.col(f"_m_{c}"))
+        cond = same if cond is None else cond & same
+    return df.join(renamed, cond).drop(*[f"_m_{c}" for c in on])
 
 
 def _sliced(base: DataFrame, keys: list[str], sort: list[Column], sums: dict[str, str]) -> DataFrame:
@@ -98,57 +98,47 @@ def _sliced(base: DataFrame, keys: list[str], sort: list[Column], sums: dict[str
 
 
 def running_peers(df: DataFrame, keys: list[str], order: list[Order], sums: dict[str, str] | None = None,
-                  rank: str | None = None, count: str | None = None, limit: int = LIMIT) -> DataFrame:
+                  rank: str | None = None, count: str | None = None) -> DataFrame:
     """Running values where rows that tie in ``order`` share one value.
 
     ``rank`` names the rank (1 + rows strictly before), ``count`` the rows up to and including the
     ties. Ties collapse to one row before anything is sorted, so they cannot form a hot spot.
     """
     sums = sums or {}
-    names = [o.name for o in order]
-    source = reliable_checkpoint(df)
-    steps = source.groupBy(*keys, *[n for n in names if n not in keys]).agg(
+    on = list(dict.fromkeys([*keys, *[o.name for o in order]]))
+    steps = df.groupBy(*on).agg(
         F.count(F.lit(1)).alias("_ties"), *[F.sum(c).alias(f"_v_{name}") for name, c in sums.items()])
-    marks = running(steps, keys, order, {"_upto": "_ties", **{name: f"_v_{name}" for name in sums}},
-                    limit, materialised=True)
-    on = [*keys, *[n for n in names if n not in keys]]
-    values = marks.select(
-        *[F.col(c).alias(f"_m_{c}") for c in on], *sums,
-        *([(F.col("_upto") - F.col("_ties") + 1).alias(rank)] if rank else []),
-        *([F.col("_upto").alias(count)] if count else []))
-    cond = None
-    for c in on:
-        same = F.col(c).eqNullSafe(F.col(f"_m_{c}"))
-        cond = same if cond is None else cond & same
-    return source.join(values, cond).drop(*[f"_m_{c}" for c in on])
+    marks = _sliced(steps, keys, [o.column for o in order], {"_upto": "_ties", **{name: f"_v_{name}" for name in sums}})
+    values = {name: F.col(name) for name in sums}
+    if rank:
+        values[rank] = F.col("_upto") - F.col("_ties") + 1
+    if count:
+        values[count] = F.col("_upto")
+    return _join_marks(df, marks, on, values)
 
 
-def rank_in(df: DataFrame, keys: list[str], x: str, name: str = "rank", limit: int = LIMIT) -> DataFrame:
+def rank_in(df: DataFrame, keys: list[str], x: str, name: str = "rank") -> DataFrame:
     """``rank()`` by ``x`` descending inside ``keys``."""
-    return running_peers(df, keys, [desc(x)], rank=name, limit=limit)
+    return running_peers(df, keys, [desc(x)], rank=name)
 
 
-def global_rank(df: DataFrame, x: str, name: str = "global_rank", limit: int = LIMIT) -> DataFrame:
-    """``rank()`` by ``x`` descending over all rows.
-
-    Distinct values are spread over range slices when there are more than ``limit`` of them.
-    """
-    keyed = df.withColumn("_all", F.lit(1))
-    return running_peers(keyed, ["_all"], [desc(x)], rank=name, limit=limit).drop("_all")
+def global_rank(df: DataFrame, x: str, name: str = "global_rank") -> DataFrame:
+    """``rank()`` by ``x`` descending over all rows; its distinct values are spread over range slices."""
+    return running_peers(df.withColumn("_all", F.lit(1)), ["_all"], [desc(x)], rank=name).drop("_all")
 
 
-def running_count(df: DataFrame, keys: list[str], x: str, name: str = "running_count", limit: int = LIMIT) -> DataFrame:
+def running_count(df: DataFrame, keys: list[str], x: str, name: str = "running_count") -> DataFrame:
     """Rows of the key with a value of at least the row's own; ties share the count."""
-    return running_peers(df, keys, [desc(x)], count=name, limit=limit)
+    return running_peers(df, keys, [desc(x)], count=name)
 
 
-def running_sum(df: DataFrame, keys: list[str], x: str, order: list[Order], name: str = "running_total", limit: int = LIMIT) -> DataFrame:
-    return running_peers(df, keys, order, sums={name: x}, limit=limit)
+def running_sum(df: DataFrame, keys: list[str], x: str, order: list[Order], name: str = "running_total") -> DataFrame:
+    return running_peers(df, keys, order, sums={name: x})
 
 
-def within_budget(df: DataFrame, keys: list[str], x: str, order: list[Order], budget: str, limit: int = LIMIT) -> DataFrame:
+def within_budget(df: DataFrame, keys: list[str], x: str, order: list[Order], budget: str) -> DataFrame:
     """Rows while the running total fits the key's budget; later smaller rows are not pulled in."""
-    return running_sum(df, keys, x, order, "running_total", limit).where(F.col("running_total") <= F.col(budget))
+    return running_sum(df, keys, x, order, "running_total").where(F.col("running_total") <= F.col(budget))
 
 
 def ntile_of(row_no: Column, rows: Column, n: int) -> Column:
@@ -159,13 +149,12 @@ def ntile_of(row_no: Column, rows: Column, n: int) -> Column:
         extra + F.floor((row_no - 1 - head) / F.nullif(size, F.lit(0))) + 1)
 
 
-def in_top_ntile(df: DataFrame, keys: list[str], x: str, tie: list[str], n: int, k: int, name: str,
-                 limit: int = LIMIT, materialised: bool = False) -> DataFrame:
+def in_top_ntile(df: DataFrame, keys: list[str], x: str, tie: list[str], n: int, k: int, name: str) -> DataFrame:
     """1 for rows in the first ``k`` of ``n`` tiles by ``x`` descending, else 0.
 
     ``tie`` makes the order unique, which ``ntile`` alone leaves open.
     """
-    ranked = running(df, keys, [desc(x), *[asc(t) for t in tie]], limit=limit, materialised=materialised)
+    ranked = running(df, keys, [desc(x), *[asc(t) for t in tie]])
     sized = with_group(ranked, keys, {"_rows": F.count(F.lit(1))})
     tile = ntile_of(F.col("row_no"), F.col("_rows"), n)
     return sized.withColumn(name, F.when(tile <= k, 1).otherwise(0)).drop("row_no", "_rows")
@@ -186,8 +175,15 @@ def dedupe_first(df: DataFrame, keys: list[str], tiebreak: list[str]) -> DataFra
 
 
 def top_n(df: DataFrame, keys: list[str], x: str, tie: list[str], n: int, name: str = "rank") -> DataFrame:
-    """The ``n`` largest rows per key. Spark cuts each task to ``n`` rows per key before shuffling."""
-    w = Window.partitionBy(*keys).orderBy(F.col(x).desc_nulls_first(), *[F.col(t).asc_nulls_last() for t in tie])
+    """The ``n`` largest rows per key; ``tie`` makes the order unique.
+
+    Spark cuts each task to ``n`` rows per key before it shuffles, up to ``GROUP_LIMIT``; a larger
+    ``n`` takes the prefix sums, which need no cut.
+    """
+    order = [desc(x), *[asc(t) for t in tie]]
+    if n > GROUP_LIMIT:
+        return running(df, keys, order).where(F.col("row_no") <= n).withColumnRenamed("row_no", name)
+    w = Window.partitionBy(*keys).orderBy(*[o.column for o in order])
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
 

@@ -19,7 +19,14 @@ def write_replace(df: DataFrame, path: str, partition_by: list[str] | None = Non
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_insert(df: DataFrame, path: str, partition_by: list[str]) -> None:
+def truncate_insert(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Empty the table and insert: only the given rows are left, in the table's columns and layout."""
+    table = df.sparkSession.read.parquet(path).schema
+    rows = df.select(*[F.col(f.name).cast(f.dataType) for f in table])
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(path)
+
+
+def write_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
     """Replace only the partitions present in ``df``; other partitions keep their rows."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         *partition_by).parquet(path)

@@ -26,9 +26,9 @@ def mark(cond: Column) -> Column:
 
 def short_days(t, hours: int = 3) -> DataFrame:
     """1 for vendors with a weekday that is open for less than ``hours``."""
-    per_day = t.schedules().groupBy("vendor_id", "weekday").agg(
+    per_day = t.schedules().groupBy(*VENDOR, "weekday").agg(
         F.sum(close_second(F.col("stop_s")) - F.col("start_s")).alias("open_s"))
-    return per_day.groupBy("vendor_id").agg(F.max(mark(F.col("open_s") < hours * 3600)).alias("short_day"))
+    return per_day.groupBy(*VENDOR).agg(F.max(mark(F.col("open_s") < hours * 3600)).alias("short_day"))
 
 
 def inactive_city(t) -> DataFrame:
@@ -67,7 +67,7 @@ def backend_audit(t, as_of, reversed_tenants: list[int], test_pattern: str = "Te
     wide = join_all(
         t.vendors().where(c("vendor_active") == 1),
         [false_testing(t, as_of).select(*VENDOR, c("valid_orders").alias("test_orders")), inactive_city(t)], VENDOR,
-    ).join(short_days(t), "vendor_id", "left").join(
+    ).join(short_days(t), VENDOR, "left").join(
         t.countries().select("tenant_id", "country_name"), "tenant_id", "left")
     kept = c("vendor_deleted") == 0
     flags = {

@@ -21,7 +21,7 @@ def deal_cohort(t, former, deal_type: str, vendor_ids: list[int] | None = None)
     vendors = t.vendors().where(F.col("account_status") == "Active")
     if vendor_ids is not None:
         vendors = vendors.where(F.col("vendor_id").isin(vendor_ids))
-    return vendors.join(won.select("vendor_id"), "vendor_id", "left_semi")
+    return vendors.join(won.select(*VENDOR), VENDOR, "left_semi")
 
 
 def deal_uplift(t, former, deal, deal_type: str, confirmed: DataFrame, vendor_ids: list[int] | None = None,
@@ -47,7 +47,7 @@ def deal_uplift(t, former, deal, deal_type: str, confirmed: DataFrame, vendor_id
         F.count(F.when(F.col("before") > 0, 1)).alias("customers_former_month"))
     growth = ratio(F.col("orders_deal_month"), F.col("orders_former_month")) - 1
     rows = (
-        in_set(cohort, confirmed, ["vendor_id"], flag="_confirmed")
+        in_set(cohort, confirmed, VENDOR, flag="_confirmed")
         .join(sums, VENDOR, "left").join(banner(t), VENDOR, "left").join(contacts(t), "vendor_code", "left")
         .join(t.countries().select("tenant_id", "country_name"), "tenant_id", "left")
         .join(t.cities().select("tenant_id", "city_id", "city_name"), ["tenant_id", "city_id"], "left")

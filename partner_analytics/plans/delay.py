@@ -25,7 +25,7 @@ def delay_attribution(t, period, brand_start: dict, zones: list[tuple[int, int,
         "delivery_id", (F.col("price") * F.lit(float(rate))).alias("gfv"))
     columns = ["vendor_name", "vendor_code", "tenant_id", "city_id", "brand"]
     brands = [t.vendors().where(F.col("brand") == b).select("vendor_id", *columns) for b in "AB"]
-    found = resolve(t.deliveries(), *brands, ["vendor_id"], columns)
+    found = resolve(t.deliveries().drop("tenant_id"), *brands, ["vendor_id"], columns)
     priced = resolve(found, first, second, ["delivery_id"], ["gfv"])
     picked: Column = F.col("ts")
     for tenant, city, clock, meant in zones:
@@ -37,7 +37,7 @@ def delay_attribution(t, period, brand_start: dict, zones: list[tuple[int, int,
     timed = priced.withColumns({"half_hour": half_hour(F.col("ts")), "cooking_time": cooking})
     spread = on_day(days, timed, "ts", period).withColumn("weekday", F.weekday("day") + 1)
     named = (
-        bucket_lookup(spread, F.broadcast(t.prep_buckets()), ["weekday", "half_hour"])
+        bucket_lookup(spread, t.prep_buckets(), ["tenant_id", "weekday", "half_hour"])
         .join(t.countries().select("tenant_id", "country_name"), "tenant_id", "left")
         .join(t.cities().select("tenant_id", "city_id", "city_name"), ["tenant_id", "city_id"], "left")
     )

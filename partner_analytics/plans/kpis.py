@@ -100,7 +100,7 @@ def order_kpis_with_complaints(t, period, reasons: dict[str, str] = COMPLAINT_RE
 
 def conversion(t, period) -> DataFrame:
     """Check-outs per menu visit; vendors without visits are left out."""
-    totals = t.funnel().where(in_period(F.col("report_date"), period)).groupBy("vendor_id").agg(
+    totals = t.funnel().where(in_period(F.col("report_date"), period)).groupBy(*KEYS).agg(
         ratio(F.sum("cr3_end"), F.sum("cr3_start")).alias("cr3"))
     return totals.where(F.col("cr3").isNotNull())
 
@@ -148,15 +148,16 @@ def nps(t, period, reason: str = "Packaging") -> DataFrame:
         F.coalesce(round_half_away(score, 2), F.lit(0)).cast("double").alias("nps_packaging"))
 
 
-def closing(t) -> DataFrame:
-    """Share of closed hours in open hours."""
-    return t.offline().groupBy("vendor_id").agg(
+def closing(t, period=None) -> DataFrame:
+    """Share of closed hours in open hours, of one period or of all time."""
+    rows = t.offline() if period is None else t.offline().where(in_period(F.col("report_date"), period))
+    return rows.groupBy(*KEYS).agg(
         ratio(F.sum(F.coalesce("closed_hours", F.lit(0))), F.sum("open_hours")).alias("closing_hours"))
 
 
 def content(t) -> DataFrame:
     """Menu size and the share of products without description, for every vendor."""
-    joined = t.vendors().select("tenant_id", "vendor_id").join(t.content(), "vendor_id", "left")
+    joined = t.vendors().select("tenant_id", "vendor_id").join(t.content(), KEYS, "left")
     filled = joined.fillna(0, ["menucategories", "products", "described"])
     missing = ratio(F.col("products") - F.col("described"), F.col("products"))
     return filled.withColumn("products_without_description", F.coalesce(missing, F.lit(0.0)))
@@ -175,12 +176,12 @@ def marketing(t, patterns: dict[str, str]) -> DataFrame:
         "product_id", *[rx(F.col("product_name"), patterns[m]).alias(m) for m in materials],
         rx(kind, patterns["backlink"]).alias("is_backlink"), rx(kind, patterns["whitelabel"]).alias("is_whitelabel"))
     linked = (F.col("is_backlink") & (F.col("phase") == patterns["phase"])) | F.col("is_whitelabel")
-    found = t.crm_sales().join(catalog, "product_id").groupBy("vendor_id").agg(
+    found = t.crm_sales().join(catalog, "product_id").groupBy(*KEYS).agg(
         *[any_flag(F.col(m)).alias(m) for m in materials], any_flag(linked).alias("linked"))
     terms = t.contracts().where(F.col("contract_status").isin("Activated", "Amended")).select(
-        "vendor_id", "commission_pct", "flat_fee", "price_mark_up", "exclusivity", "packaging_quality",
+        *KEYS, "commission_pct", "flat_fee", "price_mark_up", "exclusivity", "packaging_quality",
         "fb_rights", "facebook_likes", "no_fb", "website")
-    joined = terms.join(found, "vendor_id", "left").fillna(
+    joined = terms.join(found, KEYS, "left").fillna(
         0, ["door_sticker", "voucher_cards", "display", "linked"])
     backlink = F.when((F.col("linked") == 1) | F.col("website").isNull(), 1).otherwise(0)
     return joined.withColumn("backlink", backlink).drop("linked", "website")

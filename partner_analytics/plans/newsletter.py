@@ -44,11 +44,11 @@ def clean_delay(t, as_of, limits: tuple = (5, 10)) -> DataFrame:
     recent = t.deliveries().where(F.to_date("ts") >= monday)
     late = cleaned_delay(F.col("courier_late_min"), F.col("pickup_delay_min"), F.col("redelivery"))
     home = t.vendors().select(*VENDOR)
-    per = recent.withColumn("_late", late).groupBy("vendor_id", iso_week_key(F.col("ts")).alias("week")).agg(
+    per = recent.withColumn("_late", late).groupBy(*VENDOR, iso_week_key(F.col("ts")).alias("week")).agg(
         F.count("delivery_id").alias("valid_orders"),
         *[count_if(F.col("_late") > n).alias(f"late_over_{n}_min") for n in limits],
         F.count("_late").alias("delay_observations"))
-    return per.join(home, "vendor_id")
+    return per.join(home, VENDOR)
 
 
 def order_issues(t, period) -> DataFrame:
@@ -77,9 +77,8 @@ def top_dishes(t, period, excluded: list[str], n: int = 5) -> DataFrame:
     sold = kept.groupBy(*VENDOR, "product").agg(F.sum("quantity").alias("quantity"))
     shares = share(sold, VENDOR, "quantity", "perc").withColumn("perc", F.col("perc").cast("decimal(6,1)"))
     best = top_n(shares, VENDOR, "quantity", ["product"], n)
-    wide = pivot_ranked(best, VENDOR, "rank", {"product": "title", "perc": "quant"}, n)
-    total = best.groupBy(*VENDOR).agg(F.sum("perc").cast("double").alias("total_perc"))
-    return wide.join(total, VENDOR)
+    return pivot_ranked(best, VENDOR, "rank", {"product": "title", "perc": "quant"}, n,
+                        [F.sum("perc").cast("double").alias("total_perc")])
 
 
 def vendor_weeks(t, period) -> DataFrame:
@@ -90,24 +89,22 @@ def vendor_weeks(t, period) -> DataFrame:
         "missing_items": F.col("missing") == 1, "wrong_items": F.col("wrong") == 1,
         "damaged_packaging": F.col("damaged") == 1, "vendor_late": F.col("vendor_late").isNotNull(),
     }
-    slices = period_pivot(rows, VENDOR, "order_day", period.start, 4, {
-        name: ("count", F.when(cond, 1)) for name, cond in weekly.items()})
     valid = F.col("valid_order") == 1
-    totals = rows.groupBy(*VENDOR).agg(
+    return period_pivot(rows, VENDOR, "order_day", period.start, 4, {
+        name: ("count", F.when(cond, 1)) for name, cond in weekly.items()}, [
         sum_if(F.col("gfv"), valid).cast("double").alias("gmv_local"),
         ratio(sum_if(F.col("gfv"), valid), count_if(valid)).alias("afv"),
         sum_if(F.col("gfv"), F.col("failed_order_vendor") == 1).cast("double").alias("lost_gfv"),
         count_if(F.col("overdue") == 1).alias("overdue_orders"),
         count_if(F.col("first_order") == 1).alias("new_customers"),
-        count_if(F.col("tracked")).alias("tracked_orders"))
-    return slices.join(totals, VENDOR)
+        count_if(F.col("tracked")).alias("tracked_orders")])
 
 
 def offline_hours(t, start, weeks: int = 4) -> DataFrame:
     """Closed hours the vendor caused itself, on days it was neither open nor closed throughout."""
     rows = where_lt(t.offline(), "closed_hours", "open_hours").where(F.col("closed_hours") > 0)
     own = F.col("closed_hours") - F.col("declined_hours")
-    return period_pivot(rows, ["vendor_id"], "report_date", start, weeks, {
+    return period_pivot(rows, VENDOR, "report_date", start, weeks, {
         "offline_hours": ("sum", own), "open_hours": ("sum", F.col("open_hours"))}).drop(
         *[f"open_hours_w_{w}" for w in range(1, weeks + 1)])
 
@@ -122,10 +119,10 @@ def banner(t) -> DataFrame:
 
 def prep_time(t) -> DataFrame:
     """Mean configured preparation time; without one the pickup time, raised to 10 when below 5."""
-    settings = t.deliveries().groupBy("vendor_id").agg(
+    settings = t.deliveries().groupBy(*VENDOR).agg(
         ratio(F.sum("prep_setting"), F.count("prep_setting")).alias("configured"))
     pickup = F.when(F.col("pickup_time") < 5, 10).otherwise(F.col("pickup_time")).cast("double")
-    return t.vendors().select(*VENDOR, "pickup_time").join(settings, "vendor_id", "left").select(
+    return t.vendors().select(*VENDOR, "pickup_time").join(settings, VENDOR, "left").select(
         *VENDOR, F.coalesce("configured", pickup).alias("prep_time_avg"))
 
 
@@ -151,7 +148,7 @@ def sendout(t, period, offline_start, dish_period, excluded: list[str]) -> DataF
     ).join(t.cities().select("tenant_id", "city_id", "city_name"), ["tenant_id", "city_id"], "left") \
         .join(t.countries().select("tenant_id", "country_name", "country_iso"), "tenant_id", "left") \
         .join(contacts(t), "vendor_code", "left") \
-        .join(offline_hours(t, offline_start), "vendor_id", "left")
+        .join(offline_hours(t, offline_start), VENDOR, "left")
 
     def part_of_tracked(c: Column) -> Column:
         tracked = F.col("tracked_orders")

@@ -13,9 +13,9 @@ from partner_analytics.operators.joins import join_all
 from partner_analytics.operators.ranking import top_n
 from partner_analytics.operators.sets import unpivot
 from partner_analytics.plans.weights import KPI_IMPACT
-from partner_analytics.session import reliable_checkpoint
 from partner_analytics.sources.lookups import opportunity_params
 
+VENDOR = ["tenant_id", "vendor_id"]
 # CRM record types.
 COMMISSION = "Partner - Commission Renegotiation"
 EXCLUSIVITY = "Partner - Gain Exclusivity"
@@ -47,12 +47,12 @@ def cooldown(t, as_of) -> DataFrame:
     Opportunities shrink to the newest one per vendor and type before vendors are joined.
     """
     types = [kind for kind, _, _ in COOLDOWN.values()]
-    newest = t.opportunities().where(F.col("record_type").isin(types)).groupBy("vendor_id", "record_type").agg(
+    newest = t.opportunities().where(F.col("record_type").isin(types)).groupBy(*VENDOR, "record_type").agg(
         F.max("created_date").alias("newest"))
     chain = F.coalesce(F.col("chain_id").cast("string"), F.col("vendor_code"))
     vendors = t.vendors().select(
         "tenant_id", "vendor_id", "vendor_code", chain.alias("chain"), F.col("chain_id").isNotNull().alias("chained"))
-    rows = newest.join(vendors, "vendor_id")
+    rows = newest.join(vendors, VENDOR)
 
     def since(months: int) -> Column:
         return F.col("newest") >= shift(F.lit(as_of), -months, "month")
@@ -73,27 +73,27 @@ def negotiations(t, as_of, recent_months: int = 6) -> DataFrame:
               & (F.col("stage") == "New"))
     recent = ((F.col("record_type") == COMMISSION) & (F.col("stage") == "Closed Won")
               & F.col("close_date").between(shift(F.lit(as_of), -recent_months, "month"), F.lit(as_of)))
-    marked = rows.where(future | recent).groupBy("vendor_id").agg(
+    marked = rows.where(future | recent).groupBy(*VENDOR).agg(
         F.max(F.when(future, 1).otherwise(0)).alias("future_change"),
         F.max(F.when(recent, 1).otherwise(0)).alias("renegotiated"))
-    return t.vendors().select("tenant_id", "vendor_id").join(marked, "vendor_id")
+    return t.vendors().select(*VENDOR).join(marked, VENDOR)
 
 
 def competitor(t, names: list[str]) -> DataFrame:
     """Accounts that name competitors, with a flag for the given ones."""
     listed = any_eq(to_array(F.col("competitors"), ";"), names)
     return t.accounts().where(F.col("competitors").isNotNull()).select(
-        "account_id", "vendor_id", F.when(listed, 1).otherwise(0).alias("partner_competitor"))
+        "account_id", *VENDOR, F.when(listed, 1).otherwise(0).alias("partner_competitor"))
 
 
 def ops_open(t, as_of, types: dict[str, str] = OPS_TYPES) -> DataFrame:
     """Operational opportunities created since Monday of last week, as flags per vendor."""
     start = period_start(shift(F.lit(as_of), -1, "week"), "week")
     rows = t.opportunities().where(F.col("record_type").isin(list(types.values())) & (F.col("created_date") >= start))
-    flags = rows.groupBy("vendor_id").agg(*[
+    flags = rows.groupBy(*VENDOR).agg(*[
         F.when(F.count(F.when(F.col("record_type") == kind, 1)) >= 1, 1).otherwise(0).alias(name)
         for name, kind in types.items()])
-    return t.vendors().select("tenant_id", "vendor_id").join(flags, "vendor_id")
+    return t.vendors().select(*VENDOR).join(flags, VENDOR)
 
 
 def pursuability(t, as_of, competitors: list[str], big_chains: list[str], ops_types: dict = OPS_TYPES) -> DataFrame:
@@ -103,13 +103,13 @@ def pursuability(t, as_of, competitors: list[str], big_chains: list[str], ops_ty
     """
     keys = ["tenant_id", "vendor_id"]
     names = [f"{n}_opp" for n in COOLDOWN]
-    rival = competitor(t, competitors).where(F.col("vendor_id").isNotNull()).groupBy("vendor_id").agg(
+    rival = competitor(t, competitors).where(F.col("vendor_id").isNotNull()).groupBy(*VENDOR).agg(
         F.max("partner_competitor").alias("partner_competitor"))
     talks = negotiations(t, as_of).select(*keys, F.lit(1).alias("talks"))
     wide = join_all(
         t.vendors().select(*keys, "vendor_code", "vendor_name"),
         [talks, cooldown(t, as_of).select(*keys, *names), ops_open(t, as_of, ops_types)], keys,
-    ).join(rival, "vendor_id", "left")
+    ).join(rival, VENDOR, "left")
     big = like_any(F.col("vendor_name"), big_chains)
     return wide.withColumns({
         "np_commission": F.coalesce("talks", F.lit(0)),
@@ -196,10 +196,9 @@ def opportunity_specs() -> list[tuple[dict[str, Column], Column]]:
 def opportunity_rows(card: DataFrame, flags: DataFrame, min_orders: int = 40) -> DataFrame:
     """Every vendor x type of the list, from one pass over the score card.
 
-    ``card`` carries scores and impacts per KPI; ``flags`` what blocks a vendor. The card is stored
-    first, one row per vendor: the list reads every score many times.
+    ``card`` carries scores and impacts per KPI; ``flags`` what blocks a vendor.
     """
-    base = reliable_checkpoint(card).where(F.col("impact").isNotNull() & (F.col("valid_orders") >= min_orders))
+    base = card.where(F.col("impact").isNotNull() & (F.col("valid_orders") >= min_orders))
     joined = base.join(flags.drop("vendor_code", "vendor_name"), ["tenant_id", "vendor_id"], "left")
     specs = opportunity_specs()
     keep = ["tenant_id", "country_name", "city_name", "owner", "vendor_id", "vendor_code", "vendor_name"]
@@ -240,8 +239,7 @@ def outcomes(t, period, scores: DataFrame, robot: str = "automation", robot_only
         F.col("close_date").between(F.lit(period.start), F.lit(period.end))
         & F.when(F.col("record_type") == robot_only, F.col("created_by") == robot)
         .otherwise(F.col("created_by").isNotNull()))
-    home = t.vendors().select("tenant_id", "vendor_id")
-    rows = closed.join(params, F.col("record_type") == F.col("opportunity")).join(home, "vendor_id").join(
+    rows = closed.join(params, F.col("record_type") == F.col("opportunity")).join(
         scores.select("tenant_id", "vendor_id", "impact"), ["tenant_id", "vendor_id"], "left")
     shown = rows.where(F.col("impact").isNotNull()).select(
         "tenant_id", "vendor_id", "opportunity_id", "owner", F.lit(period.label).alias("report_month"),

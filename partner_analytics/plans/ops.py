@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from partner_analytics.functions import (
     OPS_LADDERS, count_if, ladder, quadratic_score, ratio, regr, round_half_away, shift, sum_if,
 )
-from partner_analytics.operators.ranking import LIMIT, global_rank, rank_in
+from partner_analytics.operators.ranking import global_rank, rank_in
 
 
 @dataclass(frozen=True)
@@ -34,11 +34,12 @@ class OpsParams:
 
 
 def recent_deliveries(t, as_of, p: OpsParams) -> DataFrame:
-    """Recent deliveries with waiting time at the door and arrival offset, in minutes."""
+    """Recent deliveries ordered for at once, with waiting time at the door and arrival offset, in minutes."""
     recent = F.to_date("ts") >= shift(F.lit(as_of), -p.days, "day")
     waiting = round_half_away(F.col("at_door_min"), 1) - F.lit(p.waiting_time_adjustment).cast("decimal(6,2)")
-    return t.deliveries().where(recent).select(
-        "vendor_id", "delivery_id", "ts", "utilisation", waiting.cast("double").alias("waiting_time"),
+    counted = (F.col("preorder") == 0) & F.col("prep_min").isNotNull() & F.col("prep_buffer").isNotNull()
+    return t.deliveries().where(recent & counted).select(
+        "tenant_id", "vendor_id", "delivery_id", "ts", "utilisation", waiting.cast("double").alias("waiting_time"),
         F.col("arrival_offset").cast("double").alias("arrival_offset"), "prep_min",
         F.when(F.col("redelivery"), 1).otherwise(0).alias("redelivery"))
 
@@ -46,7 +47,7 @@ def recent_deliveries(t, as_of, p: OpsParams) -> DataFrame:
 def ops_orders(t, as_of, p: OpsParams = OpsParams()) -> DataFrame:
     """Recent deliveries of known vendors, with tenant and city."""
     home = t.vendors().select("tenant_id", "vendor_id", "city_id")
-    return recent_deliveries(t, as_of, p).join(home, "vendor_id")
+    return recent_deliveries(t, as_of, p).join(home, ["tenant_id", "vendor_id"])
 
 
 def ops_meta(t, as_of, p: OpsParams = OpsParams()) -> DataFrame:
@@ -61,7 +62,7 @@ def ops_meta(t, as_of, p: OpsParams = OpsParams()) -> DataFrame:
     slow = (wait > p.waiting_time_threshold) & offset.between(*p.reliable_offsets)
     calm = F.col("utilisation") < p.busy_utilisation
     total = F.count("delivery_id")
-    stats = orders.groupBy("vendor_id").agg(
+    stats = orders.groupBy("tenant_id", "vendor_id").agg(
         round_half_away(regr("intercept", y, offset, near), 1).cast("double").alias("waiting_time_intercept"),
         round_half_away(regr("slope", y, offset, near), 2).cast("double").alias("waiting_time_slope"),
         round_half_away(ratio(sum_if(F.col("prep_min"), calm), count_if(calm)), 1).cast("double").alias("prep_time_avg"),
@@ -70,10 +71,10 @@ def ops_meta(t, as_of, p: OpsParams = OpsParams()) -> DataFrame:
         total.alias("orders_evaluated"),
     )
     active = t.vendors().where(F.col("vendor_active") == 1).select("tenant_id", "vendor_id", "vendor_code", "city_id")
-    return active.join(stats, "vendor_id", "left").fillna(0, ["orders_evaluated", "reliability_rate"])
+    return active.join(stats, ["tenant_id", "vendor_id"], "left").fillna(0, ["orders_evaluated", "reliability_rate"])
 
 
-def ops_scores(t, as_of, p: OpsParams = OpsParams(), ranks: bool = True, limit: int = LIMIT) -> DataFrame:
+def ops_scores(t, as_of, p: OpsParams = OpsParams(), ranks: bool = True) -> DataFrame:
     """Quadratic penalties, their sum, ranks by the sum and 0..10 scores.
 
     The redelivery term is weighted with zero; it only turns the sum NULL where the rate is missing.
@@ -97,5 +98,5 @@ def ops_scores(t, as_of, p: OpsParams = OpsParams(), ranks: bool = True, limit:
     )
     if not ranks:
         return scored
-    everywhere = global_rank(scored, "overall_penalty", "global_rank", limit)
-    return rank_in(everywhere, ["tenant_id"], "overall_penalty", "country_rank", limit)
+    everywhere = global_rank(scored, "overall_penalty", "global_rank")
+    return rank_in(everywhere, ["tenant_id"], "overall_penalty", "country_rank")

@@ -22,12 +22,13 @@ LAST, CUT = 1000, 100
 
 
 def open_opps(t, as_of, owners: list[str] | None = None) -> DataFrame:
-    """The newest opportunity per account and type, where it is still open and within its lifespan."""
+    """The newest opportunity per account and type of active accounts, where it is still open and within its lifespan."""
     params = opportunity_params(t.spark)
     known = t.opportunities().join(params.select(F.col("opportunity").alias("record_type")), "record_type", "left_semi")
     newest = latest(known, ["account_id", "record_type"], ["created_date", "opportunity_id"],
-                    ["opportunity_id", "created_date", "stage", "owner"])
-    rows = newest.join(params, F.col("record_type") == F.col("opportunity"))
+                    ["opportunity_id", "created_date", "stage", "owner", "tenant_id", "vendor_id"])
+    active = t.vendors().where(F.col("account_status") == "Active").select("tenant_id", "vendor_id")
+    rows = newest.join(active, ["tenant_id", "vendor_id"], "left_semi").join(params, F.col("record_type") == F.col("opportunity"))
     age = F.datediff(F.lit(as_of), F.col("created_date"))
     still = rows.where(~F.col("stage").isin(CLOSED) & (age < F.col("lifespan_days")))
     if owners is not None:
@@ -94,7 +95,7 @@ def mass_upload(t, queued: DataFrame, as_of, min_value: float = 500, max_score:
     accounts = t.crm_accounts()
     fits = F.col("points_running_total") <= F.col("available_points")
     worth = F.when(F.col("opportunity") != FB_RIGHTS, F.col("value") >= min_value).otherwise(F.col("score") <= max_score)
-    rows = queued.where(fits & worth).join(accounts, "vendor_id", "left").where(F.col("user_id").isNotNull())
+    rows = queued.where(fits & worth).join(accounts, ["tenant_id", "vendor_id"], "left").where(F.col("user_id").isNotNull())
     # Closing sentence of the upload text.
     deadline = concat_strict(
         F.col("description"), F.lit("Please close this opportunity before "),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from partner_analytics.functions import BINARY, LADDERS, dish_score, facebook_score, ladder, ratio
 from partner_analytics.operators.joins import join_all
-from partner_analytics.operators.ranking import LIMIT, in_top_ntile
+from partner_analytics.operators.ranking import in_top_ntile
 from partner_analytics.plans import kpis
 from partner_analytics.plans.ops import OpsParams, ops_scores
 from partner_analytics.plans.weights import (
@@ -19,7 +19,7 @@ VENDOR = ["tenant_id", "vendor_id"]
 
 
 def metrics(t, period, as_of, reorder_period, reorder_days: int = 28, events_period=None,
-            conversion: bool = True, marketing_patterns: dict | None = None, limit: int = LIMIT) -> DataFrame:
+            conversion: bool = True, marketing_patterns: dict | None = None) -> DataFrame:
     """One wide row per vendor and period.
 
     ``events_period`` dates visits and surveys where they run on another clock than the orders.
@@ -32,14 +32,15 @@ def metrics(t, period, as_of, reorder_period, reorder_days: int = 28, events_per
     else:
         terms = kpis.marketing(t, marketing_patterns).withColumn("photo_stage", F.lit(7))
     cr3 = kpis.conversion(t, seen) if conversion else None
-    by_vendor = [kpis.closing(t), terms] + ([cr3] if conversion else [])
-    by_tenant = [
+    # the weekly card counts closed hours of all time
+    parts = [
+        kpis.closing(t, seen if conversion else None), terms, *([cr3] if conversion else []),
         kpis.order_kpis_with_complaints(t, period).drop("city_id"),
         kpis.reorder(t, reorder_period, as_of, reorder_days).drop("reorder_rate"),
         kpis.content(t).select(*VENDOR, "menucategories", "products", "described"),
         kpis.nps(t, seen).drop("city_id"),
     ]
-    wide = join_all(join_all(base, by_tenant, VENDOR), by_vendor, ["vendor_id"])
+    wide = join_all(base, parts, VENDOR)
     if not conversion:
         wide = wide.withColumn("cr3", F.lit(None).cast("double"))
 
@@ -54,7 +55,7 @@ def metrics(t, period, as_of, reorder_period, reorder_days: int = 28, events_per
         "tenant_id", "city_id", "vendor_id", "vendor_code", "vendor_name", "city_name", "country_name",
         "owner", "activation_date", "period", "valid_orders", "gross_orders", "pickup_orders",
         "delivery_orders", "failed_orders_vendor", "actionable_orders",
-        gmv.alias("gmv"), F.coalesce(gmv, F.lit(0.0)).alias("gmv_rank_value"), gfv.alias("gfv"),
+        gmv.alias("gmv"), gfv.alias("gfv"),
         ratio(F.col("failed_orders_vendor"), F.col("gross_orders")).alias("cancellations"),
         (F.coalesce(afv * F.col("commission_pct"), F.lit(0.0)) + fee).alias("revenue"),
         ratio(gmv, valid).alias("aov"), afv.alias("afv"),
@@ -78,11 +79,20 @@ def metrics(t, period, as_of, reorder_period, reorder_days: int = 28, events_per
         zero("exclusivity").alias("exclusivity"),
         F.col("photo_stage").alias("stage"), "complaints", "closing_hours",
     )
-    base = reliable_checkpoint(out)
-    city = in_top_ntile(base, ["tenant_id", "city_id", "period"], "gmv_rank_value", ["vendor_id"],
-                        100, 10, "city_top", limit, materialised=True)
-    return in_top_ntile(city, ["tenant_id", "period"], "gmv_rank_value", ["vendor_id"],
-                        100, 35, "country_top", limit, materialised=True).drop("gmv_rank_value")
+    return out.join(sales_tiles(t, period), [*VENDOR, "period"])
+
+
+def sales_tiles(t, period) -> DataFrame:
+    """Whether a vendor is in the top tiles of its city and country by sales.
+
+    A narrow branch of the card: one stored row per vendor with its sales, ranked twice.
+    """
+    sales = kpis.order_kpis(t, period).select(*VENDOR, F.col("gmv").cast("double").alias("gmv"))
+    vendors = kpis.vendor_master(t, period).select(*VENDOR, "city_id", "period")
+    base = reliable_checkpoint(vendors.join(sales, VENDOR, "left").fillna(0.0, ["gmv"]))
+    city = in_top_ntile(base, ["tenant_id", "city_id", "period"], "gmv", ["vendor_id"], 100, 10, "city_top")
+    both = in_top_ntile(city, ["tenant_id", "period"], "gmv", ["vendor_id"], 100, 35, "country_top")
+    return both.drop("gmv", "city_id")
 
 
 def scored(df: DataFrame, dish: bool = True) -> DataFrame:
@@ -153,13 +163,12 @@ def kpi_impact(df: DataFrame) -> DataFrame:
 
 
 def scorecard(t, grain: str, period, as_of, reorder_period, reorder_days: int = 28, events_period=None,
-              events_as_of=None, ops: OpsParams = OpsParams(), marketing_patterns: dict | None = None,
-              limit: int = LIMIT) -> DataFrame:
+              events_as_of=None, ops: OpsParams = OpsParams(), marketing_patterns: dict | None = None) -> DataFrame:
     """The whole card. ``grain`` is ``month`` or ``week``: the weekly card has no conversion data
     and no photo stages, and takes material flags from CRM products."""
     weekly = grain == "week"
     wide = metrics(t, period, as_of, reorder_period, reorder_days, events_period,
-                   conversion=not weekly, marketing_patterns=marketing_patterns if weekly else None, limit=limit)
+                   conversion=not weekly, marketing_patterns=marketing_patterns if weekly else None)
     delay = ops_scores(t, events_as_of or as_of, ops, ranks=False).select(
         *VENDOR, "vendor_delay_score", "reliability_score", "prep_time_score", "waiting_time_score",
         "waiting_time_intercept", "prep_time_avg", "reliability_rate")

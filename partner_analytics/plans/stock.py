@@ -11,6 +11,7 @@ from partner_analytics.functions import ratio, rx
 from partner_analytics.operators.ranking import latest
 from partner_analytics.plans.kpis import valid_orders
 
+VENDOR = ["tenant_id", "vendor_id"]
 # Bags per order by the consumption class of the contract.
 CONSUMPTION = {
     "Above Average (1.5 Bags per Order)": 1.6, "Normal (1 - 1.5 per Order)": 1.1, "Average (1.1 Bags per Order)": 1.1,
@@ -31,13 +32,14 @@ def factor(c: Column) -> Column:
 
 
 def stock_latest(t, as_of) -> DataFrame:
-    """The newest delivery per vendor with automatic supply, and days since, counted to yesterday."""
-    terms = t.supply_terms()
-    sums = t.stock().groupBy("vendor_id", "product_date", "consumption").agg(F.sum("quantity").alias("quantity"))
-    newest = latest(sums, ["vendor_id"], ["product_date", "consumption"], ["product_date", "consumption", "quantity"])
+    """The newest delivery per vendor with a valid contract and automatic supply, and days since, counted to yesterday."""
+    valid = t.contracts().where(F.col("contract_status").isin("Activated", "Amended")).select(*VENDOR)
+    terms = t.supply_terms().where(F.col("auto_supply") == 1).join(valid, VENDOR, "left_semi")
+    sums = t.stock().groupBy(*VENDOR, "product_date", "consumption").agg(F.sum("quantity").alias("quantity"))
+    newest = latest(sums, VENDOR, ["product_date", "consumption"], ["product_date", "consumption", "quantity"])
     yesterday = F.lit(as_of - timedelta(days=1))
-    return newest.join(terms.where(F.col("auto_supply") == 1), "vendor_id").select(
-        "vendor_id", "product_date", "quantity", factor(F.col("consumption")).alias("bags_per_order"),
+    return newest.join(terms, VENDOR).select(
+        *VENDOR, "product_date", "quantity", factor(F.col("consumption")).alias("bags_per_order"),
         "auto_supply", "check_stock", "check_date",
         F.datediff("product_date", yesterday).alias("days"),
         F.datediff("check_date", yesterday).alias("days_since_check"),
@@ -51,7 +53,7 @@ def stock_use(t, as_of, weeks: int = 4, days: int = 30) -> DataFrame:
     """
     daily = valid_orders(t).groupBy("tenant_id", "vendor_id", F.to_date("order_ts").alias("order_day")).agg(
         F.count(F.lit(1)).alias("orders"))
-    joined = daily.join(stock_latest(t, as_of), "vendor_id", "left")
+    joined = daily.join(stock_latest(t, as_of), VENDOR, "left")
     today, day = F.lit(as_of), F.col("order_day")
 
     def since(start: Column) -> Column:
@@ -89,7 +91,7 @@ def stock_plan(use: DataFrame, vendors: DataFrame, as_of, lead_days: dict[str, i
         need = F.when(rx(F.col("country_name"), pattern),
                       F.col("order_per_day") * F.col("bags_per_order") * days).otherwise(need)
     new = F.col("activation_date").between(F.date_sub(F.lit(as_of), 7), F.lit(as_of))
-    return use.join(vendors, ["tenant_id", "vendor_id"]).withColumns({
+    return use.join(vendors, VENDOR).withColumns({
         "order_tier": size, "tier_step": step, "estimation": need, "new_vendor": F.when(new, 1).otherwise(0)})
 
 
@@ -103,9 +105,9 @@ def stock_decision(t, plan: DataFrame, as_of, open_type: str, manual_tenants: li
     """
     c = F.col
     under_way = t.opportunities().where((c("record_type") == open_type) & (c("stage") == "New")).select(
-        "vendor_id").distinct().withColumn("under_way", F.lit(True))
-    bills = t.supply_terms().select("vendor_id", "billing_street", "billing_postcode")
-    rows = plan.join(bills, "vendor_id", "left").join(under_way, "vendor_id", "left")
+        *VENDOR).distinct().withColumn("under_way", F.lit(True))
+    bills = t.supply_terms().select(*VENDOR, "billing_street", "billing_postcode")
+    rows = plan.join(bills, VENDOR, "left").join(under_way, VENDOR, "left")
     week_ago = F.date_sub(F.lit(as_of), 7)
     checked = c("check_date") >= c("product_date")
     base = rows.withColumns({
@@ -145,10 +147,10 @@ def stock_decision(t, plan: DataFrame, as_of, open_type: str, manual_tenants: li
 
 def stock_feedback(decision: DataFrame, feedback: DataFrame) -> DataFrame:
     """Computed against reported stock, for vendors that reported one or not."""
-    reported = feedback.select("vendor_id", F.col("check_stock").alias("reported_stock"),
+    reported = feedback.select(*VENDOR, F.col("check_stock").alias("reported_stock"),
                                F.col("check_date").alias("reported_date"))
-    return decision.join(reported, "vendor_id", "left").select(
-        "vendor_id", "remaining_used", F.col("check_stock").alias("known_stock"), "reported_stock",
+    return decision.join(reported, VENDOR, "left").select(
+        *VENDOR, "remaining_used", F.col("check_stock").alias("known_stock"), "reported_stock",
         F.col("check_date").alias("known_date"), "reported_date", "new_stock", "last_date", "quantity",
         "quantity_used", "orders", "order_per_day", "estimation", "status",
         (F.col("remaining_used") - F.col("reported_stock")).alias("difference"))

@@ -34,7 +34,7 @@ def build_session(app: str = "partner_analytics", master: str | None = None, **c
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the settings to a session somebody else built."""
+    """Apply the settings to a session somebody else built; they stay set, the UTC time zone included."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark

@@ -128,6 +128,17 @@ class Warehouse:
             F.concat(F.lit("owner_"), (key % 8).cast("string")).alias("owner"),
         )
 
+    @table
+    def home(self) -> DataFrame:
+        """The tenant of each vendor: local ids are unique inside a tenant only."""
+        nation = self.raw("nation").select("n_nationkey", F.col("n_regionkey").alias("tenant_id"))
+        supplier = self.raw("supplier").select(F.col("s_suppkey").alias("vendor_id"), "s_nationkey")
+        return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("tenant_id", "vendor_id")
+
+    def owned(self, rows: DataFrame) -> DataFrame:
+        """Adds the tenant to rows of a vendor; NULL where the vendor is unknown."""
+        return rows.join(self.home(), "vendor_id", "left")
+
     def at_home(self, fact: DataFrame) -> DataFrame:
         """Tenant, city and brand of the vendor of each row.
 
@@ -149,7 +160,7 @@ class Warehouse:
         def bit(n: int) -> Column:
             return (F.floor(key / F.lit(2 ** n)) % 2).cast("int")
 
-        return self.raw("supplier").select(
+        return self.owned(self.raw("supplier").select(
             key.alias("vendor_id"),
             F.when(key % 16 == 15, "Terminated").otherwise("Activated").alias("contract_status"),
             ((key % 15 + 18) / F.lit(100.0)).alias("commission_pct"),
@@ -164,14 +175,14 @@ class Warehouse:
             (key % 8).cast("int").alias("photo_stage"),
             F.when(key % 9 == 4, F.lit(None).cast("string"))
             .otherwise(F.concat(F.lit("www.v"), key.cast("string"))).alias("website"),
-        )
+        ))
 
     @table
     def supply_terms(self, as_of: date = AS_OF) -> DataFrame:
         """Supply settings per vendor: automatic supply, address of the bill, last stock check."""
         key = F.col("s_suppkey")
         unchecked = key % 4 == 0
-        return self.raw("supplier").select(
+        return self.owned(self.raw("supplier").select(
             key.alias("vendor_id"),
             F.when(key % 6 == 5, 0).otherwise(1).alias("auto_supply"),
             F.concat(F.lit("Bill "), key.cast("string")).alias("billing_street"),
@@ -180,26 +191,26 @@ class Warehouse:
             .alias("check_stock"),
             F.when(unchecked, F.lit(None).cast("date")).otherwise(
                 F.date_sub(F.lit(as_of), (key % 40).cast("int"))).alias("check_date"),
-        )
+        ))
 
     @table
     def crm_accounts(self) -> DataFrame:
         """CRM account of every vendor and the user who owns it."""
         key = F.col("s_suppkey")
-        return self.raw("supplier").select(
+        return self.owned(self.raw("supplier").select(
             key.alias("vendor_id"),
-            F.concat(F.lit("0012400000"), F.lpad(key.cast("string"), 8, "0")).alias("crm_id"),
+            F.concat(F.lit("CRM0000000"), F.lpad(key.cast("string"), 8, "0")).alias("crm_id"),
             F.concat(F.lit("Account "), key.cast("string")).alias("account_name"),
             F.when(key % 8 == 7, F.lit(None).cast("string"))
             .otherwise(F.concat(F.lit("user_"), (key % 8).cast("string"))).alias("user_id"),
-        )
+        ))
 
     @table
     def newsletter_contacts(self) -> DataFrame:
         """Partner contacts; a vendor has several, and some have none."""
         key = F.col("c_custkey")
         vendor = F.floor(key / F.lit(15.0))
-        return self.raw("customer").where(F.col("c_acctbal") > 7000).select(
+        return self.raw("customer").select(
             F.concat(F.lit("v"), vendor.cast("string")).alias("vendor_code"),
             F.concat(F.lower("c_name"), F.lit("@example.org")).alias("email"), key.alias("contact_id"),
             F.when(F.col("c_mktsegment") == "MACHINERY", 1).otherwise(0).alias("excluded"),
@@ -207,13 +218,13 @@ class Warehouse:
 
     @table
     def accounts(self) -> DataFrame:
-        return self.raw("part").select(
+        return self.owned(self.raw("part").select(
             F.col("p_partkey").alias("account_id"),
             F.col("p_brand").alias("account_name"),
             F.regexp_replace("p_name", " ", ";").alias("competitors"),
             F.when(F.col("p_partkey") % 20 == 0, F.floor(F.col("p_partkey") / F.lit(20.0)))
             .alias("vendor_id"),
-        )
+        ))
 
     # -- order facts --------------------------------------------------------------------------
 
@@ -257,11 +268,10 @@ class Warehouse:
             (F.max("l_quantity") - 30).alias("vendor_late_min"),
             (F.min("l_linenumber") * 3 - 6).alias("courier_late_min"),
             (F.min("l_quantity") / 8).alias("confirm_minutes"),
-            F.expr("bit_or(shiftleft(1, l_linenumber)) AS lines"),
+            # at most one code for each line of the order
+            F.array_sort(F.collect_set((F.col("l_linenumber") + 50).cast("int"))).alias("code_array"),
         )
-        # line numbers 1 to 7 as codes; the bit mask keeps the aggregation free of collected sets
-        codes = F.expr("filter(sequence(51, 57), c -> (lines & shiftleft(1, c - 50)) != 0)")
-        return self.at_home(fact.withColumn("code_array", codes).drop("lines"))
+        return self.at_home(fact)
 
     @table
     def order_vendors(self) -> DataFrame:
@@ -285,34 +295,33 @@ class Warehouse:
 
     @table
     def content(self) -> DataFrame:
-        products = F.countDistinct(F.col("l_partkey") % 101)
+        products = F.countDistinct("l_partkey")
         per = self.raw("lineitem").groupBy(F.col("l_suppkey").alias("vendor_id")).agg(
             products.alias("products"))
         left_out = F.floor((F.col("vendor_id") % 7) * F.col("products") / F.lit(10))
-        return per.select(
+        return self.owned(per.select(
             "vendor_id", "products",
             (F.lit(6) + F.col("vendor_id") % 11).alias("menucategories"),
             F.greatest(F.col("products") - left_out, F.lit(0)).cast("bigint").alias("described"),
-        )
+        ))
 
     @table
-    def stock(self, as_of: date = AS_OF) -> DataFrame:
-        """Supply deliveries per vendor, day and consumption class up to the report day."""
-        lines = self.raw("lineitem").where(F.to_date("l_shipdate") <= F.lit(as_of))
-        return lines.select(
+    def stock(self) -> DataFrame:
+        """Supply deliveries per vendor, day and consumption class, announced ones too."""
+        return self.owned(self.raw("lineitem").select(
             F.col("l_suppkey").alias("vendor_id"), F.to_date("l_shipdate").alias("product_date"),
             F.when(F.col("l_returnflag") == "A", "Above Average (1.5 Bags per Order)")
             .when(F.col("l_returnflag") == "N", "Normal (1 - 1.5 per Order)")
             .otherwise("Low usage").alias("consumption"),
             F.col("l_quantity").cast("int").alias("quantity"),
-        )
+        ))
 
     @table
     def crm_sales(self) -> DataFrame:
         """Products sold to a vendor through the CRM."""
-        return self.raw("lineitem").select(
+        return self.owned(self.raw("lineitem").select(
             F.col("l_suppkey").alias("vendor_id"), F.col("l_partkey").alias("product_id"),
-            F.col("l_linestatus").alias("phase"))
+            F.col("l_linestatus").alias("phase")))
 
     @table
     def crm_catalog(self) -> DataFrame:
@@ -328,7 +337,7 @@ class Warehouse:
         """CRM opportunities; the record types are five of the fifteen known ones."""
         customer = self.raw("customer").select("c_custkey", "c_nationkey")
         priority = F.col("o_orderpriority")
-        return self.raw("orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        return self.owned(self.raw("orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
             F.col("o_orderkey").alias("opportunity_id"), F.col("o_custkey").alias("account_id"),
             F.when(priority == "1-URGENT", "Partner - Commission Renegotiation")
             .when(priority == "2-HIGH", "Partner - Gain Exclusivity")
@@ -346,7 +355,7 @@ class Warehouse:
             F.when(F.col("o_orderkey") % 4 == 0, "automation").otherwise("person").alias("modified_by"),
             F.when(F.col("o_orderkey") % 3 == 0, "Upgrade").when(F.col("o_orderkey") % 3 == 1, "Downgrade")
             .otherwise("Renewal").alias("contract_source"),
-        )
+        ))
 
     # -- event facts --------------------------------------------------------------------------
 
@@ -369,32 +378,32 @@ class Warehouse:
             F.col("user_id").alias("vendor_id"), F.to_date("ts").alias("day")
         ).agg(F.min(second).alias("start_s"), F.max(second).alias("stop_s"))
         # a last event in the final minutes of the day stands for closing at midnight
-        return span.select(
+        return self.owned(span.select(
             "vendor_id", (F.weekday("day") + 1).alias("weekday"), "start_s",
             F.when(F.col("stop_s") >= 86000, 0).otherwise(F.col("stop_s")).alias("stop_s"),
-        )
+        ))
 
     @table
     def offline(self) -> DataFrame:
         kind = F.col("event_type")
-        return self.raw("events").groupBy(
+        return self.owned(self.raw("events").groupBy(
             F.col("user_id").alias("vendor_id"), F.to_date("ts").alias("report_date")
         ).agg(
             F.count(F.when(kind == "error", 1)).alias("closed_hours"),
             F.count(F.when(kind == "signup", 1)).alias("declined_hours"),
             F.count(F.lit(1)).alias("open_hours"),
-        )
+        ))
 
     @table
     def funnel(self) -> DataFrame:
         """Daily menu visits and check-outs per vendor."""
         kind = F.col("event_type")
-        return self.raw("events").groupBy(
+        return self.owned(self.raw("events").groupBy(
             F.col("user_id").alias("vendor_id"), F.to_date("ts").alias("report_date")
         ).agg(
             F.count(F.when(kind.isin("view", "click"), 1)).alias("cr3_start"),
             F.count(F.when(kind == "purchase", 1)).alias("cr3_end"),
-        )
+        ))
 
     @table
     def surveys(self) -> DataFrame:
@@ -412,7 +421,7 @@ class Warehouse:
     def deliveries(self) -> DataFrame:
         """Courier log: one row per delivery."""
         event = F.col("event_id")
-        return self.raw("events").select(
+        return self.owned(self.raw("events").select(
             event.alias("delivery_id"), F.col("user_id").alias("vendor_id"), "ts",
             (F.col("value") / 10).alias("at_door_min"),
             ((event * 7) % 31 - 15).cast("int").alias("arrival_offset"),
@@ -426,17 +435,17 @@ class Warehouse:
             (event % 4).cast("int").alias("prep_buffer"),
             (F.col("ts") - F.make_dt_interval(secs=(event % 40) * 61)).alias("confirm_ts"),
             F.when(F.col("user_id") % 4 != 0, (event % 25 + 10).cast("int")).alias("prep_setting"),
-        )
+        ))
 
     @table
     def prep_buckets(self) -> DataFrame:
-        """Weekday and half hour to a demand label: 7 x 48 rows."""
+        """Tenant, weekday and half hour to a demand label."""
         days = F.explode(F.sequence(F.lit(1), F.lit(7)))
         slots = F.explode(F.sequence(F.lit(0), F.lit(47)))
-        base = self.spark.range(1).select(days.alias("weekday")).select("weekday", slots.alias("slot"))
+        base = self.countries().select("tenant_id", days.alias("weekday")).select("tenant_id", "weekday", slots.alias("slot"))
         label = (F.when(F.col("slot").between(22, 28), "lunch")
                  .when(F.col("slot").between(36, 44), "dinner").otherwise("calm"))
         return base.select(
-            "weekday", (F.col("slot") * F.lit(0.5)).cast("double").alias("half_hour"),
+            "tenant_id", "weekday", (F.col("slot") * F.lit(0.5)).cast("double").alias("half_hour"),
             F.concat_ws("-", F.when(F.col("weekday") >= 6, "weekend").otherwise("week"), label).alias("bucket"),
         )

@@ -1,4 +1,4 @@
-"""Ranks and running totals against brute force, on the plain and on the sliced path."""
+"""Ranks and running totals against brute force, over range slices."""
 
 import random
 
@@ -9,7 +9,6 @@ from partner_analytics.operators import ranking
 from partner_analytics.operators.aggregates import distinct_counts, pivot_ranked, with_group
 from partner_analytics.operators.ranking import asc, desc
 
-PATHS = [ranking.LIMIT, 0]
 
 
 @pytest.fixture(scope="module")
@@ -35,10 +34,9 @@ def keys_of(rows):
     return {r[1] for r in rows}
 
 
-@pytest.mark.parametrize("limit", PATHS)
-def test_row_number_and_running_sum(skewed, limit):
+def test_row_number_and_running_sum(skewed):
     rows, frame = skewed
-    out = ranking.running(frame, ["key"], [desc("value"), asc("id")], {"total": "points"}, limit)
+    out = ranking.running(frame, ["key"], [desc("value"), asc("id")], {"total": "points"})
     got = {r.id: (r.row_no, r.total) for r in out.collect()}
     assert len(got) == len(rows)
     for key in keys_of(rows):
@@ -48,10 +46,9 @@ def test_row_number_and_running_sum(skewed, limit):
             assert got[r[0]] == (n, total)
 
 
-@pytest.mark.parametrize("limit", PATHS)
-def test_rank_shares_places(skewed, limit):
+def test_rank_shares_places(skewed):
     rows, frame = skewed
-    got = {r.id: r["rank"] for r in ranking.rank_in(frame, ["key"], "value", limit=limit).collect()}
+    got = {r.id: r["rank"] for r in ranking.rank_in(frame, ["key"], "value").collect()}
     for key in keys_of(rows):
         mine = ordered(rows, key)
         for r in mine:
@@ -59,29 +56,26 @@ def test_rank_shares_places(skewed, limit):
             assert got[r[0]] == first
 
 
-@pytest.mark.parametrize("limit", PATHS)
-def test_global_rank(skewed, limit):
+def test_global_rank(skewed):
     rows, frame = skewed
-    got = {r.id: r.global_rank for r in ranking.global_rank(frame, "value", limit=limit).collect()}
+    got = {r.id: r.global_rank for r in ranking.global_rank(frame, "value").collect()}
     for r in rows:
         before = sum(1 for o in rows if r[2] is not None and (o[2] is None or o[2] > r[2]))
         assert got[r[0]] == before + 1
 
 
-@pytest.mark.parametrize("limit", PATHS)
-def test_running_count_includes_ties(skewed, limit):
+def test_running_count_includes_ties(skewed):
     rows, frame = skewed
-    got = {r.id: r.running_count for r in ranking.running_count(frame, ["key"], "value", limit=limit).collect()}
+    got = {r.id: r.running_count for r in ranking.running_count(frame, ["key"], "value").collect()}
     for r in rows:
         mine = [o for o in rows if o[1] == r[1]]
         upto = sum(1 for o in mine if o[2] is None or (r[2] is not None and o[2] >= r[2]))
         assert got[r[0]] == upto
 
 
-@pytest.mark.parametrize("limit", PATHS)
-def test_budget_is_a_prefix(skewed, limit):
+def test_budget_is_a_prefix(skewed):
     rows, frame = skewed
-    out = ranking.within_budget(frame.withColumn("budget", F.lit(200)), ["key"], "points", [desc("value")], "budget", limit)
+    out = ranking.within_budget(frame.withColumn("budget", F.lit(200)), ["key"], "points", [desc("value")], "budget")
     kept = {r.id: r.running_total for r in out.collect()}
     assert kept and max(kept.values()) <= 200
     for key in keys_of(rows):
@@ -91,11 +85,10 @@ def test_budget_is_a_prefix(skewed, limit):
             assert (r[0] in kept) == (total <= 200)
 
 
-@pytest.mark.parametrize("limit", PATHS)
 @pytest.mark.parametrize("tiles,top", [(100, 10), (100, 35), (7, 3), (1000, 10)])
-def test_top_ntile(skewed, limit, tiles, top):
+def test_top_ntile(skewed, tiles, top):
     rows, frame = skewed
-    out = ranking.in_top_ntile(frame, ["key"], "value", ["id"], tiles, top, "top", limit)
+    out = ranking.in_top_ntile(frame, ["key"], "value", ["id"], tiles, top, "top")
     got = {r.id: r.top for r in out.collect()}
     for key in keys_of(rows):
         mine = ordered(rows, key)

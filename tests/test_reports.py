@@ -116,7 +116,7 @@ def audit_tables(spark, scheduled):
         spark, vendors=vendors,
         countries=spark.sql("SELECT * FROM VALUES (1, 'One', 1, true), (2, 'Two', 1, false) AS t(tenant_id, country_name, live, managed)"),
         cities=spark.sql("SELECT * FROM VALUES (1, 1, 'Town', 1), (2, 1, 'Port', 1) AS t(tenant_id, city_id, city_name, city_active)"),
-        schedules=spark.sql("SELECT * FROM VALUES " + ", ".join(f"({v}, 1, 0, 0)" for v in scheduled) + " AS t(vendor_id, weekday, start_s, stop_s)"),
+        schedules=spark.sql("SELECT * FROM VALUES " + ", ".join(f"(1, {v}, 1, 0, 0)" for v in scheduled) + " AS t(tenant_id, vendor_id, weekday, start_s, stop_s)"),
         vendor_orders=spark.sql("SELECT 1 AS tenant_id, 9 AS vendor_id, 1L AS order_id, 'F' AS status_id, timestamp_ntz'2001-06-01 00:00:00' AS order_ts"),
         order_status=spark.sql("SELECT 'F' AS status_id, 1 AS valid_order"))
 
