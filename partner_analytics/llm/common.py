@@ -109,27 +109,28 @@ def grams(values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text", chars: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about ``chars`` of text each, one row at least."""
-    sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+def chunks(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about ``most`` bytes of a text column, or items of a list column; one row at least."""
+    column = batch.column(text)
+    length = pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length
     ends, start, total = [], 0, 0
-    for i, size in enumerate(sizes):
+    for i, size in enumerate(length(column).fill_null(0).to_numpy(zero_copy_only=False)):
         total += int(size)
-        if total >= chars:
+        if total >= most:
             ends.append(i + 1)
             total = 0
-    for end in [*ends, len(sizes)]:
+    for end in [*ends, batch.num_rows]:
         if end > start:
             yield batch.slice(start, end - start)
         start = end
 
 
-def by_chunk(function: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text"):
+def by_chunk(function: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text", most: int = CHUNK_CHARS):
     """A ``mapInArrow`` function that applies ``function`` to slices of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, text):
+            for part in chunks(batch, text, most):
                 yield function(part)
 
     return run

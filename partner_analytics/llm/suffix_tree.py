@@ -28,6 +28,8 @@ from partner_analytics.llm.common import by_chunk, chunks, id_bucket, staged, wo
 ORDER, CONTEXT, PAIR, HOT, DISCOUNT = 2, 1e-5, 2e-6, 1e-6, 0.75
 #: the end of a text; no word is empty
 END = b""
+#: tokens that a worker handles at once
+CHUNK_IDS = 500_000
 #: distinct words a worker adds up before it passes them on
 FLUSH = 300_000
 
@@ -164,11 +166,7 @@ def pair_counts(coded: DataFrame, tree, least: float) -> DataFrame:
         codes, n = np.unique(context[ok] * tree.value.alphabet + ids[ok], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            yield run(part)
-
-    found = coded.filter("learns").select("ids").mapInArrow(batches, "code long, n long")
+    found = coded.filter("learns").select("ids").mapInArrow(by_chunk(run, "ids", CHUNK_IDS), "code long, n long")
     return found.groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
@@ -246,12 +244,8 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
              pa.array(add(plain)), pa.array(add(values)), part.column("rest"), part.column("times")],
             ["row", "doc_id", "n_tokens", "sure", "plain", "deep", "rest", "times"])
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            yield sums(part)
-
     per_doc = coded.select("row", "doc_id", "ids", "rest", "times").mapInArrow(
-        batches, f"row long, doc_id {kind}, n_tokens long, sure long, plain double, deep double, rest array<binary>, times array<long>")
+        by_chunk(sums, "ids", CHUNK_IDS), f"row long, doc_id {kind}, n_tokens long, sure long, plain double, deep double, rest array<binary>, times array<long>")
     # a document without rare words keeps one row, under a key that no word has
     rows = per_doc.select("row", "doc_id", "n_tokens", "sure", "plain", "deep", F.explode_outer(F.arrays_zip("rest", "times")).alias("x")).select(
         "row", "doc_id", "n_tokens", "sure", "plain", "deep", F.col("x.times").alias("times"),
