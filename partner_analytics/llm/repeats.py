@@ -65,11 +65,14 @@ def sampled(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def windows_at(docs: DataFrame, kept: DataFrame, length: int, gram: int) -> DataFrame:
-    """(window, content, start) of the windows whose minimiser is in ``kept`` (content, rep, key, places)."""
+    """(window, content, start, again) of the windows whose minimiser is in ``kept`` (content, rep, key, again, places).
+
+    ``again`` marks contents of which the same row may come more than once.
+    """
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        content, window, start = [], [], []
-        for text, key, number, places in zip(*(part.column(c).to_pylist() for c in ("text", "key", "content", "places"))):
+        content, window, start, again = [], [], [], []
+        for text, key, number, more, places in zip(*(part.column(c).to_pylist() for c in ("text", "key", "content", "again", "places"))):
             own = hashed(words(text))
             if len(own) < length or xxhash.xxh3_128_digest(own.tobytes()) != key:
                 continue
@@ -78,12 +81,13 @@ def windows_at(docs: DataFrame, kept: DataFrame, length: int, gram: int) -> Data
             window.append(grams(own, length)[here].view(np.int64))
             start.append(here.astype(np.int32))
             content.append(np.full(len(here), number))
+            again.append(np.full(len(here), more))
+        columns = ((window, pa.int64()), (content, pa.int64()), (start, pa.int32()), (again, pa.bool_()))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(x) if x else [], t) for x, t in ((window, pa.int64()), (content, pa.int64()), (start, pa.int32()))],
-            ["window", "content", "start"])
+            [pa.array(np.concatenate(x) if x else [], t) for x, t in columns], ["window", "content", "start", "again"])
 
-    texts = docs.join(kept, docs["doc_id"].eqNullSafe(kept["rep"])).select("text", "key", "content", "places")
-    return texts.mapInArrow(by_chunk(run), "window long, content long, start int")
+    texts = docs.join(kept, docs["doc_id"].eqNullSafe(kept["rep"])).select("text", "key", "content", "again", "places")
+    return texts.mapInArrow(by_chunk(run), "window long, content long, start int, again boolean")
 
 
 def _cover(starts: np.ndarray, length: int) -> np.ndarray:
@@ -120,22 +124,22 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int
     contents = staged(rows.groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("runs").alias("runs"),
         F.first("places").alias("places"),
-        (F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("copies"),
-    ).select(F.monotonically_increasing_id().alias("content"), "key", "rep", "n_words", "copies", "runs", "places"), "contents")
+        (F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("copies"), F.count("*").alias("n"),
+    ).orderBy(F.col("rep").asc_nulls_last()).select(  # contents are numbered in the order of their ids
+        F.monotonically_increasing_id().alias("content"), "key", "rep", "n_words", "copies",
+        (F.col("n") > F.col("copies")).alias("again"), "runs", "places"), "contents")
     suffixes = contents.select("content", F.explode(F.arrays_zip("runs", "places")).alias("x")).select(
         "content", F.col("x.runs").alias("run"), F.col("x.places").alias("place"))
     equal = suffixes.groupBy("run").agg(F.count("*").alias("n")).filter("n > 1").select("run")
     left = suffixes.join(equal, "run").groupBy("content").agg(F.collect_list("place").alias("places"))
-    kept = left.join(contents.select("content", "rep", "key"), "content")
-    windows = staged(windows_at(source, kept, length, gram), "windows")
-
-    # the first occurrence of each window that has an equal neighbour
-    placed = windows.join(contents.select("content", "rep"), "content")
-    first = placed.groupBy("window").agg(
-        F.count("*").alias("n"), F.min(F.struct(F.col("rep").isNull().alias("no"), "rep", "content", "start")).alias("x"),
-    ).filter("n > 1").select("window", F.col("x.content").alias("c"), F.col("x.start").alias("s"))
-    found = windows.join(first, "window").select(
-        "content", F.struct("start", ((F.col("content") == F.col("c")) & (F.col("start") == F.col("s"))).alias("first")).alias("x"))
+    kept = left.join(contents.select("content", "rep", "key", "again"), "content")
+    made = staged(windows_at(source, kept, length, gram), "windows")
+    windows = made.filter("NOT again").unionByName(made.filter("again").dropDuplicates(["content", "start"]))
+
+    # the first content of each window that has an equal neighbour; ``own`` tells windows of it apart
+    first = windows.groupBy("window").agg(F.count("*").alias("n"), F.min("content").alias("c")).filter("n > 1")
+    found = windows.join(first.select("window", "c"), "window").select(
+        "content", F.struct("start", F.when(F.col("content") == F.col("c"), F.col("window")).alias("own")).alias("x"))
     by_content = contents.select("content", "key", "rep", "n_words", "copies").join(
         found.groupBy("content").agg(F.collect_list("x").alias("x")), "content", "left").filter("copies > 1 or x is not null")
 
@@ -143,8 +147,10 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int
         keys, out = [], []
         for key, size, copies, hits in zip(*(part.column(c).to_pylist() for c in ("key", "n_words", "copies", "x"))):
             first, other = np.zeros(size - length + 1, bool), np.zeros(size - length + 1, bool)
-            for hit in hits or []:
-                (first if hit["first"] else other)[hit["start"]] = True
+            seen = set()
+            for at, own in sorted(((hit["start"], hit["own"]) for hit in hits or []), key=lambda x: x[0]):
+                (other if own is None or own in seen else first)[at] = True
+                seen.add(own)
             if copies > 1:  # what no other content holds earlier is first here
                 first = ~other
             state = np.where(_cover(first, length), 1, np.where(_cover(other, length), 2, 0))

@@ -147,7 +147,8 @@ def passages():
             own += part[draw.randrange(0, 6):] + draw.choices(vocabulary, k=draw.randrange(0, 30))
         docs.append((i, " ".join(own).upper() if i % 9 == 0 else " \n".join(own)))
     docs += [(100 + i, docs[i][1]) for i in range(10)] + [(200, "na " * 300), (201, "na " * 120), (202, " ".join(shared[4]))]
-    return docs + docs[:2] + [(300, None), (301, "")]
+    alone = " ".join(draw.choices(vocabulary, k=90))
+    return docs + docs[:2] + [(300, None), (301, ""), (302, alone), (302, alone)]
 
 
 def test_repeats_match_all_windows(workers):
