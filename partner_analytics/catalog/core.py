@@ -379,14 +379,12 @@ def rpt_score_ladder(t):
 
 
 @query("rpt_facebook_score", sql(f"""
-SELECT v.tenant_id, c.vendor_id, CASE WHEN no_fb = 1 THEN 10 WHEN v.vendor_active = 1 AND fb_rights = 0 THEN 0
-  WHEN fb_rights = 1 THEN 10 ELSE COALESCE({ladder_sql('facebook_likes', LADDERS['facebook_likes'])}, 0) END AS facebook_score
-FROM contracts c JOIN vendors v ON c.vendor_id = v.vendor_id"""))
+SELECT tenant_id, vendor_id, CASE WHEN no_fb = 1 THEN 10 WHEN city_top = 1 AND fb_rights = 0 THEN 0
+  WHEN fb_rights = 1 THEN 10 ELSE COALESCE(facebook_likes_score, 0) END AS facebook_score FROM metrics_month"""))
 def rpt_facebook_score(t):
-    joined = t.contracts().join(t.vendors().select("tenant_id", "vendor_id", "vendor_active"), ["tenant_id", "vendor_id"])
-    likes = ladder(F.col("facebook_likes"), LADDERS["facebook_likes"])
-    score = facebook_score(F.col("no_fb"), F.col("vendor_active"), F.col("fb_rights"), likes)
-    return joined.select("tenant_id", "vendor_id", score.alias("facebook_score"))
+    wide = scorecard.metrics(t, MONTH, **METRIC_ARGS)
+    score = facebook_score(F.col("no_fb"), F.col("city_top"), F.col("fb_rights"), F.col("facebook_likes_score"))
+    return wide.select("tenant_id", "vendor_id", score.alias("facebook_score"))
 
 
 @query("rpt_dish_level_score", sql("""

@@ -14,7 +14,7 @@ from partner_analytics.plans import queue as Q
 from partner_analytics.plans import scorecard
 
 RIVALS = ["red", "bolt"]
-BIG_CHAINS = ["Supplier#%7", "%Osteria%"]
+BIG_CHAINS = ["Supplier#%7", "%Chain%"]
 OPS_TYPES = {"prep_time_opp": O.BACKLINK, "automation_opp": O.COMMISSION, "cancel_opp": O.MATERIAL}
 SMALL_BUDGET = ["owner_1", "owner_2"]
 
@@ -51,7 +51,7 @@ FROM opportunities o JOIN vendors v ON o.vendor_id = v.vendor_id
 WHERE record_type IN ({', '.join(f"'{k}'" for k in OPS_TYPES.values())}) AND created_date >= DATE '2001-07-09' GROUP BY 1, 2""")
 define("pursuability_all", f"""
 SELECT v.tenant_id, v.vendor_id, v.vendor_code, v.vendor_name, CASE WHEN n.vendor_id IS NULL THEN 0 ELSE 1 END AS np_commission,
-  {', '.join(f"CASE WHEN vendor_name LIKE 'Supplier#%7' OR vendor_name LIKE '%Osteria%' THEN 1 ELSE {n}_opp END AS {n}_opp" for n in NAMES)},
+  {', '.join(f"CASE WHEN vendor_name LIKE 'Supplier#%7' OR vendor_name LIKE '%Chain%' THEN 1 ELSE {n}_opp END AS {n}_opp" for n in NAMES)},
   partner_competitor, prep_time_opp, automation_opp, cancel_opp
 FROM vendors v LEFT JOIN negotiations_all n ON v.vendor_id = n.vendor_id LEFT JOIN cooldown_all c ON v.vendor_id = c.vendor_id
 LEFT JOIN (SELECT vendor_id, MAX(partner_competitor) AS partner_competitor FROM competitor_all GROUP BY 1) p ON v.vendor_id = p.vendor_id

@@ -47,7 +47,7 @@ SELECT v.tenant_id, d.vendor_id, strftime(ts, '%G-%V') AS week, COUNT(DISTINCT d
   COUNT(DISTINCT delivery_id) FILTER (WHERE late IS NOT NULL) AS delay_observations
 FROM (SELECT *, CASE WHEN NOT redelivery AND courier_late_min < 0 THEN pickup_delay_min
     WHEN NOT redelivery AND courier_late_min BETWEEN 0 AND 10 THEN pickup_delay_min - courier_late_min END AS late FROM deliveries) d
-JOIN vendors v ON v.vendor_id = d.vendor_id
+JOIN vendors v ON v.vendor_id = d.vendor_id JOIN orders ON o_orderkey = delivery_id AND o_orderstatus IN ('F', 'O')
 WHERE date_trunc('week', ts) >= date_trunc('week', DATE '2024-01-24') GROUP BY 1, 2, 3"""))
 def rpt_delay_clean(t):
     return newsletter.clean_delay(t, EVENTS_AS_OF)
@@ -262,15 +262,34 @@ def leads(name: str) -> str:
     return f"{R(f'{name} * 5')} >= {R(others)}"
 
 
-@query("rpt_improvement_class", sql(f"""
+define("improvement_all", f"""
 SELECT tenant_id, vendor_id, CASE WHEN {leads('canc')} AND canc > 0 THEN 1
   WHEN {leads('delay')} AND vendor_late_percentage > 0.03 THEN 2 WHEN {leads('missing')} AND missing > 0 THEN 3
   WHEN {leads('pack')} AND pack > 0 THEN 4 WHEN {leads('off')} AND off > 0 THEN 5
-  WHEN prep > 0 AND pack + missing + canc + off > 0 THEN 6 ELSE 7 END AS improve_opportunity_num FROM issue_terms"""))
+  WHEN prep > 0 AND pack + missing + canc + off > 0 THEN 6 ELSE 7 END AS improve_opportunity_num FROM issue_terms""")
+
+
+@query("rpt_improvement_class", sql("SELECT * FROM improvement_all"))
 def rpt_improvement_class(t):
     return newsletter.improve_class(sendout(t)).select("tenant_id", "vendor_id", "improve_opportunity_num")
 
 
+@query("rpt_newsletter_final", sql(f"""
+SELECT s.tenant_id, s.vendor_id, s.subscriber_key, s.valid_orders, s.declined_orders, s.vendor_late,
+  CASE WHEN s.declined_orders < b.benchmark_cancellation_num AND s.vendor_late < b.benchmark_delay_num
+    AND i.improve_opportunity_num IN (1, 2) THEN 7 ELSE i.improve_opportunity_num END AS improve_opportunity_num,
+  {', '.join(f"{R(f'b.{c}', 4)} AS {c}" for c in BENCH_NUMBERS if c != 'benchmark_cancellations_gmv')},
+  {R('CASE WHEN b.benchmark_cancellation_num < 1 THEN 0 ELSE b.benchmark_cancellations_gmv END', 4)} AS benchmark_cancellations_gmv
+FROM sendout_all s JOIN improvement_all i ON i.tenant_id = s.tenant_id AND i.vendor_id = s.vendor_id
+LEFT JOIN benchmark_city b ON b.tenant_id = s.tenant_id AND b.period = s.period AND b.city_name = s.city_name
+WHERE s.email IS NOT NULL AND s.banner IS NOT NULL"""))
+def rpt_newsletter_final(t):
+    rows = sendout(t)
+    sent = newsletter.with_benchmark(rows, newsletter.city_benchmark(rows)).where(C("email").isNotNull() & C("banner").isNotNull())
+    return numbers(sent.select("tenant_id", "vendor_id", "subscriber_key", "valid_orders", "declined_orders", "vendor_late",
+                               "improve_opportunity_num", *BENCH_NUMBERS), 4)
+
+
 # -- delay attribution ------------------------------------------------------------------------
 
 ZONES = [(0, 15, "Australia/Brisbane", "Australia/Sydney"), (1, 16, "America/Vancouver", "America/Toronto")]
@@ -446,7 +465,7 @@ LEFT JOIN (SELECT DISTINCT vendor_id FROM opportunities WHERE record_type = '{MA
 define("stock_decided", """
 SELECT tenant_id, vendor_id, vendor_code, country_name, city_name, product_date, last_date, remaining_used, new_stock, quantity,
   quantity_used, days, orders, orders_interval, order_per_day, orders_l4w, order_tier, tier_step, estimation, regular, check_date,
-  check_stock, CASE WHEN vendor_code = 'v5' THEN 'Arch 152' ELSE COALESCE(address_line1, billing_street) END AS address,
+  check_stock, CASE WHEN vendor_code = 'v5' THEN 'Side door 5' ELSE COALESCE(address_line1, billing_street) END AS address,
   COALESCE(postcode, billing_postcode) AS postcode,
   CASE WHEN tenant_id = 3 AND order_per_day > 0.2 THEN 'included'
     WHEN FALSE THEN 'included' ELSE CASE
@@ -463,7 +482,7 @@ FROM stock_base""")
 def decided(t):
     return stock.stock_decision(
         t, planned(t), AS_OF, MATERIAL, manual_tenants=[3], always_cities=["NATION_7"], billed_tenants=[2],
-        unbilled=["v12"], address_override={"v5": "Arch 152"}, manual_rate=0.2)
+        unbilled=["v12"], address_override={"v5": "Side door 5"}, manual_rate=0.2)
 
 
 ROUNDED = ["remaining_used", "new_stock", "order_per_day", "estimation"]

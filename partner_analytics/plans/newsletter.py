@@ -39,9 +39,11 @@ def cleaned_delay(c_late: Column, pickup_delay: Column, redelivery: Column) -> C
 
 
 def clean_delay(t, as_of, limits: tuple = (5, 10)) -> DataFrame:
-    """Deliveries per vendor and week since last Monday but one, and how many the vendor delayed."""
+    """Delivered valid orders per vendor and week since last Monday but one, and how many the vendor delayed."""
     monday = period_start(shift(F.lit(as_of), -1, "week"), "week")
-    recent = t.deliveries().where(F.to_date("ts") >= monday)
+    valid = t.orders_raw().select(F.col("o_orderkey").alias("delivery_id"), F.col("o_orderstatus").alias("status_id")).join(
+        t.order_status().where(F.col("valid_order") == 1).select("status_id"), "status_id", "left_semi")
+    recent = t.deliveries().where(F.to_date("ts") >= monday).join(valid, "delivery_id", "left_semi")
     late = cleaned_delay(F.col("courier_late_min"), F.col("pickup_delay_min"), F.col("redelivery"))
     home = t.vendors().select(*VENDOR)
     per = recent.withColumn("_late", late).groupBy(*VENDOR, iso_week_key(F.col("ts")).alias("week")).agg(

@@ -51,3 +51,8 @@ def test_order_fact_shuffles_lines_once(spark):
 def test_small_dimensions_do_not_shuffle_the_fact(spark):
     text = plan(Warehouse(spark, SF_DIR).vendor_orders())
     assert "hashpartitioning(vendor_id" not in text
+
+
+def test_final_sort_keeps_its_order(spark):
+    rows = [tuple(r)[:3] for r in load()["sort_multi_key"](spark, SF_DIR).collect()]
+    assert rows == sorted(rows, key=lambda r: (r[0], r[1], -r[2]))
