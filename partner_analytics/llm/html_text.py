@@ -234,9 +234,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 yield compare(part.slice(at, 200))
 
     kept = asked.select("row", "path", "lines", "others").mapInArrow(batches, "row long, kept string")
-    text = F.coalesce("kept", F.array_join("lines", " "), F.lit(""))
-    return cut.select("row", "page_id", "url", "lines").join(kept, "row", "left").select(
-        "page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    whole = F.array_join("lines", " ")
+    # decided pages do not move: only the others meet what is left of them
+    done = cut.filter("decided").select("page_id", "url", whole.alias("text"))
+    rest = open_pages.join(kept, "row", "left").select("page_id", "url", F.coalesce("kept", whole).alias("text"))
+    return done.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def _signed(line: str) -> int:
