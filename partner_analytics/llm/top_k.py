@@ -91,8 +91,8 @@ def search(points: DataFrame, queries: DataFrame, k: int, shards: int, pilot: bo
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
     targets = F.array(F.pmod(F.xxhash64(F.lit(7), "query_id"), F.lit(shards)).cast("int")) if pilot else F.sequence(
         F.lit(0), F.lit(shards - 1))
-    sent = queries.select(F.explode(targets).alias("shard"), block, "query_id", "q", "floor")
-    points = points.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    sent = queries.select(F.explode(targets).alias("shard"), block, F.size("q").alias("dim"), "query_id", "q", "floor")
+    points = points.select("*", F.size("x").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def run(group: tuple, vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple[int, int, int]] = []
@@ -102,7 +102,7 @@ def search(points: DataFrame, queries: DataFrame, k: int, shards: int, pilot: bo
                 rows += [(own, -i, int(s)) for s, i in tree.search(own, np.asarray(query), k, floor)]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    key = ["shard", "block"]
+    key = ["shard", "block", "dim"]
     return points.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(run, FOUND)
 
 
@@ -122,8 +122,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
     Components become floor(256 * x). Candidates are all rows but those with the query's own id; equal
     scores go by the smaller id. Null ids, and vectors that are null, empty or hold null or non-finite
-    components, take no part; repeated rows are searched once, as (id, vector) pairs. Scores are exact
-    while sums stay below 2^53.
+    components, take no part; repeated rows are searched once, as (id, vector) pairs. Vectors of another
+    length than the query's are no candidates. Scores are exact while sums stay below 2^53.
     """
     vector = F.col(vector_col).cast("array<double>")
     points = staged(vectors.filter(F.col(id_col).isNotNull() & usable(vector) & (F.size(vector) > 0)).select(

@@ -56,7 +56,7 @@ def test_top_k_query(workers, sf_dir):
 def test_top_k_ties_nulls_and_small_shards(workers):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(400)]
-    odd = [(500, None), (550, [1.0, None, 1.0, 1.0]), (501, [float("nan")] * 4), (502, [float("inf")] * 4), (None, [1.0] * 4), (600, [])]
+    odd = [(500, None), (550, [1.0, None, 1.0, 1.0]), (501, [float("nan")] * 4), (502, [float("inf")] * 4), (None, [1.0] * 4), (600, []), (601, [9.0] * 7)]
     frame = workers.createDataFrame([(*r, "c") for r in rows + odd + rows[:3]], "vec_id long, embedding array<double>, x string")
     got = {tuple(r) for r in top_k.top_k(frame, F.col("vec_id") % 50 == 0, shard=50).collect()}
     assert got == best(rows, 5, lambda i: i % 50 == 0)
