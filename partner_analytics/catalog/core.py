@@ -13,9 +13,7 @@ from partner_analytics.catalog.oracle import R, define, sql
 from partner_analytics.catalog.registry import query
 from partner_analytics.functions import LADDERS, OPS_LADDERS, dish_score, facebook_score, ladder, measure, quadratic_score
 from partner_analytics.plans import kpis, ops, scorecard
-from partner_analytics.plans.weights import (
-    AREAS, COMMERCIAL, CONTENT, CONVERSION, KPI_IMPACT, MARKETING, OPS, OPS_FINAL,
-)
+from partner_analytics.plans.weights import KPI_IMPACT
 from partner_analytics.sources.tables import AS_OF, EVENTS_AS_OF
 
 MONTH = periods.previous_month(AS_OF)
@@ -249,21 +247,46 @@ FROM metrics_{grain} m LEFT JOIN ops_scored o ON m.tenant_id = o.tenant_id AND m
 WHERE valid_orders > 0""")
 
 
+def stated(text: str) -> dict:
+    """Weights written as "name weight name weight ..."."""
+    words = text.split()
+    return dict(zip(words[::2], words[1::2]))
+
+
+# The definitions state their weights themselves, apart from the implementation's.
+STATED = {
+    "commercial": stated("revenue 0.8 price_mark_up 0.1 exclusivity 0.1"),
+    "marketing": stated("facebook 0.35 door_sticker 0.1 voucher_cards 0.1 display 0.1 backlink 0.35"),
+    "conversion": stated("reorder_rate 0.2 cr3 0.8"),
+    "content": stated("menucategories 0.33 products 0.33 products_without_description 0.34"),
+    "ops": stated("packaging_quality 0.1 automation 0.15 cancellations 0.15 vendor_delay 0.6"),
+    "ops_final": stated("packaging_quality 0.2 automation 0.2 cancellations 0.1 processing_time 0.1 vendor_delay 0.4"),
+}
+STATED_AREAS = stated("commercial 0.2 marketing 0.2 conversion 0.1 content 0.1 ops 0.4")
+STATED_IMPACT = {name: (area, weight) for area, weights in {
+    "0.3": stated("revenue 0.6 price_mark_up 0.1 exclusivity 0.15"),
+    "0.2": stated("facebook 0.35 backlink 0.35 display 0.05 door_sticker 0.05"),
+    "0.05": stated("reorder_rate 0.2 cr3 0.8 menucategories 0.33 products 0.33 products_without_description 0.34"),
+    "0.4": stated("packaging_quality 0 automation 0.1 cancellations 0.15 processing_time 0 closing_hours 0.1 customer_complaints 0.15"),
+    "0.0": stated("vendor_delay 0.5"),
+}.items() for name, weight in weights.items()}
+
+
 def weighted_sql(weights: dict) -> str:
     return "(" + " + ".join(f"CAST({w} AS DOUBLE) * {name}_score" for name, w in weights.items()) + ")"
 
 
-def areas_sql(inner_ops: dict) -> str:
-    inner = {"commercial": COMMERCIAL, "marketing": MARKETING, "conversion": CONVERSION, "content": CONTENT, "ops": inner_ops}
-    return "(" + " + ".join(f"CAST({w} AS DOUBLE) * {weighted_sql(inner[name])}" for name, w in AREAS.items()) + ")"
+def areas_sql(ops: str) -> str:
+    return "(" + " + ".join(
+        f"CAST({w} AS DOUBLE) * {weighted_sql(STATED[ops if name == 'ops' else name])}" for name, w in STATED_AREAS.items()) + ")"
 
 
 for grain in ("month", "week"):
     define(f"card_{grain}", f"""
-SELECT *, {weighted_sql(COMMERCIAL)} AS commercial, {weighted_sql(MARKETING)} AS marketing,
-  {weighted_sql(CONVERSION)} AS conversion, {weighted_sql(CONTENT)} AS content_score_area,
-  {weighted_sql(OPS)} AS ops, {areas_sql(OPS_FINAL)} AS final_business,
-  (10 - {areas_sql(OPS)}) * gmv AS impact,
+SELECT *, {weighted_sql(STATED['commercial'])} AS commercial, {weighted_sql(STATED['marketing'])} AS marketing,
+  {weighted_sql(STATED['conversion'])} AS conversion, {weighted_sql(STATED['content'])} AS content_score_area,
+  {weighted_sql(STATED['ops'])} AS ops, {areas_sql('ops_final')} AS final_business,
+  (10 - {areas_sql('ops')}) * gmv AS impact,
   CASE WHEN {day(AS_OF)} - activation_date >= 90 THEN 1 ELSE 0 END AS three_month_flag
 FROM scored_{grain}""")
 
@@ -461,11 +484,11 @@ def rpt_scorecard_weekly(t):
 
 define("kpi_impacts_month", "SELECT tenant_id, vendor_id, " + ", ".join(
     f"CAST({area} AS DOUBLE) * CAST({weight} AS DOUBLE) * gmv * (10 - {name}_score) AS {name}_impact"
-    for name, (area, weight) in KPI_IMPACT.items()) + " FROM scored_month")
+    for name, (area, weight) in STATED_IMPACT.items()) + " FROM scored_month")
 
 
 @query("rpt_impact_by_kpi", sql("SELECT tenant_id, vendor_id, " + ", ".join(
-    f"{R(f'{name}_impact', 4)} AS {name}_impact" for name in KPI_IMPACT) + " FROM kpi_impacts_month"))
+    f"{R(f'{name}_impact', 4)} AS {name}_impact" for name in STATED_IMPACT) + " FROM kpi_impacts_month"))
 def rpt_impact_by_kpi(t):
     card = scorecard.kpi_impact(monthly_card(t))
     return numbers(card.select("tenant_id", "vendor_id", *[f"{name}_impact" for name in KPI_IMPACT]), 4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from partner_analytics.catalog.core import (
-    AS_OF, KPI_IMPACT, MONTH, WEEK, day, monthly_card, numbers, weekly_card,
+    AS_OF, MONTH, STATED_IMPACT, WEEK, day, monthly_card, numbers, weekly_card,
 )
 from partner_analytics.catalog.oracle import R, define, sql
 from partner_analytics.catalog.registry import query
@@ -98,7 +98,7 @@ def dec_sql(c: str) -> str:
 define("opportunity_base", f"""
 SELECT c.*, np_commission, backlink_opp, fb_opp, commission_opp, excl_opp, material_opp, partner_competitor,
   prep_time_opp, automation_opp, cancel_opp, {', '.join(
-      f"CAST({a} AS DOUBLE) * CAST({w} AS DOUBLE) * gmv * (10 - {n}_score) AS {n}_impact" for n, (a, w) in KPI_IMPACT.items())}
+      f"CAST({a} AS DOUBLE) * CAST({w} AS DOUBLE) * gmv * (10 - {n}_score) AS {n}_impact" for n, (a, w) in STATED_IMPACT.items())}
 FROM card_week c LEFT JOIN pursuability_all f ON c.vendor_id = f.vendor_id WHERE impact IS NOT NULL AND valid_orders >= 1""")
 
 
@@ -234,7 +234,7 @@ def rpt_mass_upload(t):
 
 
 def weight_sql(i: int) -> str:
-    arms = " ".join(f"WHEN '{kind}' THEN {KPI_IMPACT[kpi][i]}" for kind, kpi in O.TYPE_KPI.items())
+    arms = " ".join(f"WHEN '{kind}' THEN {STATED_IMPACT[kpi][i]}" for kind, kpi in O.TYPE_KPI.items())
     return f"CAST(CASE record_type {arms} END AS DOUBLE)"
 
 
