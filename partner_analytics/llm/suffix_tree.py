@@ -235,29 +235,27 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     def sums(part: pa.RecordBatch) -> pa.RecordBatch:
         ids, start = starts_of(part.column("ids"))
         numbered = ids >= 0
-        plain = np.where(numbered, tree.value.root[ids], 0.0)
-        values = tree.value.score(ids, start)
-        lengths = np.diff(np.append(start, len(ids)))
-        add = (lambda v: np.add.reduceat(v, start) if len(start) else v[:0])
+        values = [np.diff(np.append(start, len(ids)))]
+        for each in ((numbered & has_count[ids]).astype(np.int64), np.where(numbered, tree.value.root[ids], 0.0), tree.value.score(ids, start)):
+            values.append(np.add.reduceat(each, start) if len(start) else each[:0])
         return pa.RecordBatch.from_arrays(
-            [part.column("row"), part.column("doc_id"), pa.array(lengths), pa.array(add((numbered & has_count[ids]).astype(np.int64))),
-             pa.array(add(plain)), pa.array(add(values)), part.column("rest"), part.column("times")],
-            ["row", "doc_id", "n_tokens", "sure", "plain", "deep", "rest", "times"])
-
-    per_doc = coded.select("row", "doc_id", "ids", "rest", "times").mapInArrow(
-        by_chunk(sums, "ids", CHUNK_IDS), f"row long, doc_id {kind}, n_tokens long, sure long, plain double, deep double, rest array<binary>, times array<long>")
-    # a document without rare words keeps one row, under a key that no word has
-    rows = per_doc.select("row", "doc_id", "n_tokens", "sure", "plain", "deep", F.explode_outer(F.arrays_zip("rest", "times")).alias("x")).select(
-        "row", "doc_id", "n_tokens", "sure", "plain", "deep", F.col("x.times").alias("times"),
-        F.coalesce(F.col("x.rest"), F.concat(F.lit(" "), F.col("row")).cast("binary")).alias("word"))
-    joined = rows.join(table, "word", "left")
+            [part.column("row"), part.column("doc_id"), *map(pa.array, values)], ["row", "doc_id", "n_tokens", "sure", "plain", "deep"])
+
+    per_doc = coded.select("row", "doc_id", "ids").mapInArrow(
+        by_chunk(sums, "ids", CHUNK_IDS), f"row long, doc_id {kind}, n_tokens long, sure long, plain double, deep double")
+    # rare words: only their document's number goes with them
     n = F.coalesce(F.col("n"), F.lit(0))
-    rare = F.coalesce(F.sum(F.col("times") * F.log10((n + 0.5) / F.lit(float(base)))), F.lit(0.0))
-    first = [F.first(c).alias(c) for c in ("doc_id", "n_tokens", "sure", "plain", "deep")]
-    return joined.groupBy("row").agg(
-        *first, rare.alias("rare"), F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("times"))), F.lit(0)).alias("more"),
-    ).select("doc_id", "n_tokens", (F.col("sure") + F.col("more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-             (F.col("plain") + F.col("rare")).alias("base_score"), (F.col("deep") + F.col("rare")).alias("score"))
+    rare = coded.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select(
+        "row", F.col("x.rest").alias("word"), F.col("x.times").cast("int").alias("times")).join(table, "word", "left").groupBy("row").agg(
+            F.sum(F.col("times") * F.log10((n + 0.5) / F.lit(float(base)))).alias("rare"),
+            F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("more"))
+
+    def filled(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0))
+
+    return per_doc.join(rare, "row", "left").select(
+        "doc_id", "n_tokens", (F.col("sure") + filled("more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("plain") + filled("rare")).alias("base_score"), (F.col("deep") + filled("rare")).alias("score"))
 
 
 def learns_from(id_column: Column) -> Column:
