@@ -7,7 +7,8 @@ has many shingles. All shingles of a chunk of documents take a step together.
 
 Grouping: documents with equal shingle sets are one node. ``BANDS`` bands of ``ROWS`` slots each make
 buckets; the chance that a pair at the threshold shares none is (1 - 0.75^4)^32 < 6e-6. In a bucket
-every node is compared with the smallest one only, on full shingle sets; linked nodes are united.
+every node is compared with the smallest and the largest one, on full shingle sets; linked nodes are
+united.
 Members of buckets that still hold several components may have links between those components.
 ``residual`` finds every pair of them that can reach the threshold, by exact bounds on shared
 shingles, and these pairs are compared as well. So no link between components is left out, and no
@@ -159,10 +160,10 @@ def buckets_of(nodes: DataFrame) -> DataFrame:
 
 
 def stars(buckets: DataFrame) -> DataFrame:
-    """(a, b): each member of a bucket with the smallest node of the bucket."""
-    least = buckets.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter("b < top")
-    return buckets.join(least.select("bucket", "b"), "bucket").filter("node <> b").select(
-        F.col("node").alias("a"), "b").distinct()
+    """(a, b): each member of a bucket with the smallest and with the largest node of the bucket."""
+    ends = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    return buckets.join(ends, "bucket").select(
+        F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b").distinct()
 
 
 def residual(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -228,7 +229,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = labelled.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
     open_nodes = labelled.join(mixed, "bucket", "left_semi").select("node", "component", "n").distinct()
-    rest = staged(residual(open_nodes, sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    known = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rest = staged(residual(open_nodes, sets, percent).join(known, ["a", "b"], "left_anti"), "pairs")
     more = staged(confirmed(rest, sets, percent), "links")
     if not more.isEmpty():
         united = staged(components(links.unionByName(more)), "components")
