@@ -1,16 +1,19 @@
 """Main text of web pages by nearest-URL page differencing.
 
-1. A page is cut into text lines, one for each block, with character references decoded. Elements that
-   are page furniture by their tag, class or role (menus, headers, footers, sidebars, notices, adverts,
-   forms, scripts, styles, reader comments) give none.
-2. A page that declares its article (``article``, else ``main``) is decided by that: lines inside are its
-   text and are never deleted, lines outside are furniture.
-3. All other pages are compared: pages of a host stand in the order of their URL paths, and each is
-   paired with the neighbour whose path shares the longer beginning. Both pages' lines are aligned by
-   their longest common subsequence, and the shared lines are deleted.
-
-The order over all hosts comes from a range partition, so a host with a third of all pages is spread
-over many tasks; only hashes of lines travel to the neighbour.
+1. A page is cut into text lines, one for each block, with character references decoded. Each line
+   carries what the page says of it: elements that are page furniture by their tag, class or role
+   (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) hold no main text, nor
+   does what lies outside ``article`` and ``main`` on a page that has them. All other lines are candidates.
+2. Pages of a host stand in the order of their URL paths, and each is paired with the neighbour whose
+   path shares the longer beginning. All lines of both pages are aligned by their longest common
+   subsequence, and the candidates among the shared lines are deleted.
+3. A declared article protects its lines: its candidates are aligned with those of the neighbours on both
+   sides, and a line is deleted where both of them (or the only one) share it.
+
+Equal pages of a host are one page here. The order over all hosts comes from a range partition, so a
+host with a third of all pages is spread over many tasks; only hashes of lines travel to the
+neighbour. Texts stay where they are: pages are cut once more at the end, and meet the numbers of
+their deleted lines.
 """
 
 from __future__ import annotations
@@ -59,10 +62,10 @@ def marked(attributes: str) -> bool:
     return False
 
 
-def lines_of(page: str | None) -> tuple[list[str], bool]:
-    """(lines, decided): text lines of a page; decided if they are those of a declared article."""
+def lines_of(page: str | None) -> tuple[list[tuple[str, bool]], bool]:
+    """(lines, declared): (line, candidate) of a page, and whether they come from a declared article."""
     if not page:
-        return [], True
+        return [], False
     found: list[tuple[str, str]] = []  # region, line
     held: list[str] = []
     stack: list[str] = []
@@ -73,19 +76,17 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
         line = " ".join("".join(held).split())
         held.clear()
         if line:
-            found.append((where, line))
+            found.append(("furniture" if skip is not None else where, line))
 
     while at < end:
         mark = page.find("<", at)
         if mark != at:
-            if skip is None:
-                held.append(references.unescape(page[at:mark if mark >= 0 else end]))
+            held.append(references.unescape(page[at:mark if mark >= 0 else end]))
             if mark < 0:
                 break
         token = _TOKEN.match(page, mark) or _LOOSE.match(page, mark)
         if token is None:  # a bare "<" is text
-            if skip is None:
-                held.append("<")
+            held.append("<")
             at = mark + 1
             continue
         at = token.end()
@@ -114,18 +115,17 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
             continue
         stack.append(name)
         if name == "article" and not seen_article and (skip is None or "comment" not in stack):
+            flush()
             skip, seen_article = None, True  # furniture that was left open ends here
         elif skip is None and (name in FURNITURE or attributes and name not in ("html", "body", "main") and marked(attributes)):
             flush()
             skip = len(stack)
         if skip is None and region is None and name in ("article", "main"):
             region, where = len(stack), name
-    if skip is None:
-        flush()
-    for kind in ("article", "main"):
-        if any(w == kind for w, _ in found):
-            return [line for w, line in found if w == kind], True
-    return [line for _, line in found], False
+    flush()
+    kinds = {where for where, _ in found}
+    wanted = next((kind for kind in ("article", "main") if kind in kinds), "")
+    return [(line, where == wanted) for where, line in found], wanted != ""
 
 
 def place_of(url: str | None) -> tuple[str, str]:
@@ -139,6 +139,12 @@ def place_of(url: str | None) -> tuple[str, str]:
 
 def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which items of ``a`` are in a longest common subsequence of both (divide and conquer, linear memory)."""
+    inside, other = np.isin(a, b), np.isin(b, a)
+    if not (inside.all() and other.all()):  # lines of one side only change nothing
+        keep = np.zeros(len(a), bool)
+        if inside.any():
+            keep[inside] = common_lines(a[inside], b[other])
+        return keep
     keep = np.zeros(len(a), bool)
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -169,24 +175,48 @@ def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row
 
 
-def cut_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, path, decided, lines) of each page."""
+def parsed(html: str | None, url: str | None) -> tuple[str, str, bytes, list[tuple[str, bool]], bool]:
+    """(host, path, key, lines, declared) of a page; ``key`` is a 128-bit hash of the host and the lines."""
+    host, path = place_of(url)
+    lines, declared = lines_of(html)
+    own = xxhash.xxh3_128(host.encode() + (b"\0\1" if declared else b"\0\0"))
+    for line, candidate in lines:
+        own.update(b"\0\1" if candidate else b"\0\0")
+        own.update(line.encode())
+    return host, path, own.digest(), lines, declared
+
+
+def line_hashes(pages: DataFrame) -> DataFrame:
+    """(host, path, key, declared, hashes, sizes) of each page; a line's size is its characters if it is a candidate, else 0."""
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        found = [parsed(*x) for x in zip(part.column("html").to_pylist(), part.column("url").to_pylist())]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.binary()), pa.array([x[4] for x in found], pa.bool_()),
+             pa.array([[_signed(line) for line, _ in x[3]] for x in found], pa.list_(pa.int64())),
+             pa.array([[len(line) if candidate else 0 for line, candidate in x[3]] for x in found], pa.list_(pa.int32()))],
+            ["host", "path", "key", "declared", "hashes", "sizes"])
+
+    return pages.mapInArrow(by_chunk(run, "html"), "host string, path string, key binary, declared boolean, hashes array<long>, sizes array<int>")
+
+
+def candidates(pages: DataFrame) -> DataFrame:
+    """(page_id, url, key, lines) of each page, with its candidates alone."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        lines, decided = zip(*[lines_of(x) for x in part.column("html").to_pylist()])
-        places = [place_of(x) for x in part.column("url").to_pylist()]
+        found = [parsed(*x) for x in zip(part.column("html").to_pylist(), part.column("url").to_pylist())]
         return pa.RecordBatch.from_arrays(
-            [part.column("page_id"), part.column("url"), pa.array([h for h, _ in places]), pa.array([p for _, p in places]),
-             pa.array(decided), pa.array(lines, pa.list_(pa.string()))],
-            ["page_id", "url", "host", "path", "decided", "lines"])
+            [part.column("page_id"), part.column("url"), pa.array([x[2] for x in found], pa.binary()),
+             pa.array([[line for line, candidate in x[3] if candidate] for x in found], pa.list_(pa.string()))],
+            ["page_id", "url", "key", "lines"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.mapInArrow(by_chunk(run, "html"), f"page_id {kind}, url string, host string, path string, decided boolean, lines array<string>")
+    return pages.mapInArrow(by_chunk(run, "html"), f"page_id {kind}, url string, key binary, lines array<string>")
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
     """(row, other): the page before and the page after in the order of host and path, same host only."""
-    order = ["host", "path", "page_id", "row"]
+    order = ["host", "path", "key", "row"]
     light = staged(pages.select(*order).repartitionByRange(width(pages.sparkSession), *order).sortWithinPartitions(*order).select(
         F.monotonically_increasing_id().alias("at"), "host", "row"), "order")  # partition << 33 | place in it
     slices = light.groupBy(F.shiftright("at", 33).alias("slice")).agg(F.max("at").alias("last"), F.min("at").alias("first"))
@@ -199,46 +229,50 @@ def neighbours(pages: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("other").alias("row"), F.col("row").alias("other")))
 
 
+def deleted_lines(path: str, declared: bool, hashes: list[int], sizes: list[int], others: list[dict]) -> list[int]:
+    """Numbers among a page's candidates of those that are deleted, given the pages around it."""
+    own, weight = np.array(hashes, np.int64), np.array(sizes, np.int64)
+    others = sorted(others, key=lambda o: (-len(os.path.commonprefix([o["path"], path])), o["row"]))  # nearest first
+    if not declared:
+        shared = common_lines(own, np.array(others[0]["hashes"], np.int64))
+        return np.flatnonzero(shared[weight > 0]).tolist()
+    inside = [np.array(o["hashes"], np.int64)[np.array(o["sizes"], np.int64) > 0] for o in others]
+    return np.flatnonzero(np.all([common_lines(own[weight > 0], other) for other in inside], axis=0)).tolist()
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every page: (page_id, url, text, n_chars), one row for each row of ``pages``.
 
     A null, empty or broken page gives the text its lines give, the empty text if there are none. Null
-    URLs make up a host of their own. An undecided page without another page on its host keeps all
-    lines. Repeated rows are pages of their own: undecided copies at one URL share all lines, so
-    neither keeps text. Long pages are read to their end.
+    URLs make up a host of their own. A page without a page of other lines on its host keeps all
+    candidates. Repeated rows and pages of a host with equal lines get one result. Long pages are read
+    to their end.
     """
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    cut = staged(cut_pages(source).select(F.monotonically_increasing_id().alias("row"), "*"), "lines")
-    open_pages = cut.filter(~F.col("decided"))
-    hosts = open_pages.select("host").distinct()
-    pairs = neighbours(cut.select("row", "host", "path", "page_id").join(hosts, "host", "left_semi"))
-    hashes = cut.select(F.col("row").alias("other"), F.col("path").alias("other_path"), "decided",
-                        F.transform("lines", lambda x: F.xxhash64(x)).alias("other_lines"))
-    asked = open_pages.select("row", "path", "lines").join(pairs, "row").join(hashes, "other").groupBy("row").agg(
-        F.first("path").alias("path"), F.first("lines").alias("lines"),
-        F.collect_list(F.struct("other_path", "other", "other_lines")).alias("others"))  # two at most
+    distinct = staged(line_hashes(source.select("url", "html")).groupBy("key").agg(
+        F.min("host").alias("host"), F.min("path").alias("path"), F.first("declared").alias("declared"), F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"),
+    ).select(F.monotonically_increasing_id().alias("row"), "*"), "lines")
+    pairs = neighbours(distinct.select("row", "host", "path", "key"))
+    others = distinct.select(F.col("row").alias("other"), F.struct("row", "path", "hashes", "sizes").alias("x")).join(pairs, "other").groupBy("row").agg(
+        F.collect_list("x").alias("others"))  # two at most
+    asked = distinct.join(others, "row").select("key", "path", "declared", "hashes", "sizes", "others")
 
     def compare(part: pa.RecordBatch) -> pa.RecordBatch:
-        rows, texts = [], []
-        for row, path, lines, others in zip(*(part.column(c).to_pylist() for c in ("row", "path", "lines", "others"))):
-            near = max(others, key=lambda o: (len(os.path.commonprefix([o["other_path"], path])), -o["other"]))
-            own = np.array([_signed(line) for line in lines], np.int64)
-            shared = common_lines(own, np.array(near["other_lines"], np.int64))
-            rows.append(row)
-            texts.append(" ".join([line for line, s in zip(lines, shared) if not s]))
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(texts, pa.string())], ["row", "kept"])
+        columns = [part.column(c).to_pylist() for c in ("key", "path", "declared", "hashes", "sizes", "others")]
+        found = [(key, cut) for key, *page in zip(*columns) if (cut := deleted_lines(*page))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in found], pa.binary()), pa.array([c for _, c in found], pa.list_(pa.int32()))], ["key", "cut"])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for at in range(0, part.num_rows, 200):
                 yield compare(part.slice(at, 200))
 
-    kept = asked.select("row", "path", "lines", "others").mapInArrow(batches, "row long, kept string")
-    whole = F.array_join("lines", " ")
-    # decided pages do not move: only the others meet what is left of them
-    done = cut.filter("decided").select("page_id", "url", whole.alias("text"))
-    rest = open_pages.join(kept, "row", "left").select("page_id", "url", F.coalesce("kept", whole).alias("text"))
-    return done.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
+    cuts = staged(asked.mapInArrow(batches, "key binary, cut array<int>"), "cuts")
+    left = F.filter("lines", lambda _, i: ~F.array_contains("cut", i))
+    return candidates(source).join(cuts, "key", "left").select(
+        "page_id", "url", F.array_join(F.when(F.col("cut").isNull(), F.col("lines")).otherwise(left), " ").alias("text"),
+    ).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def _signed(line: str) -> int:

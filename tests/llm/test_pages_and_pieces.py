@@ -142,6 +142,19 @@ def test_pages_without_article_are_compared(workers):
     assert got == sorted(want, key=repr)
 
 
+def texts_of(workers, pages):
+    frame = workers.createDataFrame(pages, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_text.main_text(frame).collect()}
+
+
+def test_shared_lines_of_articles_are_deleted(workers):
+    page = "<nav>Menu</nav><article><p>{} long own text of this page</p><p>Read more from us</p></article><p>Outside</p>"
+    got = texts_of(workers, [(i, f"http://n.x/a/{i}", page.format(w)) for i, w in enumerate(["First", "Second", "Third"])]
+                   + [(9, "http://n.x/a/1b", "<p>Menu</p><p>Bare page</p><p>Read more from us</p>")])
+    assert got == {0: "First long own text of this page", 1: "Second long own text of this page",
+                   2: "Third long own text of this page", 9: "Bare page"}
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(200):
