@@ -39,27 +39,34 @@ BLOCKS = set("""address article aside blockquote body br caption center dd detai
 footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th
 thead tr ul""".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: fixed values: words of class, id and role names that mark furniture
-MARKS = set("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation
-menu breadcrumb breadcrumbs sidebar aside footer header masthead comment comments respond reply disqus notice notices cookie
-cookies consent gdpr alert newsletter subscribe subscription share sharing social related recommended popup modal overlay
-login signup search pagination pager widget toolbar contentinfo complementary""".split())
+#: fixed values: whole class, id and role names that mark furniture
+COMMENTS = set("""comment comments comment-list commentlist comments-list comment-section comments-section comment-area
+comments-area comment-body comment-form comment-respond comment-thread comments-wrapper user-comments reader-comments
+disqus disqus_thread disqus-thread respond reply replies""".split())
+MARKS = COMMENTS | set("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar
+navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead notice notices cookie cookies consent gdpr alert
+newsletter subscribe subscription share sharing social related recommended popup modal overlay login signup search pagination
+pager widget toolbar contentinfo complementary site-header site-footer site-nav page-header page-footer main-nav main-menu
+main-navigation nav-menu nav-bar side-bar cookie-banner cookie-notice cookie-consent social-share share-buttons related-posts
+related-articles ad-banner ad-container""".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=\s|/|$|["'])""", re.IGNORECASE)
-_PARTS = re.compile(r"[^a-z0-9]+")
 
 
-def marked(attributes: str) -> bool:
-    """Whether class, id or role names an element as furniture, or it is hidden."""
+def names_of(attributes: str) -> tuple[set[str], set[str], bool]:
+    """(class and role names, id names, hidden) of an element."""
+    names, ids, hidden = set(), set(), False
     for name, *values in _NAMES.findall(attributes):
         value, name = "".join(values).lower(), name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id", "role") and not MARKS.isdisjoint(_PARTS.split(value)):
-            return True
-    return False
+        hidden = hidden or name == "hidden" or name == "aria-hidden" and value == "true"
+        if name in ("class", "role"):
+            names.update(value.split())
+        elif name == "id":
+            ids.update(value.split())
+    return names, ids, hidden
 
 
 def lines_of(page: str | None) -> tuple[list[tuple[str, bool]], bool]:
@@ -69,7 +76,7 @@ def lines_of(page: str | None) -> tuple[list[tuple[str, bool]], bool]:
     found: list[tuple[str, str]] = []  # region, line
     held: list[str] = []
     stack: list[str] = []
-    skip = region = None  # depth of the stack at which furniture or the article began
+    skip = region = talk = None  # depth of the stack at which furniture, the article or comments began
     where, seen_article, at, end = "", False, 0, len(page)
 
     def flush() -> None:
@@ -103,6 +110,8 @@ def lines_of(page: str | None) -> tuple[list[tuple[str, bool]], bool]:
                 if skip is not None and len(stack) < skip:
                     flush()
                     skip = None
+                if talk is not None and len(stack) < talk:
+                    talk = None
                 if region is not None and len(stack) < region:
                     flush()
                     region, where = None, ""
@@ -114,18 +123,24 @@ def lines_of(page: str | None) -> tuple[list[tuple[str, bool]], bool]:
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
         stack.append(name)
-        if name == "article" and not seen_article and (skip is None or "comment" not in stack):
+        names, ids, hidden = names_of(attributes) if attributes and name not in ("html", "body") else (set(), set(), False)
+        if name in HEADINGS:
+            ids = set()  # a heading's id is an anchor
+        if talk is None and not COMMENTS.isdisjoint(names | ids):
+            talk = len(stack)
+        if region is not None:
+            ids &= COMMENTS  # so are most of an article's
+        if talk is None and (name == "main" or name == "article" and not seen_article):
             flush()
-            skip, seen_article = None, True  # furniture that was left open ends here
-        elif skip is None and (name in FURNITURE or attributes and name not in ("html", "body", "main") and marked(attributes)):
+            skip, seen_article = None, seen_article or name == "article"  # furniture that was left open ends here
+        elif skip is None and (name in FURNITURE or hidden or not MARKS.isdisjoint(names | ids)):
             flush()
             skip = len(stack)
         if skip is None and region is None and name in ("article", "main"):
             region, where = len(stack), name
     flush()
-    kinds = {where for where, _ in found}
-    wanted = next((kind for kind in ("article", "main") if kind in kinds), "")
-    return [(line, where == wanted) for where, line in found], wanted != ""
+    declared = any(where in ("article", "main") for where, _ in found)
+    return [(line, where in ("article", "main") if declared else where == "") for where, line in found], declared
 
 
 def place_of(url: str | None) -> tuple[str, str]:

@@ -155,6 +155,24 @@ def test_shared_lines_of_articles_are_deleted(workers):
                    2: "Third long own text of this page", 9: "Bare page"}
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<main><p>Text</p></main><section class=comments><article>C</article></section>", "Text"),
+    ("<main><p>Text</p><div id=comments><article>C</article></div><p>More</p></main>", "Text More"),
+    ("<div class=sidebar><div class=comment><article>C</article></div></div><p>Text</p>", "Text"),
+    ("<section class=comments><main>C</main></section><p>Text</p>", "Text"),
+    ("<section class=comments><article>C</article></section><article>Text</article>", "Text"),
+    ("<div class='content has-sidebar'><main>Text</main></div>", "Text"),
+    ("<div class='content has-sidebar'><p>Text</p></div><div class=sidebar>S</div>", "Text"),
+    ("<div class='header'>H<main>Text</main></div>", "Text"),
+    ("<div class='fixed-header'><p>Text</p></div>", "Text"),
+    ("<article><h2 id='search'>Search</h2><section id='related-work'>A</section><section id='social'>B</section></article>", "Search A B"),
+    ("<main>Text</main><article>More</article>", "Text More"),
+    ("<article class=comment>C</article><p>Text</p>", "Text"),
+])
+def test_main_text_is_not_lost_to_names_or_comments(page, want):
+    assert " ".join(line for line, candidate in html_text.lines_of(page)[0] if candidate) == want
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(200):
