@@ -9,6 +9,8 @@
    subsequence, and the candidates among the shared lines are deleted.
 3. A declared article protects its lines: its candidates are aligned with those of the neighbours on both
    sides, and a line is deleted where both of them (or the only one) share it.
+4. A neighbour with nearly the same candidates is a copy and tells nothing of templates: the page is
+   compared with the other neighbour, and keeps its candidates if that is a copy as well.
 
 Equal pages of a host are one page here. The order over all hosts comes from a range partition, so a
 host with a third of all pages is spread over many tasks; only hashes of lines travel to the
@@ -49,6 +51,8 @@ newsletter subscribe subscription share sharing social related recommended popup
 pager widget toolbar contentinfo complementary site-header site-footer site-nav page-header page-footer main-nav main-menu
 main-navigation nav-menu nav-bar side-bar cookie-banner cookie-notice cookie-consent social-share share-buttons related-posts
 related-articles ad-banner ad-container""".split())
+#: share of two pages' characters from which they are copies; furniture is the lesser part of an article
+NEAR, NEAR_ARTICLE = 0.9, 0.5
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
@@ -247,12 +251,22 @@ def neighbours(pages: DataFrame) -> DataFrame:
 def deleted_lines(path: str, declared: bool, hashes: list[int], sizes: list[int], others: list[dict]) -> list[int]:
     """Numbers among a page's candidates of those that are deleted, given the pages around it."""
     own, weight = np.array(hashes, np.int64), np.array(sizes, np.int64)
-    others = sorted(others, key=lambda o: (-len(os.path.commonprefix([o["path"], path])), o["row"]))  # nearest first
-    if not declared:
-        shared = common_lines(own, np.array(others[0]["hashes"], np.int64))
-        return np.flatnonzero(shared[weight > 0]).tolist()
-    inside = [np.array(o["hashes"], np.int64)[np.array(o["sizes"], np.int64) > 0] for o in others]
-    return np.flatnonzero(np.all([common_lines(own[weight > 0], other) for other in inside], axis=0)).tolist()
+    inside = own[weight > 0]
+
+    def shares(other: dict) -> np.ndarray | None:
+        """Which candidates the other page shares; None if it is a copy."""
+        lines, sizes = np.array(other["hashes"], np.int64), np.array(other["sizes"], np.int64)
+        same = common_lines(inside, lines[sizes > 0])
+        least = NEAR_ARTICLE if declared and other["declared"] else NEAR
+        if 2 * weight[weight > 0][same].sum() >= least * (weight.sum() + sizes.sum()):
+            return None
+        return same if declared else common_lines(own, lines)[weight > 0]
+
+    nearest = sorted(others, key=lambda o: (-len(os.path.commonprefix([o["path"], path])), o["row"]))
+    shared = [x for x in map(shares, nearest) if x is not None]
+    if not shared:
+        return []
+    return np.flatnonzero(np.all(shared, axis=0) if declared else shared[0]).tolist()
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -268,7 +282,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         F.min("host").alias("host"), F.min("path").alias("path"), F.first("declared").alias("declared"), F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"),
     ).select(F.monotonically_increasing_id().alias("row"), "*"), "lines")
     pairs = neighbours(distinct.select("row", "host", "path", "key"))
-    others = distinct.select(F.col("row").alias("other"), F.struct("row", "path", "hashes", "sizes").alias("x")).join(pairs, "other").groupBy("row").agg(
+    others = distinct.select(F.col("row").alias("other"), F.struct("row", "path", "declared", "hashes", "sizes").alias("x")).join(pairs, "other").groupBy("row").agg(
         F.collect_list("x").alias("others"))  # two at most
     asked = distinct.join(others, "row").select("key", "path", "declared", "hashes", "sizes", "others")
 

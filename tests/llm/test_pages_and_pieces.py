@@ -173,6 +173,18 @@ def test_main_text_is_not_lost_to_names_or_comments(page, want):
     assert " ".join(line for line, candidate in html_text.lines_of(page)[0] if candidate) == want
 
 
+def test_copies_keep_their_text(workers):
+    page = "<p>Home | News</p>{}<p>All rights</p>"
+    long = "".join(f"<p>Sentence {i} of a long page</p>" for i in range(40))
+    pages = [(1, "http://c.x/a", page.format(long)), (2, "http://c.x/a", page.format(long)), (3, "http://c.x/a?print=1", page.format(long)),
+             (4, "http://c.x/a?v=2", page.format(long + "<p>Corrected</p>")), (5, "http://c.x/b", page.format("<p>Else, and long enough</p>")),
+             (6, "http://d.x/a", page.format(long)), (7, "http://d.x/b", page.format(long + "<p>Corrected</p>"))]
+    got, own = texts_of(workers, pages), " ".join(f"Sentence {i} of a long page" for i in range(40))
+    assert got[4] == f"{own} Corrected" and got[5] == "Else, and long enough"
+    assert all(own in got[i] for i in (1, 2, 3)) and got[1] == got[2] == got[3]
+    assert own in got[6] and own in got[7]
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(200):
