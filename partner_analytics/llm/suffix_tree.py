@@ -1,35 +1,37 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The tree's states are contexts of zero to ``ORDER`` words. A context is a candidate if it makes up at
-least ``CONTEXT`` of all training tokens, and it keeps a next word of its own if the pair makes up at
-least ``PAIR``: the tree is bounded by these shares, whatever the size of the corpus, while the counts
-behind them cover all of it. A candidate is retained where its next words differ enough from those of
-its longest retained suffix: count * divergence >= half a logarithm of the count for each kept word.
+The tree's states are contexts of zero to ``ORDER`` words. A context keeps a next word of its own if the
+pair occurs ``LEAST`` times, at every size of the corpus. It is retained where its next words differ
+enough from those of its longest retained suffix: count * divergence >= half a logarithm of the count
+for each kept word.
 
 A retained context gives a kept word its discounted share plus the discounted mass times the shorter
 context's probability, any other word the latter alone; the root is the smoothed word frequency. So
-every distribution sums to one, and a rare word adds the logarithm of its root probability, which is
-joined from the table of all words. Frequent words (``HOT``; a bounded number) need no join.
+every distribution sums to one, and a text's score is its root score plus one addend for each run of
+words (gram) in it: the logarithm of the mass that a retained context leaves, and for a kept pair what its
+probability adds to that. Counts, contexts and addends are tables dealt by 64-bit hashes of the grams;
+only the most frequent ones (``NEAR``; a bounded number) are looked up without a join, as are
+frequent words (``HOT``).
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partner_analytics.llm.common import by_chunk, chunks, id_bucket, staged, words
+from partner_analytics.llm.common import GOLDEN, by_chunk, chunks, hashed, id_bucket, mix, staged, words
 
-ORDER, CONTEXT, PAIR, HOT, DISCOUNT = 2, 1e-5, 2e-6, 1e-6, 0.75
+ORDER, LEAST, NEAR, HOT, DISCOUNT = 2, 2, 1_000_000, 1e-6, 0.75
 #: the end of a text; no word is empty
 END = b""
-#: tokens that a worker handles at once
-CHUNK_IDS = 500_000
 #: distinct words a worker adds up before it passes them on
 FLUSH = 300_000
 
@@ -60,7 +62,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Level:
-    """Contexts of one length with their kept next words. ``codes`` = context * alphabet + word, sorted."""
+    """In-memory form of the tree, for small texts. Contexts of one length with their kept next words. ``codes`` = context * alphabet + word, sorted."""
 
     codes: np.ndarray
     counts: np.ndarray
@@ -149,25 +151,74 @@ def lower_logs(context: np.ndarray, word: np.ndarray, suffix: np.ndarray, shorte
     return np.where(use, np.where(at >= 0, level.logs[at] if len(level.logs) else 0.0, level.rest[own] + below), below)
 
 
-def starts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Flat numbers of a list column and where each list begins."""
-    offsets = column.offsets.to_numpy()
-    ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return ids, (offsets[:-1] - offsets[0]).astype(np.int64)
+def grams_of(texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(start, grams, at): where each text begins; hashes of all runs of 1 to ORDER + 1 words, and their last token."""
+    own = [hashed([*words(text), END]) for text in texts]
+    length = np.array([len(x) for x in own], np.int64)
+    start = np.cumsum(length) - length
+    grams, at = [np.concatenate(own) if own else np.empty(0, np.uint64)], [np.arange(length.sum())]
+    place = at[0] - np.repeat(start, length)
+    for k in range(1, ORDER + 1):
+        longer = np.flatnonzero(place[at[-1]] >= k)
+        grams.append(joined(grams[-1][longer - 1], grams[-1][longer]))
+        at.append(at[-1][longer])
+    return start, grams, at
 
 
-def pair_counts(coded: DataFrame, tree, least: float) -> DataFrame:
-    """(code, n): next words of the tree's longest contexts, from ``least`` occurrences."""
+def joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Hash of the run that begins with ``prefix`` and ends with ``suffix``, each one word shorter."""
+    with np.errstate(over="ignore"):
+        return mix(mix(prefix * GOLDEN + np.uint64(1)) + suffix)
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        ids, start = starts_of(part.column("ids"))
-        context = tree.value.grams(ids, start)[-1]
-        ok = (context >= 0) & (ids >= 0) & (ids < tree.value.alphabet)
-        codes, n = np.unique(context[ok] * tree.value.alphabet + ids[ok], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
 
-    found = coded.filter("learns").select("ids").mapInArrow(by_chunk(run, "ids", CHUNK_IDS), "code long, n long")
-    return found.groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+def gram_counts(docs: DataFrame, k: int) -> DataFrame:
+    """(gram, prefix, suffix, n) of runs of ``k`` words that occur ``LEAST`` times."""
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        _, grams, at = grams_of(part.column("text").to_pylist())
+        _, first, n = np.unique(grams[k - 1], return_index=True, return_counts=True)
+        shorter = np.zeros(len(grams[0]), np.uint64)
+        shorter[at[k - 2]] = grams[k - 2]  # by last token
+        last = at[k - 1][first]
+        return pa.RecordBatch.from_arrays([*map(pa.array, (shorter[last - 1].view(np.int64), shorter[last].view(np.int64), n))], ["prefix", "suffix", "n"])
+
+    def name(part: pa.RecordBatch) -> pa.RecordBatch:
+        prefix, suffix = (part.column(c).to_numpy().view(np.uint64) for c in ("prefix", "suffix"))
+        return pa.RecordBatch.from_arrays([pa.array(joined(prefix, suffix).view(np.int64)), *part.columns], ["gram", *part.schema.names])
+
+    found = docs.select("text").mapInArrow(by_chunk(run), "prefix long, suffix long, n long").groupBy("prefix", "suffix").agg(
+        F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+    return found.mapInArrow(lambda parts: map(name, parts), "gram long, prefix long, suffix long, n long")
+
+
+def addends(docs: DataFrame, table: DataFrame, base: float) -> DataFrame:
+    """(gram, n, delta): what each run of words adds to the score of a text, for those that add something."""
+
+    def hash_words(part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(hashed(part.column("word").to_pylist()).view(np.int64)), part.column("n")], ["gram", "n"])
+
+    shorter = staged(table.filter(F.col("n") >= LEAST).mapInArrow(lambda parts: map(hash_words, parts), "gram long, n long").withColumn(
+        "log", F.log10((F.col("n") + 0.5) / F.lit(base))), "level")
+    out = []
+    for k in range(2, ORDER + 2):
+        # a run's suffix and its context occur at least as often as it does, so the joins lose nothing
+        low = shorter.select(F.col("gram").alias("suffix"), F.col("log").alias("low"))
+        pairs = staged(gram_counts(docs, k).join(low, "suffix").select("gram", "prefix", "n", "low"), "pairs")
+        n, a, total = F.col("n"), F.col("a"), F.col("total").cast("double")
+        sums = pairs.groupBy("prefix").agg(
+            F.count("*").alias("kept"), F.sum("n").alias("a"), F.sum(F.pow(F.lit(10.0), "low")).alias("c"),
+            F.sum(n * (F.log(n.cast("double")) - F.col("low") * math.log(10))).alias("b"))
+        own_rest, low_rest = F.greatest(1 - a / total, F.lit(0.0)), F.greatest(1 - F.col("c"), F.lit(1e-12))
+        divergence = (F.col("b") - a * F.log(total)) / total + F.when(own_rest > 0, own_rest * F.log(own_rest / low_rest)).otherwise(0.0)
+        contexts = staged(sums.join(shorter.select(F.col("gram").alias("prefix"), F.col("n").alias("total")), "prefix").filter(
+            total * divergence >= 0.5 * (F.col("kept") + 1) * F.log(total + 1)).select(
+                "prefix", "total", F.log10(F.greatest(1 - (a - DISCOUNT * F.col("kept")) / total, F.lit(1e-12))).alias("rest")), "contexts")
+        both = pairs.join(contexts, "prefix", "left")
+        raised = F.log10((n - DISCOUNT) / F.col("total") + F.pow(F.lit(10.0), F.col("rest") + F.col("low")))
+        shorter = staged(both.select("gram", "n", F.coalesce(raised, "low").alias("log"), (raised - F.col("low") - F.col("rest")).alias("delta")), "level")
+        out += [contexts.select(F.col("prefix").alias("gram"), F.col("total").alias("n"), F.col("rest").alias("delta")),
+                shorter.filter("delta IS NOT NULL").select("gram", "n", "delta")]
+    return reduce(DataFrame.unionByName, out).groupBy("gram").agg(F.max("n").alias("n"), F.sum("delta").alias("delta"))
 
 
 def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,59 +241,57 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
         names, counts = [*names, END], np.append(counts, 0)
     known = spark.sparkContext.broadcast({w: i for i, w in enumerate(names)})
     end = names.index(END)
+    has_count, root = counts > 0, np.log10((counts + 0.5) / base)
+
+    tree = staged(addends(source.filter("learns"), table, float(base)), "tree")
+    # the most frequent grams, NEAR at most: from the least count that lets all of them in
+    by_count = np.array([tuple(r) for r in tree.groupBy("n").count().collect()], np.int64).reshape(-1, 2)
+    by_count = by_count[np.argsort(-by_count[:, 0])]
+    fits = int(np.count_nonzero(np.cumsum(by_count[:, 1]) <= NEAR))
+    whole, least = fits == len(by_count), int(by_count[fits - 1, 0]) if fits else 1 << 62
+    taken = tree.filter(F.col("n") >= least).select("gram", "delta").toArrow()
+    by_gram = np.argsort(taken.column("gram").to_numpy())
+    near = spark.sparkContext.broadcast((taken.column("gram").to_numpy()[by_gram], taken.column("delta").to_numpy()[by_gram]))
 
     def code(part: pa.RecordBatch) -> pa.RecordBatch:
-        number, ids, rest, times = known.value, [], [], []
-        for text in part.column("text").to_pylist():
+        number, rest, times = known.value, [], []
+        texts = part.column("text").to_pylist()
+        start, grams, last = grams_of(texts)
+        ids = np.empty(len(grams[0]), np.int64)
+        for begin, text in zip(start, texts):
             own = words(text)
             at = [number.get(w, -1) for w in own]
-            at.append(end)
+            ids[begin:begin + len(own) + 1] = [*at, end]
             found = Counter([w for w, i in zip(own, at) if i < 0]) if -1 in at else {}
-            ids.append(np.array(at, np.int32))
             rest.append(list(found))
             times.append(list(found.values()))
-        return pa.RecordBatch.from_arrays(
-            [part.column("row"), part.column("doc_id"), part.column("learns"), pa.array(ids, pa.list_(pa.int32())),
-             pa.array(rest, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-            ["row", "doc_id", "learns", "ids", "rest", "times"])
-
-    kind = source.schema["doc_id"].dataType.simpleString()
-    coded = staged(source.select(F.monotonically_increasing_id().alias("row"), "*").mapInArrow(
-        by_chunk(code), f"row long, doc_id {kind}, learns boolean, ids array<int>, rest array<binary>, times array<long>"), "coded")
-
-    root = np.log10((counts + 0.5) / base)
-    size = max(1, int(np.count_nonzero(counts >= max(1, CONTEXT * total))))  # numbers go by count, largest first
-    levels: list[Level] = []
-    eligible = [np.arange(size) != end]
-    gram_counts, suffix = counts[:size], np.full(size, -1)
-    for k in range(ORDER):
-        tree = spark.sparkContext.broadcast(Tree(size, end, eligible, levels, root))
-        pairs = pair_counts(coded, tree, max(2, PAIR * total)).toArrow()  # 1/PAIR rows at most
-        by_code = np.argsort(pairs.column("code").to_numpy())
-        level = Level(pairs.column("code").to_numpy()[by_code], pairs.column("n").to_numpy()[by_code])
-        fit(level, gram_counts, suffix, levels, root, size)
-        levels = [*levels, level]
-        last = level.codes % size
-        if k + 1 < ORDER:
-            eligible = [*eligible, (level.counts >= CONTEXT * total) & (last != end)]
-            # the suffix of a gram: its context's suffix followed by its last word
-            before = suffix[level.codes // size]
-            suffix = last if k == 0 else find(levels[k - 1].codes, np.where(before >= 0, before * size + last, -1))
-            gram_counts = level.counts
-    tree = spark.sparkContext.broadcast(Tree(size, end, eligible, levels, root))
-    has_count = counts > 0
-
-    def sums(part: pa.RecordBatch) -> pa.RecordBatch:
-        ids, start = starts_of(part.column("ids"))
         numbered = ids >= 0
+        plain, deep = np.where(numbered, root[ids], 0.0), np.zeros(len(ids))
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.append(start, len(ids))))
+        table, delta = near.value
+        open_grams, open_owner = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for values, at in zip(grams, last):
+            own = values.view(np.int64)
+            place = find(table, own)
+            deep[at[place >= 0]] += delta[place[place >= 0]]
+            if not whole:
+                open_grams.append(own[place < 0])
+                open_owner.append(owner[at[place < 0]])
+        gram, of = np.concatenate(open_grams), np.concatenate(open_owner)
+        far = [gram[x] for x in np.split(np.argsort(of, kind="stable"), np.searchsorted(np.sort(of), np.arange(1, len(texts))))]
         values = [np.diff(np.append(start, len(ids)))]
-        for each in ((numbered & has_count[ids]).astype(np.int64), np.where(numbered, tree.value.root[ids], 0.0), tree.value.score(ids, start)):
+        for each in ((numbered & has_count[ids]).astype(np.int64), plain, deep):
             values.append(np.add.reduceat(each, start) if len(start) else each[:0])
         return pa.RecordBatch.from_arrays(
-            [part.column("row"), part.column("doc_id"), *map(pa.array, values)], ["row", "doc_id", "n_tokens", "sure", "plain", "deep"])
+            [part.column("row"), part.column("doc_id"), *map(pa.array, values), pa.array(rest, pa.list_(pa.binary())),
+             pa.array(times, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.int64()))],
+            ["row", "doc_id", "n_tokens", "sure", "plain", "deep", "rest", "times", "far"])
 
-    per_doc = coded.select("row", "doc_id", "ids").mapInArrow(
-        by_chunk(sums, "ids", CHUNK_IDS), f"row long, doc_id {kind}, n_tokens long, sure long, plain double, deep double")
+    kind = source.schema["doc_id"].dataType.simpleString()
+    coded = staged(source.select(F.monotonically_increasing_id().alias("row"), "*").mapInArrow(
+        by_chunk(code), f"row long, doc_id {kind}, n_tokens long, sure long, plain double, deep double, rest array<binary>, "
+        "times array<long>, far array<long>"), "coded")
+    per_doc = coded.select("row", "doc_id", "n_tokens", "sure", "plain", "deep")
     # rare words: only their document's number goes with them
     n = F.coalesce(F.col("n"), F.lit(0))
     rare = coded.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select(
@@ -253,9 +302,16 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     def filled(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0))
 
-    return per_doc.join(rare, "row", "left").select(
+    found = per_doc.join(rare, "row", "left")
+    if whole:
+        found = found.withColumn("farther", F.lit(0.0))
+    else:
+        rest_of_tree = tree.filter(F.col("n") < least).select("gram", "delta")
+        found = found.join(coded.select("row", F.explode("far").alias("gram")).join(rest_of_tree, "gram").groupBy("row").agg(
+            F.sum("delta").alias("farther")), "row", "left")
+    return found.select(
         "doc_id", "n_tokens", (F.col("sure") + filled("more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("plain") + filled("rare")).alias("base_score"), (F.col("deep") + filled("rare")).alias("score"))
+        (F.col("plain") + filled("rare")).alias("base_score"), (F.col("plain") + F.col("deep") + filled("rare") + filled("farther")).alias("score"))
 
 
 def learns_from(id_column: Column) -> Column:

@@ -5,6 +5,7 @@ import math
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from partner_analytics.llm import sharding, suffix_tree, top_k
@@ -94,6 +95,50 @@ def test_suffix_tree_odd_rows(workers):
     assert {(r.n_known, r.train_tokens, r.base_score) for r in nothing if r.doc_id == 1} == {(0, 0, 0.0)}
 
 
+def plain_scores(docs):
+    """Scores of the whole tree by dictionaries."""
+    texts = [[*(t or "").encode().lower().split(), b""] for _, t in docs]
+    count = collections.Counter(tuple(t[i:i + k]) for t in texts for k in (1, 2, 3) for i in range(len(t) - k + 1))
+    base = sum(map(len, texts)) + 0.5 * (sum(len(g) == 1 for g in count) + 1)
+    nexts = collections.defaultdict(dict)
+    for gram, n in count.items():
+        if n >= 2 and len(gram) > 1:
+            nexts[gram[:-1]][gram[-1]] = n
+    kept = {}
+
+    def chance(context, word):
+        if not context:
+            return (count[word,] + 0.5) / base
+        low = chance(context[1:], word)
+        if context not in kept:
+            return low
+        n, own = count[context], nexts[context]
+        rest = 1 - sum(x - 0.75 for x in own.values()) / n
+        return max(own.get(word, 0) - 0.75, 0) / n + rest * low
+
+    for k in (1, 2):
+        for context in [c for c in nexts if len(c) == k]:
+            n, own = count[context], nexts[context]
+            low = {w: chance(context[1:], w) for w in own}
+            left, low_left = 1 - sum(own.values()) / n, max(1 - sum(low.values()), 1e-12)
+            gain = sum(x / n * math.log(x / n / low[w]) for w, x in own.items()) + (left * math.log(left / low_left) if left > 0 else 0)
+            if n * gain >= 0.5 * (len(own) + 1) * math.log(n + 1):
+                kept[context] = True
+    return [sum(math.log10(chance(tuple(t[max(0, i - 2):i]), t[i])) for i in range(len(t))) for t in texts], kept
+
+
+@pytest.mark.parametrize("near", [10**6, 20])
+def test_suffix_tree_keeps_rare_contexts(workers, monkeypatch, near):
+    monkeypatch.setattr(suffix_tree, "NEAR", near)
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 400, 60)) + " one odd phrase" * (i % 30 == 0)) for i in range(120)]
+    frame = workers.createDataFrame(docs, "doc_id long, text string")
+    want, kept = plain_scores(docs)
+    assert (b"one", b"odd") in kept or (b"odd",) in kept  # four of some 7,000 tokens
+    got = {r.doc_id: r.score for r in suffix_tree.score(frame, F.lit(True)).collect()}
+    assert max(abs(got[i] - x) for (i, _), x in zip(docs, want)) < 1e-6
+
+
 def test_distributions_sum_to_one():
     """Every context of a fitted tree, retained or not, leaves a proper distribution over the words."""
     rng = np.random.default_rng(2)
