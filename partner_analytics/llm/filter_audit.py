@@ -136,14 +136,14 @@ WITH texts AS (
 flags AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels GROUP BY 1),
 failed AS (
   SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
-         {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
-          'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
-          'D': regexp_matches(t, '[#$%&*|]'),
-          'E': coalesce(texts.doc_id > min(texts.doc_id) OVER (PARTITION BY t), false)} AS f
+         [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+          100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+          regexp_matches(t, '[#$%&*|]'),
+          coalesce(texts.doc_id > min(texts.doc_id) OVER (PARTITION BY t), false)] AS f
   FROM texts LEFT JOIN flags ON texts.doc_id = flags.doc_id),
 marks AS (
-  SELECT part, good, toxic, letter, struct_extract_at(f, letter_no) AS bad, row_no,
-         list_sum([f.A::INT, f.B::INT, f.C::INT, f.D::INT, f.E::INT]) AS n_bad
+  SELECT part, good, toxic, letter, f[letter_no] AS bad, row_no,
+         list_sum(f::INT[]) AS n_bad
   FROM (SELECT *, row_number() OVER () AS row_no FROM failed), (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 3, 4, 5]) AS letter_no)),
 letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
 orders AS (
