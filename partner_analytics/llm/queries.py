@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partner_analytics.llm import decontamination, filter_audit, html_text, language_id, near_dedup, packing, repeats, sharding, suffix_tree, token_counts, top_k
+from partner_analytics.llm import decontamination, filter_audit, html_text, language_id, near_dedup, packing, prefix_trie, repeats, sharding, suffix_tree, token_counts, top_k
 from partner_analytics.llm.common import id_bucket, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op11_filter_audit": filter_audit.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
+}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]):
@@ -84,3 +87,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
