@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partner_analytics.llm import decontamination, filter_audit, html_text, language_id, near_dedup, packing, prefix_trie, repeats, sharding, suffix_tree, token_counts, top_k
+from partner_analytics.llm import decontamination, filter_audit, html_text, language_id, near_dedup, packing, prefix_trie, repeats, set_join, sharding, suffix_tree, token_counts, top_k
 from partner_analytics.llm.common import id_bucket, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op12_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.similar_sets(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
