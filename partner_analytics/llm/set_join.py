@@ -12,11 +12,12 @@ so s alone decides. A pair of sets that are both linked with the centre needs no
 for a set that isn't, s has a lower bound above zero, which makes a short list of differing elements the
 index of its centre.
 
-Steps: equal sets become one node. Nodes that share none of their first elements in hash order with
-another node have no link and go. Nodes gather over MinHash buckets and are compared with the smallest of
-them, and once more with the set nearest to all where that is another, the centre. Pairs inside a cluster come from the index of differences, pairs across
-clusters from the blocked index, both only between components that are still apart. All bounds are
-exact: clusters decide what is compared, never what is linked.
+Steps: equal sets become one node. Nodes that share too few of their first elements in hash order with
+other nodes have no link and go. Nodes gather over MinHash buckets and are compared with the smallest of
+them, and once more with the set nearest to all, the centre, where that is another. Pairs inside a
+cluster come from the index of differences, pairs across clusters from the blocked index, both only
+between components that are still apart. All bounds are exact: clusters decide what is compared, never
+what is linked.
 """
 
 from __future__ import annotations
@@ -39,8 +40,6 @@ PERCENT = 80
 MARKS, ROUNDS = 3, 2
 #: sets compared with one set in a task
 COMPARE = 256
-#: keys that a task remembers to index equal sets once
-SEEN = 200_000
 
 
 def _prefix(n, percent: int):
@@ -48,54 +47,113 @@ def _prefix(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc_id, n_shingles, key, marks, own): sets as sorted 64-bit hashes; key and set are null where empty."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, code, n_shingles, key, marks) of ``docs`` (doc_id, text, code); the key is null where the set is empty."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, keys, marks, own = [], [], [], []
+        sizes, keys, marks = [], [], []
         for text in part.column("text").to_pylist():
             found = shingle_set(text)
             sizes.append(len(found))
             keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-            own.append(found.tobytes() if len(found) else None)
             with np.errstate(over="ignore"):
                 marks.append([int(mix(found + GOLDEN * np.uint64(i + 1)).min().view(np.int64)) for i in range(MARKS)] if len(found) else [])
         return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(own, pa.binary())],
-            ["doc_id", "n_shingles", "key", "marks", "own"])
+            [part.column("doc_id"), part.column("code"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
+            ["doc_id", "code", "n_shingles", "key", "marks"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(by_chunk(run), f"doc_id {kind}, n_shingles long, key binary, marks array<long>, own binary").withColumn(
-        "row", F.monotonically_increasing_id())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(by_chunk(run), f"doc_id {kind}, code long, n_shingles long, key binary, marks array<long>")
 
 
-def first_elements(sets: DataFrame, names: list[str], percent: int, once: str | None = None) -> DataFrame:
-    """(element, names...): the first elements of each set in hash order; rows with a value of ``once`` seen before in the task go."""
+def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, own): the sorted hashes of each of ``nodes`` (node, rep, code, key) as bytes; a text is found by its id and hash."""
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        own = [shingle_set(text).tobytes() for text in part.column("text").to_pylist()]
+        same = pa.array([xxhash.xxh3_128_digest(x) == k for x, k in zip(own, part.column("key").to_pylist())])
+        return pa.RecordBatch.from_arrays([part.column("node"), pa.array(own, pa.binary())], ["node", "own"]).filter(same)
+
+    picked = docs.join(nodes, (docs["code"] == nodes["code"]) & docs["doc_id"].eqNullSafe(nodes["rep"])).select("node", "key", "text")
+    return picked.mapInArrow(by_chunk(run), "node long, own binary").dropDuplicates(["node"])
 
-    def run(batches):
-        seen = set()
 
-        def part_of(part: pa.RecordBatch) -> pa.RecordBatch:
-            keep = range(part.num_rows)
-            if once:
-                values, fresh = part.column(once).to_pylist(), []
-                for i, value in enumerate(values):
-                    if value not in seen:
-                        fresh.append(i)
-                        if len(seen) < SEEN:
-                            seen.add(value)
-                keep = fresh
-            own = part.column("own")
-            lists = [np.frombuffer(own[i].as_py(), np.int64) for i in keep]
-            lists = [x[:_prefix(len(x), percent)] for x in lists]
-            at = pa.array(np.repeat(np.asarray(list(keep), np.int64), [len(x) for x in lists]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)), *(part.column(c).take(at) for c in names)], ["element", *names])
+def _longer_prefix(n: int, percent: int) -> int:
+    """Elements of which sets of n and m that link hold one more than min(n, m) div 20 in common, in any common order."""
+    return min(n, _prefix(n, percent) + n // 20)
 
-        yield from by_chunk(part_of, "own")(batches)
 
-    return sets.select(*names, "own").mapInArrow(run, "element long, " + ", ".join(f"{c} long" for c in names))
+def shared_counts(docs: DataFrame, percent: int) -> DataFrame:
+    """(code, n): how many of a text's first elements in hash order other sets hold among theirs, or more.
+
+    A task settles what its own texts share; of an element it sends one row for each of few texts at most.
+    """
+
+    def first(part: pa.RecordBatch) -> pa.RecordBatch:
+        lists, codes, seen = [], [], set()
+        for code, text in zip(part.column("code").to_pylist(), part.column("text").to_pylist()):
+            if code not in seen:
+                seen.add(code)
+                found = shingle_set(text).view(np.int64)
+                lists.append(found[:_longer_prefix(len(found), percent)] if len(found) else found)
+                codes.append(code)
+        codes = np.asarray(codes, np.int64)
+        at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        element = np.concatenate(lists) if lists else np.empty(0, np.int64)
+        order = np.argsort(element, kind="stable")
+        element, at = element[order], at[order]
+        start = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]])) if len(element) else np.empty(0, np.int64)
+        many = np.diff(np.append(start, len(element))) > 1
+        local = np.bincount(at[np.repeat(many, np.diff(np.append(start, len(element))))], minlength=len(codes)) if len(element) else np.zeros(len(codes), np.int64)
+        has = local > 0
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([element[start], np.zeros(int(has.sum()), np.int64)])),
+             pa.array(np.concatenate([np.where(many, 0, codes[at[start]]), codes[has]])),
+             pa.array(np.concatenate([np.where(many, -1, 0), local[has]]).astype(np.int32))], ["element", "code", "n"])
+
+    def settle(batches):
+        """Rows sorted by element and code; n is -1 for an element of several texts, above 0 for a settled count."""
+        rest = None
+        for batch in (*batches, None):
+            if batch is not None:
+                now = [batch.column(i).to_numpy() for i in range(3)]
+                now = [np.concatenate([r, x]) for r, x in zip(rest, now)] if rest else now
+                cut = len(now[0]) if not len(now[0]) else int(np.searchsorted(now[0], now[0][-1]))  # the last element may go on
+                if cut == 0 and len(now[0]) > 1_000_000:  # two texts of a very common element tell the others; some count twice
+                    rest = [np.concatenate([x[:1], x[-1:]]) for x in now]
+                else:
+                    rest, now = [x[cut:] for x in now], [x[:cut] for x in now]
+            else:
+                now, rest = rest or [np.empty(0, np.int64)] * 3, None
+            element, code, n = now
+            done = n > 0
+            element, other, kind = element[~done], code[~done], n[~done]
+            start = np.concatenate([[True], (element[1:] != element[:-1]) | (other[1:] != other[:-1]) | (kind[1:] != kind[:-1])]) if len(element) else np.zeros(0, bool)
+            element, other, kind = element[start], other[start], kind[start]  # one row for each text
+            _, at, size = np.unique(element, return_inverse=True, return_counts=True)
+            several = np.bincount(at, weights=kind < 0, minlength=len(size)) > 0
+            hit = ((size > 1) | several)[at] & (kind == 0)
+            found, count = np.unique(other[hit], return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([code[done], found])), pa.array(np.concatenate([n[done], count]).astype(np.int64))], ["code", "n"])
+
+    rows = docs.mapInArrow(by_chunk(first), "element long, code long, n int")
+    # settled counts have no element and are spread by their text
+    return rows.withColumn("by", F.when(F.col("n") > 0, F.col("code")).otherwise(F.col("element"))).repartition("by").drop("by").sortWithinPartitions(
+        "element", "code").mapInArrow(settle, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def first_elements(sets: DataFrame, percent: int) -> DataFrame:
+    """(element, node): the first elements of each set in hash order."""
+
+    def part_of(part: pa.RecordBatch) -> pa.RecordBatch:
+        lists = [np.frombuffer(x, np.int64) for x in part.column("own").to_pylist()]
+        lists = [x[:_prefix(len(x), percent)] for x in lists]
+        at = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)), part.column("node").take(at)], ["element", "node"])
+
+    return sets.select("node", "own").mapInArrow(by_chunk(part_of, "own"), "element long, node long")
 
 
 def apart(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -215,8 +273,7 @@ def across_clusters(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFram
     its own and the next sizes, as far as what is left behind its place can reach the threshold there.
     """
     unit, by = 100 + percent, ["component", "cluster"]
-    held = staged(nodes.join(sets.select("node", "own"), "node"), "held")
-    ahead = first_elements(held, ["node", *by], percent)
+    ahead = first_elements(sets, percent).join(nodes.select("node", *by), "node")
     live = ahead.join(apart(ahead, by), "element", "left_semi").select("node").distinct()
 
     def explode(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -225,7 +282,7 @@ def across_clusters(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFram
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)), *(part.column(c).take(at) for c in ("node", *by))], ["element", "node", *by])
 
-    rows = held.join(live, "node", "left_semi").select("node", *by, "own").mapInArrow(
+    rows = sets.join(nodes.join(live, "node", "left_semi"), "node").select("node", *by, "own").mapInArrow(
         by_chunk(explode, "own"), "element long, node long, component long, cluster long")
     counts = rows.groupBy("element").agg(F.count("*").alias("df"), *[f(c).alias(f"{name}_{c}") for c in by for f, name in ((F.min, "low"), (F.max, "high"))])
     shared = counts.filter("low_component < high_component AND low_cluster < high_cluster").select("element", "df")
@@ -257,16 +314,18 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty or blank text has no shingle and is linked with nothing. Repeated rows and equal sets share a
     component. Null ids are larger than all others: a component of null ids only has a null one.
     """
-    rows = staged(sets_of(docs, id_col, text_col), "rows")
-    full = rows.filter("key IS NOT NULL")
-    nodes = staged(full.groupBy("key").agg(
-        F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.first("marks").alias("marks"), F.first("n_shingles").alias("n")), "nodes")
-
-    short = F.xxhash64("key")
-    ahead = first_elements(full.select(short.alias("code"), "own"), ["code"], percent, "code")
-    codes = ahead.join(apart(ahead, ["code"]), "element", "left_semi").select("code").distinct()
-    live = staged(nodes.withColumn("code", short).join(codes, "code", "left_semi").select("node", "n", "marks"), "live")
-    sets = staged(rows.select("row", "own").join(live.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "sets")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("code"))
+    rows = staged(fingerprints(source), "rows")
+    nodes = staged(rows.filter("key IS NOT NULL").groupBy("key").agg(
+        F.min(F.struct("doc_id", "code")).alias("least"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "code"))).alias("named"),
+        F.first("marks").alias("marks"), F.first("n_shingles").alias("n")).select(
+            "key", "marks", "n", F.coalesce("named", "least").alias("x")).select(
+                F.monotonically_increasing_id().alias("node"), "key", "marks", "n", F.col("x.doc_id").alias("rep"), "x.code"), "nodes")
+    texts = rows.filter("key IS NOT NULL").select("code", "key").distinct()
+    holds = texts.join(shared_counts(source, percent), "code").groupBy("key").agg(F.max("n").alias("shared"))
+    # a set that links with one of n has percent of n elements at least
+    live = staged(nodes.join(holds, "key").filter(f"shared > ({percent} * n + 99) div 100 div 20").drop("shared"), "live")
+    sets = staged(sets_of(source, live.select("node", "rep", "code", "key")), "sets")
 
     centres = gathered(live)
     met = staged(compared(centres.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")), sets, percent, True), "close")
