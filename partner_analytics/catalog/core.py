@@ -73,10 +73,10 @@ WHERE {between('order_day', p)} AND NOT c.is_test
 GROUP BY 1, 2, 3""")
 
     define(f"complaints_{grain}", f"""
-SELECT tenant_id, vendor_id, COUNT(DISTINCT o.order_id) FILTER (WHERE regexp_matches(reason, '3D.', 'i')
+SELECT o.tenant_id, o.vendor_id, COUNT(DISTINCT o.order_id) FILTER (WHERE regexp_matches(reason, '3D.', 'i')
     OR regexp_matches(reason, '3C.', 'i') OR regexp_matches(reason, '3B.', 'i')) AS complaints,
   COUNT(DISTINCT o.order_id) AS orders
-FROM flagged_orders o LEFT JOIN contacts z ON z.order_id = o.order_id
+FROM flagged_orders o LEFT JOIN contacts z ON z.tenant_id = o.tenant_id AND z.order_id = o.order_id
 WHERE {between('order_day', p)} AND valid_order = 1 GROUP BY 1, 2""")
 
 define("reorder_year", f"""
@@ -126,20 +126,23 @@ FROM contracts c LEFT JOIN crm_products o ON o.vendor_id = c.vendor_id
 WHERE contract_status IN ('Activated', 'Amended') GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9""")
 
 define("ops_orders_recent", f"""
-SELECT tenant_id, d.vendor_id, city_id, delivery_id, ts, utilisation,
+SELECT o.tenant_id, o.vendor_id, o.city_id, o.order_id, order_ts AS ts, utilisation,
   CAST(ROUND(CAST(at_door_min AS DECIMAL(28,10)), 1) - CAST(2.4 AS DECIMAL(6,2)) AS DOUBLE) AS waiting_time,
   CAST(arrival_offset AS DOUBLE) AS arrival_offset, prep_min, CASE WHEN redelivery THEN 1 ELSE 0 END AS redelivery
-FROM deliveries d JOIN vendors v ON d.vendor_id = v.vendor_id
-WHERE {day(EVENTS_AS_OF)} - CAST(ts AS DATE) <= 10 AND preorder = 0 AND prep_min IS NOT NULL AND prep_buffer IS NOT NULL""")
+FROM placed_orders o LEFT JOIN dispatch_orders p ON o.tenant_id = p.tenant_id AND o.order_id = p.order_id
+LEFT JOIN courier_trips d ON p.tenant_id = d.tenant_id AND p.dispatch_id = d.dispatch_id AND d.trip_status = 'completed'
+LEFT JOIN order_status s ON o.status_id = s.status_id
+WHERE {day(EVENTS_AS_OF)} - CAST(order_ts AS DATE) <= 10 AND preorder = 0 AND valid_order = 1
+  AND prep_min IS NOT NULL AND prep_buffer IS NOT NULL""")
 
 define("ops_meta_all", f"""
 SELECT v.tenant_id, v.vendor_id, v.vendor_code, v.city_id,
-  {R("regr_intercept(greatest(waiting_time, 0), arrival_offset) FILTER (WHERE arrival_offset BETWEEN -8 AND 7)", 1)} AS waiting_time_intercept,
-  {R("regr_slope(greatest(waiting_time, 0), arrival_offset) FILTER (WHERE arrival_offset BETWEEN -8 AND 7)", 2)} AS waiting_time_slope,
+  {R("NULLIF(regr_intercept(greatest(waiting_time, 0), arrival_offset) FILTER (WHERE arrival_offset BETWEEN -8 AND 7), 'nan'::DOUBLE)", 1)} AS waiting_time_intercept,
+  {R("NULLIF(regr_slope(greatest(waiting_time, 0), arrival_offset) FILTER (WHERE arrival_offset BETWEEN -8 AND 7), 'nan'::DOUBLE)", 2)} AS waiting_time_slope,
   {R("SUM(prep_min) FILTER (WHERE utilisation < 50) / NULLIF(CAST(COUNT(prep_min) FILTER (WHERE utilisation < 50) AS DOUBLE), 0)", 1)} AS prep_time_avg,
-  {R("COUNT(waiting_time) FILTER (WHERE waiting_time > 5 AND arrival_offset BETWEEN -3 AND 7) / CAST(greatest(COUNT(delivery_id), 1) AS DOUBLE) * 100", 1)} AS reliability_rate,
-  {R("SUM(redelivery) / NULLIF(CAST(COUNT(delivery_id) AS DOUBLE), 0) * 100", 3)} AS redelivery_rate,
-  COUNT(delivery_id) AS orders_evaluated
+  {R("COUNT(waiting_time) FILTER (WHERE waiting_time > 5 AND arrival_offset BETWEEN -3 AND 7) / CAST(greatest(COUNT(order_id), 1) AS DOUBLE) * 100", 1)} AS reliability_rate,
+  {R("SUM(redelivery) / NULLIF(CAST(COUNT(order_id) AS DOUBLE), 0) * 100", 3)} AS redelivery_rate,
+  COUNT(order_id) AS orders_evaluated
 FROM vendors v LEFT JOIN ops_orders_recent o ON v.tenant_id = o.tenant_id AND v.vendor_id = o.vendor_id
 WHERE v.vendor_active = 1 GROUP BY 1, 2, 3, 4""")
 

@@ -22,7 +22,7 @@ TABLES: dict[str, str] = {}
 
 TABLES["countries"] = """
 SELECT r_regionkey AS tenant_id, r_name AS country_name, upper(substr(r_name,1,2)) AS country_iso,
-  1 AS live, r_regionkey <> 4 AS managed FROM region"""
+  1 AS live, r_regionkey <> 4 AS managed, CASE WHEN r_regionkey < 2 THEN 'Second' ELSE 'First' END AS company FROM region"""
 
 TABLES["cities"] = """
 SELECT n_regionkey AS tenant_id, n_nationkey AS city_id, n_name AS city_name,
@@ -148,7 +148,7 @@ SELECT o_orderkey AS opportunity_id, o_custkey AS account_id,
 FROM orders JOIN customer ON o_custkey = c_custkey"""
 
 TABLES["contacts"] = """
-SELECT event_id AS order_id, CASE event_type WHEN 'error' THEN '3. Post-Delivery :: 3B. Missing item'
+SELECT event_id % 5 AS tenant_id, event_id AS order_id, CASE event_type WHEN 'error' THEN '3. Post-Delivery :: 3B. Missing item'
   WHEN 'click' THEN '3. Post-Delivery :: 3C. Wrong item' WHEN 'view' THEN '3. Post-Delivery :: 3D. Food quality'
   WHEN 'purchase' THEN '3. Post-Delivery :: 3E. Damaged packaging' ELSE '1. Pre-Order :: 1A. Other' END AS reason
 FROM events"""
@@ -189,6 +189,27 @@ SELECT event_id AS delivery_id, user_id AS vendor_id, ts, value / 10 AS at_door_
   CASE WHEN user_id % 4 <> 0 THEN CAST(event_id % 25 + 10 AS INTEGER) END AS prep_setting
 FROM events"""
 
+TABLES["placed_orders"] = """
+SELECT v.tenant_id, v.city_id, v.brand, event_id AS order_id, user_id AS vendor_id, ts AS order_ts, o_orderstatus AS status_id, o_totalprice AS gfv,
+  CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS preorder, ts - to_seconds((event_id % 40) * 61) AS confirm_ts
+FROM events JOIN orders ON o_orderkey = event_id JOIN vendors v ON v.vendor_id = user_id"""
+
+TABLES["dispatch_orders"] = """
+SELECT h.tenant_id, event_id * 2 + 1 AS dispatch_id, event_id AS order_id, user_id AS vendor_id, ts AS created_ts, ts AS delivered_ts, ts AS picked_ts,
+  CASE WHEN event_id % 13 = 0 THEN 'cancelled' ELSE 'completed' END AS dispatch_status,
+  CASE WHEN event_id % 17 = 0 THEN 'external' WHEN event_id % 3 = 0 THEN 'ours' ELSE 'OURS' END AS platform,
+  CAST(event_id % 100 AS INTEGER) AS utilisation, CAST(event_id % 25 + 10 AS INTEGER) AS prep_min,
+  CASE WHEN event_id % 19 <> 0 THEN CAST(event_id % 4 AS INTEGER) END AS prep_buffer,
+  CAST((event_id * 5) % 23 - 8 AS INTEGER) AS courier_late_min, CAST((event_id * 3) % 29 - 12 AS INTEGER) AS vendor_late_min,
+  value / 4 - 6 AS pickup_delay_min
+FROM events LEFT JOIN home h ON h.vendor_id = user_id"""
+
+TABLES["courier_trips"] = """
+SELECT h.tenant_id, event_id * 2 + no AS trip_id, event_id * 2 + 1 AS dispatch_id, user_id AS vendor_id, ts AS ended_ts,
+  CASE WHEN no = 1 THEN 'failed' WHEN event_id % 9 = 0 THEN 'cancelled' ELSE 'completed' END AS trip_status,
+  event_type = 'signup' AS redelivery, value / 10 + no AS at_door_min, CAST((event_id * 7) % 31 - 15 AS INTEGER) AS arrival_offset
+FROM events JOIN (SELECT unnest([0, 1]) AS no) ON no = 0 OR event_id % 6 = 0 LEFT JOIN home h ON h.vendor_id = user_id"""
+
 TABLES["prep_buckets"] = """
 SELECT r_regionkey AS tenant_id, weekday, CAST(slot AS DOUBLE) * 0.5 AS half_hour,
   CASE WHEN weekday >= 6 THEN 'weekend' ELSE 'week' END || '-' ||

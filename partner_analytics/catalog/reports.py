@@ -41,14 +41,18 @@ def rpt_new_vendor_cohort(t):
 
 
 @query("rpt_delay_clean", sql("""
-SELECT v.tenant_id, d.vendor_id, strftime(ts, '%G-%V') AS week, COUNT(DISTINCT delivery_id) AS valid_orders,
-  COUNT(DISTINCT delivery_id) FILTER (WHERE late > 5) AS late_over_5_min,
-  COUNT(DISTINCT delivery_id) FILTER (WHERE late > 10) AS late_over_10_min,
-  COUNT(DISTINCT delivery_id) FILTER (WHERE late IS NOT NULL) AS delay_observations
-FROM (SELECT *, CASE WHEN NOT redelivery AND courier_late_min < 0 THEN pickup_delay_min
-    WHEN NOT redelivery AND courier_late_min BETWEEN 0 AND 10 THEN pickup_delay_min - courier_late_min END AS late FROM deliveries) d
-JOIN vendors v ON v.vendor_id = d.vendor_id JOIN orders ON o_orderkey = delivery_id AND o_orderstatus IN ('F', 'O')
-WHERE date_trunc('week', ts) >= date_trunc('week', DATE '2024-01-24') GROUP BY 1, 2, 3"""))
+WITH late AS (
+  SELECT p.tenant_id, p.order_id, CASE WHEN (CASE WHEN NOT redelivery THEN courier_late_min END) < 0 THEN pickup_delay_min
+    WHEN (CASE WHEN NOT redelivery THEN courier_late_min END) BETWEEN 0 AND 10 THEN pickup_delay_min - courier_late_min END AS late
+  FROM dispatch_orders p LEFT JOIN courier_trips d ON p.tenant_id = d.tenant_id AND p.dispatch_id = d.dispatch_id
+  WHERE d.trip_status = 'completed' AND date_trunc('week', created_ts) >= date_trunc('week', DATE '2024-01-24'))
+SELECT o.tenant_id, o.vendor_id, strftime(order_ts, '%G-%V') AS week, COUNT(DISTINCT o.order_id) AS valid_orders,
+  COUNT(DISTINCT o.order_id) FILTER (WHERE late > 5) AS late_over_5_min,
+  COUNT(DISTINCT o.order_id) FILTER (WHERE late > 10) AS late_over_10_min,
+  COUNT(DISTINCT o.order_id) FILTER (WHERE late IS NOT NULL) AS delay_observations
+FROM placed_orders o LEFT JOIN late h ON o.tenant_id = h.tenant_id AND o.order_id = h.order_id
+LEFT JOIN order_status s ON o.status_id = s.status_id
+WHERE valid_order = 1 AND date_trunc('week', order_ts) >= date_trunc('week', DATE '2024-01-24') GROUP BY 1, 2, 3"""))
 def rpt_delay_clean(t):
     return newsletter.clean_delay(t, EVENTS_AS_OF)
 
@@ -60,7 +64,7 @@ SELECT o.tenant_id, o.vendor_id, o.order_id, o.order_day, valid_order, failed_or
   COALESCE(MAX(1) FILTER (WHERE valid_order = 1 AND regexp_matches(reason, '3B.', 'i')), 0) AS missing,
   COALESCE(MAX(1) FILTER (WHERE valid_order = 1 AND regexp_matches(reason, '3C.', 'i')), 0) AS wrong,
   COALESCE(MAX(1) FILTER (WHERE valid_order = 1 AND regexp_matches(reason, '3E.', 'i')), 0) AS damaged
-FROM flagged_orders o LEFT JOIN contacts z ON z.order_id = o.order_id
+FROM flagged_orders o LEFT JOIN contacts z ON z.tenant_id = o.tenant_id AND z.order_id = o.order_id
 WHERE gross_order = 1 AND {between('o.order_day', FOUR_WEEKS)} GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11""")
 
 
@@ -295,17 +299,29 @@ def rpt_newsletter_final(t):
 ZONES = [(0, 15, "Australia/Brisbane", "Australia/Sydney"), (1, 16, "America/Vancouver", "America/Toronto")]
 
 
+COMPANY_WEEKS = {"First": 2}
+
+
 @query("rpt_delay_attribution", sql(f"""
 WITH resolved AS (
-  SELECT d.*, v.vendor_name, v.vendor_code, v.tenant_id, v.city_id, v.brand,
-    CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE o_totalprice * CAST(1.1 AS DOUBLE) END AS gfv,
-    isodow(ts) AS iso_day, hour(ts) + CASE WHEN minute(ts) <= 15 THEN 0 WHEN minute(ts) < 45 THEN 0.5 ELSE 1 END::DOUBLE AS slot,
-    CASE WHEN v.tenant_id = 0 AND v.city_id = 15 THEN timezone('Australia/Sydney', timezone('Australia/Brisbane', ts))
-      WHEN v.tenant_id = 1 AND v.city_id = 16 THEN timezone('America/Toronto', timezone('America/Vancouver', ts)) ELSE ts END AS picked
-  FROM deliveries d LEFT JOIN vendors v ON v.vendor_id = d.vendor_id LEFT JOIN orders ON o_orderkey = delivery_id),
+  SELECT p.tenant_id, p.order_id, delivered_ts, courier_late_min, vendor_late_min, prep_min, prep_buffer,
+    COALESCE(CAST(a.gfv AS DOUBLE), CAST(b.gfv AS DOUBLE) * CAST(1.1 AS DOUBLE)) AS gfv, COALESCE(a.preorder, b.preorder) AS preorder,
+    COALESCE(a.confirm_ts, b.confirm_ts) AS confirm_ts, COALESCE(a.city_id, b.city_id) AS city_id,
+    COALESCE(vb.vendor_name, va.vendor_name) AS vendor_name, COALESCE(vb.vendor_code, va.vendor_code) AS vendor_code,
+    isodow(delivered_ts) AS iso_day,
+    hour(delivered_ts) + CASE WHEN minute(delivered_ts) <= 15 THEN 0 WHEN minute(delivered_ts) < 45 THEN 0.5 ELSE 1 END::DOUBLE AS slot,
+    CASE WHEN p.tenant_id = 0 AND COALESCE(a.city_id, b.city_id) = 15 THEN timezone('Australia/Sydney', timezone('Australia/Brisbane', picked_ts))
+      WHEN p.tenant_id = 1 AND COALESCE(a.city_id, b.city_id) = 16 THEN timezone('America/Toronto', timezone('America/Vancouver', picked_ts))
+      ELSE picked_ts END AS picked
+  FROM dispatch_orders p
+  LEFT JOIN (SELECT * FROM placed_orders WHERE brand = 'A') a ON a.tenant_id = p.tenant_id AND a.order_id = p.order_id
+  LEFT JOIN (SELECT * FROM placed_orders WHERE brand = 'B') b ON b.tenant_id = p.tenant_id AND b.order_id = p.order_id
+  LEFT JOIN (SELECT * FROM vendors WHERE brand = 'A') va ON va.tenant_id = a.tenant_id AND va.vendor_id = a.vendor_id
+  LEFT JOIN (SELECT * FROM vendors WHERE brand = 'B') vb ON vb.tenant_id = b.tenant_id AND vb.vendor_id = b.vendor_id
+  WHERE dispatch_status = 'completed' AND lower(platform) = 'ours'),
 days AS (SELECT CAST(unnest(range({day(DELAY_PERIOD.start)}, {day(DELAY_PERIOD.end)} + 1, INTERVAL 1 DAY)) AS DATE) AS day)
 SELECT days.day, strftime(days.day, '%G-%V') AS week, CAST(isodow(days.day) AS INTEGER) AS weekday, r.tenant_id, country_name, city_name, vendor_name, vendor_code,
-  bucket AS hour_bucket, CAST(floor(slot) AS BIGINT) AS order_hour, delivery_id, {R('gfv', 4)} AS gfv,
+  bucket AS hour_bucket, CAST(floor(slot) AS BIGINT) AS order_hour, order_id, {R('gfv', 4)} AS gfv,
   CASE WHEN courier_late_min < 0 THEN 0 ELSE courier_late_min END AS net_rider_delay,
   CASE WHEN vendor_late_min < 0 THEN 0 ELSE vendor_late_min END AS net_vendor_delay,
   CASE WHEN vendor_late_min >= 5 AND courier_late_min >= 5 THEN 1 ELSE 0 END AS delay_mix,
@@ -313,13 +329,13 @@ SELECT days.day, strftime(days.day, '%G-%V') AS week, CAST(isodow(days.day) AS I
   CASE WHEN vendor_late_min >= 5 AND courier_late_min < 5 THEN 1 ELSE 0 END AS delay_vendor,
   prep_min AS prep_time, prep_buffer, {R('CASE WHEN courier_late_min > 10 OR preorder = 1 THEN prep_min ELSE ROUND(CAST((epoch_us(picked) - epoch_us(confirm_ts)) / 60000000.0 AS DECIMAL(28,10)), 2) END', 4)} AS cooking_time,
   1 AS valid_orders, CASE WHEN vendor_late_min > 0 THEN 1 ELSE 0 END AS delay_flag
-FROM days LEFT JOIN resolved r ON CAST(ts AS DATE) = days.day
+FROM days LEFT JOIN resolved r ON CAST(delivered_ts AS DATE) = days.day
 LEFT JOIN prep_buckets b ON b.tenant_id = r.tenant_id AND b.weekday = iso_day AND b.half_hour = slot
 LEFT JOIN countries co ON co.tenant_id = r.tenant_id LEFT JOIN cities ci ON ci.tenant_id = r.tenant_id AND ci.city_id = r.city_id
-WHERE CASE WHEN r.brand = 'B' THEN days.day >= DATE '2024-01-15' ELSE TRUE END"""))
+WHERE CASE WHEN company = 'First' THEN date_trunc('week', days.day) >= date_trunc('week', {day(EVENTS_AS_OF)}) - INTERVAL 2 WEEK
+  ELSE date_trunc('week', days.day) >= date_trunc('week', {day(EVENTS_AS_OF)}) - INTERVAL 8 WEEK END"""))
 def rpt_delay_attribution(t):
-    return numbers(delay.delay_attribution(
-        t, DELAY_PERIOD, {"B": date(2024, 1, 15)}, ZONES, rate=1.1), 4)
+    return numbers(delay.delay_attribution(t, DELAY_PERIOD, EVENTS_AS_OF, COMPANY_WEEKS, zones=ZONES, rate=1.1), 4)
 
 
 # -- configuration audit ----------------------------------------------------------------------

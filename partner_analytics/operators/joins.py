@@ -87,6 +87,20 @@ def resolve(df: DataFrame, first: DataFrame, second: DataFrame, keys: list[str],
     return both.drop(*[f"_{s}_{c}" for s in "ab" for c in columns])
 
 
+def resolve_by_priority(df: DataFrame, sources: list[DataFrame], keys: list[str], columns: list[str]) -> DataFrame:
+    """Look ``columns`` up in sources of one layout; for each column the first source that has a value wins.
+
+    The sources are stacked and collapse to one row per key before the one join, which reuses their
+    partitioning. So a key may repeat in a source without multiplying ``df``; of repeated rows of one
+    source the least value is taken.
+    """
+    stacked = reduce(DataFrame.unionByName, [
+        source.select(*keys, *columns, F.lit(i).alias("_rank")) for i, source in enumerate(sources)])
+    first = stacked.groupBy(*keys).agg(*[
+        F.min(F.when(F.col(c).isNotNull(), F.struct("_rank", F.col(c).alias("v"))))["v"].alias(c) for c in columns])
+    return df.join(first, keys, "left")
+
+
 def in_set(df: DataFrame, members: DataFrame, keys: list[str], flag: str | None = None) -> DataFrame:
     """Rows whose key occurs in ``members``; with ``flag``, all rows and a boolean column."""
     if flag is None:

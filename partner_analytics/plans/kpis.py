@@ -52,7 +52,7 @@ def order_sums(t, period, codes=ACTIONABLE_CODES, late_minutes: int = 5, reasons
     valid, acted = F.col("valid_order") == 1, overlaps(F.col("code_array"), codes)
     extra = []
     if reasons:
-        orders = orders.join(complaint_orders(t, reasons), "order_id", "left")
+        orders = orders.join(complaint_orders(t, reasons), ["tenant_id", "order_id"], "left")
         extra = [count_if(valid & complained(reasons)).alias("complaints"), count_if(valid).alias("complaint_base")]
     return orders.groupBy("tenant_id", "city_id", "vendor_id").agg(
         count_if(valid).alias("valid_orders"),
@@ -117,7 +117,7 @@ def reorder(t, period, as_of, days: int = 28) -> DataFrame:
 
 def complaint_orders(t, reasons: dict[str, str]) -> DataFrame:
     """One row per order with a 0/1 mark per reason; contacts collapse before any join."""
-    return t.contacts().groupBy("order_id").agg(
+    return t.contacts().groupBy("tenant_id", "order_id").agg(
         *[any_flag(rx(F.col("reason"), pattern)).alias(name) for name, pattern in reasons.items()])
 
 
@@ -128,7 +128,7 @@ def complained(reasons: dict[str, str]) -> Column:
 def complaints(t, period, reasons: dict[str, str] = COMPLAINT_REASONS) -> DataFrame:
     """Orders with a complaint about their items, absolute and per valid order."""
     marks = complaint_orders(t, reasons)
-    joined = valid_orders(t, period.start, period.end).join(marks, "order_id", "left")
+    joined = valid_orders(t, period.start, period.end).join(marks, ["tenant_id", "order_id"], "left")
     per = joined.groupBy(*KEYS).agg(
         count_if(complained(reasons)).alias("complaints"), F.count(F.lit(1)).alias("orders"))
     return per.withColumn("complaint_rate", ratio(F.col("complaints"), F.col("orders")))

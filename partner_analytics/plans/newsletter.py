@@ -38,19 +38,29 @@ def cleaned_delay(c_late: Column, pickup_delay: Column, redelivery: Column) -> C
     return F.when(late < 0, pickup_delay).when(late.between(0, 10), pickup_delay - c_late)
 
 
-def clean_delay(t, as_of, limits: tuple = (5, 10)) -> DataFrame:
-    """Delivered valid orders per vendor and week since last Monday but one, and how many the vendor delayed."""
+def clean_delay(t, as_of, limits: tuple = (5, 10), tenants: list | None = None) -> DataFrame:
+    """Valid orders per vendor and week since last Monday but one, and how many of them the vendor delayed.
+
+    Orders lead: those without a completed trip count as valid orders but aren't observed. An order with
+    several completed trips counts once, with its longest delay. Only an order's own delay, not its
+    trips, meets the orders; both sides are bounded by the date before any shuffle.
+    """
     monday = period_start(shift(F.lit(as_of), -1, "week"), "week")
-    valid = t.orders_raw().select(F.col("o_orderkey").alias("delivery_id"), F.col("o_orderstatus").alias("status_id")).join(
-        t.order_status().where(F.col("valid_order") == 1).select("status_id"), "status_id", "left_semi")
-    recent = t.deliveries().where(F.to_date("ts") >= monday).join(valid, "delivery_id", "left_semi")
+    valid = t.order_status().where(F.col("valid_order") == 1).select("status_id")
+    orders = t.placed_orders().where(F.to_date("order_ts") >= monday)
+    if tenants is not None:
+        orders = orders.where(F.col("tenant_id").isin(tenants))
+    trips = t.courier_trips().where((F.to_date("ended_ts") >= monday) & (F.col("trip_status") == "completed")).select(
+        "tenant_id", "dispatch_id", "redelivery")
+    dispatched = t.dispatch_orders().where(F.to_date("created_ts") >= monday).select(
+        "tenant_id", "dispatch_id", "order_id", "courier_late_min", "pickup_delay_min")
     late = cleaned_delay(F.col("courier_late_min"), F.col("pickup_delay_min"), F.col("redelivery"))
-    home = t.vendors().select(*VENDOR)
-    per = recent.withColumn("_late", late).groupBy(*VENDOR, iso_week_key(F.col("ts")).alias("week")).agg(
-        F.count("delivery_id").alias("valid_orders"),
+    delays = dispatched.join(trips, ["tenant_id", "dispatch_id"]).groupBy("tenant_id", "order_id").agg(F.max(late).alias("_late"))
+    counted = orders.join(valid, "status_id").select(*VENDOR, "order_id", "order_ts").join(delays, ["tenant_id", "order_id"], "left")
+    return counted.groupBy(*VENDOR, iso_week_key(F.col("order_ts")).alias("week")).agg(
+        F.count("order_id").alias("valid_orders"),
         *[count_if(F.col("_late") > n).alias(f"late_over_{n}_min") for n in limits],
         F.count("_late").alias("delay_observations"))
-    return per.join(home, VENDOR)
 
 
 def order_issues(t, period) -> DataFrame:
@@ -63,7 +73,7 @@ def order_issues(t, period) -> DataFrame:
         return F.when(valid & (F.col(name) == 1), 1).otherwise(0).alias(name)
 
     late = F.col("vendor_late_min")
-    return orders.join(marks, "order_id", "left").select(
+    return orders.join(marks, ["tenant_id", "order_id"], "left").select(
         *VENDOR, "order_id", F.to_date("order_ts").alias("order_day"), "valid_order", "failed_order_vendor",
         "gfv", "first_order", "tracked", F.when(late > 5, late).alias("vendor_late"),
         F.when(overlaps(F.col("code_array"), [OVERDUE_CODE]), 1).otherwise(0).alias("overdue"),

@@ -33,35 +33,44 @@ class OpsParams:
     reliable_offsets: tuple = (-3, 7)
 
 
-def recent_deliveries(t, as_of, p: OpsParams) -> DataFrame:
-    """Recent deliveries ordered for at once, with waiting time at the door and arrival offset, in minutes."""
-    recent = F.to_date("ts") >= shift(F.lit(as_of), -p.days, "day")
+def ops_orders(t, as_of, p: OpsParams = OpsParams()) -> DataFrame:
+    """Recent valid orders placed for at once, with waiting time at the door and arrival offset in minutes.
+
+    Four tables of three systems: the order and its status, the dispatch order with its preparation
+    estimate, and the completed trip, if there was one. The condition on the trip belongs to the left
+    join, so an order without a completed trip stays and has no waiting time; several completed trips
+    count as often. Orders are dispatched and delivered after they were placed, so the date bound holds
+    for all three tables and reaches their scans. Trips are shuffled once, by the key of the dispatch order.
+    """
+    since = shift(F.lit(as_of), -p.days, "day")
+    valid = t.order_status().where(F.col("valid_order") == 1).select("status_id")
+    placed = t.placed_orders().where((F.to_date("order_ts") >= since) & (F.col("preorder") == 0)).join(valid, "status_id").select(
+        "tenant_id", "vendor_id", "city_id", "order_id", F.col("order_ts").alias("ts"))
+    dispatched = t.dispatch_orders().where(
+        (F.to_date("created_ts") >= since) & F.col("prep_min").isNotNull() & F.col("prep_buffer").isNotNull()
+    ).select("tenant_id", "order_id", "dispatch_id", "utilisation", "prep_min")
     waiting = round_half_away(F.col("at_door_min"), 1) - F.lit(p.waiting_time_adjustment).cast("decimal(6,2)")
-    counted = (F.col("preorder") == 0) & F.col("prep_min").isNotNull() & F.col("prep_buffer").isNotNull()
-    return t.deliveries().where(recent & counted).select(
-        "tenant_id", "vendor_id", "delivery_id", "ts", "utilisation", waiting.cast("double").alias("waiting_time"),
-        F.col("arrival_offset").cast("double").alias("arrival_offset"), "prep_min",
+    trips = t.courier_trips().where((F.to_date("ended_ts") >= since) & (F.col("trip_status") == "completed")).select(
+        "tenant_id", "dispatch_id", waiting.cast("double").alias("waiting_time"),
+        F.col("arrival_offset").cast("double").alias("arrival_offset"), "redelivery")
+    travelled = dispatched.join(trips, ["tenant_id", "dispatch_id"], "left")
+    return placed.join(travelled, ["tenant_id", "order_id"]).select(
+        "tenant_id", "vendor_id", "city_id", "order_id", "ts", "utilisation", "waiting_time", "arrival_offset", "prep_min",
         F.when(F.col("redelivery"), 1).otherwise(0).alias("redelivery"))
 
 
-def ops_orders(t, as_of, p: OpsParams = OpsParams()) -> DataFrame:
-    """Recent deliveries of known vendors, with tenant and city."""
-    home = t.vendors().select("tenant_id", "vendor_id", "city_id")
-    return recent_deliveries(t, as_of, p).join(home, ["tenant_id", "vendor_id"])
-
-
 def ops_meta(t, as_of, p: OpsParams = OpsParams()) -> DataFrame:
     """Per active vendor: regression of waiting on arrival offset, preparation time and rates.
 
-    Deliveries are aggregated before vendors are joined.
+    Orders are aggregated before vendors are joined.
     """
-    orders = recent_deliveries(t, as_of, p)
+    orders = ops_orders(t, as_of, p)
     offset, wait = F.col("arrival_offset"), F.col("waiting_time")
     near = offset.between(-p.rider_late_tolerance, p.rider_early_tolerance)
     y = F.greatest(wait, F.lit(0.0))
     slow = (wait > p.waiting_time_threshold) & offset.between(*p.reliable_offsets)
     calm = F.col("utilisation") < p.busy_utilisation
-    total = F.count("delivery_id")
+    total = F.count("order_id")
     stats = orders.groupBy("tenant_id", "vendor_id").agg(
         round_half_away(regr("intercept", y, offset, near), 1).cast("double").alias("waiting_time_intercept"),
         round_half_away(regr("slope", y, offset, near), 2).cast("double").alias("waiting_time_slope"),

@@ -64,6 +64,7 @@ class Warehouse:
             F.upper(F.substring("r_name", 1, 2)).alias("country_iso"),
             F.lit(1).alias("live"),
             (F.col("r_regionkey") != 4).alias("managed"),
+            F.when(F.col("r_regionkey") < 2, "Second").otherwise("First").alias("company"),
         )
 
     @table
@@ -361,9 +362,10 @@ class Warehouse:
 
     @table
     def contacts(self) -> DataFrame:
+        """Support contacts about orders of a tenant; an order may have several."""
         kind = F.col("event_type")
         return self.raw("events").select(
-            F.col("event_id").alias("order_id"),
+            (F.col("event_id") % 5).alias("tenant_id"), F.col("event_id").alias("order_id"),
             F.when(kind == "error", "3. Post-Delivery :: 3B. Missing item")
             .when(kind == "click", "3. Post-Delivery :: 3C. Wrong item")
             .when(kind == "view", "3. Post-Delivery :: 3D. Food quality")
@@ -437,6 +439,49 @@ class Warehouse:
             F.when(F.col("user_id") % 4 != 0, (event % 25 + 10).cast("int")).alias("prep_setting"),
         ))
 
+    @table
+    def placed_orders(self) -> DataFrame:
+        """Orders handed to couriers, as the shop system keeps them."""
+        event = F.col("event_id")
+        head = self.raw("events").select(
+            event.alias("order_id"), F.col("user_id").alias("vendor_id"), F.col("ts").alias("order_ts"),
+            F.when(event % 10 == 0, 1).otherwise(0).alias("preorder"),
+            (F.col("ts") - F.make_dt_interval(secs=(event % 40) * 61)).alias("confirm_ts"))
+        state = self.raw("orders").select(
+            F.col("o_orderkey").alias("order_id"), F.col("o_orderstatus").alias("status_id"), F.col("o_totalprice").alias("gfv"))
+        return self.at_home(head.join(state, "order_id"))
+
+    @table
+    def dispatch_orders(self) -> DataFrame:
+        """The same orders as the dispatching system keeps them, under a key of its own."""
+        event = F.col("event_id")
+        return self.owned(self.raw("events").select(
+            (event * 2 + 1).alias("dispatch_id"), event.alias("order_id"), F.col("user_id").alias("vendor_id"),
+            F.col("ts").alias("created_ts"), F.col("ts").alias("delivered_ts"), F.col("ts").alias("picked_ts"),
+            F.when(event % 13 == 0, "cancelled").otherwise("completed").alias("dispatch_status"),
+            F.when(event % 17 == 0, "external").when(event % 3 == 0, "ours").otherwise("OURS").alias("platform"),
+            (event % 100).cast("int").alias("utilisation"), (event % 25 + 10).cast("int").alias("prep_min"),
+            F.when(event % 19 != 0, (event % 4).cast("int")).alias("prep_buffer"),
+            ((event * 5) % 23 - 8).cast("int").alias("courier_late_min"),
+            ((event * 3) % 29 - 12).cast("int").alias("vendor_late_min"),
+            (F.col("value") / 4 - 6).alias("pickup_delay_min"),
+        ))
+
+    @table
+    def courier_trips(self) -> DataFrame:
+        """Tries to deliver a dispatched order; some orders have a failed try, some none that is completed."""
+        event = F.col("event_id")
+        tries = F.array(
+            F.struct(F.lit(0).alias("no"), F.when(event % 9 == 0, "cancelled").otherwise("completed").alias("status")),
+            F.struct(F.when(event % 6 == 0, 1).alias("no"), F.lit("failed").alias("status")))
+        rows = self.raw("events").select("event_id", "user_id", "ts", "value", "event_type", F.explode(tries).alias("try")).where("try.no IS NOT NULL")
+        return self.owned(rows.select(
+            (event * 2 + F.col("try.no")).alias("trip_id"), (event * 2 + 1).alias("dispatch_id"), F.col("user_id").alias("vendor_id"),
+            F.col("ts").alias("ended_ts"), F.col("try.status").alias("trip_status"), (F.col("event_type") == "signup").alias("redelivery"),
+            (F.col("value") / 10 + F.col("try.no")).alias("at_door_min"),
+            ((event * 7) % 31 - 15).cast("int").alias("arrival_offset"),
+        ))
+
     @table
     def prep_buckets(self) -> DataFrame:
         """Tenant, weekday and half hour to a demand label."""
