@@ -101,6 +101,29 @@ def resolve_by_priority(df: DataFrame, sources: list[DataFrame], keys: list[str]
     return df.join(first, keys, "left")
 
 
+#: bits of the reducer's bitmap, 2 MB at any size of the tables, and the bits of one of its rows
+REDUCER_BITS, ROW_BITS = 2 ** 24, 32768
+
+
+def reduced(large: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``large`` whose key may occur in ``small``, cut where they are scanned.
+
+    A semi-join reducer for a join that follows: the keys of ``small`` set bits of a bitmap that has one
+    fixed size, so it may be broadcast whatever the tables hold, and rows without their bit go before
+    anything is shuffled. Some rows without partner stay, more of them the more keys there are; rows
+    with a partner always stay, NULL keys never do.
+    """
+    small = small.select(*[F.col(k).cast(large.schema[k].dataType) for k in keys])  # equal values hash alike
+    bit = F.pmod(F.xxhash64(*keys), F.lit(REDUCER_BITS))
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    bitmap = small.where(known).select(bit.alias("_bit")).groupBy(F.expr(f"_bit div {ROW_BITS}").alias("_part")).agg(
+        F.bitmap_construct_agg(F.col("_bit") % ROW_BITS).alias("_map"))  # REDUCER_BITS / ROW_BITS rows at most
+    marked = large.where(known).withColumn("_bit", bit).withColumn("_part", F.expr(f"_bit div {ROW_BITS}"))
+    byte = F.conv(F.hex(F.substring("_map", (F.col("_bit") % ROW_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1
+    return marked.join(F.broadcast(bitmap), "_part").where(hit).select(*large.columns)
+
+
 def in_set(df: DataFrame, members: DataFrame, keys: list[str], flag: str | None = None) -> DataFrame:
     """Rows whose key occurs in ``members``; with ``flag``, all rows and a boolean column."""
     if flag is None:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partner_analytics.functions import (
     any_flag, count_if, count_if_nonnull, in_period, overlaps, part, ratio, round_half_away, rx, sum_if,
 )
-from partner_analytics.operators.joins import cohort_repeat, spine
+from partner_analytics.operators.joins import cohort_repeat, reduced, spine
 
 # Order codes that needed a person to act on the order.
 ACTIONABLE_CODES = [51, 52, 53, 55, 56, 57, 59, 591, 592]
@@ -52,7 +54,7 @@ def order_sums(t, period, codes=ACTIONABLE_CODES, late_minutes: int = 5, reasons
     valid, acted = F.col("valid_order") == 1, overlaps(F.col("code_array"), codes)
     extra = []
     if reasons:
-        orders = orders.join(complaint_orders(t, reasons), ["tenant_id", "order_id"], "left")
+        orders = orders.join(complaint_orders(t, reasons, t.order_ids(period.start, period.end)), ["tenant_id", "order_id"], "left")
         extra = [count_if(valid & complained(reasons)).alias("complaints"), count_if(valid).alias("complaint_base")]
     return orders.groupBy("tenant_id", "city_id", "vendor_id").agg(
         count_if(valid).alias("valid_orders"),
@@ -115,10 +117,16 @@ def reorder(t, period, as_of, days: int = 28) -> DataFrame:
         "reorder_rate", F.coalesce(ratio(F.col("repeat_customers"), F.col("base_customers")), F.lit(0.0)))
 
 
-def complaint_orders(t, reasons: dict[str, str]) -> DataFrame:
-    """One row per order with a 0/1 mark per reason; contacts collapse before any join."""
-    return t.contacts().groupBy("tenant_id", "order_id").agg(
-        *[any_flag(rx(F.col("reason"), pattern)).alias(name) for name, pattern in reasons.items()])
+def complaint_orders(t, reasons: dict[str, str], orders: DataFrame) -> DataFrame:
+    """One row per order with a 0/1 mark per reason, of ``orders`` with such a contact.
+
+    Contacts of all time are cut to the reasons and to the orders asked about before any shuffle, and
+    collapse to one row per order before they meet them.
+    """
+    hits = {name: rx(F.col("reason"), pattern) for name, pattern in reasons.items()}
+    told = t.contacts().where(reduce(lambda a, b: a | b, hits.values()))
+    return reduced(told, orders, ["order_id"]).groupBy("tenant_id", "order_id").agg(
+        *[any_flag(hit).alias(name) for name, hit in hits.items()])
 
 
 def complained(reasons: dict[str, str]) -> Column:
@@ -127,7 +135,7 @@ def complained(reasons: dict[str, str]) -> Column:
 
 def complaints(t, period, reasons: dict[str, str] = COMPLAINT_REASONS) -> DataFrame:
     """Orders with a complaint about their items, absolute and per valid order."""
-    marks = complaint_orders(t, reasons)
+    marks = complaint_orders(t, reasons, t.order_ids(period.start, period.end))
     joined = valid_orders(t, period.start, period.end).join(marks, ["tenant_id", "order_id"], "left")
     per = joined.groupBy(*KEYS).agg(
         count_if(complained(reasons)).alias("complaints"), F.count(F.lit(1)).alias("orders"))
@@ -135,13 +143,16 @@ def complaints(t, period, reasons: dict[str, str] = COMPLAINT_REASONS) -> DataFr
 
 
 def nps(t, period, reason: str = "Packaging") -> DataFrame:
-    """Mean recommendation of one reason, two decimals, for vendors of active real cities."""
+    """Mean recommendation of one reason, two decimals, for vendors of active real cities.
+
+    The answers of the period are few: the lines of all orders are cut to theirs where they are scanned.
+    """
     countries = t.countries().select("tenant_id", "country_iso")
     cities = t.cities().where((F.col("city_active") == 1) & ~F.col("is_test")).select("tenant_id", "city_id")
     answers = t.surveys().where(in_period(F.col("submitted"), period) & (F.col("reason") == reason)).select(
         F.upper(part(F.col("venture_name"), "_", 2)).alias("country_iso"),
         F.col("last_order_id").alias("order_id"), "recommendation")
-    orders = t.order_vendors().select("tenant_id", "order_id", "vendor_id", "city_id")
+    orders = t.order_vendors(answers).select("tenant_id", "order_id", "vendor_id", "city_id")
     placed = answers.join(countries, "country_iso").join(orders, ["tenant_id", "order_id"])
     score = ratio(F.sum("recommendation"), F.count("recommendation"))
     return placed.join(cities, ["tenant_id", "city_id"]).groupBy("tenant_id", "city_id", "vendor_id").agg(
@@ -176,7 +187,9 @@ def marketing(t, patterns: dict[str, str]) -> DataFrame:
         "product_id", *[rx(F.col("product_name"), patterns[m]).alias(m) for m in materials],
         rx(kind, patterns["backlink"]).alias("is_backlink"), rx(kind, patterns["whitelabel"]).alias("is_whitelabel"))
     linked = (F.col("is_backlink") & (F.col("phase") == patterns["phase"])) | F.col("is_whitelabel")
-    found = t.crm_sales().join(catalog, "product_id").groupBy(*KEYS).agg(
+    # few products show anything; sales of the others go before the shuffle
+    telling = catalog.where(reduce(lambda a, b: a | b, [F.col(c) for c in [*materials, "is_backlink", "is_whitelabel"]]))
+    found = t.crm_sales(telling).join(telling, "product_id").groupBy(*KEYS).agg(
         *[any_flag(F.col(m)).alias(m) for m in materials], any_flag(linked).alias("linked"))
     terms = t.contracts().where(F.col("contract_status").isin("Activated", "Amended")).select(
         *KEYS, "commission_pct", "flat_fee", "price_mark_up", "exclusivity", "packaging_quality",

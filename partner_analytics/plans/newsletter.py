@@ -65,7 +65,7 @@ def clean_delay(t, as_of, limits: tuple = (5, 10), tenants: list | None = None)
 
 def order_issues(t, period) -> DataFrame:
     """Gross orders of the period, one row each, with 0/1 marks per issue."""
-    marks = complaint_orders(t, ISSUES)
+    marks = complaint_orders(t, ISSUES, t.order_ids(period.start, period.end))
     orders = flagged_orders(t, period.start, period.end).where(F.col("gross_order") == 1)
     valid = F.col("valid_order") == 1
 

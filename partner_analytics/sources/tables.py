@@ -12,6 +12,8 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partner_analytics.operators.joins import reduced
+
 AS_OF = date(2001, 7, 16)
 EVENTS_AS_OF = date(2024, 1, 31)
 
@@ -274,12 +276,13 @@ class Warehouse:
         )
         return self.at_home(fact)
 
-    @table
-    def order_vendors(self) -> DataFrame:
-        """Which vendors took part in an order, without the order's figures."""
-        pairs = self.raw("lineitem").select(
-            F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("vendor_id")).distinct()
-        return self.at_home(pairs)
+    def order_ids(self, start: date | None = None, end: date | None = None) -> DataFrame:
+        return self.orders_raw(start, end).select(F.col("o_orderkey").alias("order_id"))
+
+    def order_vendors(self, among: DataFrame | None = None) -> DataFrame:
+        """Which vendors took part in an order, without the order's figures; ``among`` cuts lines to its order ids."""
+        lines = self.raw("lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("vendor_id"))
+        return self.at_home((lines if among is None else reduced(lines, among, ["order_id"])).distinct())
 
     @table
     def order_products(self, start: date | None = None, end: date | None = None) -> DataFrame:
@@ -317,12 +320,12 @@ class Warehouse:
             F.col("l_quantity").cast("int").alias("quantity"),
         ))
 
-    @table
-    def crm_sales(self) -> DataFrame:
-        """Products sold to a vendor through the CRM."""
-        return self.owned(self.raw("lineitem").select(
+    def crm_sales(self, among: DataFrame | None = None) -> DataFrame:
+        """Products sold to a vendor through the CRM; ``among`` cuts sales to its products."""
+        sales = self.raw("lineitem").select(
             F.col("l_suppkey").alias("vendor_id"), F.col("l_partkey").alias("product_id"),
-            F.col("l_linestatus").alias("phase")))
+            F.col("l_linestatus").alias("phase"))
+        return self.owned(sales if among is None else reduced(sales, among, ["product_id"]))
 
     @table
     def crm_catalog(self) -> DataFrame:

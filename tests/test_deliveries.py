@@ -92,3 +92,14 @@ def test_first_source_with_a_value_wins(spark):
     second = spark.createDataFrame([(1, 9, "b"), (2, 6, "c")], "k int, x int, y string")
     got = joins.resolve_by_priority(rows, [first, second], ["k"], ["x", "y"]).orderBy("k").collect()
     assert [tuple(r) for r in got] == [(1, 9, "a"), (2, 5, "c"), (3, None, None)]
+
+
+def test_reducer_keeps_all_partners(spark):
+    large = spark.sql("SELECT IF(id % 7 = 0, NULL, id) AS k, id AS v, 1 AS _x FROM range(20000)")
+    small = spark.sql("SELECT CAST(id * 31 AS INT) AS k FROM range(400) UNION ALL SELECT NULL")
+    got = joins.reduced(large, small, ["k"])
+    assert got.columns == large.columns
+    keys = {r.k for r in got.collect()}
+    want = {k for k in range(0, 12400, 31) if k % 7}
+    assert want <= keys and len(keys) < len(want) + 20 and None not in keys
+    assert joins.reduced(large, small.where("false"), ["k"]).count() == 0

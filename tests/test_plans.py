@@ -48,6 +48,35 @@ def test_order_fact_shuffles_lines_once(spark):
     assert len(by_order) == 2 and all("vendor_id" not in k for k in by_order)
 
 
+REDUCED = {"rpt_packaging_nps": "l_suppkey", "rpt_complaint_rate": "event_type", "rpt_order_issue_flags": "event_type", "rpt_marketing_attrs": "l_linestatus"}
+
+
+@pytest.mark.parametrize("key,column", REDUCED.items())
+def test_large_side_is_reduced_before_its_shuffle(spark, key, column):
+    """Between the scan of lines, contacts or sales and the first exchange stands the join with the bitmap."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the bitmap carries its own hint
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        lines = plan(load()[key](spark, SF_DIR)).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scans = [i for i, line in enumerate(lines) if "FileScan" in line and column in line.split("Batched")[0]
+             and not any(other in line.split("Batched")[0] for other in ("l_extendedprice", "submitted"))]
+    assert scans
+    for at in scans:
+        depth, above = len(lines[at]) - len(lines[at].lstrip(" :+-")), []
+        for line in lines[at::-1]:  # the operators over the scan, from the nearest on
+            here = len(line) - len(line.lstrip(" :+-"))
+            if here <= depth and line is not lines[at]:
+                above.append(line)
+                depth = here
+            if "Exchange hashpartitioning" in line and here <= depth:
+                break
+        names = [re.sub(r"^[ :+\-*()\d]*", "", line).split(" ")[0] for line in above]
+        assert "BroadcastHashJoin" in names and names.index("BroadcastHashJoin") < names.index("Exchange"), names
+
+
 def test_small_dimensions_do_not_shuffle_the_fact(spark):
     text = plan(Warehouse(spark, SF_DIR).vendor_orders())
     assert "hashpartitioning(vendor_id" not in text
