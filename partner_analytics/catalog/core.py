@@ -201,7 +201,7 @@ METRIC_COLUMNS = """
   COALESCE(price_mark_up, 0) AS price_mark_up, COALESCE(fb_rights, 0) AS fb_rights,
   COALESCE(m.facebook_likes, 0) AS facebook_likes, no_fb, COALESCE(door_sticker, 0) AS door_sticker,
   COALESCE(voucher_cards, 0) AS voucher_cards, COALESCE(display, 0) AS display, COALESCE(backlink, 0) AS backlink,
-  COALESCE(exclusivity, 0) AS exclusivity, complaints, closing_hours"""
+  COALESCE(exclusivity, 0) AS exclusivity, complaints, closing_hours, cl.gmv_class"""
 
 for grain, terms, stage, cr3 in (
     ("month", "contracts", "photo_stage", "cr3"), ("week", "marketing_all", "7", "CAST(NULL AS DOUBLE)"),
@@ -223,6 +223,7 @@ FROM (SELECT {METRIC_COLUMNS}, {cr3} AS cr3,
   LEFT JOIN vendor_content p ON d.vendor_id = p.vendor_id
   LEFT JOIN nps_month n ON d.tenant_id = n.tenant_id AND d.vendor_id = n.vendor_id
   LEFT JOIN {terms} m ON d.vendor_id = m.vendor_id
+  LEFT JOIN gmv_classes cl ON cl.tenant_id = d.tenant_id AND cl.vendor_code = d.vendor_code AND cl.company IN ('First')
   LEFT JOIN complaints_{grain} z ON d.tenant_id = z.tenant_id AND d.vendor_id = z.vendor_id)""")
 
     ladders = ", ".join(
@@ -380,7 +381,7 @@ def rpt_marketing_attrs(t):
 METRIC_NAMES = """tenant_id city_id vendor_id vendor_code vendor_name city_name country_name owner activation_date
 period valid_orders gross_orders pickup_orders delivery_orders failed_orders_vendor actionable_orders base_customers
 repeat_customers menucategories products described packaging_quality price_mark_up fb_rights facebook_likes no_fb
-door_sticker voucher_cards display backlink exclusivity complaints stage facebook_likes_score city_top country_top""".split()
+door_sticker voucher_cards display backlink exclusivity complaints stage gmv_class facebook_likes_score city_top country_top""".split()
 METRIC_NUMBERS = """gmv gfv cancellations revenue aov afv automation_gross processing_time vendor_delay
 automated_orders_perc reorder_rate cr3 products_without_description nps_packaging commission_pct closing_hours""".split()
 SCORE_NAMES = [f"{n}_score" for n in """commission cr3 price_mark_up packaging_quality reorder_rate menucategories

@@ -57,6 +57,11 @@ SELECT n_regionkey AS tenant_id, s_suppkey AS vendor_id, 'v' || CAST(s_suppkey A
   'owner_' || CAST(s_suppkey % 8 AS VARCHAR) AS owner
 FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
 
+TABLES["gmv_classes"] = """
+SELECT n_regionkey AS tenant_id, 'v' || CAST(s_suppkey AS VARCHAR) AS vendor_code, company,
+  CASE WHEN s_acctbal >= 6000 THEN 'A' WHEN s_acctbal >= 2000 THEN 'B' ELSE 'C' END || CASE company WHEN 'First' THEN '' ELSE '2' END AS gmv_class
+FROM supplier JOIN nation ON s_nationkey = n_nationkey, (SELECT unnest(['First', 'Second']) AS company) WHERE s_suppkey % 10 <> 9"""
+
 TABLES["home"] = """
 SELECT n_regionkey AS tenant_id, s_suppkey AS vendor_id FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
 

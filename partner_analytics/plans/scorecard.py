@@ -19,9 +19,12 @@ VENDOR = ["tenant_id", "vendor_id"]
 
 
 def metrics(t, period, as_of, reorder_period, reorder_days: int = 28, events_period=None,
-            conversion: bool = True, marketing_patterns: dict | None = None) -> DataFrame:
+            conversion: bool = True, marketing_patterns: dict | None = None, company: str = "First") -> DataFrame:
     """One wide row per vendor and period.
 
+    The orders of the period are read once: their sums, one narrow row per vendor, are stored and feed
+    the card and the ranking of vendors by sales. ``company`` names whose sales class is shown.
+
     ``events_period`` dates visits and surveys where they run on another clock than the orders.
     ``marketing_patterns`` derives material flags from CRM products instead of the contract row.
     """
@@ -32,15 +35,17 @@ def metrics(t, period, as_of, reorder_period, reorder_days: int = 28, events_per
     else:
         terms = kpis.marketing(t, marketing_patterns).withColumn("photo_stage", F.lit(7))
     cr3 = kpis.conversion(t, seen) if conversion else None
+    sums = reliable_checkpoint(kpis.order_kpis_with_complaints(t, period))
+    classes = t.gmv_classes().where(F.col("company") == company).select("tenant_id", "vendor_code", "gmv_class")
     # the weekly card counts closed hours of all time
     parts = [
         kpis.closing(t, seen if conversion else None), terms, *([cr3] if conversion else []),
-        kpis.order_kpis_with_complaints(t, period).drop("city_id"),
+        sums.drop("city_id"),
         kpis.reorder(t, reorder_period, as_of, reorder_days).drop("reorder_rate"),
         kpis.content(t).select(*VENDOR, "menucategories", "products", "described"),
         kpis.nps(t, seen).drop("city_id"),
     ]
-    wide = join_all(base, parts, VENDOR)
+    wide = join_all(base, parts, VENDOR).join(classes, ["tenant_id", "vendor_code"], "left")
     if not conversion:
         wide = wide.withColumn("cr3", F.lit(None).cast("double"))
 
@@ -77,19 +82,18 @@ def metrics(t, period, as_of, reorder_period, reorder_days: int = 28, events_per
         zero("door_sticker").alias("door_sticker"), zero("voucher_cards").alias("voucher_cards"),
         zero("display").alias("display"), zero("backlink").alias("backlink"),
         zero("exclusivity").alias("exclusivity"),
-        F.col("photo_stage").alias("stage"), "complaints", "closing_hours",
+        F.col("photo_stage").alias("stage"), "gmv_class", "complaints", "closing_hours",
     )
-    return out.join(sales_tiles(t, period), [*VENDOR, "period"])
+    return out.join(sales_tiles(base, sums), [*VENDOR, "period"])
 
 
-def sales_tiles(t, period) -> DataFrame:
+def sales_tiles(vendors: DataFrame, sums: DataFrame) -> DataFrame:
     """Whether a vendor is in the top tiles of its city and country by sales.
 
-    A narrow branch of the card: one stored row per vendor with its sales, ranked twice.
+    A narrow branch of the card over the stored sums: one row per vendor with its sales, ranked twice.
     """
-    sales = kpis.order_kpis(t, period).select(*VENDOR, F.col("gmv").cast("double").alias("gmv"))
-    vendors = kpis.vendor_master(t, period).select(*VENDOR, "city_id", "period")
-    base = reliable_checkpoint(vendors.join(sales, VENDOR, "left").fillna(0.0, ["gmv"]))
+    sales = sums.select(*VENDOR, F.col("gmv").cast("double").alias("gmv"))
+    base = vendors.select(*VENDOR, "city_id", "period").join(sales, VENDOR, "left").fillna(0.0, ["gmv"])
     city = in_top_ntile(base, ["tenant_id", "city_id", "period"], "gmv", ["vendor_id"], 100, 10, "city_top")
     both = in_top_ntile(city, ["tenant_id", "period"], "gmv", ["vendor_id"], 100, 35, "country_top")
     return both.drop("gmv", "city_id")

@@ -131,6 +131,17 @@ class Warehouse:
             F.concat(F.lit("owner_"), (key % 8).cast("string")).alias("owner"),
         )
 
+    @table
+    def gmv_classes(self) -> DataFrame:
+        """Sales class of a vendor in the books of each company; some vendors have none."""
+        nation = self.raw("nation").select("n_nationkey", F.col("n_regionkey").alias("tenant_id"))
+        rows = self.raw("supplier").where(F.col("s_suppkey") % 10 != 9).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        grade = F.when(F.col("s_acctbal") >= 6000, "A").when(F.col("s_acctbal") >= 2000, "B").otherwise("C")
+        books = rows.select("tenant_id", F.concat(F.lit("v"), F.col("s_suppkey").cast("string")).alias("vendor_code"), grade.alias("grade"),
+                            F.explode(F.array(F.lit("First"), F.lit("Second"))).alias("company"))
+        own = F.when(F.col("company") == "First", F.col("grade")).otherwise(F.concat("grade", F.lit("2")))
+        return books.select("tenant_id", "vendor_code", "company", own.alias("gmv_class"))
+
     @table
     def home(self) -> DataFrame:
         """The tenant of each vendor: local ids are unique inside a tenant only."""

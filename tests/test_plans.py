@@ -85,3 +85,11 @@ def test_small_dimensions_do_not_shuffle_the_fact(spark):
 def test_final_sort_keeps_its_order(spark):
     rows = [tuple(r)[:3] for r in load()["sort_multi_key"](spark, SF_DIR).collect()]
     assert rows == sorted(rows, key=lambda r: (r[0], r[1], -r[2]))
+
+
+@pytest.mark.parametrize("key", ["rpt_final_metrics", "rpt_scorecard"])
+def test_card_reads_the_orders_of_its_period_once(spark, key):
+    """The stored sums stand in for the period: what is left reads no price and no order of the month."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    text = plan(load()[key](spark, SF_DIR))
+    assert "l_extendedprice" not in text and "o_orderdate,2001-06-01" not in text
