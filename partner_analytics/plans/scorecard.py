@@ -90,13 +90,16 @@ def metrics(t, period, as_of, reorder_period, reorder_days: int = 28, events_per
 def sales_tiles(vendors: DataFrame, sums: DataFrame) -> DataFrame:
     """Whether a vendor is in the top tiles of its city and country by sales.
 
-    A narrow branch of the card over the stored sums: one row per vendor with its sales, ranked twice.
+    A narrow branch of the card over the stored sums: one row per vendor with its sales, stored and ranked
+    twice, each time from the stored rows alone.
     """
     sales = sums.select(*VENDOR, F.col("gmv").cast("double").alias("gmv"))
-    base = vendors.select(*VENDOR, "city_id", "period").join(sales, VENDOR, "left").fillna(0.0, ["gmv"])
+    base = reliable_checkpoint(
+        vendors.select(*VENDOR, "city_id", "period").join(sales, VENDOR, "left").fillna(0.0, ["gmv"]))
     city = in_top_ntile(base, ["tenant_id", "city_id", "period"], "gmv", ["vendor_id"], 100, 10, "city_top")
-    both = in_top_ntile(city, ["tenant_id", "period"], "gmv", ["vendor_id"], 100, 35, "country_top")
-    return both.drop("gmv", "city_id")
+    country = in_top_ntile(base.drop("city_id"), ["tenant_id", "period"], "gmv", ["vendor_id"], 100, 35, "country_top")
+    on = [*VENDOR, "period"]
+    return city.select(*on, "city_top").join(country.select(*on, "country_top"), on)
 
 
 def scored(df: DataFrame, dish: bool = True) -> DataFrame:
