@@ -90,6 +90,18 @@ SELECT s_suppkey AS vendor_id, CASE WHEN s_suppkey % 6 = 5 THEN 0 ELSE 1 END AS
   CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE DATE '2001-07-16' - CAST(s_suppkey % 40 AS INTEGER) END AS check_date
 FROM supplier"""
 
+TABLES["shipping_addresses"] = """
+SELECT n_regionkey AS tenant_id, 'v' || s_suppkey AS vendor_code, 'Town ' || (s_suppkey % 7) AS shipping_city,
+  CASE WHEN s_suppkey % 5 <> 0 THEN '0049 ' || (s_suppkey + 500) END AS shipping_phone, 'Dock ' || s_suppkey AS shipping_street,
+  CAST(s_suppkey + 30000 AS VARCHAR) AS shipping_postcode, """ + ", ".join(
+    f"CASE WHEN s_suppkey % {i + 2} <> 0 THEN (s_suppkey % 4 + 8) || '-17' END AS times_{day}"
+    for i, day in enumerate("monday tuesday wednesday thursday friday saturday".split())) + """
+FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 13 <> 12"""
+
+TABLES["stock_reports"] = """
+SELECT event_id AS report_id, tenant_id, vendor_id, CAST(ts AS DATE) AS report_date, CAST(event_id * 11 % 400 AS INTEGER) AS reported_stock
+FROM events JOIN home ON vendor_id = user_id WHERE event_type = 'signup' AND user_id % 3 <> 0"""
+
 TABLES["crm_accounts"] = """
 SELECT s_suppkey AS vendor_id, 'CRM0000000' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS crm_id,
   'Account ' || CAST(s_suppkey AS VARCHAR) AS account_name,

@@ -14,7 +14,7 @@ from partner_analytics.functions import measure
 from partner_analytics.plans import audit, deals, delay, newsletter, ramp, stock
 from partner_analytics.plans.opportunities import MATERIAL
 from partner_analytics.sources.lookups import CUISINES
-from partner_analytics.sources.tables import AS_OF, EVENTS_AS_OF
+from partner_analytics.sources.tables import AS_OF, EVENTS_AS_OF, inline
 
 C = F.col
 COHORT_DAY = date(1995, 4, 25)
@@ -429,7 +429,8 @@ FROM flagged_orders o LEFT JOIN stock_newest p ON p.vendor_id = o.vendor_id WHER
 GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10)""")
 define("stock_planned", f"""
 SELECT u.*, vendor_code, city_name, country_name, activation_date, address_line1, postcode,
-  CASE WHEN vendor_code = 'v4' THEN 250 WHEN orders_l4w < 5 THEN 250 WHEN orders_l4w < 9 THEN 500 ELSE 750 END AS order_tier,
+  CASE WHEN vendor_code = 'v4' AND city_name = 'NATION_7' THEN 100 WHEN vendor_code = 'v4' AND v.tenant_id = 1 THEN 500
+    WHEN vendor_code = 'v4' THEN 250 WHEN vendor_code = 'v6' AND v.tenant_id IN (0, 2) THEN 125 WHEN orders_l4w < 5 THEN 250 WHEN orders_l4w < 9 THEN 500 ELSE 750 END AS order_tier,
   CASE WHEN orders_l4w < 5 THEN 1 WHEN orders_l4w < 9 THEN 2 ELSE 3 END AS tier_step,
   CASE {' '.join(f"WHEN regexp_matches(country_name, '{k}', 'i') THEN order_per_day * bags_per_order * {n}" for k, n in LEAD_DAYS.items())} END AS estimation,
   CASE WHEN activation_date BETWEEN {day(AS_OF)} - 7 AND {day(AS_OF)} THEN 1 ELSE 0 END AS new_vendor
@@ -437,12 +438,21 @@ FROM stock_usage u JOIN vendors v ON v.vendor_id = u.vendor_id JOIN countries c
 JOIN cities ci ON ci.city_id = v.city_id""")
 
 
+# NULL fits any tenant or city
+TIERS = "(NULL, NULL, 'v4', 250), (1L, NULL, 'v4', 500), (NULL, 'NATION_7', 'v4', 100), (0L, NULL, 'v6', 125), (2L, NULL, 'v6', 125)"
+STREETS = "(NULL, NULL, 'v5', 'Side door 5'), (3L, NULL, 'v5', 'Back door 5'), (2L, 'NATION_9', 'v7', 'Gate 7')"
+
+
+def exceptions(t, rows: str, value: str):
+    return inline(t.spark, f"tenant_id, city_name, vendor_code, {value}", rows)
+
+
 def planned(t):
     places = t.vendors().join(t.countries().select("tenant_id", "country_name"), "tenant_id").join(
         t.cities().select("tenant_id", "city_id", "city_name"), ["tenant_id", "city_id"])
     vendors = places.select("tenant_id", "vendor_id", "vendor_code", "city_name", "country_name", "activation_date",
                             "address_line1", "postcode")
-    return stock.stock_plan(stock.stock_use(t, AS_OF), vendors, AS_OF, LEAD_DAYS, steps=(5, 9), fixed_tier={"v4": 250})
+    return stock.stock_plan(stock.stock_use(t, AS_OF), vendors, AS_OF, LEAD_DAYS, steps=(5, 9), fixed_tier=exceptions(t, TIERS, "order_tier"))
 
 
 @query("rpt_stock_latest", sql("SELECT * FROM stock_newest JOIN home USING (vendor_id)"))
@@ -481,8 +491,9 @@ LEFT JOIN (SELECT DISTINCT vendor_id FROM opportunities WHERE record_type = '{MA
 define("stock_decided", """
 SELECT tenant_id, vendor_id, vendor_code, country_name, city_name, product_date, last_date, remaining_used, new_stock, quantity,
   quantity_used, days, orders, orders_interval, order_per_day, orders_l4w, order_tier, tier_step, estimation, regular, check_date,
-  check_stock, CASE WHEN vendor_code = 'v5' THEN 'Side door 5' ELSE COALESCE(address_line1, billing_street) END AS address,
-  COALESCE(postcode, billing_postcode) AS postcode,
+  check_stock, COALESCE(door, address_line1, billing_street) AS address, COALESCE(postcode, billing_postcode) AS postcode,
+  shipping_city, shipping_phone, COALESCE(door, shipping_street) AS shipping_street, shipping_postcode, """ + ", ".join(
+    f"CASE WHEN times_{d} IS NULL THEN '-' ELSE times_{d} END AS times_{d}" for d in "monday tuesday wednesday thursday friday saturday".split()) + """,
   CASE WHEN tenant_id = 3 AND order_per_day > 0.2 THEN 'included'
     WHEN FALSE THEN 'included' ELSE CASE
     WHEN estimation > remaining_used OR (new_vendor = 1 AND order_per_day >= 1 AND quantity_used < 60 AND auto_supply = 1
@@ -492,13 +503,15 @@ SELECT tenant_id, vendor_id, vendor_code, country_name, city_name, product_date,
     WHEN city_name = 'NATION_7' AND auto_supply = 1 AND remaining_used <= 0 AND free THEN 'included' ELSE 'n.a.' END END AS status,
   CASE WHEN tenant_id = 2 AND vendor_code <> 'v12' THEN CAST(0.05 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS sales_price,
   CASE WHEN tenant_id = 2 AND vendor_code <> 'v12' THEN order_tier ELSE 0 END AS billing_quantity
-FROM stock_base""")
+FROM (SELECT *, CASE WHEN vendor_code = 'v5' AND tenant_id = 3 THEN 'Back door 5' WHEN vendor_code = 'v5' THEN 'Side door 5'
+  WHEN vendor_code = 'v7' AND tenant_id = 2 AND city_name = 'NATION_9' THEN 'Gate 7' END AS door FROM stock_base)
+LEFT JOIN shipping_addresses USING (tenant_id, vendor_code)""")
 
 
 def decided(t):
     return stock.stock_decision(
         t, planned(t), AS_OF, MATERIAL, manual_tenants=[3], always_cities=["NATION_7"], billed_tenants=[2],
-        unbilled=["v12"], address_override={"v5": "Side door 5"}, manual_rate=0.2)
+        unbilled=["v12"], streets=exceptions(t, STREETS, "street"), manual_rate=0.2)
 
 
 ROUNDED = ["remaining_used", "new_stock", "order_per_day", "estimation"]
@@ -511,12 +524,14 @@ def rpt_stock_decision(t):
 
 
 @query("rpt_stock_feedback", sql(f"""
-SELECT d.tenant_id, d.vendor_id, {R('remaining_used')} AS remaining_used, d.check_stock AS known_stock, f.check_stock AS reported_stock,
-  d.check_date AS known_date, f.check_date AS reported_date, {R('new_stock')} AS new_stock, last_date, quantity, quantity_used, orders,
-  {R('order_per_day')} AS order_per_day, {R('estimation')} AS estimation, status, {R('remaining_used - f.check_stock')} AS difference
-FROM stock_decided d LEFT JOIN supply_terms f ON f.vendor_id = d.vendor_id"""))
+SELECT d.tenant_id, d.vendor_id, {R('remaining_used')} AS remaining_used, d.check_stock AS known_stock, f.reported_stock,
+  d.check_date AS known_date, f.report_date AS reported_date, {R('new_stock')} AS new_stock, last_date, quantity, quantity_used, orders,
+  {R('order_per_day')} AS order_per_day, {R('estimation')} AS estimation, status, {R('remaining_used - f.reported_stock')} AS difference
+FROM stock_decided d LEFT JOIN (
+  SELECT * FROM stock_reports QUALIFY row_number() OVER (PARTITION BY tenant_id, vendor_id ORDER BY report_date DESC, report_id DESC) = 1) f
+ON f.tenant_id = d.tenant_id AND f.vendor_id = d.vendor_id"""))
 def rpt_stock_feedback(t):
-    return numbers(stock.stock_feedback(decided(t), t.supply_terms()))
+    return numbers(stock.stock_feedback(decided(t), t.stock_reports()))
 
 
 # -- deals ------------------------------------------------------------------------------------

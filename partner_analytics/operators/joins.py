@@ -101,6 +101,28 @@ def resolve_by_priority(df: DataFrame, sources: list[DataFrame], keys: list[str]
     return df.join(first, keys, "left")
 
 
+def overridden(df: DataFrame, overrides: DataFrame, code: str, scopes: list[str], values: dict[str, Column]) -> DataFrame:
+    """``df`` with the columns of ``values`` replaced where a table of exceptions has a row that fits.
+
+    ``overrides`` has the column ``code``, which must be equal, the ``scopes``, of which NULL fits any
+    value, and a column for each of ``values``, whose expression counts where nothing fits. Of several
+    rows the one with the last named scopes wins. The exceptions of a code travel as one array, so no
+    row of ``df`` is multiplied.
+    """
+    names = list(values)
+    rules = overrides.groupBy(code).agg(F.collect_list(F.struct(*scopes, *names)).alias("_rules"))
+
+    def fits(rule: Column) -> Column:
+        return reduce(lambda a, b: a & b, [rule[s].isNull() | (rule[s].eqNullSafe(F.col(s))) for s in scopes])
+
+    def weight(rule: Column) -> Column:
+        return reduce(lambda a, b: a + b, [F.when(rule[s].isNotNull(), 2 ** i).otherwise(0) for i, s in enumerate(scopes)])
+
+    best = F.array_max(F.transform(F.filter("_rules", fits), lambda r: F.struct(weight(r).alias("_w"), *[r[n].alias(n) for n in names])))
+    joined = df.join(rules, code, "left").withColumn("_best", best)
+    return joined.withColumns({n: F.coalesce(F.col("_best")[n], value) for n, value in values.items()}).drop("_rules", "_best")
+
+
 #: bits of the reducer's bitmap, 2 MB at any size of the tables, and the bits of one of its rows
 REDUCER_BITS, ROW_BITS = 2 ** 24, 32768
 

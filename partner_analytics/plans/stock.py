@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partner_analytics.functions import ratio, rx
+from partner_analytics.operators.joins import overridden
 from partner_analytics.operators.ranking import latest
 from partner_analytics.plans.kpis import valid_orders
 
 VENDOR = ["tenant_id", "vendor_id"]
+# what an exception may be limited to; the city counts for more than the tenant
+PLACE = ["tenant_id", "city_name"]
+SHIPPING = ["shipping_city", "shipping_phone", "shipping_street", "shipping_postcode"]
+SHIPPING_TIMES = [f"times_{day}" for day in ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday")]
 # Bags per order by the consumption class of the contract.
 CONSUMPTION = {
     "Above Average (1.5 Bags per Order)": 1.6, "Normal (1 - 1.5 per Order)": 1.1, "Average (1.1 Bags per Order)": 1.1,
@@ -76,29 +81,36 @@ def stock_use(t, as_of, weeks: int = 4, days: int = 30) -> DataFrame:
 
 
 def stock_plan(use: DataFrame, vendors: DataFrame, as_of, lead_days: dict[str, int] = LEAD_DAYS,
-               steps: tuple = (250, 500), bag: int = 250, fixed_tier: dict[str, int] | None = None) -> DataFrame:
+               steps: tuple = (250, 500), bag: int = 250, fixed_tier: DataFrame | None = None) -> DataFrame:
     """Size of the next delivery by recent orders, and the need until it arrives by country.
 
-    ``vendors`` gives country and activation date; ``fixed_tier`` overrides the size per vendor code.
+    ``vendors`` gives country, city and activation date. ``fixed_tier`` (tenant_id, city_name, vendor_code,
+    order_tier) sets the size of single vendors: codes are unique in a city only, and NULL means any.
     """
     orders = F.col("orders_l4w")
     step = F.when(orders < steps[0], 1).when(orders < steps[1], 2).otherwise(3)
     size = step * bag
-    for code, value in (fixed_tier or {}).items():
-        size = F.when(F.col("vendor_code") == code, F.lit(value)).otherwise(size)
     need = F.lit(None).cast("double")
     for pattern, days in reversed(lead_days.items()):
         need = F.when(rx(F.col("country_name"), pattern),
                       F.col("order_per_day") * F.col("bags_per_order") * days).otherwise(need)
     new = F.col("activation_date").between(F.date_sub(F.lit(as_of), 7), F.lit(as_of))
-    return use.join(vendors, VENDOR).withColumns({
-        "order_tier": size, "tier_step": step, "estimation": need, "new_vendor": F.when(new, 1).otherwise(0)})
+    placed = use.join(vendors, VENDOR)
+    if fixed_tier is not None:
+        placed = overridden(placed, fixed_tier, "vendor_code", PLACE, {"order_tier": size})
+    else:
+        placed = placed.withColumn("order_tier", size)
+    return placed.withColumns({
+        "tier_step": step, "estimation": need, "new_vendor": F.when(new, 1).otherwise(0)})
 
 
 def stock_decision(t, plan: DataFrame, as_of, open_type: str, manual_tenants: list[int] = (),
                    always_cities: list[str] = (), billed_tenants: list[int] = (), unbilled: list[str] = (),
-                   address_override: dict[str, str] | None = None, manual_rate: float = 2) -> DataFrame:
-    """Which vendors get a delivery, with fee and address.
+                   streets: DataFrame | None = None, manual_rate: float = 2) -> DataFrame:
+    """Which vendors get a delivery, with fee, address and the times it can be taken.
+
+    ``streets`` (tenant_id, city_name, vendor_code, street) names the right door of single vendors, for the
+    address and the shipping street; NULL means any. An unknown shipping time shows as '-'.
 
     ``open_type`` is the CRM record type that marks a delivery already under way. Tenants in
     ``manual_tenants`` are served above ``manual_rate`` orders per day.
@@ -133,24 +145,32 @@ def stock_decision(t, plan: DataFrame, as_of, open_type: str, manual_tenants: li
         .when(c("city_name").isin(list(always_cities)) & auto & empty & free, "included")
         .otherwise("n.a."))
     billed = c("tenant_id").isin(list(billed_tenants)) & ~c("vendor_code").isin(list(unbilled))
-    address = F.coalesce("address_line1", "billing_street")
-    for code, street in (address_override or {}).items():
-        address = F.when(c("vendor_code") == code, F.lit(street)).otherwise(address)
-    return base.select(
+    shipping = t.shipping_addresses().select("tenant_id", "vendor_code", *SHIPPING, *SHIPPING_TIMES)
+    full = base.join(shipping, ["tenant_id", "vendor_code"], "left")
+    if streets is not None:
+        full = overridden(full, streets, "vendor_code", PLACE, {"street": F.lit(None).cast("string")})
+    else:
+        full = full.withColumn("street", F.lit(None).cast("string"))
+    return full.select(
         "tenant_id", "vendor_id", "vendor_code", "country_name", "city_name", "product_date", "last_date",
         "remaining_used", "new_stock", "quantity", "quantity_used", "days", "orders", "orders_interval",
         "order_per_day", "orders_l4w", "order_tier", "tier_step", "estimation", "regular", "check_date", "check_stock",
-        address.alias("address"), F.coalesce("postcode", "billing_postcode").alias("postcode"),
+        F.coalesce("street", "address_line1", "billing_street").alias("address"),
+        F.coalesce("postcode", "billing_postcode").alias("postcode"),
+        "shipping_city", "shipping_phone", F.coalesce("street", "shipping_street").alias("shipping_street"), "shipping_postcode",
+        *[F.coalesce(day, F.lit("-")).alias(day) for day in SHIPPING_TIMES],
         include.alias("status"), F.when(billed, F.lit(0.05)).otherwise(F.lit(0.0)).alias("sales_price"),
         F.when(billed, c("order_tier")).otherwise(0).alias("billing_quantity"))
 
 
-def stock_feedback(decision: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Computed against reported stock, for vendors that reported one or not."""
-    reported = feedback.select(*VENDOR, F.col("check_stock").alias("reported_stock"),
-                               F.col("check_date").alias("reported_date"))
-    return decision.join(reported, VENDOR, "left").select(
+def stock_feedback(decision: DataFrame, reports: DataFrame) -> DataFrame:
+    """Computed against reported stock, for vendors that reported one or not.
+
+    Vendors report as often as they like: the newest report counts, of one day the one with the largest id.
+    """
+    newest = latest(reports, VENDOR, ["report_date", "report_id"], ["reported_stock", "report_date", "report_id"])
+    return decision.join(newest, VENDOR, "left").select(
         *VENDOR, "remaining_used", F.col("check_stock").alias("known_stock"), "reported_stock",
-        F.col("check_date").alias("known_date"), "reported_date", "new_stock", "last_date", "quantity",
+        F.col("check_date").alias("known_date"), F.col("report_date").alias("reported_date"), "new_stock", "last_date", "quantity",
         "quantity_used", "orders", "order_per_day", "estimation", "status",
         (F.col("remaining_used") - F.col("reported_stock")).alias("difference"))

@@ -207,6 +207,26 @@ class Warehouse:
                 F.date_sub(F.lit(as_of), (key % 40).cast("int"))).alias("check_date"),
         ))
 
+    @table
+    def shipping_addresses(self) -> DataFrame:
+        """Where and when a vendor takes deliveries, by its code in the CRM; some have no entry, some no times."""
+        key = F.col("s_suppkey")
+        code = F.concat(F.lit("v"), key.cast("string"))
+        days = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
+        return self.owned(self.raw("supplier").where(key % 13 != 12).select(key.alias("vendor_id"), "s_suppkey")).select(
+            "tenant_id", code.alias("vendor_code"), F.concat(F.lit("Town "), (key % 7).cast("string")).alias("shipping_city"),
+            F.when(key % 5 != 0, F.concat(F.lit("0049 "), (key + 500).cast("string"))).alias("shipping_phone"),
+            F.concat(F.lit("Dock "), key.cast("string")).alias("shipping_street"), (key + 30000).cast("string").alias("shipping_postcode"),
+            *[F.when(key % (i + 2) != 0, F.concat((key % 4 + 8).cast("string"), F.lit("-17"))).alias(f"times_{day}") for i, day in enumerate(days)])
+
+    @table
+    def stock_reports(self) -> DataFrame:
+        """Stock as vendors report it, several times or never."""
+        event = F.col("event_id")
+        return self.owned(self.raw("events").where((F.col("event_type") == "signup") & (F.col("user_id") % 3 != 0)).select(
+            event.alias("report_id"), F.col("user_id").alias("vendor_id"), F.to_date("ts").alias("report_date"),
+            (event * 11 % 400).cast("int").alias("reported_stock")))
+
     @table
     def crm_accounts(self) -> DataFrame:
         """CRM account of every vendor and the user who owns it."""
