@@ -125,7 +125,7 @@ SELECT o_orderkey, o_totalprice * 2 AS price, o_orderstatus FROM orders WHERE o_
 def snk_truncate_insert(t):
     path = scratch(t, "insert")
     rows = t.raw("orders").select("o_orderkey", C("o_totalprice").alias("price"), "o_orderstatus")
-    sinks.write_partitions(rows, path, ["o_orderstatus"])
+    sinks.write_replace(rows, path, ["o_orderstatus"])
     changed = rows.where(C("o_orderstatus") != "O").withColumn("price", C("price") * 2)
     sinks.truncate_insert(changed, path, ["o_orderstatus"])
     return sinks.read_back(t.spark, path)
@@ -320,9 +320,8 @@ def agg_count_filter_nonnull(t):
 SELECT user_id, COUNT(DISTINCT CASE WHEN event_type = 'view' THEN CAST(ts AS DATE) END) AS view_days,
   COUNT(DISTINCT CASE WHEN value > 50 THEN CAST(ts AS DATE) END) AS rich_days FROM events GROUP BY 1"""))
 def agg_count_distinct_case(t):
-    d = F.to_date("ts")
-    return t.raw("events").groupBy("user_id").agg(
-        X.distinct_if(d, C("event_type") == "view").alias("view_days"), X.distinct_if(d, C("value") > 50).alias("rich_days"))
+    return aggregates.distinct_counts(t.raw("events"), ["user_id"], F.to_date("ts"), {
+        "view_days": C("event_type") == "view", "rich_days": C("value") > 50})
 
 
 @query("agg_max_flag", sql("""

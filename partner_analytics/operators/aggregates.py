@@ -10,16 +10,18 @@ def aggregate(df: DataFrame, keys: list, measures: dict[str, Column]) -> DataFra
     return df.groupBy(*keys).agg(*[c.alias(name) for name, c in measures.items()])
 
 
-def distinct_counts(df: DataFrame, keys: list[str], id_col: str, conditions: dict[str, Column]) -> DataFrame:
-    """Many filtered distinct counts of one id in one pass.
+def distinct_counts(df: DataFrame, keys: list[str], counted: str | Column, conditions: dict[str, Column]) -> DataFrame:
+    """Many filtered distinct counts of one column or expression in one pass.
 
-    Rows first shrink to one per id with a 0/1 mark per condition, then marks are summed; the
-    direct form would expand every row once per count.
+    Rows first shrink to one per value with a 0/1 mark per condition, then marks are summed; the
+    direct form would expand every row once per count. NULL is not counted, and a group without any
+    value keeps its row of zeros.
     """
-    marks = df.groupBy(*keys, id_col).agg(
+    value = F.col(counted) if isinstance(counted, str) else counted
+    marks = df.withColumn("_counted", value).groupBy(*keys, "_counted").agg(
         *[F.max(F.when(cond, 1).otherwise(0)).alias(name) for name, cond in conditions.items()])
-    return marks.where(F.col(id_col).isNotNull()).groupBy(*keys).agg(
-        *[F.sum(name).alias(name) for name in conditions])
+    known = F.col("_counted").isNotNull()
+    return marks.groupBy(*keys).agg(*[F.sum(F.when(known, F.col(name)).otherwise(0)).alias(name) for name in conditions])
 
 
 def having(df: DataFrame, keys: list[str], measure: Column, name: str, minimum) -> DataFrame:

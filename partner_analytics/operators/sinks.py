@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,17 +15,46 @@ def stage(df: DataFrame, name: str, reuse: bool = False) -> DataFrame:
     return kept
 
 
+def _versions(spark: SparkSession, path: str, whole: bool = True) -> list[str]:
+    """Names of the version folders of a table in order; of whole ones only, or of broken ones too."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = sorted(s.getPath().getName() for s in files.listStatus(root) if s.getPath().getName().startswith("version-"))
+    # Spark's committer writes the mark after the last task: its file is the switch
+    return [n for n in names if not whole or files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+
+
 def write_replace(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Drop and create: the target holds exactly the given rows afterwards."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    """Drop and create: readers find exactly the given rows once all of them are written.
+
+    Rows go to a new version folder of the table. A version counts from the moment Spark marks its job
+    as done, in one step, so a failed write leaves the old rows in place, and ``df`` may read the table
+    it replaces. Old versions stay for readers at work until ``drop_old`` takes them away.
+    """
+    last = _versions(df.sparkSession, path, whole=False)[-1:]
+    number = int(last[0].split("-")[1]) + 1 if last else 0
+    writer = df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/version-{number:09d}-{uuid4().hex[:8]}")
 
 
 def truncate_insert(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """Empty the table and insert: only the given rows are left, in the table's columns and layout."""
-    table = df.sparkSession.read.parquet(path).schema
-    rows = df.select(*[F.col(f.name).cast(f.dataType) for f in table])
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(path)
+    """Empty the table and insert: only the given rows are left, in the table's columns and layout.
+
+    The switch is that of ``write_replace``: where the insert fails, the table isn't empty but as before.
+    """
+    table = read_back(df.sparkSession, path).schema
+    write_replace(df.select(*[F.col(f.name).cast(f.dataType) for f in table]), path, partition_by)
+
+
+def drop_old(spark: SparkSession, path: str) -> None:
+    """Delete all versions before the newest whole one, broken ones included."""
+    newest = _versions(spark, path)[-1:]
+    for name in _versions(spark, path, whole=False) if newest else []:
+        if name < newest[0]:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def write_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
@@ -41,4 +72,8 @@ def write_csv(df: DataFrame, path: str, null: str = " ") -> None:
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The newest whole version of a table."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no table in {path}")
+    return spark.read.parquet(f"{path}/{versions[-1]}")
