@@ -6,43 +6,32 @@ give larger values, so a document stops once all its slots are filled, after a f
 has many shingles. All shingles of a chunk of documents take a step together.
 
 Grouping: documents with equal shingle sets are one node. ``BANDS`` bands of ``ROWS`` slots each make
-buckets; the chance that a pair at the threshold shares none is (1 - 0.75^4)^32 < 6e-6. In a bucket
-every node is compared with the smallest and the largest one, on full shingle sets; linked nodes are
-united.
-Members of buckets that still hold several components may have links between those components.
-``residual`` finds every pair of them that can reach the threshold, by exact bounds on shared
-shingles, and these pairs are compared as well. So no link between components is left out, and no
-group is paired with itself.
+buckets; the chance that a pair at the threshold shares none is (1 - 0.75^4)^32 < 6e-6. Nodes of a
+bucket gather round a centre and are verified against it on full shingle sets; linked nodes are
+united. Buckets that still hold several components may have links between them: what is near one
+centre is told apart by its differences from the centre, what isn't by exact bounds on shared shingles
+(``clusters.py``), and each pair found is verified and united. So no link between components is left
+out, and no group is paired with itself.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partner_analytics.llm.common import GOLDEN, by_chunk, grams, hashed, mix, staged, words
-from partner_analytics.llm.graph import components
+from partner_analytics.llm.clusters import linked_components, mixed, sets_of
+from partner_analytics.llm.common import GOLDEN, by_chunk, mix, staged
+from partner_analytics.llm.shingles import shingle_set
 
-SHINGLE, PERCENT = 5, 75
+PERCENT = 75
 BANDS, ROWS = 32, 4
-#: members compared with one leader in a task
-COMPARE = 256
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def shingle_set(text: str | None, n: int = SHINGLE) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct n-word shingles; all words as one where there are fewer."""
-    tokens = words(text)
-    if not tokens:
-        return np.empty(0, np.uint64)
-    return np.unique(grams(hashed(tokens), min(n, len(tokens))))
-
-
 def superminhash(sets: list[np.ndarray], slots: int = BANDS * ROWS) -> np.ndarray:
     """Signatures (sets x slots); the step is in the top 8 bits, the fraction in the rest."""
     out = np.full(len(sets) * slots, _EMPTY)
@@ -77,19 +66,8 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether 100 * intersection >= percent * union of two sorted sets."""
-    small, large = min(len(a), len(b)), max(len(a), len(b))
-    if not small or 100 * small < percent * large:
-        return False
-    both = np.concatenate([a, b])
-    both.sort()
-    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * shared >= percent * (len(a) + len(b) - shared)
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key, bands): ``key`` is a 128-bit hash of the set, null where it is empty."""
+    """(doc_id, code, n_shingles, key, bands) of ``docs`` (doc_id, code, text): ``key`` is a 128-bit hash of the set, null where it is empty."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         sizes, keys, bands, pending, weight = [], [], [], [], 0
@@ -109,99 +87,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 weight = 0
         flush()
         return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+            [part.column("doc_id"), part.column("code"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
              pa.array([b if n else [] for b, n in zip(bands, sizes)], pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "key", "bands"])
+            ["doc_id", "code", "n_shingles", "key", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(by_chunk(run), f"doc_id {kind}, n_shingles long, key binary, bands array<long>")
-
-
-def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, sets): the full shingle set of each node of ``nodes`` (node, doc_id, key), as bytes."""
-
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(text).tobytes() for text in part.column("text").to_pylist()]
-        same = [xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, part.column("key").to_pylist())]
-        keep = pa.array(np.flatnonzero(same))
-        return pa.RecordBatch.from_arrays(
-            [part.column("node").take(keep), pa.array(sets, pa.binary()).take(keep)], ["node", "sets"])
-
-    # null ids match null ids; an id with several texts gives the one that the key names
-    picked = docs.join(nodes, docs["doc_id"].eqNullSafe(nodes["rep"])).select("node", "key", "text")
-    return picked.mapInArrow(by_chunk(run), "node long, sets binary")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are linked on their full sets.
-
-    Pairs meet in groups of one ``b`` and a bounded number of members, each of which brings its set.
-    """
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / COMPARE).cast("int").alias("parts"))
-    dealt = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
-    leaders = dealt.select("b", "part").distinct().join(sets, F.col("b") == F.col("node")).select("b", "part", F.lit(None).cast("long").alias("a"), "sets")
-    members = dealt.join(sets, F.col("a") == F.col("node")).select("b", "part", "a", "sets")
-
-    def run(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        lead = frame["a"].isna()
-        found = []
-        if lead.any():
-            leader = np.frombuffer(frame.loc[lead, "sets"].iloc[0], np.uint64)
-            found = [a for a, own in zip(frame.loc[~lead, "a"], frame.loc[~lead, "sets"])
-                     if linked(leader, np.frombuffer(own, np.uint64), percent)]
-        return pd.DataFrame({"a": np.asarray(found, np.int64), "b": np.int64(group[0])})
-
-    return leaders.unionByName(members).groupBy("b", "part").applyInPandas(run, "a long, b long")
+    return docs.mapInArrow(by_chunk(run), f"doc_id {kind}, code long, n_shingles long, key binary, bands array<long>")
 
 
-def buckets_of(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, n) of every band of every node."""
-    return nodes.select(F.explode("bands").alias("bucket"), "node", "n")
-
-
-def stars(buckets: DataFrame) -> DataFrame:
-    """(a, b): each member of a bucket with the smallest and with the largest node of the bucket."""
-    ends = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    return buckets.join(ends, "bucket").select(
-        F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b").distinct()
-
-
-def residual(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): pairs of ``nodes`` (node, component, n) across components that may be linked.
-
-    A shingle found in one component only is of no use to such a pair. A set of n shingles of which c
-    lie in several components can be linked only where 100 c >= percent n. Of two linked sets, each
-    one's first n - ceil(percent n / 100) + 1 shingles share one, in any common order; the order here
-    is by the number of sets that hold a shingle, rarest first, so common passages come last and
-    hardly ever make a pair. What is left behind a shingle in both sets bounds what they can share.
-    """
-
-    def explode(part: pa.RecordBatch) -> pa.RecordBatch:
-        values = [np.frombuffer(s, np.int64) for s in part.column("sets").to_pylist()]
-        row = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(values) if values else np.empty(0, np.int64)),
-             *(part.column(c).take(row) for c in ("node", "component", "n"))], ["shingle", "node", "component", "n"])
-
-    rows = nodes.join(sets, "node").select("node", "component", "n", "sets").mapInArrow(
-        by_chunk(explode, "sets"), "shingle long, node long, component long, n long")
-    shared = rows.groupBy("shingle").agg(
-        F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")
-    ).filter("low < high").select("shingle", "df")
-    useful = rows.join(shared, "shingle").groupBy("node").agg(
-        F.first("component").alias("component"), F.first("n").alias("n"),
-        F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("own"))  # at most one document's shingles
-    size, prefix = F.size("own"), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    # from its place on, a set has ``left`` shared shingles: no pair that meets here first can share more
-    keys = useful.filter(100 * size >= percent * F.col("n")).select(
-        "node", "component", "n", size.alias("c"),
-        F.posexplode(F.slice("own", F.lit(1), F.greatest(prefix - (F.col("n") - size), F.lit(0)).cast("int"))).alias("place", "x"),
-    ).select("node", "component", "n", (F.col("c") - F.col("place")).alias("left"), F.col("x.shingle").alias("shingle"))
-    x, y = keys.alias("x"), keys.alias("y")
-    top = "least(x.left, y.left)"
-    return x.join(y, F.expr(
-        f"x.shingle = y.shingle AND x.component < y.component AND 100 * {top} >= {percent} * (x.n + y.n - {top})")).select(
-            F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, code, n_shingles, key), ``code`` the hash of the text, and the component of each key (key, rep, component)."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("code"))
+    rows = staged(fingerprints(source), "fingerprints")
+    struct = F.struct("doc_id", "code")
+    nodes = staged(rows.filter("key IS NOT NULL").groupBy("key").agg(
+        F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), struct)), F.min(struct)).alias("x"),
+        F.first("bands").alias("bands"), F.first("n_shingles").alias("n"),
+    ).select(F.monotonically_increasing_id().alias("node"), "key", "bands", "n", F.col("x.doc_id").alias("rep"), "x.code"), "nodes")
+    buckets = nodes.select(F.explode("bands").alias("bucket"), "node")
+    shared = staged(buckets.join(mixed(buckets, "node"), "bucket", "left_semi"), "buckets")
+    members = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "n", "rep", "code", "key")
+    sets = staged(sets_of(source, members), "sets")
+    united = linked_components(members.select("node", "n"), shared, sets, percent, within_buckets=True)
+    of_key = nodes.select("node", "key", "rep").join(united, "node", "left").select("key", "rep", F.coalesce("component", "node").alias("component"))
+    return rows.select("doc_id", "code", "n_shingles", "key"), of_key
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -212,51 +121,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingle, is linked with nothing and kept. Repeated rows share a component, and each of them is
     kept where its id is the component's smallest. Null ids count as larger than all others.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = staged(fingerprints(source), "fingerprints")
-    nodes = staged(rows.filter("key is not null").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"),
-    ).select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
-    buckets = buckets_of(nodes)
-    pairs = staged(stars(buckets), "pairs")
-    members = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = staged(node_sets(source, nodes.select("node", "rep", "key").join(members, "node")), "sets")
-    links = staged(confirmed(pairs, sets, percent), "links")
-    united = staged(components(links), "components")
-
-    labelled = buckets.join(members, "node", "left_semi").join(united, "node", "left").select(
-        "bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    open_nodes = labelled.join(mixed, "bucket", "left_semi").select("node", "component", "n").distinct()
-    known = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = staged(residual(open_nodes, sets, percent).join(known, ["a", "b"], "left_anti"), "pairs")
-    more = staged(confirmed(rest, sets, percent), "links")
-    if not more.isEmpty():
-        united = staged(components(links.unionByName(more)), "components")
-
-    first = united.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_key = nodes.select("node", "key", "rep").join(united, "node", "left").join(first, "component", "left").select(
-        "key", F.coalesce("component_id", "rep").alias("component_id"))
-    return rows.select("doc_id", "n_shingles", "key").join(of_key, "key", "left").select(
+    rows, of_key = _labelled(docs, id_col, text_col, percent)
+    of_key = staged(of_key, "components")
+    first = of_key.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return rows.join(of_key.join(first, "component").select("key", "component_id"), "key", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; all columns stay.
+    """``docs`` with one document of each component; all columns stay.
 
-    Of rows with that id in common the least stays, compared column by column. Rows with a null id or
-    without words are no copies of anything and stay.
+    That of the smallest id stays, null ids last; of one id's texts the one with the smallest hash; of
+    rows with id and text in common the least, compared column by column. Rows without words are no
+    copies of anything and stay. What goes is looked up by id and text hash, as it is little and narrow.
     """
-    labels = near_duplicates(docs, id_col, text_col).filter("kept AND doc_id IS NOT NULL")
-    keep = staged(labels.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")), "kept")
-    nameless = docs.filter(F.col(id_col).isNull())
-    stay = docs.join(keep.filter("__n = 1"), F.col(id_col) == F.col("__id"), "left_semi")
-    repeated = keep.filter("__n > 1")
-    if not repeated.isEmpty():
-        rows = docs.join(repeated, F.col(id_col) == F.col("__id"), "left_semi")
-        stay = stay.unionByName(rows.groupBy(F.col(id_col).alias("__id")).agg(
-            F.min(F.struct(*docs.columns)).alias("__x")).select("__x.*"))
-    return stay.unionByName(nameless)
+    rows, of_key = _labelled(docs, id_col, text_col, PERCENT)
+    texts = staged(rows.join(of_key, "key").groupBy("component", "doc_id", "code").agg(F.count("*").alias("n")), "texts")
+    name = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "code")
+    best = texts.groupBy("component").agg(F.min(name).alias("best"))
+    ranked = texts.join(best, "component").select("doc_id", "code", "n", (name == F.col("best")).alias("first"))
+    one, two = _free(docs, "_id"), _free(docs, "_code")
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.select(F.col("doc_id").alias(one), F.col("code").alias(two))
+
+    same = F.col(id_col).eqNullSafe(F.col(one)) & (F.xxhash64(text_col) == F.col(two))
+    stay = docs.join(named(ranked.filter("NOT first")), same, "left_anti")
+    repeated = staged(named(ranked.filter("first AND n > 1")), "repeated")
+    if repeated.isEmpty():
+        return stay
+    least = stay.join(repeated, same, "left_semi").groupBy(F.col(id_col).alias(one), F.xxhash64(text_col).alias(two)).agg(
+        F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return stay.join(repeated, same, "left_anti").unionByName(least)

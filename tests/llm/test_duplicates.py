@@ -280,3 +280,14 @@ def test_pipeline_stages_match_brute_force(workers, sf_dir):
         assert all(after[i].source == rows[i].source for i in after)
         state = workers.createDataFrame(list(after.values()), docs.schema)
     assert corpus_pipeline.run(workers, sf_dir).count() > 0
+
+
+def test_near_copies_are_decided_by_row(workers):
+    """Two texts under one id, copies without id, repeated rows, columns named like the operator's own."""
+    long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long), (1, other), (2, long + " x"), (None, long), (None, other), (None, "only this one here now"), (3, None), (3, None),
+            (4, "twice the same row here"), (4, "twice the same row here"), (None, None)]
+    frame = workers.createDataFrame([(*r, i, "c") for i, r in enumerate(rows)], "doc_id long, text string, _id long, _code string")
+    left = near_dedup.without_near_duplicates(frame)
+    assert left.columns == frame.columns
+    assert sorted(r._id for r in left.collect()) == [0, 1, 5, 6, 7, 8, 10]

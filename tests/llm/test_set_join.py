@@ -5,7 +5,7 @@ import random
 import pytest
 from test_duplicates import shingles
 
-from partner_analytics.llm import set_join
+from partner_analytics.llm import clusters, set_join
 from partner_analytics.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, row long, own string, node int"
@@ -57,7 +57,7 @@ ODD = [None, "", " \t\n", "one", "ONE", "one two", "a b c d e", "A B C D E", "a
 
 @pytest.mark.parametrize("percent,compare", [(80, 256), (80, 3), (60, 256)])
 def test_join_against_all_pairs(workers, monkeypatch, percent, compare):
-    monkeypatch.setattr(set_join, "COMPARE", compare)
+    monkeypatch.setattr(clusters, "COMPARE", compare)
     texts = ODD + families(1, 14, 12, 4) + families(2, 3, 60, 3) + ["long " * 30_000, " ".join(map(str, range(20_000)))]
     docs = [(3 * i, t, i, "x", 1) for i, t in enumerate(texts)]
     docs += [(None, texts[20], 0, "x", 1), (None, None, 0, "x", 1), (None, "alone here with nothing else", 0, "x", 1), (33, texts[11], 0, "x", 1), (33, texts[90], 0, "x", 1)]
@@ -67,7 +67,7 @@ def test_join_against_all_pairs(workers, monkeypatch, percent, compare):
 
 def test_join_without_clusters(workers, monkeypatch):
     """No centre at all: the blocked index alone finds every link."""
-    monkeypatch.setattr(set_join, "gathered", lambda nodes: nodes.selectExpr("node", "node AS centre"))
+    monkeypatch.setattr(clusters, "gathered", lambda nodes, buckets: nodes.selectExpr("node", "node AS centre"))
     docs = [(i, t, i, "x", 1) for i, t in enumerate(ODD + families(3, 10, 14, 4))]
     assert found(set_join.similar_sets(workers.createDataFrame(docs, DOCS))) == brute(docs)
 
@@ -80,8 +80,8 @@ def test_join_of_empty_table(workers):
 def test_pairs_of_a_near_copy_group_stay_few(workers, monkeypatch):
     draw, counts = random.Random(9), []
     base = [f"b{i}" for i in range(100)]
-    whole = set_join.compared
-    monkeypatch.setattr(set_join, "compared", lambda pairs, *rest: (counts.append(pairs.count()), whole(pairs, *rest))[1])
+    whole = clusters.compared
+    monkeypatch.setattr(clusters, "compared", lambda pairs, *rest: (counts.append(pairs.count()), whole(pairs, *rest))[1])
     for n in (300, 1200):
         docs = []
         for i in range(n):
