@@ -154,11 +154,11 @@ def in_clusters(close: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     useful = rows.join(shared.select("centre", "side", "element", "df"), ["centre", "side", "element"]).groupBy("node", "centre").agg(
         F.array_sort(F.collect_list(F.struct("df", "side", "element"))).alias("own"))  # elements of one set
-    keys = useful.join(base.select("node", "centre", "component", "n", "centre_n", "linked", "r", "gap"), ["node", "centre"]).filter(
+    keys = staged(useful.join(base.select("node", "centre", "component", "n", "centre_n", "linked", "r", "gap"), ["node", "centre"]).filter(
         unit * F.size("own") >= F.col("gap")).select(
         "node", "centre", "component", "n", "centre_n", "linked", "r", F.size("own").alias("c"),
         F.posexplode(F.slice("own", F.lit(1), (F.size("own") - F.ceil(F.col("gap") / unit) + 1).cast("int"))).alias("place", "x"),
-    ).select("node", "centre", "component", "n", "centre_n", "linked", "r", (F.col("c") - F.col("place")).alias("left"), "x.side", "x.element")
+    ).select("node", "centre", "component", "n", "centre_n", "linked", "r", (F.col("c") - F.col("place")).alias("left"), "x.side", "x.element"), "differences")
     x, y = keys.alias("x"), keys.alias("y")
     return x.join(y, F.expr(
         "x.centre = y.centre AND x.side = y.side AND x.element = y.element AND NOT x.linked AND (y.linked OR x.node < y.node) "
@@ -181,7 +181,7 @@ def across_clusters(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFram
     """
     unit, by = 100 + percent, ["component", "cluster"]
     ahead = first_elements(sets, percent).join(nodes.select("node", *by), "node")
-    live = ahead.join(apart(ahead, by), "element", "left_semi").select("node").distinct()
+    live = staged(ahead.join(apart(ahead, by), "element", "left_semi").select("node").distinct(), "open")
 
     def explode(part: pa.RecordBatch) -> pa.RecordBatch:
         lists = [np.frombuffer(x, np.int64) for x in part.column("own").to_pylist()]
@@ -197,10 +197,10 @@ def across_clusters(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFram
         F.array_sort(F.collect_list(F.struct("df", "element"))).alias("shared"))  # elements of one set
     size = F.size("shared")
     length = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
-    keys = useful.join(nodes.select("node", "n", *by), "node").filter(100 * size >= percent * F.col("n")).select(
+    keys = staged(useful.join(nodes.select("node", "n", *by), "node").filter(100 * size >= percent * F.col("n")).select(
         "node", "n", *by, size.alias("c"),
         F.posexplode(F.slice("shared", F.lit(1), F.greatest(length - (F.col("n") - size), F.lit(0)).cast("int"))).alias("place", "x"),
-    ).select("node", "n", *by, (F.col("c") - F.col("place")).alias("left"), F.col("x.element").alias("element"))
+    ).select("node", "n", *by, (F.col("c") - F.col("place")).alias("left"), F.col("x.element").alias("element")), "keys")
     y = keys.withColumn("block", _block(F.col("n"), percent))
     # sizes of a block start at the base to the power of its number; the next block holds larger sets only
     start = F.floor(F.pow(F.lit(100 / percent * 1.01), F.col("block")) * (1 - 1e-9))
