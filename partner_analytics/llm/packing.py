@@ -1,8 +1,10 @@
 """Best-fit packing of token sequences by a grouping genetic algorithm on distributed islands.
 
 A gene is a whole sequence (a bin), not a document. Crossover injects the well-filled bins of one
-parent into the other, drops the bins that now hold a piece twice, and best-fits the displaced
-pieces. Pieces are dealt to shards of a bounded size; each shard evolves on several islands, each an
+parent into the other, drops the bins that now hold a piece twice and a few poorly filled ones, and
+places the displaced pieces: first where one or two of them fill a bin better than one or two that
+lie there, then by best fit. An island ends at a lower bound of its bins, or after as many crossovers
+without gain as it has bins, ``PATIENCE`` at least. Pieces are dealt to shards of a bounded size; each shard evolves on several islands, each an
 ordinary group of a Spark shuffle. Between epochs the elite of an island migrates to the next one.
 Afterwards the pieces of all poorly filled bins move to new shards and evolve once more, so that what
 a shard could not fill is packed together with the rest of the others.
@@ -26,8 +28,8 @@ from partner_analytics.llm.common import by_chunk, staged
 from partner_analytics.llm.pieces import pieces, vocabulary
 
 CAPACITY, END = 4096, 1
-#: pieces a shard holds on average; islands of a shard; genomes of an island; crossovers of an epoch
-SHARD, ISLANDS, POPULATION, CROSSOVERS = 2048, 2, 3, 4
+#: pieces a shard holds on average; islands of a shard; genomes of an island; least number of crossovers without gain at its end
+SHARD, ISLANDS, POPULATION, PATIENCE = 2048, 2, 4, 100
 #: bins filled less than this move to the last round
 WELL_FILLED = 0.995
 
@@ -86,10 +88,59 @@ def fitness(bins: Genome, size: list[int], capacity: int) -> tuple[int, float]:
     return -len(bins), sum(f * f for f in fill(bins, size)) / (capacity * capacity * max(1, len(bins)))
 
 
+def lower_bound(size: list[int], capacity: int) -> int:
+    """No packing has fewer bins: for each least size, what is over half a bin leaves room for the middle sizes only in part."""
+    own = np.sort(np.asarray(size, np.int64))
+    if not len(own):
+        return 0
+    total = np.concatenate([[0], np.cumsum(own)])
+    half = int(np.searchsorted(own, capacity // 2, "right"))  # sizes up to half a bin
+    least = np.unique(np.concatenate([[0], own[:half]]))
+    first = np.searchsorted(own, least, "left")  # middle sizes start here
+    alone = np.maximum(np.searchsorted(own, capacity - least, "right"), half)  # nothing of a least size fits beside these
+    large = len(own) - half
+    room = (alone - half) * capacity - (total[alone] - total[half])
+    return int((large + np.maximum(0, -(-(total[half] - total[first] - room) // capacity))).max())
+
+
+def replace(bins: Genome, room: list[int], items: list[int], size: list[int]) -> list[int]:
+    """What is left of ``items``, largest first, after one or two took the place of one or two in bins they fill better."""
+    loose = sorted((size[i], i) for i in items)
+    for b in sorted(range(len(bins)), key=lambda i: -room[i]):
+        own, free = bins[b], room[b]
+        if not free or not loose:
+            break
+        gain, leave, enter = 0, (), ()
+        for leaving in ([x, y] if y > x else [x] for x in range(len(own)) for y in range(x, len(own))):
+            gone = sum([size[own[x]] for x in leaving])
+            at = bisect_left(loose, (gone + free + 1, -1)) - 1
+            if at >= 0 and loose[at][0] - gone > gain:
+                gain, leave, enter = loose[at][0] - gone, leaving, [at]
+            low, high = 0, len(loose) - 1
+            while low < high:
+                more = loose[low][0] + loose[high][0] - gone
+                if more > free:
+                    high -= 1
+                else:
+                    if more > gain:
+                        gain, leave, enter = more, leaving, [low, high]
+                    low += 1
+            if gain == free:
+                break
+        if gain:
+            entering = [loose.pop(at)[1] for at in reversed(enter)]
+            for x in leave:
+                insort(loose, (size[own[x]], own[x]))
+            bins[b] = [i for x, i in enumerate(own) if x not in leave] + entering
+            room[b] = free - gain
+    return [i for _, i in reversed(loose)]
+
+
 def cross(a: Genome, b: Genome, size: list[int], capacity: int, draw: random.Random) -> Genome:
-    """Bins of ``b``, the better filled the likelier, go whole into ``a``."""
+    """Bins of ``b`` from the better filled half go whole into ``a``."""
     full = sorted(zip(fill(b, size), range(len(b))), reverse=True)
-    taken = [b[i] for _, i in full[:max(1, len(full) // 2)] if draw.random() < 0.5] or [b[full[0][1]]]
+    share = draw.random()
+    taken = [b[i] for _, i in full[:max(1, len(full) // 2)] if draw.random() < share] or [b[full[0][1]]]
     inside = {i for own in taken for i in own}
     kept, displaced = [], []
     for own in a:
@@ -98,32 +149,41 @@ def cross(a: Genome, b: Genome, size: list[int], capacity: int, draw: random.Ran
         else:
             displaced += [i for i in own if i not in inside]
     child = [list(own) for own in [*taken, *kept]]
-    displaced.sort(key=size.__getitem__, reverse=True)
-    best_fit(child, [capacity - f for f in fill(child, size)], displaced, size, capacity)
+    room = [capacity - f for f in fill(child, size)]
+    poor = set(sorted(range(len(child)), key=lambda i: -room[i] * draw.random())[:draw.randint(1, 8)])
+    displaced += [i for b in poor for i in child[b]]
+    child, room = [own for b, own in enumerate(child) if b not in poor], [r for b, r in enumerate(room) if b not in poor]
+    best_fit(child, room, replace(child, room, displaced, size), size, capacity)
     return child
 
 
 def evolve(size: list[int], genomes: list[Genome], seed: int, capacity: int = CAPACITY,
-           population: int = POPULATION, crossovers: int = CROSSOVERS) -> Genome:
-    """The best genome after some crossovers; the population starts with ``genomes``."""
+           population: int = POPULATION, patience: int = PATIENCE) -> Genome:
+    """The best genome once crossovers bring no more gain; the population starts with ``genomes``."""
     draw = random.Random(seed)
-    least = -(-sum(size) // capacity)
+    least = lower_bound(size, capacity)
     order = sorted(range(len(size)), key=lambda i: -size[i])
-    people = list(genomes)
+    people = [(fitness(g, size, capacity), g) for g in genomes]
     while len(people) < population:
         bins: Genome = []
         # the first newcomer is plain best-fit decreasing, the others blur the order
         blur = 0 if not people else capacity // 8
         best_fit(bins, [], order if not blur else sorted(order, key=lambda i: -size[i] - draw.randrange(blur)), size, capacity)
-        people.append(bins)
-    people.sort(key=lambda g: fitness(g, size, capacity), reverse=True)
-    for _ in range(crossovers):
-        if len(people[0]) <= least:
-            break
+        people.append((fitness(bins, size, capacity), bins))
+        if len(bins) <= least:
+            return bins
+    people.sort(key=lambda p: p[0], reverse=True)
+    idle = 0
+    while -people[0][0][0] > least and idle < max(patience, -people[0][0][0]):
         first, second = draw.sample(range(len(people)), 2) if len(people) > 1 else (0, 0)
-        people[-1] = cross(people[first], people[second], size, capacity, draw)
-        people.sort(key=lambda g: fitness(g, size, capacity), reverse=True)
-    return people[0]
+        child = cross(people[first][1], people[second][1], size, capacity, draw)
+        found = fitness(child, size, capacity)
+        # only a saved bin counts as a gain; filling more unevenly goes on for ever
+        idle = 0 if found[0] > people[0][0][0] else idle + 1
+        if found > people[-1][0] and all(found != f for f, _ in people):
+            people[-1] = found, child
+            people.sort(key=lambda p: p[0], reverse=True)
+    return people[0][1]
 
 
 STATE = "shard long, island int, key long, length long, bin int"
@@ -144,7 +204,7 @@ def epoch(state: DataFrame, capacity: int, number: int) -> DataFrame:
             for item, b in zip(at.tolist(), of_one["bin"].tolist()):
                 bins.setdefault(b, []).append(item)
             genomes.append(list(bins.values()))
-        best = evolve(size, genomes, hash((shard, island, number)), capacity)
+        best = evolve(size, genomes, (shard * 64 + island) * 2 + number, capacity)
         where = np.empty(len(key), np.int32)
         for b, items in enumerate(best):
             where[items] = b
