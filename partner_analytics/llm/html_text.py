@@ -4,13 +4,15 @@
    carries what the page says of it: elements that are page furniture by their tag, class or role
    (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) hold no main text, nor
    does what lies outside ``article`` and ``main`` on a page that has them. All other lines are candidates.
-2. Pages of a host stand in the order of their URL paths, and each is paired with the neighbour whose
-   path shares the longer beginning. All lines of both pages are aligned by their longest common
-   subsequence, and the candidates among the shared lines are deleted.
-3. A declared article protects its lines: its candidates are aligned with those of the neighbours on both
-   sides, and a line is deleted where both of them (or the only one) share it.
-4. A neighbour with nearly the same candidates is a copy and tells nothing of templates: the page is
-   compared with the other neighbour, and keeps its candidates if that is a copy as well.
+2. Pages of a host stand in the order of their URL paths, and each meets two on either side. The nearest
+   is the one whose path shares the longest beginning. All lines of two pages are aligned by their
+   longest common subsequence, and the candidates shared with the nearest page are deleted.
+3. A page of which no candidate is its own, or that has all candidates of the other, is a copy (a print view, an
+   addition) and tells nothing of templates. Where the nearest page is nearly the same, but with lines of
+   its own on both sides, a line goes if a second page around shares it: a line on two pages may be the
+   text of both, a line on three is the template's.
+4. A declared article protects its lines: its candidates are aligned with those of the pages around, and
+   a line is deleted where all of them, two at least, share it.
 
 Equal pages of a host are one page here. The order over all hosts comes from a range partition, so a
 host with a third of all pages is spread over many tasks; only hashes of lines travel to the
@@ -42,17 +44,18 @@ footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p
 thead tr ul""".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: fixed values: whole class, id and role names that mark furniture
-COMMENTS = set("""comment comments comment-list commentlist comments-list comment-section comments-section comment-area
-comments-area comment-body comment-form comment-respond comment-thread comments-wrapper user-comments reader-comments
-disqus disqus_thread disqus-thread respond reply replies""".split())
-MARKS = COMMENTS | set("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar
+REPLIES = set("respond reply replies".split())
+MARKS = REPLIES | set("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar
 navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead notice notices cookie cookies consent gdpr alert
 newsletter subscribe subscription share sharing social related recommended popup modal overlay login signup search pagination
 pager widget toolbar contentinfo complementary site-header site-footer site-nav page-header page-footer main-nav main-menu
 main-navigation nav-menu nav-bar side-bar cookie-banner cookie-notice cookie-consent social-share share-buttons related-posts
 related-articles ad-banner ad-container""".split())
-#: share of two pages' characters from which they are copies; furniture is the lesser part of an article
-NEAR, NEAR_ARTICLE = 0.9, 0.5
+#: fixed values: parts of a class or id name that mark reader comments, and parts that say something of them only
+COMMENT_PARTS = set("comment comments commentlist disqus".split())
+ABOUT_PARTS = set("has no with without open closed count counter allow enabled disabled status".split())
+#: share of two pages' characters from which a line needs a second witness
+NEAR = 0.9
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
@@ -73,6 +76,12 @@ def names_of(attributes: str) -> tuple[set[str], set[str], bool]:
     return names, ids, hidden
 
 
+def is_comment(name: str) -> bool:
+    """Whether a class, role or id name is that of reader comments."""
+    parts = set(re.split("[-_]+", name))
+    return name in REPLIES or not COMMENT_PARTS.isdisjoint(parts) and ABOUT_PARTS.isdisjoint(parts)
+
+
 def lines_of(page: str | None) -> tuple[list[tuple[str, bool]], bool]:
     """(lines, declared): (line, candidate) of a page, and whether they come from a declared article."""
     if not page:
@@ -130,14 +139,15 @@ def lines_of(page: str | None) -> tuple[list[tuple[str, bool]], bool]:
         names, ids, hidden = names_of(attributes) if attributes and name not in ("html", "body") else (set(), set(), False)
         if name in HEADINGS:
             ids = set()  # a heading's id is an anchor
-        if talk is None and not COMMENTS.isdisjoint(names | ids):
+        talks = any(map(is_comment, names | ids))
+        if talk is None and talks:
             talk = len(stack)
         if region is not None:
-            ids &= COMMENTS  # so are most of an article's
+            ids = set()  # so are most of an article's
         if talk is None and (name == "main" or name == "article" and not seen_article):
             flush()
             skip, seen_article = None, seen_article or name == "article"  # furniture that was left open ends here
-        elif skip is None and (name in FURNITURE or hidden or not MARKS.isdisjoint(names | ids)):
+        elif skip is None and (name in FURNITURE or hidden or talks or not MARKS.isdisjoint(names | ids)):
             flush()
             skip = len(stack)
         if skip is None and region is None and name in ("article", "main"):
@@ -234,7 +244,7 @@ def candidates(pages: DataFrame) -> DataFrame:
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """(row, other): the page before and the page after in the order of host and path, same host only."""
+    """(row, other): the two pages before and the two after in the order of host and path, same host only."""
     order = ["host", "path", "key", "row"]
     light = staged(pages.select(*order).repartitionByRange(width(pages.sparkSession), *order).sortWithinPartitions(*order).select(
         F.monotonically_increasing_id().alias("at"), "host", "row"), "order")  # partition << 33 | place in it
@@ -244,29 +254,28 @@ def neighbours(pages: DataFrame) -> DataFrame:
     left = light.join(F.broadcast(border), light["at"] == border["last"], "left").select(
         "row", "host", F.coalesce("next_first", F.when(F.col("last").isNull(), F.col("at") + 1)).alias("next"))
     right = light.select(F.col("at").alias("next"), F.col("host").alias("next_host"), F.col("row").alias("other"))
-    pairs = left.join(right, "next").filter("host = next_host").select("row", "other")
-    return pairs.unionByName(pairs.select(F.col("other").alias("row"), F.col("row").alias("other")))
+    pairs = staged(left.join(right, "next").filter("host = next_host").select("row", "other"), "neighbours")
+    second = pairs.join(pairs.select(F.col("row").alias("other"), F.col("other").alias("far")), "other").select("row", F.col("far").alias("other"))
+    after = pairs.unionByName(second)
+    return after.unionByName(after.select(F.col("other").alias("row"), F.col("row").alias("other")))
 
 
 def deleted_lines(path: str, declared: bool, hashes: list[int], sizes: list[int], others: list[dict]) -> list[int]:
     """Numbers among a page's candidates of those that are deleted, given the pages around it."""
     own, weight = np.array(hashes, np.int64), np.array(sizes, np.int64)
-    inside = own[weight > 0]
-
-    def shares(other: dict) -> np.ndarray | None:
-        """Which candidates the other page shares; None if it is a copy."""
-        lines, sizes = np.array(other["hashes"], np.int64), np.array(other["sizes"], np.int64)
-        same = common_lines(inside, lines[sizes > 0])
-        least = NEAR_ARTICLE if declared and other["declared"] else NEAR
-        if 2 * weight[weight > 0][same].sum() >= least * (weight.sum() + sizes.sum()):
-            return None
-        return same if declared else common_lines(own, lines)[weight > 0]
-
-    nearest = sorted(others, key=lambda o: (-len(os.path.commonprefix([o["path"], path])), o["row"]))
-    shared = [x for x in map(shares, nearest) if x is not None]
+    inside, size = own[weight > 0], weight[weight > 0]
+    shared, near = [], []
+    for other in sorted(others, key=lambda o: (-len(os.path.commonprefix([o["path"], path])), o["row"])):
+        lines, others_size = np.array(other["hashes"], np.int64), np.array(other["sizes"], np.int64)
+        same = common_lines(inside, lines[others_size > 0])
+        if same.all() or same.sum() == (others_size > 0).sum():
+            continue  # a copy
+        shared.append(same if declared else common_lines(own, lines)[weight > 0])
+        near.append(2 * size[same].sum() >= NEAR * (size.sum() + others_size.sum()))
     if not shared:
         return []
-    return np.flatnonzero(np.all(shared, axis=0) if declared else shared[0]).tolist()
+    witnesses = max(2, len(shared)) if declared else 2 if near[0] else 1
+    return np.flatnonzero(shared[0] & (np.sum(shared, axis=0) >= witnesses)).tolist()
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -283,7 +292,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     ).select(F.monotonically_increasing_id().alias("row"), "*"), "lines")
     pairs = neighbours(distinct.select("row", "host", "path", "key"))
     others = distinct.select(F.col("row").alias("other"), F.struct("row", "path", "declared", "hashes", "sizes").alias("x")).join(pairs, "other").groupBy("row").agg(
-        F.collect_list("x").alias("others"))  # two at most
+        F.collect_list("x").alias("others"))  # four at most
     asked = distinct.join(others, "row").select("key", "path", "declared", "hashes", "sizes", "others")
 
     def compare(part: pa.RecordBatch) -> pa.RecordBatch:

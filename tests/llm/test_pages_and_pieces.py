@@ -105,6 +105,34 @@ def test_crossover_keeps_every_piece_once():
     assert packing.fitness(best, size, 4096) >= max(packing.fitness(a, size, 4096), packing.fitness(b, size, 4096))
 
 
+def test_genetic_search_comes_near_a_known_optimum():
+    import random
+
+    draw, size = random.Random(1), []
+    for _ in range(600):
+        a = draw.randint(4096 // 3 + 1, 4096 // 2 - 50)
+        b = draw.randint(4096 // 4 + 1, (4096 - a) // 2)
+        size += [a, b, 4096 - a - b]
+    plain = []
+    packing.best_fit(plain, [], sorted(range(1800), key=lambda i: -size[i]), size, 4096)
+    best = packing.evolve(size, [], 5)
+    assert len(plain) > 660 and len(best) <= 606
+    assert sorted(i for own in best for i in own) == list(range(1800)) and max(packing.fill(best, size)) <= 4096
+
+
+def test_lower_bound_holds_for_all_packings():
+    import itertools
+    import random
+
+    draw = random.Random(7)
+    for _ in range(60):
+        size = [draw.randint(1, 10) for _ in range(draw.randint(1, 6))]
+        fewest = min(len({*places}) for places in itertools.product(range(len(size)), repeat=len(size))
+                     if all(sum(s for s, p in zip(size, places) if p == b) <= 10 for b in range(len(size))))
+        assert -(-sum(size) // 10) <= packing.lower_bound(size, 10) <= fewest
+    assert packing.lower_bound([], 10) == 0 and packing.lower_bound([6] * 5, 10) == 5
+
+
 def test_empty_tables(workers):
     docs = workers.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert packing.pack(docs).count() == 0
@@ -168,11 +196,25 @@ def test_shared_lines_of_articles_are_deleted(workers):
     ("<article><h2 id='search'>Search</h2><section id='related-work'>A</section><section id='social'>B</section></article>", "Search A B"),
     ("<main>Text</main><article>More</article>", "Text More"),
     ("<article class=comment>C</article><p>Text</p>", "Text"),
+    ("<article>Text<div class='comment-1'>C</div><ul class='reader-comments-list'><li>C</ul><p id='user_comment'>C</p></article>", "Text"),
+    ("<div class='has-comments'><p>Text</p><p class='commentary'>More</p></div>", "Text More"),
 ])
 def test_main_text_is_not_lost_to_names_or_comments(page, want):
     assert " ".join(line for line, candidate in html_text.lines_of(page)[0] if candidate) == want
 
 
+def test_template_larger_than_the_text_is_deleted(workers):
+    lines = "".join(f"<p>Line {i} of the template of this host</p>" for i in range(30))
+    pages = [(i, f"http://t.x/{i}", f"{lines}<p>Own {i}</p>{lines}") for i in range(3)]
+    promo = "<p>Subscribe now to read everything that we write, wherever you are</p>"
+    pages += [(i, f"http://p.x/{i}", f"<article><p>Own {i}</p>{promo}</article>") for i in range(10, 15)]
+    # two pages that differ in a line may be one text twice; nothing tells a template there
+    pages += [(i, f"http://two.x/{i}", f"<p>Dated {i}</p>{lines}") for i in (20, 21)]
+    got = texts_of(workers, pages)
+    assert {i: got[i] for i in (*range(3), *range(10, 15))} == {i: f"Own {i}" for i in (*range(3), *range(10, 15))}
+    assert all(got[i].startswith(f"Dated {i} Line 0") and len(got[i]) > 1000 for i in (20, 21))
+
+
 def test_copies_keep_their_text(workers):
     page = "<p>Home | News</p>{}<p>All rights</p>"
     long = "".join(f"<p>Sentence {i} of a long page</p>" for i in range(40))
