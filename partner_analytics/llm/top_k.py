@@ -1,27 +1,36 @@
-"""Exact top-k inner products: one k-d tree per shard, searched best-first.
+"""Exact top-k inner products: a top tree deals vectors to shards, each shard is searched in its own k-d tree.
 
-Vectors are dealt to shards of a bounded size. A task builds the tree of its shard by median splits;
-every node has the tight bounding box of its vectors. The best score a box can hold is the inner
-product with, for each component, the better of the two box sides. The search takes nodes from a
-heap, best bound first, and stops when the bound falls below the query's kth score.
+The top tree is made by median splits of a bounded sample; all vectors are dealt to its leaves, and a
+leaf is cut into shards of bounded size. The tight bounding box of each leaf is taken over all its
+vectors. A task builds the tree of its shard by median splits; every node has the tight bounding box
+of its vectors. The best score a box can hold is the inner product with, for each component, the better
+of the two box sides. The search takes nodes from a heap, best bound first, and stops when the bound
+falls below the query's kth score.
 
-Queries travel to the shards in blocks. First each query searches one shard; its kth score there is
-a lower bound that goes with it to all shards, so that most of their nodes are never opened.
+First each query searches one shard of the leaf with the best bound. Its kth score there is a lower
+bound that goes with it: it is sent to those leaves only whose box can reach it, and most nodes
+there are never opened. A task reads the vectors of a shard and then streams its queries, so vectors
+are sent once for each ``BLOCK`` queries that ask for their leaf.
 """
 
 from __future__ import annotations
 
 import heapq
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partner_analytics.llm.common import staged
 
-#: vectors of a shard, queries of a block, vectors of a leaf
-SHARD, BLOCK, LEAF = 1024, 4096, 64
+#: vectors of a shard, queries of a block, vectors of a leaf of a shard's tree
+SHARD, BLOCK, LEAF = 1024, 65536, 64
+#: leaves of the top tree at most, and their components; vectors that the splits are learnt from, for each leaf
+TOP_LEAVES, TOP_VALUES, SAMPLE = 1024, 1 << 20, 8
 
 
 class Tree:
@@ -78,32 +87,139 @@ class Tree:
         return best
 
 
+def top_splits(sample: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    """(axis, cut) of the inner nodes of a complete binary tree: node i has the children 2i + 1 and 2i + 2."""
+    axis, cut = np.zeros(leaves - 1, np.int64), np.zeros(leaves - 1)
+    held = {0: sample}
+    for node in range(leaves - 1):
+        own = held.pop(node)
+        if len(own):
+            axis[node] = np.argmax(own.max(axis=0) - own.min(axis=0))
+            cut[node] = np.median(own[:, axis[node]])
+        right = own[:, axis[node]] >= cut[node]
+        held[2 * node + 1], held[2 * node + 2] = own[~right], own[right]
+    return axis, cut
+
+
+def matrix(column: pa.Array, rows: np.ndarray, dim: int) -> np.ndarray:
+    """The chosen rows of a list column, all of length ``dim``."""
+    return column.filter(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def lengths(column: pa.Array) -> np.ndarray:
+    return pc.list_value_length(column).to_numpy(zero_copy_only=False)
+
+
+def dealt_to(points: DataFrame, axis: np.ndarray, cut: np.ndarray, dim: int) -> DataFrame:
+    """``points`` (vec_id, asks, x) with the leaf of the top tree; vectors of another length lie in one leaf behind all."""
+    leaves = len(axis) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            fits = lengths(part.column("x")) == dim
+            own, leaf = matrix(part.column("x"), fits, dim), np.full(part.num_rows, leaves)
+            node = np.zeros(len(own), np.int64)
+            for _ in range(leaves.bit_length() - 1):
+                node = 2 * node + 1 + (own[np.arange(len(own)), axis[node]] >= cut[node])
+            leaf[fits] = node - (leaves - 1)
+            yield part.append_column("leaf", pa.array(leaf, pa.int32()))
+
+    return points.mapInArrow(run, "vec_id long, asks boolean, x array<double>, leaf int")
+
+
+def boxes_of(dealt: DataFrame, leaves: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high): the box of each leaf over all its vectors; an empty leaf's can hold no score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.full((leaves, dim), np.inf), np.full((leaves, dim), -np.inf)
+        for part in batches:
+            leaf = part.column("leaf").to_numpy()
+            fits = leaf < leaves
+            own = matrix(part.column("x"), fits, dim)
+            np.minimum.at(low, leaf[fits], own)
+            np.maximum.at(high, leaf[fits], own)
+        seen = np.flatnonzero(low[:, 0] < np.inf)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.repeat(seen, dim), pa.int32()), pa.array(np.tile(np.arange(dim), len(seen)), pa.int32()),
+            pa.array(low[seen].ravel()), pa.array(high[seen].ravel())], ["leaf", "i", "low", "high"])
+
+    low, high = np.full((leaves, dim), np.nan), np.full((leaves, dim), np.nan)
+    # TOP_VALUES rows at most
+    for r in dealt.mapInArrow(run, "leaf int, i int, low double, high double").groupBy("leaf", "i").agg(
+            F.min("low").alias("low"), F.max("high").alias("high")).toLocalIterator():
+        low[r.leaf, r.i], high[r.leaf, r.i] = r.low, r.high
+    return low, high
+
+
+def sent_to(queries: DataFrame, low: np.ndarray, high: np.ndarray, pilot: bool) -> DataFrame:
+    """(leaf, query_id, q, floor): the leaf with each query's best bound, or all leaves whose bound reaches its floor."""
+    leaves, dim = low.shape
+    filled = np.flatnonzero(~np.isnan(low[:, 0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                part = whole.slice(at, 1024)
+                fits = lengths(part.column("q")) == dim
+                q, floor = matrix(part.column("q"), fits, dim), part.column("floor").to_numpy()[fits]
+                bound = np.maximum(q, 0) @ high[filled].T + np.minimum(q, 0) @ low[filled].T
+                if pilot:
+                    row, leaf = np.arange(len(q)), filled[bound.argmax(axis=1)]
+                else:
+                    row, leaf = np.nonzero(bound >= floor[:, None])
+                    leaf = filled[leaf]
+                others = np.flatnonzero(~fits)
+                taken = pa.RecordBatch.from_arrays([part.column(c) for c in ("query_id", "q", "floor")], ["query_id", "q", "floor"]).take(
+                    pa.array(np.concatenate([np.flatnonzero(fits)[row], others])))
+                yield taken.append_column("leaf", pa.array(np.concatenate([leaf, np.full(len(others), leaves)]), pa.int32()))
+
+    return queries.mapInArrow(run, "query_id long, q array<double>, floor double, leaf int")
+
+
 FOUND = "query_id long, vec_id long, score long"
 
 
-def search(points: DataFrame, queries: DataFrame, k: int, shards: int, pilot: bool) -> DataFrame:
+def search(dealt: DataFrame, sent: DataFrame, parts: DataFrame, k: int, pilot: bool) -> DataFrame:
     """Candidates (query_id, vec_id, score): the k best of each query in each shard it goes to.
 
-    ``queries``: query_id, q, floor. A pilot query goes to one shard only, so that a shard gets about
-    as many queries for each vector as there are in the whole table; otherwise blocks bound a group.
+    ``parts`` (leaf, parts) says how many shards a leaf has. A query of ``sent`` (leaf, query_id, q, floor)
+    goes to one of them as a pilot, else to all.
     """
-    blocks = 1 if pilot else max(1, -(-queries.count() // BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
-    targets = F.array(F.pmod(F.xxhash64(F.lit(7), "query_id"), F.lit(shards)).cast("int")) if pilot else F.sequence(
-        F.lit(0), F.lit(shards - 1))
-    sent = queries.select(F.explode(targets).alias("shard"), block, F.size("q").alias("dim"), "query_id", "q", "floor")
-    points = points.select("*", F.size("x").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    # a row for each leaf of the top tree
+    plan = F.broadcast(sent.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(F.broadcast(parts), "leaf"))
+    part = F.pmod(F.xxhash64("vec_id", "x"), F.col("parts")).cast("int")
+    vectors = dealt.join(plan, "leaf").select(
+        "leaf", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.size("x").alias("dim"),
+        F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "x", F.lit(0.0).alias("floor"))
+    target = F.array(F.pmod(F.xxhash64(F.lit(7), "query_id"), F.col("parts")).cast("int")) if pilot else F.sequence(F.lit(0), F.col("parts") - 1)
+    asked = sent.join(plan, "leaf").select(
+        "leaf", F.explode(target).alias("part"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block"), F.size("q").alias("dim"),
+        F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.col("q").alias("x"), "floor")
+    key = ["leaf", "part", "block", "dim"]
 
-    def run(group: tuple, vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple[int, int, int]] = []
-        if len(vectors) and len(asked):
-            tree = Tree(vectors["vec_id"].to_numpy(), np.stack(vectors["x"].to_numpy()))
-            for own, query, floor in zip(asked["query_id"].tolist(), asked["q"], asked["floor"].tolist()):
-                rows += [(own, -i, int(s)) for s, i in tree.search(own, np.asarray(query), k, floor)]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, tree = None, [], None
+        for batch in batches:
+            keys = np.column_stack([batch.column(c).to_numpy() for c in (*key, "kind")])
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else []
+            rows: list[tuple[int, int, int]] = []
+            for a, b in zip(starts, [*starts[1:], len(keys)]):
+                *now, kind = keys[a].tolist()
+                if now != group:
+                    group, held, tree = now, [], None
+                run_of = batch.slice(a, b - a)
+                ids, points = run_of.column("id").to_numpy(), matrix(run_of.column("x"), np.ones(b - a, bool), now[-1])
+                if kind == 0:
+                    held.append((ids, points))
+                elif held or tree:
+                    if tree is None:
+                        tree, held = Tree(np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held])), []
+                    for own, query, floor in zip(ids.tolist(), points, run_of.column("floor").to_pylist()):
+                        rows += [(own, -i, int(score)) for score, i in tree.search(own, query, k, floor)]
+            columns = list(zip(*rows)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
-    key = ["shard", "block", "dim"]
-    return points.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(run, FOUND)
+    return vectors.unionByName(asked).repartition(*key).sortWithinPartitions(*key, "kind").mapInArrow(run, FOUND)
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
@@ -122,19 +238,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
     Components become floor(256 * x). Candidates are all rows but those with the query's own id; equal
     scores go by the smaller id. Null ids, and vectors that are null, empty or hold null or non-finite
-    components, take no part; repeated rows are searched once, as (id, vector) pairs. Vectors of another
-    length than the query's are no candidates. Scores are exact while sums stay below 2^53.
+    components, take no part; repeated rows are searched once, as (id, vector) pairs. Several vectors of
+    one query id ask together: the ranking has the k best pairs of one of them and a candidate vector.
+    Vectors of another length than the query's are no candidates; only those of the commonest length
+    are dealt by the top tree. Scores are exact while sums stay below 2^53.
     """
     vector = F.col(vector_col).cast("array<double>")
     points = staged(vectors.filter(F.col(id_col).isNotNull() & usable(vector) & (F.size(vector) > 0)).select(
         F.col(id_col).cast("long").alias("vec_id"), is_query.alias("asks"),
         F.transform(vector, lambda x: F.floor(256 * x).cast("double")).alias("x")).distinct(), "vectors")
-    shards = max(1, -(-points.count() // shard))
-    dealt = points.select(F.pmod(F.xxhash64("vec_id", "x"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "x")
-    queries = points.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
-    pilot = search(dealt, queries.withColumn("floor", F.lit(float("-inf"))), k, shards, True)
-    floors = best_of(pilot, k).groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
+    common = points.groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    dim, count = (common["dim"], common["count"]) if common else (1, 0)
+    most = max(1, min(TOP_LEAVES, TOP_VALUES // dim, -(-count // shard)))
+    leaves = 1 << (most.bit_length() - 1)
+    sample = points.filter(F.size("x") == dim).orderBy(F.xxhash64("vec_id", "x"), "vec_id").limit(SAMPLE * leaves).select("x").collect()
+    axis, cut = top_splits(np.array([r.x for r in sample]).reshape(-1, dim), leaves)
+    dealt = staged(dealt_to(points, axis, cut, dim), "dealt")
+    low, high = boxes_of(dealt, leaves, dim)
+    parts = staged(dealt.groupBy("leaf").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts")), "parts")
+
+    queries = dealt.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
+    first = sent_to(queries.withColumn("floor", F.lit(float("-inf"))), low, high, True)
+    floors = best_of(search(dealt, first, parts, k, True), k).groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
     bounded = staged(queries.join(floors, "query_id", "left").select(
-        "query_id", "q", F.when(F.col("n") == k, F.col("kth")).cast("double").alias("floor")).fillna(
-            float("-inf"), ["floor"]), "queries")
-    return best_of(search(dealt, bounded, k, shards, False), k).select("query_id", "rank", "vec_id", "score")
+        "query_id", "q", F.coalesce(F.when(F.col("n") == k, F.col("kth")).cast("double"), F.lit(float("-inf"))).alias("floor")), "queries")
+    return best_of(search(dealt, sent_to(bounded, low, high, False), parts, k, False), k).select("query_id", "rank", "vec_id", "score")

@@ -66,6 +66,42 @@ def test_top_k_ties_nulls_and_small_shards(workers):
     assert top_k.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_sends_queries_to_few_leaves(workers):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 4, (40, 6))
+    rows = [(i, [float(x) for x in centres[i % 40] + rng.normal(0, 0.1, 6)]) for i in range(4000)]
+    frame = workers.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = {}
+    for shard in (1000, 62):
+        sent, real = [], top_k.sent_to
+
+        def counted(queries, low, high, pilot):
+            out = real(queries, low, high, pilot)
+            if not pilot:
+                sent.append((out.count(), queries.count() * len(low)))
+            return out
+
+        top_k.sent_to = counted
+        try:
+            got = {tuple(r) for r in top_k.top_k(frame, F.col("vec_id") % 50 == 0, shard=shard).collect()}
+        finally:
+            top_k.sent_to = real
+        assert got == best(rows, 5, lambda i: i % 50 == 0)
+        asked[shard] = sent[0][0] / sent[0][1]
+    assert asked[62] < 0.5 and asked[62] < asked[1000]
+
+
+def test_top_k_of_one_hot_vector_and_an_id_with_two(workers, monkeypatch):
+    monkeypatch.setattr(top_k, "BLOCK", 4)
+    rows = [(i, [1.0, 2.0]) for i in range(300)] + [(300 + i, [float(i), 1.0]) for i in range(20)]
+    frame = workers.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in top_k.top_k(frame, F.col("vec_id") % 10 == 0, shard=16).collect()}
+    assert got == best(rows, 5, lambda i: i % 10 == 0)
+    two = workers.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    found = sorted(tuple(r) for r in top_k.top_k(two, F.col("vec_id") == 0, k=2).collect())
+    assert found == [(0, 1, 1, 3 * 65536), (0, 2, 2, 2 * 65536)]
+
+
 def check_base(rows, docs):
     tokens = [(i, (t or "").encode().lower().split() + [b""]) for i, t in docs]
     learns = [zlib.crc32(str("" if i is None else i).encode()) % 5 != 1 for i, _ in docs]
