@@ -110,9 +110,12 @@ def replace(bins: Genome, room: list[int], items: list[int], size: list[int]) ->
         own, free = bins[b], room[b]
         if not free or not loose:
             break
-        gain, leave, enter = 0, (), ()
+        gain, leave, enter, tried = 0, (), (), set()
         for leaving in ([x, y] if y > x else [x] for x in range(len(own)) for y in range(x, len(own))):
             gone = sum([size[own[x]] for x in leaving])
+            if gone in tried:
+                continue  # equal pieces, as copies have
+            tried.add(gone)
             at = bisect_left(loose, (gone + free + 1, -1)) - 1
             if at >= 0 and loose[at][0] - gone > gain:
                 gain, leave, enter = loose[at][0] - gone, leaving, [at]
