@@ -12,9 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partner_analytics.operators.joins import REDUCER_BITS, ROW_BITS
 from partner_analytics.session import shared_folder
 
 #: characters of text that a Python worker handles at once
@@ -52,6 +53,32 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def split(docs: DataFrame, code: Column, few: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two: rows whose 64-bit ``code`` may be among those of ``few`` (code), and rows whose code is not.
+
+    Only the first have to be joined with what ``few`` stands for; texts of the others are not shuffled.
+    The codes set bits of a bitmap of 2 MB at any size, so the more codes, the more rows are in the first.
+    """
+    bit, part, bits = free(docs, "_bit"), free(docs, "_part"), free(docs, "_bits")
+    place = F.pmod(F.col("code"), F.lit(REDUCER_BITS))
+    bitmap = few.select(place.alias(bit)).groupBy(F.expr(f"{bit} div {ROW_BITS}").alias(part)).agg(
+        F.bitmap_construct_agg(F.col(bit) % ROW_BITS).alias(bits))  # REDUCER_BITS / ROW_BITS rows at most
+    bitmap = staged(bitmap, "bitmap")
+    marked = docs.withColumn(bit, F.pmod(code, F.lit(REDUCER_BITS))).withColumn(part, F.expr(f"{bit} div {ROW_BITS}")).join(
+        F.broadcast(bitmap), part, "left")
+    byte = F.conv(F.hex(F.substring(bits, (F.col(bit) % ROW_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col(bit) % 8).cast("int")) == 1, F.lit(False))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where(hit).select(*names), marked.where(~hit).select(*names)
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

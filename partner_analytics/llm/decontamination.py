@@ -23,13 +23,14 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partner_analytics.llm.common import by_chunk, staged
+from partner_analytics.llm.common import by_chunk, free, staged
 
 PASSAGE, STRIDE, BLOCK = 96, 48, 8
 THRESHOLD, OVERLAP = 0.6, 0.5
@@ -73,7 +74,7 @@ def overlap(part: list[str], near: list[str]) -> float:
 
 @dataclass
 class Index:
-    items: list[tuple[int, list[str], list[str]]]  # item_id, question, answer
+    items: list[tuple[str, list[str], list[str]]]  # item_key, question, answer
     item_of: list[int]  # of each segment
     number: dict[str, int]  # term -> number
     postings: list[tuple[list[int], list[float]]]  # of each term: segments, impacts
@@ -87,8 +88,8 @@ class Index:
     bound: np.ndarray
 
 
-def build(items: list[tuple[int, str]], threshold: float) -> Index:
-    """The index of (item_id, text) rows."""
+def build(items: list[tuple[str, str]], threshold: float) -> Index:
+    """The index of (item_key, text) rows."""
     own, segments, item_of = [], [], []
     for item, text in items:
         tokens = terms(text)
@@ -203,7 +204,7 @@ def candidates(index: Index, docs: list[np.ndarray], threshold: float) -> list[t
 
 
 def search(index: Index, texts: list[str | None], threshold: float, least: float) -> list[tuple]:
-    """(row, item_id, score, question_overlap, answer_overlap, start) of confirmed items, best passage each."""
+    """(row, item_key, score, question_overlap, answer_overlap, start) of confirmed items, best passage each."""
     number = index.number.get
     tokens = [terms(t) for t in texts]
     docs = [np.fromiter((number(w, -1) for w in own), np.int64, len(own)) for own in tokens]
@@ -231,35 +232,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows and null ids are searched like others; repeated items give repeated rows. ``start_word`` is
     the passage's first word.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter(F.length("text") > 0)
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    items = benchmark.select(F.md5(item_text_col).alias("item_key"), F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter(
+        F.length("text") > 0)
+    found = _found(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), items, threshold, least)
+    return found.join(items.select("item_key", "item_id"), "item_key").select(
+        "doc_id", "item_id", "score", "question_overlap", "answer_overlap", "start_word")
+
+
+def _found(source: DataFrame, items: DataFrame, threshold: float, least: float) -> DataFrame:
+    """Distinct item texts (item_key, text) found in ``source`` (doc_id, text), stored part by part of the items.
+
+    The driver and a worker hold the index of one part, ``INDEX_CHARS`` characters and what their hashes deal unevenly.
+    """
+    items = items.select("item_key", "text").dropDuplicates(["item_key"])
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-total // INDEX_CHARS))
-    kinds = source.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    schema = (f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, answer_overlap double, "
-              "start_word int")
-    shared = docs.sparkSession.sparkContext.broadcast
-    found = None
+    schema = (f"doc_id {source.schema['doc_id'].dataType.simpleString()}, item_key string, score double, question_overlap double, "
+              "answer_overlap double, start_word int")
+    done = []
     for part in range(parts):  # one unless the benchmark is larger than INDEX_CHARS
-        own = items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        index = shared(build([(r["item_id"], r["text"]) for r in own], threshold))
+        own = items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("item_key").collect()
+        index = source.sparkSession.sparkContext.broadcast(build([(r["item_key"], r["text"]) for r in own], threshold))
 
         def run(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
             rows = search(index.value, batch.column("text").to_pylist(), threshold, least) if index.value.items else []
             columns = list(zip(*rows)) or [()] * 6
             return pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id").take(pa.array(columns[0], pa.int64())), "item_id": pa.array(columns[1], arrow_item),
+                "doc_id": batch.column("doc_id").take(pa.array(columns[0], pa.int64())), "item_key": pa.array(columns[1], pa.string()),
                 "score": pa.array(columns[2], pa.float64()), "question_overlap": pa.array(columns[3], pa.float64()),
                 "answer_overlap": pa.array(columns[4], pa.float64()), "start_word": pa.array(columns[5], pa.int32())})
 
-        arrow_item = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
-        one = source.mapInArrow(by_chunk(run), schema)
-        found = one if found is None else found.unionByName(one)
-    return found
+        done.append(staged(source.mapInArrow(by_chunk(run), schema), "leaks"))
+        index.destroy()
+    return reduce(DataFrame.unionByName, done)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
     """``docs`` without those in which a test item was found; all columns stay, null ids and texts too."""
-    found = contaminated(docs.select(F.md5(text_col).alias("__md5"), text_col), benchmark, "__md5", text_col)
-    found = staged(found.select(F.col("doc_id").alias("__md5")).distinct(), "contaminated")
-    return docs.join(found, F.md5(F.col(text_col)) == F.col("__md5"), "left_anti")
+    key = free(docs, "_md5")
+    items = benchmark.select(F.md5(item_text_col).alias("item_key"), F.col(item_text_col).alias("text")).filter(F.length("text") > 0)
+    found = _found(docs.select(F.md5(text_col).alias("doc_id"), F.col(text_col).alias("text")), items, THRESHOLD, OVERLAP)
+    found = staged(found.select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return docs.join(found, F.md5(F.col(text_col)) == F.col(key), "left_anti")

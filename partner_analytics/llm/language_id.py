@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partner_analytics.llm.common import by_chunk, id_bucket
+from partner_analytics.llm.common import by_chunk, free, id_bucket
 
 DIMENSIONS, SAMPLE = 4096, 2000
 UNDETERMINED = "und"
@@ -161,12 +161,13 @@ def training_sample(docs: DataFrame, learns: Column, lang_col: str, size: int) -
 
 
 def identified(docs: DataFrame, learns: Column, id_col: str, text_col: str, lang_col: str, sample: int) -> DataFrame:
-    """``docs`` with the columns ``__lang`` and ``__score`` added."""
+    """``docs`` with the language and its score as two columns more, at the end."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                          F.col(lang_col).cast("string").alias("lang"), learns.alias("learns"))
     model = train(training_sample(source, F.col("learns"), "lang", sample))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights for each pair of languages
     names = docs.columns
+    lang, points = free(docs, "_lang"), free(docs, "_score")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = part.column(names.index(text_col)).to_pylist()
@@ -178,10 +179,10 @@ def identified(docs: DataFrame, learns: Column, id_col: str, text_col: str, lang
                 found[i] = result
         return pa.RecordBatch.from_arrays(
             [*part.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
-            [*names, "__lang", "__score"])
+            [*names, lang, points])
 
-    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(free(docs, "_letters"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(points, T.DoubleType())])
     return docs.select("*", letters).mapInArrow(by_chunk(run, text_col), schema)
 
 
@@ -194,15 +195,15 @@ def identify(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col:
     rows get equal results; very long texts are read whole.
     """
     needed = docs.select(id_col, text_col, lang_col)
-    return identified(needed, learns, id_col, text_col, lang_col, sample).select(
-        F.col(id_col).alias("doc_id"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    found = identified(needed, learns, id_col, text_col, lang_col, sample)
+    return found.select(F.col(id_col).alias("doc_id"), *[F.col(x).alias(y) for x, y in zip(found.columns[-2:], ("lang_pred", "score"))])
 
 
 def in_known_language(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text",
                       lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """``docs`` without those whose language stays undetermined; all columns stay."""
-    return identified(docs, learns, id_col, text_col, lang_col, sample).filter(
-        F.col("__lang") != UNDETERMINED).select(*docs.columns)
+    found = identified(docs, learns, id_col, text_col, lang_col, sample)
+    return found.filter(F.col(found.columns[-2]) != UNDETERMINED).select(*docs.columns)
 
 
 def learns_from(id_column: Column) -> Column:

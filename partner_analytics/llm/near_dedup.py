@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partner_analytics.llm.clusters import linked_components, mixed, sets_of
-from partner_analytics.llm.common import GOLDEN, by_chunk, mix, staged
+from partner_analytics.llm.common import GOLDEN, by_chunk, free, mix, staged
 from partner_analytics.llm.shingles import shingle_set
 
 PERCENT = 75
@@ -130,13 +130,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` doesn't have."""
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
-    return name
-
-
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component; all columns stay.
 
@@ -149,7 +142,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     name = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "code")
     best = texts.groupBy("component").agg(F.min(name).alias("best"))
     ranked = texts.join(best, "component").select("doc_id", "code", "n", (name == F.col("best")).alias("first"))
-    one, two = _free(docs, "_id"), _free(docs, "_code")
+    one, two = free(docs, "_id"), free(docs, "_code")
 
     def named(df: DataFrame) -> DataFrame:
         return df.select(F.col("doc_id").alias(one), F.col("code").alias(two))

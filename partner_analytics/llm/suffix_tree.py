@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -60,55 +59,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Level:
-    """In-memory form of the tree, for small texts. Contexts of one length with their kept next words. ``codes`` = context * alphabet + word, sorted."""
-
-    codes: np.ndarray
-    counts: np.ndarray
-    retained: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))  # by context
-    rest: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10 of the mass left to the shorter context
-    logs: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10 probability of each kept pair
-
-
-@dataclass
-class Tree:
-    alphabet: int  # words numbered below it can be in a context or have a share of their own
-    end: int
-    eligible: list[np.ndarray]  # by length - 1 and gram: may be a context
-    levels: list[Level]
-    root: np.ndarray  # log10 probability of each numbered word
-
-    def grams(self, ids: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
-        """For each length, the context in front of each token (-1: none)."""
-        size, count = self.alphabet, len(ids)
-        ends = np.where((ids >= 0) & (ids < size) & (ids != self.end), ids, -1)  # gram that ends at the token
-        out = []
-        for k, may in enumerate(self.eligible):
-            if k:
-                before = out[k - 1]
-                code = before * size + ids
-                ok = (before >= 0) & (ends >= 0)
-                ends = find(self.levels[k - 1].codes, np.where(ok, code, -1))
-            context = np.full(count, -1)
-            context[1:] = ends[:-1]
-            context[start] = -1
-            context[context >= 0] = np.where(may[context[context >= 0]], context[context >= 0], -1)
-            out.append(context)
-        return out
-
-    def score(self, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """log10 probability of each token; for a word without number, of what leads to the root."""
-        out = np.where(ids >= 0, self.root[ids], 0.0)
-        for context, level in zip(self.grams(ids, start), self.levels):  # short contexts first
-            here = np.flatnonzero(context >= 0)
-            here = here[level.retained[context[here]]]
-            own, word = context[here], ids[here]
-            at = find(level.codes, np.where((word >= 0) & (word < self.alphabet), own * self.alphabet + word, -1))
-            out[here] = np.where(at >= 0, level.logs[at], level.rest[own] + out[here])
-        return out
-
-
 def find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Index of each value in a sorted table, -1 where it is not."""
     if not len(table):
@@ -117,40 +67,6 @@ def find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-def fit(level: Level, context_counts: np.ndarray, suffix: np.ndarray, shorter: list[Level], root: np.ndarray, size: int) -> None:
-    """Divergence test and probabilities of a level's contexts.
-
-    ``suffix``: for each context, the context one word shorter that ends it (-1: the root).
-    """
-    context, word = level.codes // size, level.codes % size
-    n = np.maximum(context_counts, 1).astype(float)
-    low = np.power(10.0, lower_logs(context, word, suffix, shorter, root, size))
-    share = level.counts / n[context]
-    contexts = len(context_counts)
-    kept = np.bincount(context, minlength=contexts)
-    own_rest = np.maximum(1 - np.bincount(context, share, contexts), 0)
-    low_rest = np.maximum(1 - np.bincount(context, low, contexts), 1e-12)
-    divergence = np.bincount(context, share * np.log(share / low), contexts).astype(float)
-    divergence += np.where(own_rest > 0, own_rest * np.log(np.maximum(own_rest, 1e-12) / low_rest), 0)
-    level.retained = (kept > 0) & (n * divergence >= 0.5 * (kept + 1) * np.log(n + 1))
-    discounted = np.maximum(level.counts - DISCOUNT, 0) / n[context]
-    rest = np.maximum(1 - np.bincount(context, discounted, contexts), 1e-12)
-    level.rest = np.log10(rest)
-    level.logs = np.log10(discounted + rest[context] * low)
-
-
-def lower_logs(context: np.ndarray, word: np.ndarray, suffix: np.ndarray, shorter: list[Level], root: np.ndarray, size: int) -> np.ndarray:
-    """log10 probability of ``word`` after the suffix of ``context``."""
-    if not shorter:
-        return root[word]
-    level, own = shorter[-1], suffix[context]
-    # with ORDER 2 the shorter level stands on the root; its own suffix is the root as well
-    below = lower_logs(own, word, np.full(len(level.retained), -1), shorter[:-1], root, size)
-    use = (own >= 0) & level.retained[own]
-    at = find(level.codes, np.where(use, own * size + word, -1))
-    return np.where(use, np.where(at >= 0, level.logs[at] if len(level.logs) else 0.0, level.rest[own] + below), below)
-
-
 def grams_of(texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """(start, grams, at): where each text begins; hashes of all runs of 1 to ORDER + 1 words, and their last token."""
     own = [hashed([*words(text), END]) for text in texts]
@@ -191,8 +107,8 @@ def gram_counts(docs: DataFrame, k: int) -> DataFrame:
     return found.mapInArrow(lambda parts: map(name, parts), "gram long, prefix long, suffix long, n long")
 
 
-def addends(docs: DataFrame, table: DataFrame, base: float) -> DataFrame:
-    """(gram, n, delta): what each run of words adds to the score of a text, for those that add something."""
+def addends(docs: DataFrame, table: DataFrame, base: float) -> list[DataFrame]:
+    """(gram, n, delta) by length: what a retained context leaves to the shorter one, and what its kept pairs add to that."""
 
     def hash_words(part: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(hashed(part.column("word").to_pylist()).view(np.int64)), part.column("n")], ["gram", "n"])
@@ -218,7 +134,7 @@ def addends(docs: DataFrame, table: DataFrame, base: float) -> DataFrame:
         shorter = staged(both.select("gram", "n", F.coalesce(raised, "low").alias("log"), (raised - F.col("low") - F.col("rest")).alias("delta")), "level")
         out += [contexts.select(F.col("prefix").alias("gram"), F.col("total").alias("n"), F.col("rest").alias("delta")),
                 shorter.filter("delta IS NOT NULL").select("gram", "n", "delta")]
-    return reduce(DataFrame.unionByName, out).groupBy("gram").agg(F.max("n").alias("n"), F.sum("delta").alias("delta"))
+    return out
 
 
 def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +159,9 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     end = names.index(END)
     has_count, root = counts > 0, np.log10((counts + 0.5) / base)
 
-    tree = staged(addends(source.filter("learns"), table, float(base)), "tree")
+    # what each run of words adds to the score of a text, as a context and as a pair
+    tree = staged(reduce(DataFrame.unionByName, addends(source.filter("learns"), table, float(base))).groupBy("gram").agg(
+        F.max("n").alias("n"), F.sum("delta").alias("delta")), "tree")
     # the most frequent grams, NEAR at most: from the least count that lets all of them in
     by_count = np.array([tuple(r) for r in tree.groupBy("n").count().collect()], np.int64).reshape(-1, 2)
     by_count = by_count[np.argsort(-by_count[:, 0])]

@@ -223,6 +223,45 @@ def test_decontamination_odd_rows(workers):
     assert decontamination.contaminated(frame.limit(0), bench).count() == 0
 
 
+def test_items_of_any_id_type(workers, monkeypatch):
+    """Small, decimal and date ids, repeated items, an index in several parts, and columns named like private ones."""
+    draw = random.Random(8)
+    texts = [" ".join(draw.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(12)]
+    frame = workers.createDataFrame([(i, f"before {t} after" if i % 2 else "clean " * 70, "x") for i, t in enumerate(texts)], "doc_id int, text string, _md5 string")
+    bench = workers.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(50, texts[1])], "n int, text string")
+    want = [(i, i) for i in range(1, 12, 2)] + [(1, 50)]
+    for chars in (decontamination.INDEX_CHARS, 1500):
+        monkeypatch.setattr(decontamination, "INDEX_CHARS", chars)
+        for kind in ("smallint", "decimal(9,2)"):
+            got = decontamination.contaminated(frame, bench.select(F.col("n").cast(kind).alias("item_id"), "text"))
+            assert got.schema["item_id"].dataType.simpleString() == kind
+            assert sorted((r.doc_id, int(r.item_id)) for r in got.collect()) == sorted(want)
+    left = decontamination.clean(frame, bench)
+    assert left.columns == frame.columns and sorted(r.doc_id for r in left.collect()) == list(range(0, 12, 2))
+
+
+def test_private_names_and_ids_that_repeat(workers):
+    """Other texts under one id and many null ids meet only their own spans; no column name clashes."""
+    draw = random.Random(9)
+    passage = " ".join(draw.choices([f"w{i}" for i in range(900)], k=55))
+    docs = [(1, f"one {passage} uno"), (1, f"two {passage} due"), (1, "short"), (2, f"three {passage} tre")]
+    docs += [(None, f"null{i} {passage}") for i in range(5)] + [(None, "alone " * 3), (None, None)]
+    names = "_id long, _key string, _spans int, _bit int, _part int, _bits int, doc_id long, text string"
+    frame = workers.createDataFrame([(7, "k", 1, 2, 3, 4, *d) for d in docs], names)
+    left = repeats.without_repeats(frame)
+    assert left.columns == frame.columns
+    rows = left.collect()
+    assert all(tuple(r)[:6] == (7, "k", 1, 2, 3, 4) for r in rows)
+    got = collections.Counter((r.doc_id, " ".join(r.text.split()) if r.text else r.text) for r in rows)
+    first = [t for i, t in docs[:2] if (1, t) in got]
+    assert len(first) == 1 and got[2, "three tre"] == 1 and got[None, None] == 1 and got[None, "alone alone alone"] == 1 and got[1, "short"] == 1
+    assert sum(passage in (t or "") for _, t in got.elements()) == 1 and len(rows) == len(docs)
+    assert {t for i, t in got if i is None} >= {f"null{i}" for i in range(5)}
+    lang = workers.createDataFrame([("a", 0.5, 1, "some words here", "en"), ("b", 0.1, 2, "12", "en")], "_lang string, _score double, _letters int, text string, lang string")
+    found = language_id.in_known_language(lang.withColumn("doc_id", F.lit(1)), F.lit(True))
+    assert [r._lang for r in found.collect()] == ["a"] and found.columns == [*lang.columns, "doc_id"]
+
+
 @pytest.fixture(scope="module")
 def predicted(workers):
     path = "/root/testdata/sf0.01"

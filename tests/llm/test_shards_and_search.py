@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import zlib
 
 import numpy as np
@@ -175,35 +176,34 @@ def test_suffix_tree_keeps_rare_contexts(workers, monkeypatch, near):
     assert max(abs(got[i] - x) for (i, _), x in zip(docs, want)) < 1e-6
 
 
-def test_distributions_sum_to_one():
-    """Every context of a fitted tree, retained or not, leaves a proper distribution over the words."""
-    rng = np.random.default_rng(2)
-    size, length = 6, 4000
-    ids = rng.integers(0, 5, length)
-    ids[1::2] = (ids[0::2][: len(ids[1::2])] + 1) % 5  # a strong dependence
-    ids[::40] = 5
-    start = np.array([0])
-    counts = np.bincount(ids, minlength=size)
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty(size, int)
-    rank[order] = np.arange(size)
-    ids, counts = rank[ids], counts[order]
-    end = int(rank[5])
-    root = np.log10(counts / counts.sum())
-    levels, eligible, grams, suffix = [], [np.arange(size) != end], counts, np.full(size, -1)
-    for k in range(2):
-        context = suffix_tree.Tree(size, end, eligible, levels, root).grams(ids, start)[-1]
-        codes, n = np.unique(context[context >= 0] * size + ids[context >= 0], return_counts=True)
-        level = suffix_tree.Level(codes, n)
-        suffix_tree.fit(level, grams, suffix, levels, root, size)
-        levels = [*levels, level]
-        if not k:
-            eligible = [*eligible, (n >= 5) & (codes % size != end)]
-            grams, suffix = n, codes % size
-    tree = suffix_tree.Tree(size, end, eligible, levels, root)
-    assert levels[0].retained.any()
-    plain = [w for w in range(size) if w != end]
-    for a in plain:
-        for b in plain:
-            total = sum(10 ** tree.score(np.array([a, b, w]), start)[2] for w in range(size))
+def test_distributions_sum_to_one(workers):
+    """After every context, retained or not, the addends of the shipped tree leave a proper distribution over the words."""
+    draw = random.Random(2)
+    texts = []
+    for _ in range(60):
+        own = [draw.randrange(6), 1]
+        for _ in range(60):  # the next word depends on one word, after an odd one on two
+            known = own[-1] + own[-2] * (own[-1] % 2) + 1
+            own.append(known % 6 if draw.random() < 0.8 else draw.randrange(6))
+        texts.append(" ".join(f"w{x}" for x in own))
+    docs = workers.createDataFrame([(t,) for t in texts], "text string")
+    table = suffix_tree.word_counts(docs)
+    counts = {bytes(r.word): r.n for r in table.collect()}
+    base = sum(counts.values()) + 0.5 * (len(counts) + 1)
+    parts = [{r.gram: r.delta for r in x.collect()} for x in suffix_tree.addends(docs, table, base)]
+    assert len(parts) == 4 and all(parts)  # contexts and pairs of one word, of two words
+
+    def gram(*names):
+        value = suffix_tree.hashed(list(names))
+        while len(value) > 1:
+            value = suffix_tree.joined(value[:-1], value[1:])
+        return int(value.view(np.int64)[0])
+
+    names = [w for w in counts if w != suffix_tree.END]
+    for a in names:
+        for b in names:
+            total = 0.0
+            for w in [*counts, b"unseen"]:
+                runs = (gram(b), gram(b, w), gram(a, b), gram(a, b, w))
+                total += 10 ** (np.log10((counts.get(w, 0) + 0.5) / base) + sum(p.get(g, 0.0) for p, g in zip(parts, runs)))
             assert abs(total - 1) < 1e-6, (a, b, total)
