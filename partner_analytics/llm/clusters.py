@@ -31,7 +31,7 @@ from partner_analytics.llm.shingles import shingle_set
 #: rounds in which sets gather
 ROUNDS = 2
 #: sets compared with one set in a task
-COMPARE = 256
+COMPARE = 64
 
 
 def prefix_length(n, percent: int):

@@ -34,11 +34,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+#: bytes of rows in one Arrow batch; Spark's own 64 MB of texts stand several times in a JVM and its workers
+BATCH_BYTES = 8 * 2**20
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Hands this package to the Python workers of the session, once for each application."""
+    """Hands this package to the Python workers of the session, once for each application, and bounds their batches."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if context.applicationId not in _SHIPPED:
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         archive = os.path.join(tempfile.mkdtemp(prefix="ship-"), "partner_analytics.zip")
