@@ -16,15 +16,16 @@ from functools import lru_cache
 
 import numpy as np
 
-PLAIN_BELOW = "ɐ"
-#: white space for Python's split, but not for the vocabulary's pattern; and a letter that grows when lowered
-ODD = re.compile("[\x1c-\x1fİ]")
+#: characters from U+0250 on; white space for Python's split, but not for the vocabulary's pattern; and a letter that grows when lowered
+ODD = re.compile("[\x1c-\x1fİɐ-\U0010ffff]")
 
 
 class Pieces:
     """Splits texts and knows the ids of pre-tokens, kept for the first ``limit`` that a worker meets."""
 
     limit = 400_000
+    #: words whose ids are kept; most are one pre-token and kept once
+    word_limit = 600_000
 
     def __init__(self, path: str):
         import regex
@@ -50,7 +51,7 @@ class Pieces:
         return [(i % 2 == 1, part) for i, part in enumerate(self.marker.split(text)) if part]
 
     def simple(self, text: str) -> bool:
-        return (text.isascii() or max(text) < PLAIN_BELOW) and not ODD.search(text)
+        return not ODD.search(text)
 
     def odd(self, text: str) -> list[str]:
         """Pre-tokens of any text without special strings, by the library's own steps."""
@@ -97,11 +98,21 @@ class Pieces:
         made = self.merger.encode_batch_fast(tokens, add_special_tokens=False)
         return [[self.special[t]] if t in self.special else e.ids for t, e in zip(tokens, made)]
 
+    def merged(self, tokens: list[str]) -> list[bytes]:
+        """Ids of each pre-token as bytes, by the library's merges; all of them are one call and one result."""
+        if not tokens:
+            return []
+        made = self.merger.encode(tokens, is_pretokenized=True, add_special_tokens=False)
+        ids = np.asarray(made.ids, "<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(np.asarray(made.word_ids, np.int64), minlength=len(tokens)))).tolist()
+        cut = [ids[a:b] for a, b in zip([0, *ends], ends)]
+        return [np.asarray([self.special[t]], "<u4").tobytes() if t in self.special else x for t, x in zip(tokens, cut)]
+
     def look_up(self, tokens: list[str]) -> dict[str, bytes]:
         """Ids of each pre-token as bytes; the first ``limit`` that a worker meets are kept."""
         known = self.ids
         missing = [t for t in dict.fromkeys(tokens) if t not in known]
-        made = {t: np.asarray(ids, "<u4").tobytes() for t, ids in zip(missing, self.encode(missing))}
+        made = dict(zip(missing, self.merged(missing)))
         if len(known) < self.limit:
             known.update(made)
         return {t: made.get(t) or known.get(t, b"") for t in tokens}
@@ -114,13 +125,15 @@ class Pieces:
                 out.append(np.asarray([self.special[part]], "<u4").tobytes())
             elif self.simple(part):
                 words, known = part.lower().split(), self.word_ids
-                found = [known.get(w) for w in words]
+                found = list(map(known.get, words))
                 if None in found:
                     missing = list(dict.fromkeys([w for w, x in zip(words, found) if x is None]))
-                    parts = [self.find(w) for w in missing]
-                    ids = self.look_up([t for tokens in parts for t in tokens])
-                    new = {w: b"".join([ids[t] for t in tokens]) for w, tokens in zip(missing, parts)}
-                    if len(known) < self.limit:
+                    whole = [w for w in missing if w.isalpha()]  # letters alone are one pre-token
+                    new = dict(zip(whole, self.merged(whole)))
+                    parts = {w: self.find(w) for w in missing if w not in new}
+                    ids = self.look_up([t for tokens in parts.values() for t in tokens])
+                    new |= {w: b"".join([ids[t] for t in tokens]) for w, tokens in parts.items()}
+                    if len(known) < self.word_limit:
                         known.update(new)
                     found = [new[w] if x is None else x for w, x in zip(words, found)]
                 out.append(b"".join(found))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from partner_analytics.llm import html_text, packing, token_counts
-from partner_analytics.llm.pieces import pieces, vocabulary
+from partner_analytics.llm.pieces import Pieces, pieces, vocabulary
 from partner_analytics.llm.queries import QUERIES
 
 ODD = ["", None, "I'S it'LL don'T", "a<|endoftext|>b <|startoftext|>", "İstanbul ΑΣ Σας ① x²½", "日本語 abc_def--'re'd", "a\x1cb!\x1c!c",
@@ -38,6 +38,14 @@ def test_pieces_match_library():
         assert sum(map(len, tool.encode(tool.split(text)))) == len(want), ascii(text)
 
 
+def test_words_of_letters_are_merged_at_once_and_kept_once():
+    tool = Pieces(vocabulary())
+    text = " ".join(["qzxwv", "Straße", "ªº", "it's", "a1b", "été", "''s"] * 3)
+    assert np.frombuffer(tool.ids_of(text), "<u4").tolist() == tool.library.encode(text, add_special_tokens=False).ids
+    assert "qzxwv" in tool.word_ids and "qzxwv" not in tool.ids and "it" in tool.ids
+    assert tool.merged([]) == [] and tool.merged(["<|endoftext|>"]) == [np.asarray([tool.special["<|endoftext|>"]], "<u4").tobytes()]
+
+
 @pytest.mark.parametrize("hot", [1e-6, 2.0])
 def test_token_counts(odd_docs, hot):
     got = sorted(token_counts.token_counts(odd_docs, hot=hot, limit=100).collect(), key=repr)
