@@ -32,6 +32,8 @@ from partner_analytics.llm.shingles import shingle_set
 ROUNDS = 2
 #: sets compared with one set in a task
 COMPARE = 64
+#: prefixes by which sets are dropped are longer by the size of the set over these
+PARTS = (20, 4)
 
 
 def prefix_length(n, percent: int):
@@ -51,15 +53,20 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return picked.mapInArrow(by_chunk(run), "node long, own binary").dropDuplicates(["node"])
 
 
-def first_elements(sets: DataFrame, percent: int) -> DataFrame:
-    """(element, node): the first elements of each set in hash order."""
+def longer_prefix(n, percent: int, part: int):
+    """Elements of which sets of n and m that link hold 1 + min(n, m) div ``part`` in common, in any common order."""
+    return prefix_length(n, percent) + n // part
 
-    def part_of(part: pa.RecordBatch) -> pa.RecordBatch:
-        lists = [np.frombuffer(x, np.int64) for x in part.column("own").to_pylist()]
-        lists = [x[:prefix_length(len(x), percent)] for x in lists]
+
+def first_elements(sets: DataFrame, percent: int, part: int) -> DataFrame:
+    """(element, node): the first elements of each set in hash order, as many as ``longer_prefix`` says."""
+
+    def part_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = [np.frombuffer(x, np.int64) for x in batch.column("own").to_pylist()]
+        lists = [x[:longer_prefix(len(x), percent, part)] for x in lists]
         at = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)), part.column("node").take(at)], ["element", "node"])
+            [pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)), batch.column("node").take(at)], ["element", "node"])
 
     return sets.select("node", "own").mapInArrow(by_chunk(part_of, "own"), "element long, node long")
 
@@ -70,6 +77,21 @@ def apart(rows: DataFrame, by: list[str]) -> DataFrame:
     return least.filter(" AND ".join(f"low_{c} < high_{c}" for c in by)).select("element")
 
 
+def still_open(nodes: DataFrame, sets: DataFrame, percent: int, by: list[str]) -> DataFrame:
+    """(node) of ``nodes`` (node, n, columns of ``by``) that may link with one that differs from them in each of ``by``.
+
+    A few more of the first elements tell most sets that have only common phrases with others: of those the
+    smallest set that can link with one of n has in common more than percent of n, over ``part``. Only
+    sets that pass a short prefix are looked at again with a longer one.
+    """
+    for part in PARTS:
+        ahead = first_elements(sets, percent, part).join(nodes.select("node", "n", *by), "node")
+        shared = ahead.join(apart(ahead, by), "element", "left_semi").groupBy("node", "n").agg(F.count("*").alias("shared"))
+        live = staged(shared.filter(f"shared > ({percent} * n + 99) div 100 div {part}").select("node"), "open")
+        nodes, sets = nodes.join(live, "node", "left_semi"), sets.join(live, "node", "left_semi")
+    return live
+
+
 def gathered(nodes: DataFrame, buckets: DataFrame) -> DataFrame:
     """(node, centre): the smallest of ``nodes`` met over shared ``buckets`` (node, bucket), in ``ROUNDS`` rounds."""
     label = nodes.select("node", F.col("node").alias("centre"))
@@ -180,8 +202,7 @@ def across_clusters(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFram
     its own and the next sizes, as far as what is left behind its place can reach the threshold there.
     """
     unit, by = 100 + percent, ["component", "cluster"]
-    ahead = first_elements(sets, percent).join(nodes.select("node", *by), "node")
-    live = staged(ahead.join(apart(ahead, by), "element", "left_semi").select("node").distinct(), "open")
+    live = still_open(nodes, sets, percent, by)
 
     def explode(part: pa.RecordBatch) -> pa.RecordBatch:
         lists = [np.frombuffer(x, np.int64) for x in part.column("own").to_pylist()]
@@ -213,9 +234,10 @@ def across_clusters(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFram
             F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
 
 
-def mixed(buckets: DataFrame, by: str) -> DataFrame:
-    """The buckets whose members differ in ``by``."""
-    return buckets.groupBy("bucket").agg(F.min(by).alias("low"), F.max(by).alias("high")).filter("low < high").select("bucket")
+def mixed(buckets: DataFrame, *by: str) -> DataFrame:
+    """The buckets whose members differ in each of ``by``."""
+    ends = buckets.groupBy("bucket").agg(*[f(c).alias(f"{name}_{c}") for c in by for f, name in ((F.min, "low"), (F.max, "high"))])
+    return ends.filter(" AND ".join(f"low_{c} < high_{c}" for c in by)).select("bucket")
 
 
 def linked_components(nodes: DataFrame, buckets: DataFrame, sets: DataFrame, percent: int, within_buckets: bool = False) -> DataFrame:
@@ -239,8 +261,8 @@ def linked_components(nodes: DataFrame, buckets: DataFrame, sets: DataFrame, per
     inner = in_clusters(close, of_node.select("node", "component"), percent)
     sought, own = of_node, sets
     if within_buckets:
-        placed = buckets.join(of_node.select("node", "component"), "node")
-        sought = of_node.join(placed.join(mixed(placed, "component"), "bucket", "left_semi").select("node").distinct(), "node", "left_semi")
+        placed = buckets.join(of_node.select("node", "component", "cluster"), "node")
+        sought = of_node.join(placed.join(mixed(placed, "component", "cluster"), "bucket", "left_semi").select("node").distinct(), "node", "left_semi")
         own = sets.join(sought.select("node"), "node", "left_semi")
     outer = across_clusters(sought, own, percent)
     more = staged(compared(staged(inner.unionByName(outer).distinct(), "pairs"), sets, percent), "links")

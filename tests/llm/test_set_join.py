@@ -96,3 +96,21 @@ def test_pairs_of_a_near_copy_group_stay_few(workers, monkeypatch):
 def test_join_query_against_all_pairs(workers, sf_dir):
     docs = [(r[0], r[1]) for r in workers.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert found(QUERIES["op12_set_join"](workers, sf_dir)) == brute(docs)
+
+
+def test_sets_with_a_common_phrase_alone_leave_the_search(spark):
+    """A phrase that all sets hold joins none of them; the one pair that links stays and is found."""
+    import numpy as np
+
+    from partner_analytics.llm.clusters import across_clusters, mixed, still_open
+
+    draw = np.random.default_rng(3)
+    own = [np.concatenate([np.arange(15), draw.integers(100, 2 ** 62, 85)]) for _ in range(40)]
+    own[1] = np.concatenate([own[0][:90], draw.integers(100, 2 ** 62, 10)])
+    sets = spark.createDataFrame([(i, np.sort(x).tobytes()) for i, x in enumerate(own)], "node long, own binary")
+    nodes = spark.createDataFrame([(i, 100, i, i) for i in range(40)], "node long, n long, component long, cluster long")
+    assert {r.node for r in still_open(nodes, sets, 75, ["component", "cluster"]).collect()} == {0, 1}
+    assert [tuple(r) for r in across_clusters(nodes, sets, 75).collect()] == [(1, 0)]
+
+    placed = spark.createDataFrame([(1, 1, 7), (1, 2, 7), (2, 1, 7), (2, 2, 8), (3, 1, 7), (3, 1, 8)], "bucket long, component long, cluster long")
+    assert [r.bucket for r in mixed(placed, "component", "cluster").collect()] == [2]
