@@ -1,6 +1,7 @@
 """Physical plans: pruning, pushdown, no all-pairs joins, no single-task windows, few shuffles."""
 
 import re
+from datetime import date
 
 import pytest
 
@@ -93,3 +94,15 @@ def test_card_reads_the_orders_of_its_period_once(spark, key):
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     text = plan(load()[key](spark, SF_DIR))
     assert "l_extendedprice" not in text and "o_orderdate,2001-06-01" not in text
+
+
+def test_lines_of_a_period_are_cut_at_their_scan(spark):
+    """Lines of other dates go before the shuffle, and none of the period's is lost."""
+    start, end = date(2001, 6, 1), date(2001, 6, 30)
+    tables = Warehouse(spark, SF_DIR)
+    kept, of_period = tables.order_lines(start, end), tables.order_ids(start, end)
+    exact = tables.order_lines().join(of_period, "order_id", "left_semi")
+    assert 0 < exact.count() == kept.join(of_period, "order_id", "left_semi").count()
+    assert 20 * kept.count() < tables.order_lines().count()
+    for fact in (tables.vendor_orders(start, end), tables.order_products(start, end)):
+        assert "xxhash64(l_orderkey" in plan(fact) or "xxhash64(order_id" in plan(fact)
