@@ -34,6 +34,8 @@ ROUNDS = 2
 COMPARE = 64
 #: prefixes by which sets are dropped are longer by the size of the set over these
 PARTS = (20, 4)
+#: elements that stand last in the order of prefixes, at most; one in so many sets is counted to find them; sets of those that hold one
+LATE, COUNTED, OFTEN = 10_000, 16, 4
 
 
 def prefix_length(n, percent: int):
@@ -58,12 +60,29 @@ def longer_prefix(n, percent: int, part: int):
     return prefix_length(n, percent) + n // part
 
 
-def first_elements(sets: DataFrame, percent: int, part: int) -> DataFrame:
-    """(element, node): the first elements of each set in hash order, as many as ``longer_prefix`` says."""
+def common_elements(sets: DataFrame) -> np.ndarray:
+    """Elements that many sets hold, ``LATE`` at most, sorted. They only say what stands last, so a few of the sets tell them."""
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([np.frombuffer(x, np.int64) for x in batch.column("own").to_pylist()] or [np.empty(0, np.int64)]))], ["element"])
+
+    some = sets.filter(F.pmod(F.xxhash64("node"), F.lit(COUNTED)) == 0).select("own")
+    often = some.mapInArrow(by_chunk(whole, "own"), "element long").groupBy("element").agg(F.count("*").alias("df")).filter(F.col("df") >= OFTEN)
+    return np.sort(often.orderBy(F.desc("df"), "element").limit(LATE).select("element").toArrow().column("element").to_numpy())
+
+
+def first_elements(sets: DataFrame, percent: int, part: int, late: np.ndarray) -> DataFrame:
+    """(element, node): the first elements of each set in hash order, those of ``late`` last, as many as ``longer_prefix`` says."""
 
     def part_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = [np.frombuffer(x, np.int64) for x in batch.column("own").to_pylist()]
-        lists = [x[:longer_prefix(len(x), percent, part)] for x in lists]
+        lists = []
+        for own in batch.column("own").to_pylist():
+            x = np.frombuffer(own, np.int64)
+            if len(late):
+                last = late[np.minimum(np.searchsorted(late, x), len(late) - 1)] == x
+                x = np.concatenate([x[~last], x[last]])
+            lists.append(x[:longer_prefix(len(x), percent, part)])
         at = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)), batch.column("node").take(at)], ["element", "node"])
@@ -82,10 +101,12 @@ def still_open(nodes: DataFrame, sets: DataFrame, percent: int, by: list[str]) -
 
     A few more of the first elements tell most sets that have only common phrases with others: of those the
     smallest set that can link with one of n has in common more than percent of n, over ``part``. Only
-    sets that pass a short prefix are looked at again with a longer one.
+    sets that pass a short prefix are looked at again with a longer one. Phrases that many sets hold stand
+    last in the order, so that sets meet over them only where they have little else.
     """
+    late = common_elements(sets)
     for part in PARTS:
-        ahead = first_elements(sets, percent, part).join(nodes.select("node", "n", *by), "node")
+        ahead = first_elements(sets, percent, part, late).join(nodes.select("node", "n", *by), "node")
         shared = ahead.join(apart(ahead, by), "element", "left_semi").groupBy("node", "n").agg(F.count("*").alias("shared"))
         live = staged(shared.filter(f"shared > ({percent} * n + 99) div 100 div {part}").select("node"), "open")
         nodes, sets = nodes.join(live, "node", "left_semi"), sets.join(live, "node", "left_semi")

@@ -114,3 +114,18 @@ def test_sets_with_a_common_phrase_alone_leave_the_search(spark):
 
     placed = spark.createDataFrame([(1, 1, 7), (1, 2, 7), (2, 1, 7), (2, 2, 8), (3, 1, 7), (3, 1, 8)], "bucket long, component long, cluster long")
     assert [r.bucket for r in mixed(placed, "component", "cluster").collect()] == [2]
+
+
+def test_a_phrase_of_many_sets_stands_last_in_prefixes(spark):
+    """Sets that have only a common phrase with others show none of it among their first elements."""
+    import numpy as np
+
+    from partner_analytics.llm.clusters import common_elements, first_elements
+
+    phrase = np.arange(5, dtype=np.int64)  # first in hash order
+    rows = [(i, np.sort(np.concatenate([phrase, 1000 + 100 * i + np.arange(60, dtype=np.int64)])).tobytes()) for i in range(400)]
+    sets = spark.createDataFrame([(i, bytearray(own)) for i, own in rows], "node long, own binary")
+    late = common_elements(sets)
+    assert set(late) == set(phrase)
+    first = first_elements(sets, 75, 20, late)
+    assert first.filter("element < 5").count() == 0 and first.groupBy("node").count().select("count").distinct().count() == 1
