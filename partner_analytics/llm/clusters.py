@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partner_analytics.llm.common import by_chunk, staged
+from partner_analytics.llm.common import by_chunk, split, staged
 from partner_analytics.llm.graph import components
 from partner_analytics.llm.shingles import shingle_set
 
@@ -51,8 +51,15 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         same = pa.array([xxhash.xxh3_128_digest(x) == k for x, k in zip(own, part.column("key").to_pylist())])
         return pa.RecordBatch.from_arrays([part.column("node"), pa.array(own, pa.binary())], ["node", "own"]).filter(same)
 
-    picked = docs.join(nodes, (docs["code"] == nodes["code"]) & docs["doc_id"].eqNullSafe(nodes["rep"])).select("node", "key", "text")
-    return picked.mapInArrow(by_chunk(run), "node long, own binary").dropDuplicates(["node"])
+    # only texts that may be sought are shuffled, one of each set however many copies there are; ``run`` tells wrong picks by the key
+    sought = nodes.select(F.xxhash64("rep", "code").alias("pick"), "node", "key")
+    texts, _ = split(docs.select("text", F.xxhash64("doc_id", "code").alias("pick")), F.col("pick"), sought.select(F.col("pick").alias("code")))
+    return texts.join(sought, "pick").distinct().mapInArrow(by_chunk(run), "node long, own binary")
+
+
+def of_nodes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``sets`` without most of those that are not of ``nodes`` (node); hashes of the others need no shuffle."""
+    return split(sets, F.xxhash64("node"), nodes.select(F.xxhash64("node").alias("code")))[0]
 
 
 def longer_prefix(n, percent: int, part: int):
@@ -72,8 +79,8 @@ def common_elements(sets: DataFrame) -> np.ndarray:
     return np.sort(often.orderBy(F.desc("df"), "element").limit(LATE).select("element").toArrow().column("element").to_numpy())
 
 
-def first_elements(sets: DataFrame, percent: int, part: int, late: np.ndarray) -> DataFrame:
-    """(element, node): the first elements of each set in hash order, those of ``late`` last, as many as ``longer_prefix`` says."""
+def prefixes(sets: DataFrame, percent: int, part: int, late: np.ndarray) -> DataFrame:
+    """(elements, node): the first elements of each set in hash order, those of ``late`` last, as many as ``longer_prefix`` says."""
 
     def part_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = []
@@ -83,11 +90,14 @@ def first_elements(sets: DataFrame, percent: int, part: int, late: np.ndarray) -
                 last = late[np.minimum(np.searchsorted(late, x), len(late) - 1)] == x
                 x = np.concatenate([x[~last], x[last]])
             lists.append(x[:longer_prefix(len(x), percent, part)])
-        at = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)), batch.column("node").take(at)], ["element", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int64())), batch.column("node")], ["elements", "node"])
+
+    return sets.select("node", "own").mapInArrow(by_chunk(part_of, "own"), "elements array<long>, node long")
 
-    return sets.select("node", "own").mapInArrow(by_chunk(part_of, "own"), "element long, node long")
+
+def first_elements(sets: DataFrame, percent: int, part: int, late: np.ndarray) -> DataFrame:
+    """(element, node): one row for each of the elements of ``prefixes``."""
+    return prefixes(sets, percent, part, late).select(F.explode("elements").alias("element"), "node")
 
 
 def apart(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -106,10 +116,12 @@ def still_open(nodes: DataFrame, sets: DataFrame, percent: int, by: list[str]) -
     """
     late = common_elements(sets)
     for part in PARTS:
-        ahead = first_elements(sets, percent, part, late).join(nodes.select("node", "n", *by), "node")
+        # written once as lists: both uses below read it, and no row of a single element is joined with its node
+        lists = staged(prefixes(sets, percent, part, late).join(nodes.select("node", "n", *by), "node"), "prefixes")
+        ahead = lists.select(F.explode("elements").alias("element"), "node", "n", *by)
         shared = ahead.join(apart(ahead, by), "element", "left_semi").groupBy("node", "n").agg(F.count("*").alias("shared"))
         live = staged(shared.filter(f"shared > ({percent} * n + 99) div 100 div {part}").select("node"), "open")
-        nodes, sets = nodes.join(live, "node", "left_semi"), sets.join(live, "node", "left_semi")
+        nodes, sets = nodes.join(live, "node", "left_semi"), of_nodes(sets, live) if part != PARTS[-1] else sets
     return live
 
 
@@ -129,6 +141,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool
     With ``differences`` the columns lacking and added (elements of b that a lacks, and the reverse), n
     (size of a), centre_n (size of b) and linked follow. Each set b meets the sets a in groups of bounded size.
     """
+    sets = of_nodes(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / COMPARE).cast("int").alias("parts"))
     dealt = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
     heads = dealt.select("b", "part").distinct().join(sets, F.col("b") == F.col("node")).select("b", "part", F.lit(-1).cast("long").alias("a"), "own")
@@ -224,6 +237,7 @@ def across_clusters(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFram
     """
     unit, by = 100 + percent, ["component", "cluster"]
     live = still_open(nodes, sets, percent, by)
+    sets = of_nodes(sets, live)
 
     def explode(part: pa.RecordBatch) -> pa.RecordBatch:
         lists = [np.frombuffer(x, np.int64) for x in part.column("own").to_pylist()]
@@ -284,7 +298,7 @@ def linked_components(nodes: DataFrame, buckets: DataFrame, sets: DataFrame, per
     if within_buckets:
         placed = buckets.join(of_node.select("node", "component", "cluster"), "node")
         sought = of_node.join(placed.join(mixed(placed, "component", "cluster"), "bucket", "left_semi").select("node").distinct(), "node", "left_semi")
-        own = sets.join(sought.select("node"), "node", "left_semi")
+        own = of_nodes(sets, sought)
     outer = across_clusters(sought, own, percent)
     more = staged(compared(staged(inner.unionByName(outer).distinct(), "pairs"), sets, percent), "links")
     return united if more.isEmpty() else components(found.unionByName(more))

@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partner_analytics.llm.clusters import linked_components, prefix_length, sets_of
-from partner_analytics.llm.common import GOLDEN, by_chunk, mix, staged
+from partner_analytics.llm.common import GOLDEN, by_chunk, mix, staged, width
 from partner_analytics.llm.shingles import shingle_set
 
 PERCENT = 80
+#: first elements that one part of them holds; they are a quarter of all
+PART_ELEMENTS = 1_000_000
 #: MinHash values by which nodes gather
 MARKS = 3
 
@@ -53,10 +55,13 @@ def _longer_prefix(n: int, percent: int) -> int:
     return min(n, prefix_length(n, percent) + n // 20)
 
 
-def shared_counts(docs: DataFrame, percent: int) -> DataFrame:
+def shared_counts(docs: DataFrame, percent: int, parts: int = 64) -> DataFrame:
     """(code, n): how many of a text's first elements in hash order other sets hold among theirs, or more.
 
-    A task settles what its own texts share; of an element it sends one row for each of few texts at most.
+    Elements are dealt to ``parts`` by their hash. A chunk of texts sends one row to each part: 32 bits of each
+    element in it, once, and the place of its text among the chunk's, or that several hold it; what texts of one
+    chunk share is settled there. Elements that agree in part and 32 bits count as one, so ``parts`` has to grow
+    with the input (``PART_ELEMENTS``): then about one in 4,000 is taken for shared that isn't.
     """
 
     def first(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -64,53 +69,67 @@ def shared_counts(docs: DataFrame, percent: int) -> DataFrame:
         for code, text in zip(part.column("code").to_pylist(), part.column("text").to_pylist()):
             if code not in seen:
                 seen.add(code)
-                found = shingle_set(text).view(np.int64)
+                found = shingle_set(text)
                 lists.append(found[:_longer_prefix(len(found), percent)] if len(found) else found)
                 codes.append(code)
         codes = np.asarray(codes, np.int64)
         at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        element = np.concatenate(lists) if lists else np.empty(0, np.int64)
+        element = mix(np.concatenate(lists)) if lists else np.empty(0, np.uint64)
         order = np.argsort(element, kind="stable")
         element, at = element[order], at[order]
         start = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]])) if len(element) else np.empty(0, np.int64)
-        many = np.diff(np.append(start, len(element))) > 1
-        local = np.bincount(at[np.repeat(many, np.diff(np.append(start, len(element))))], minlength=len(codes)) if len(element) else np.zeros(len(codes), np.int64)
+        size = np.diff(np.append(start, len(element)))
+        local = np.bincount(at[np.repeat(size > 1, size)], minlength=len(codes)) if len(element) else np.zeros(len(codes), np.int64)
+        # one of each: its text, or -1 where several hold it
+        low, owner, to = element[start].astype(np.uint32), np.where(size > 1, -1, at[start]), (element[start] >> np.uint64(32)) % np.uint64(parts)
+        rows = []
+        for number, own in zip(*_grouped(to)):
+            texts, place = np.unique(owner[own], return_inverse=True)
+            several = bool(texts[0] < 0)  # then place 0 stands for them
+            rows.append((int(number), low[own].tobytes(), place.astype(np.uint16 if len(texts) <= 65536 else np.uint32).tobytes(),
+                         codes[texts[several:]].tobytes(), several, b""))
         has = local > 0
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([element[start], np.zeros(int(has.sum()), np.int64)])),
-             pa.array(np.concatenate([np.where(many, 0, codes[at[start]]), codes[has]])),
-             pa.array(np.concatenate([np.where(many, -1, 0), local[has]]).astype(np.int32))], ["element", "code", "n"])
-
-    def settle(batches):
-        """Rows sorted by element and code; n is -1 for an element of several texts, above 0 for a settled count."""
-        rest = None
-        for batch in (*batches, None):
-            if batch is not None:
-                now = [batch.column(i).to_numpy() for i in range(3)]
-                now = [np.concatenate([r, x]) for r, x in zip(rest, now)] if rest else now
-                cut = len(now[0]) if not len(now[0]) else int(np.searchsorted(now[0], now[0][-1]))  # the last element may go on
-                if cut == 0 and len(now[0]) > 1_000_000:  # two texts of a very common element tell the others; some count twice
-                    rest = [np.concatenate([x[:1], x[-1:]]) for x in now]
-                else:
-                    rest, now = [x[cut:] for x in now], [x[:cut] for x in now]
-            else:
-                now, rest = rest or [np.empty(0, np.int64)] * 3, None
-            element, code, n = now
-            done = n > 0
-            element, other, kind = element[~done], code[~done], n[~done]
-            start = np.concatenate([[True], (element[1:] != element[:-1]) | (other[1:] != other[:-1]) | (kind[1:] != kind[:-1])]) if len(element) else np.zeros(0, bool)
-            element, other, kind = element[start], other[start], kind[start]  # one row for each text
-            _, at, size = np.unique(element, return_inverse=True, return_counts=True)
-            several = np.bincount(at, weights=kind < 0, minlength=len(size)) > 0
-            hit = ((size > 1) | several)[at] & (kind == 0)
-            found, count = np.unique(other[hit], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([code[done], found])), pa.array(np.concatenate([n[done], count]).astype(np.int64))], ["code", "n"])
-
-    rows = docs.mapInArrow(by_chunk(first), "element long, code long, n int")
-    # settled counts have no element and are spread by their text
-    return rows.withColumn("by", F.when(F.col("n") > 0, F.col("code")).otherwise(F.col("element"))).repartition("by").drop("by").sortWithinPartitions(
-        "element", "code").mapInArrow(settle, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        if has.any():
+            rows.append((int(codes[has][0] % parts), b"", b"", codes[has].tobytes(), False, local[has].astype(np.int64).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
+
+    def settle(table: pa.Table) -> pa.Table:
+        """What all chunks sent to one part; a text is counted once in an element, however many copies of it came."""
+        low, code, several, out_code, out_n = [], [], [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for _, elements, places, codes, first_several, local in zip(*(table.column(c).to_pylist() for c in names)):
+            own = np.frombuffer(codes, np.int64)
+            if local:
+                out_code.append(own)
+                out_n.append(np.frombuffer(local, np.int64))
+                continue
+            element = np.frombuffer(elements, np.uint32)
+            place = np.frombuffer(places, np.uint16 if len(places) == 2 * len(element) else np.uint32)
+            low.append(element)
+            code.append(np.concatenate([[0], own] if first_several else [own])[place])
+            several.append((place == 0) & first_several)
+        if low:
+            element, code, several = np.concatenate(low), np.concatenate(code), np.concatenate(several)
+            order = np.lexsort((several, code, element))
+            element, code, several = element[order], code[order], several[order]
+            start = np.concatenate([[True], (element[1:] != element[:-1]) | (code[1:] != code[:-1]) | (several[1:] != several[:-1])])
+            element, code, several = element[start], code[start], several[start]  # one row for each text
+            begin = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]]))
+            size = np.diff(np.append(begin, len(element)))
+            hit = np.repeat((size > 1) | np.logical_or.reduceat(several, begin), size) & ~several
+            for x, target in zip(np.unique(code[hit], return_counts=True), (out_code, out_n)):
+                target.append(x)
+        return pa.table({"code": np.concatenate(out_code), "n": np.concatenate(out_n).astype(np.int64)})
+
+    names, kinds = ["part", "elements", "places", "codes", "several", "local"], [pa.int32(), *[pa.binary()] * 3, pa.bool_(), pa.binary()]
+    rows = docs.mapInArrow(by_chunk(first), "part int, elements binary, places binary, codes binary, several boolean, local binary")
+    return rows.groupBy("part").applyInArrow(settle, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _grouped(values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct values, and where each stands."""
+    order = np.argsort(values, kind="stable")
+    found, start = np.unique(values[order], return_index=True)
+    return found, np.split(order, start[1:]) if len(found) else []
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -129,7 +148,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             "key", "marks", "n", F.coalesce("named", "least").alias("x")).select(
                 F.monotonically_increasing_id().alias("node"), "key", "marks", "n", F.col("x.doc_id").alias("rep"), "x.code"), "nodes")
     texts = rows.filter("key IS NOT NULL").select("code", "key").distinct()
-    holds = texts.join(shared_counts(source, percent), "code").groupBy("key").agg(F.max("n").alias("shared"))
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    holds = texts.join(shared_counts(source, percent, max(width(source.sparkSession), total // (4 * PART_ELEMENTS))), "code").groupBy("key").agg(F.max("n").alias("shared"))
     # a set that links with one of n has percent of n elements at least
     live = staged(nodes.join(holds, "key").filter(f"shared > ({percent} * n + 99) div 100 div 20").drop("shared"), "live")
     sets = staged(sets_of(source, live.select("node", "rep", "code", "key")), "sets")

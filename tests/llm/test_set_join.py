@@ -129,3 +129,54 @@ def test_a_phrase_of_many_sets_stands_last_in_prefixes(spark):
     assert set(late) == set(phrase)
     first = first_elements(sets, 75, 20, late)
     assert first.filter("element < 5").count() == 0 and first.groupBy("node").count().select("count").distinct().count() == 1
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_first_elements_of_a_chunk_go_as_one_row_a_part(workers, parts):
+    """Counts are those over all pairs of different texts, copies counted once, and few rows are shuffled for them."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from partner_analytics.llm.shingles import shingle_set
+
+    texts = families(5, 12, 6, 4) + ODD
+    docs = workers.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:20]])], "doc_id long, text string").repartition(5).withColumn(
+        "code", F.xxhash64("text"))
+    lists = {}
+    for r in docs.select("code", "text").distinct().collect():
+        own = shingle_set(r.text)
+        lists[r.code] = set(own[:set_join._longer_prefix(len(own), 80)].tolist())
+    held = Counter(x for own in lists.values() for x in own)
+    right = {c: n for c, own in lists.items() if (n := sum(held[x] > 1 for x in own))}
+    found = set_join.shared_counts(docs, 80, parts)
+    counted = {r.code: r.n for r in found.collect()}
+    assert all(counted.get(c, 0) >= n for c, n in right.items())
+    exact = {r.code: r.n for r in set_join.shared_counts(docs.dropDuplicates(["code"]).coalesce(1), 80, parts).collect()}
+    assert exact == right
+    sent = [x for x in str(found._jdf.queryExecution().executedPlan()).splitlines() if "Exchange" in x]
+    assert any("part" in x for x in sent) and not any("element" in x and "elements" not in x for x in sent)
+
+
+def test_sets_not_sought_are_not_shuffled(workers):
+    """A large table of sets is cut to those of the nodes before a join, up to a few that share a bit."""
+    sets = workers.range(20_000).selectExpr("id AS node", "encode(cast(id AS string), 'UTF-8') AS own")
+    left = {r.node for r in clusters.of_nodes(sets, workers.createDataFrame([(7,), (7,), (19_999,)], "node long")).collect()}
+    assert {7, 19_999} <= left and len(left) < 50
+
+
+def test_one_text_of_each_set_is_picked(workers):
+    """Copies by the thousand, a null id and a repeated row give one set for each node."""
+    import xxhash
+    from pyspark.sql import functions as F
+
+    from partner_analytics.llm.shingles import shingle_set
+
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = workers.createDataFrame([(3, a), (3, a), (None, b), *[(i, a) for i in range(4, 300)]], "doc_id long, text string").withColumn("code", F.xxhash64("text"))
+    key = {t: xxhash.xxh3_128_digest(shingle_set(t).tobytes()) for t in (a, b)}
+    nodes = workers.createDataFrame([(0, 3, a, bytearray(key[a])), (1, None, b, bytearray(key[b]))], "node long, rep long, text string, key binary").select(
+        "node", "rep", F.xxhash64("text").alias("code"), "key")
+    found = {r.node: bytes(r.own) for r in clusters.sets_of(docs, nodes).collect()}
+    assert found == {0: shingle_set(a).tobytes(), 1: shingle_set(b).tobytes()}
+    assert clusters.sets_of(docs, nodes).count() == 2
