@@ -246,7 +246,7 @@ def across_clusters(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFram
             [pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)), *(part.column(c).take(at) for c in ("node", *by))], ["element", "node", *by])
 
     rows = sets.join(nodes.join(live, "node", "left_semi"), "node").select("node", *by, "own").mapInArrow(
-        by_chunk(explode, "own"), "element long, node long, component long, cluster long")
+        by_chunk(explode, "own", 1_000_000), "element long, node long, component long, cluster long")
     counts = rows.groupBy("element").agg(F.count("*").alias("df"), *[f(c).alias(f"{name}_{c}") for c in by for f, name in ((F.min, "low"), (F.max, "high"))])
     shared = counts.filter("low_component < high_component AND low_cluster < high_cluster").select("element", "df")
     useful = rows.select("element", "node").join(shared, "element").groupBy("node").agg(

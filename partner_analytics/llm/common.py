@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -35,7 +36,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 _SHIPPED: set[str] = set()
 #: bytes of rows in one Arrow batch; Spark's own 64 MB of texts stand several times in a JVM and its workers
-BATCH_BYTES = 8 * 2**20
+BATCH_BYTES = CHUNK_CHARS
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -99,7 +100,7 @@ def id_bucket(column, modulus: int):
 class HashOf(dict):
     """64-bit hash of each word, kept for the words seen so far in this worker."""
 
-    limit = 300_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
@@ -162,5 +163,14 @@ def by_chunk(function: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "
         for batch in batches:
             for part in chunks(batch, text, most):
                 yield function(part)
+        give_back()
 
     return run
+
+
+def give_back() -> None:
+    """Free memory of this worker goes to the system; Spark keeps workers for the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)

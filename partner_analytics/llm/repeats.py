@@ -27,9 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partner_analytics.llm.common import GOLDEN, by_chunk, free, grams, hashed, mix, split, staged, words
+from partner_analytics.llm.common import GOLDEN, by_chunk, free, give_back, grams, hashed, mix, split, staged, words
 
 LENGTH, GRAM = 50, 8
+#: characters that a worker handles at once, as each word makes a window of 25 bytes, and documents whose windows it merges at once
+CHARS, MERGED = 1_000_000, 100
 
 
 def minimisers(tokens: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +64,7 @@ def sampled(docs: DataFrame, length: int, gram: int) -> DataFrame:
             ["doc_id", "text_key", "n_words", "key", "runs", "places"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(by_chunk(run), f"doc_id {kind}, text_key long, n_words int, key binary, runs array<long>, places array<int>")
+    return docs.mapInArrow(by_chunk(run, most=CHARS), f"doc_id {kind}, text_key long, n_words int, key binary, runs array<long>, places array<int>")
 
 
 def second_hash(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -98,7 +100,7 @@ def windows_at(docs: DataFrame, kept: DataFrame, length: int, gram: int) -> Data
 
     same = docs["doc_id"].eqNullSafe(kept["rep"]) & (docs["text_key"] == kept["rep_key"])
     texts = docs.join(kept, same).select("text", "key", "content", "again", "places")
-    return texts.mapInArrow(by_chunk(run), "window long, second int, content long, start int, again boolean")
+    return texts.mapInArrow(by_chunk(run, most=CHARS), "window long, second int, content long, start int, again boolean")
 
 
 def _cover(starts: np.ndarray, length: int) -> np.ndarray:
@@ -172,8 +174,9 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int
 
     def batches(parts):
         for part in parts:
-            for at in range(0, part.num_rows, 500):
-                yield merge(part.slice(at, 500))
+            for at in range(0, part.num_rows, MERGED):
+                yield merge(part.slice(at, MERGED))
+        give_back()
 
     spans = by_content.select("key", "n_words", "copies", "x").mapInArrow(
         batches, "key binary, spans array<struct<start: int, end: int, removed: boolean>>")

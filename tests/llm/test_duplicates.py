@@ -330,3 +330,18 @@ def test_near_copies_are_decided_by_row(workers):
     left = near_dedup.without_near_duplicates(frame)
     assert left.columns == frame.columns
     assert sorted(r._id for r in left.collect()) == [0, 1, 5, 6, 7, 8, 10]
+
+
+def test_a_worker_bounds_its_batches_and_gives_memory_back(workers, monkeypatch):
+    """A batch of rows is no larger than what a worker handles at once, and freed memory goes back after the last."""
+    import pyarrow as pa
+
+    from partner_analytics.llm import common
+
+    assert common.BATCH_BYTES <= common.CHUNK_CHARS
+    assert int(common.ship(workers).conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == common.BATCH_BYTES
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(True))
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 400] * 20)], ["text"])
+    parts = list(common.by_chunk(lambda part: part, most=1_000)([batch, batch]))
+    assert sum(p.num_rows for p in parts) == 40 and max(p.num_rows for p in parts) <= 3 and given == [True]
