@@ -23,15 +23,30 @@ from partner_analytics.session import shared_folder
 CHUNK_CHARS = 4_000_000
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, once: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back, which cuts its lineage.
 
     Every executor sees the files, so a lost executor costs a task at most, and row order and ids
-    given before the write stay as they are.
+    given before the write stay as they are. What ``df`` shuffled is freed after the write if it runs ``once``.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(key, None)
+    if once:
+        spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if once:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a staged table that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for path in {os.path.dirname(x) for x in df.inputFiles()}:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 _SHIPPED: set[str] = set()
