@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -45,7 +46,9 @@ def forget(df: DataFrame) -> None:
     """Deletes the files of a staged table that nothing reads any more."""
     context = df.sparkSession.sparkContext
     for path in {os.path.dirname(x) for x in df.inputFiles()}:
-        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        if not re.search("-[0-9a-f]{32}$", path):
+            raise ValueError(f"{path} is no staged table")
+        folder = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(path))  # the paths are encoded
         folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 

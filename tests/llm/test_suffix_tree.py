@@ -48,6 +48,13 @@ def test_a_stage_that_runs_once_leaves_no_shuffle(workers):
     assert not left
 
 
+def test_only_staged_tables_are_deleted(workers, tmp_path):
+    workers.range(3).write.parquet(f"{tmp_path}/input")
+    with pytest.raises(ValueError):
+        common.forget(workers.read.parquet(f"{tmp_path}/input"))
+    assert workers.read.parquet(f"{tmp_path}/input").count() == 3
+
+
 @pytest.mark.parametrize("near", [10**6, 30])
 def test_only_scores_stay_on_disk(workers, tmp_path, monkeypatch, near):
     """Counts, pairs, contexts and the tree go once nothing reads them; parts of any size give the same scores."""
@@ -57,7 +64,7 @@ def test_only_scores_stay_on_disk(workers, tmp_path, monkeypatch, near):
     want = sorted(tuple(r) for r in suffix_tree.score(frame, F.col("doc_id") % 5 != 1).drop("doc_id").collect())
     monkeypatch.setattr(suffix_tree, "NEAR", near)
     monkeypatch.setattr(suffix_tree, "PART_GRAMS", 50)
-    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"{tmp_path}/a folder")
     got = sorted(tuple(r) for r in suffix_tree.score(frame, F.col("doc_id") % 5 != 1).drop("doc_id").collect())
-    assert {x.split("-")[0] for x in os.listdir(tmp_path)} == {"scores"}
+    assert {x.split("-")[0] for x in os.listdir(f"{tmp_path}/a folder")} == {"scores"}
     assert len(got) == len(want) == 221 and np.allclose(np.array(got, float), np.array(want, float), rtol=1e-9)
